@@ -9,9 +9,9 @@ from lodeframe.catalog.base import Catalog
 
 @lru_cache(maxsize=1)
 def catalog() -> Catalog:
-    from lodeframe.catalog import queries, templates
+    from lodeframe.catalog import cleaning, queries, templates
 
     c = Catalog()
-    for family in (queries, templates):
+    for family in (queries, templates, cleaning):
         family.register(c)
     return c

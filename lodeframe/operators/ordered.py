@@ -13,7 +13,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.functions.columns import as_number, facts, is_numeric, is_time, q, same
+from lodeframe.functions.columns import as_number, clean, facts, is_numeric, is_time, q, same
+from lodeframe.session import cut
 
 _LAST = 1.7976931348623157e308
 _SUBRANGES = 10_000
@@ -172,23 +173,28 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     return grouped.select(*[q(k) for k in keys], *outputs)
 
 
-def many_quantiles(df: DataFrame, value: str, probs: list[float]) -> DataFrame:
-    """(p, value) for a long list of probabilities: one pass of value counts with running totals."""
+def many_quantiles(df: DataFrame, value: str, probs: list[float]) -> list[float]:
+    """Exact linear-interpolation quantiles for a long list of probabilities: one pass of value counts with running totals.
+
+    Which wanted ranks a value covers is found by binary search; only those values come to the driver.
+    """
     counts = df.select(as_number(df, value).alias("v")).where("v is not null").groupBy("v").agg(F.count("v").alias("n"))
     total = facts(counts, {"t": F.sum("n")})["t"] or 0
-    running = cumulative(counts, "v", ["n"])
-    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
-    sides = []
-    for p in probs if total else []:
-        at = p * (total - 1)
-        sides.append((float(p), math.floor(at), at - math.floor(at) if at > math.floor(at) else 0.0))
-    table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(r).alias("r"), F.lit(f).alias("f")) for p, r, f in sides])
-    hits = F.filter(table, lambda s: (s["r"] <= last) & (s["r"] + F.when(s["f"] > 0, 1).otherwise(0) >= first))
-    long = running.select("v", first.alias("a"), last.alias("b"), F.explode(hits).alias("s"))
-    lo = F.max(F.when((F.col("a") <= F.col("s.r")) & (F.col("s.r") <= F.col("b")), F.col("v")))
-    hi = F.max(F.when((F.col("a") <= F.col("s.r") + 1) & (F.col("s.r") + 1 <= F.col("b")), F.col("v")))
-    grouped = long.groupBy(F.col("s.p").alias("p"), F.col("s.f").alias("f")).agg(lo.alias("lo"), hi.alias("hi"))
-    return grouped.select("p", (F.col("lo") + F.coalesce((F.col("hi") - F.col("lo")) * F.col("f"), F.lit(0.0))).alias("value"))
+    if not total:
+        return [math.nan] * len(probs)
+    at = [p * (total - 1) for p in probs]
+    wanted = sorted({math.floor(x) for x in at} | {math.ceil(x) for x in at})
+    running = cumulative(counts, "v", ["n"]).withColumns({
+        "first": (F.col("cum_n") - F.col("n")).cast("double") - 0.5, "last": (F.col("cum_n") - 1).cast("double"),
+    })
+    splits = [-math.inf, *[float(r) for r in wanted], math.inf]
+    for side in ("first", "last"):
+        running = Bucketizer(splits=splits, inputCol=side, outputCol=f"{side}_at").transform(running)
+    below, upto = F.col("first_at").cast("int"), F.col("last_at").cast("int")
+    ranks = F.array(*[F.lit(r) for r in wanted])
+    hits = running.where(upto > below).select("v", F.explode(F.slice(ranks, below + 1, upto - below)).alias("rank"))
+    found = {r["rank"]: r["v"] for r in hits.collect()}
+    return [found[math.floor(x)] + (found[math.ceil(x)] - found[math.floor(x)]) * (x - math.floor(x)) for x in at]
 
 
 def value_ranks(df: DataFrame, value: str, also: dict[str, Column] | None = None) -> DataFrame:
@@ -197,3 +203,18 @@ def value_ranks(df: DataFrame, value: str, also: dict[str, Column] | None = None
     counts = df.where(q(value).isNotNull()).groupBy(as_number(df, value).alias("v")).agg(F.count(F.lit(1)).alias("n"), *extra)
     running = cumulative(counts, "v", ["n"])
     return running.withColumn("rank", F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2)
+
+
+def positions_of_values(df: DataFrame, c: str) -> DataFrame:
+    """(value, position) for the distinct non-null values of a column of any sortable type, zero-based."""
+    values = df.select((clean(df, c)).alias("value")).where("value is not null").distinct()
+    if is_numeric(df, c) or is_time(df, c):
+        placed = with_position(values.withColumn("_v", F.col("value")), "_v", "_v")
+        return placed.select("value", F.col("_pos").alias("position"))
+    ranged = values.repartitionByRange(range_count(df), "value").withColumn("_range", F.spark_partition_id().cast("long"))
+    ranged = cut(ranged)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_skip", F.coalesce(F.sum("_n").over(_before([])), F.lit(0))).drop("_n")
+    local = F.row_number().over(Window.partitionBy("_range").orderBy("value")).cast("long")
+    placed = _join_ranges(ranged.withColumn("_local", local), sizes, [])
+    return placed.select("value", (F.col("_local") + F.col("_skip") - 1).alias("position"))
