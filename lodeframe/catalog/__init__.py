@@ -9,9 +9,9 @@ from lodeframe.catalog.base import Catalog
 
 @lru_cache(maxsize=1)
 def catalog() -> Catalog:
-    from lodeframe.catalog import cleaning, queries, templates
+    from lodeframe.catalog import cleaning, profiles, queries, templates
 
     c = Catalog()
-    for family in (queries, templates, cleaning):
+    for family in (queries, templates, cleaning, profiles):
         family.register(c)
     return c

@@ -58,3 +58,114 @@ DATE_FORMATS = (
     "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd-MM-yyyy", "yyyy/MM/dd",
     "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "yyyyMMdd",
 )
+
+# Pairs that stand for yes and no, and which of them means yes.
+BOOLEAN_PAIRS = (
+    ("yes", "no"), ("y", "n"), ("true", "false"), ("t", "f"), ("1", "0"), ("on", "off"), ("active", "inactive"),
+    ("enabled", "disabled"), ("m", "f"), ("male", "female"), ("pass", "fail"), ("positive", "negative"),
+)
+POSITIVE = ("yes", "y", "true", "t", "1", "on", "active", "enabled", "pass", "positive", "male")
+
+# Ordered scales.
+ORDINALS = (
+    ("low", "medium", "high"),
+    ("small", "medium", "large"),
+    ("bronze", "silver", "gold", "platinum"),
+    ("poor", "fair", "good", "very good", "excellent"),
+    ("none", "mild", "moderate", "severe"),
+    ("beginner", "intermediate", "advanced", "expert"),
+    ("very low", "low", "medium", "high", "very high"),
+    ("freshman", "sophomore", "junior", "senior"),
+    ("xs", "s", "m", "l", "xl", "xxl"),
+)
+
+# Patterns of semantic types.
+SEMANTIC = {
+    "email": r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$",
+    "url": r"(?i)^https?://[^\s]+$|^www\.[^\s]+$",
+    "ip": r"^(\d{1,3}\.){3}\d{1,3}$|^([0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{0,4}$",
+    "phone": r"^[\+]?[0-9\s\-\(\)\.]{7,20}$",
+    "currency": r"^[\$€£¥₹₽][\s]?[\d,]+\.?\d*$|^[\d,]+\.?\d*[\s]?[\$€£¥₹₽]$",
+    "percentage": r"^[\-+]?\d+\.?\d*\s*%$",
+    "hash": r"^[0-9a-fA-F]{32,128}$",
+    "uuid": r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    "geo": r"^[\-+]?\d+\.?\d*[,\s]+[\-+]?\d+\.?\d*$",
+    "binary": r"^[01]{11,}$",
+}
+
+# Personal data inside texts, and column names that hold names of people.
+PERSONAL = {
+    "email": r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}",
+    "phone": r"(?:\+?\d{1,3}[\s\-]?)?\(?\d{3}\)?[\s\-]?\d{3}[\s\-]?\d{4}",
+    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
+    "credit_card": r"\b(?:\d{4}[\s\-]?){3}\d{4}\b",
+    "ip_address": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
+    "us_zip": r"\b\d{5}(?:-\d{4})?\b",
+}
+NAME_COLUMNS = (
+    "name", "first_name", "last_name", "full_name", "firstname", "lastname", "fname", "lname", "author", "user", "username",
+    "customer_name",
+)
+
+# Scripts by their characters.
+SCRIPTS = {
+    "English": r"[a-zA-Z]",
+    "Chinese": r"[\x{4e00}-\x{9fff}]",
+    "Japanese": r"[\x{3040}-\x{309f}\x{30a0}-\x{30ff}]",
+    "Korean": r"[\x{ac00}-\x{d7af}]",
+    "Arabic": r"[\x{0600}-\x{06ff}]",
+    "Cyrillic": r"[\x{0400}-\x{04ff}]",
+    "Devanagari": r"[\x{0900}-\x{097f}]",
+    "Thai": r"[\x{0e00}-\x{0e7f}]",
+    "Latin Extended": r"[\x{00c0}-\x{024f}]",
+}
+
+# What texts may mention, and how often it must occur to count.
+ENTITIES = {
+    "dates": (r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\s+\d{1,2},?\s*\d{4}|\b\d{1,2}/\d{1,2}/\d{2,4}\b", 5),
+    "currency_amounts": (r"[\$€£¥₹]\s?\d+(?:[,\.]\d+)*", 3),
+    "possible_locations_or_names": (r"\b[A-Z][a-z]+(?:\s[A-Z][a-z]+)+\b", 10),
+    "emails": (PERSONAL["email"], 2),
+    "phone_numbers": (PERSONAL["phone"], 2),
+}
+MARKUP = {"html": r"<[a-zA-Z][^>]*>", "markdown": r"(\*\*|__|#+\s|```|\[.*\]\(.*\)|!\[)"}
+
+# Formats of dates in texts.
+DATE_SHAPES = (
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}", "ISO 8601"),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", "YYYY-MM-DD HH:MM:SS"),
+    (r"^\d{4}-\d{2}-\d{2}", "YYYY-MM-DD"),
+    (r"^\d{2}/\d{2}/\d{4}", "MM/DD/YYYY or DD/MM/YYYY"),
+    (r"^\d{2}-\d{2}-\d{4}", "MM-DD-YYYY or DD-MM-YYYY"),
+    (r"^\d{2}\.\d{2}\.\d{4}", "DD.MM.YYYY"),
+    (r"^\d{4}/\d{2}/\d{2}", "YYYY/MM/DD"),
+    (r"^\w+ \d{1,2}, \d{4}", "Month DD, YYYY"),
+    (r"^\d{1,2} \w+ \d{4}", "DD Month YYYY"),
+)
+
+# Number formatting found in texts.
+NUMBER_FORMATS = {
+    "currency symbols": r"[\$€£¥₹₽]",
+    "thousand separators": r"\d{1,3}(?:,\d{3})+",
+    "percentage signs": r"%",
+}
+
+# Names that suggest a target, weakly or strongly, or rule it out.
+TARGET_STRONG = (
+    "target", "label", "outcome", "result", "prediction", "predicted", "class", "y", "dependent", "response", "output",
+    "score", "grade", "rating", "rank", "diagnosis", "disease", "mortality", "readmission", "severity", "positive",
+    "negative", "malignant", "benign", "survival", "default", "bankrupt", "risk", "fraud", "anomaly", "return", "profit",
+    "loss", "credit", "churn", "purchase", "conversion", "revenue", "demand", "satisfaction", "sentiment", "recommend",
+    "attrition", "turnover", "performance", "promotion", "hired", "fired", "left", "resigned", "failure", "defect",
+    "quality", "downtime", "rul", "exam_score", "final_score", "test_score", "passed", "failed", "survived", "event",
+    "censored",
+)
+TARGET_WEAK = (
+    "is_", "has_", "was_", "will_", "price", "salary", "amount", "total", "count", "status", "approved", "accepted",
+    "rejected", "flag", "forecast", "predicted", "expected", "estimated", "click", "engagement", "nps", "ltv", "value",
+)
+TARGET_NEVER = (
+    "id", "index", "idx", "key", "pk", "name", "first_name", "last_name", "username", "date", "time", "timestamp",
+    "created", "updated", "modified", "url", "uri", "link", "path", "email", "phone", "address", "city", "state", "zip",
+    "country", "description", "comment", "note", "text", "body", "file", "image", "photo", "avatar",
+)

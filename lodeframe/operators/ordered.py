@@ -173,27 +173,32 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     return grouped.select(*[q(k) for k in keys], *outputs)
 
 
-def many_quantiles(df: DataFrame, value: str, probs: list[float]) -> list[float]:
-    """Exact linear-interpolation quantiles for a long list of probabilities: one pass of value counts with running totals.
+def values_at(df: DataFrame, value: str, ranks: list[int]) -> dict[int, float]:
+    """The values at a long list of zero-based ranks: one pass of value counts with running totals.
 
     Which wanted ranks a value covers is found by binary search; only those values come to the driver.
     """
     counts = df.select(as_number(df, value).alias("v")).where("v is not null").groupBy("v").agg(F.count("v").alias("n"))
-    total = facts(counts, {"t": F.sum("n")})["t"] or 0
-    if not total:
-        return [math.nan] * len(probs)
-    at = [p * (total - 1) for p in probs]
-    wanted = sorted({math.floor(x) for x in at} | {math.ceil(x) for x in at})
     running = cumulative(counts, "v", ["n"]).withColumns({
         "first": (F.col("cum_n") - F.col("n")).cast("double") - 0.5, "last": (F.col("cum_n") - 1).cast("double"),
     })
+    wanted = sorted(set(ranks))
     splits = [-math.inf, *[float(r) for r in wanted], math.inf]
     for side in ("first", "last"):
         running = Bucketizer(splits=splits, inputCol=side, outputCol=f"{side}_at").transform(running)
     below, upto = F.col("first_at").cast("int"), F.col("last_at").cast("int")
-    ranks = F.array(*[F.lit(r) for r in wanted])
-    hits = running.where(upto > below).select("v", F.explode(F.slice(ranks, below + 1, upto - below)).alias("rank"))
-    found = {r["rank"]: r["v"] for r in hits.collect()}
+    listed = F.array(*[F.lit(r).cast("long") for r in wanted])
+    hits = running.where(upto > below).select("v", F.explode(F.slice(listed, below + 1, upto - below)).alias("rank"))
+    return {r["rank"]: r["v"] for r in hits.collect()}
+
+
+def many_quantiles(df: DataFrame, value: str, probs: list[float]) -> list[float]:
+    """Exact linear-interpolation quantiles for a long list of probabilities."""
+    total = df.select(as_number(df, value).alias("v")).where("v is not null").count()
+    if not total:
+        return [math.nan] * len(probs)
+    at = [p * (total - 1) for p in probs]
+    found = values_at(df, value, [math.floor(x) for x in at] + [math.ceil(x) for x in at])
     return [found[math.floor(x)] + (found[math.ceil(x)] - found[math.floor(x)]) * (x - math.floor(x)) for x in at]
 
 
@@ -218,3 +223,24 @@ def positions_of_values(df: DataFrame, c: str) -> DataFrame:
     local = F.row_number().over(Window.partitionBy("_range").orderBy("value")).cast("long")
     placed = _join_ranges(ranged.withColumn("_local", local), sizes, [])
     return placed.select("value", (F.col("_local") + F.col("_skip") - 1).alias("position"))
+
+
+def steps(df: DataFrame, c: str) -> DataFrame:
+    """(start, end, gap) between consecutive distinct values of a number or time column, in its own order."""
+    values = df.select(as_number(df, c).alias("end")).where("end is not null").distinct()
+    spread, w = in_blocks(with_position(values, "end", "end"), 1, 0)
+    lagged = spread.withColumn("start", F.lag("end", 1).over(w)).where("_home").where("start is not null")
+    return lagged.select("start", "end", (F.col("end") - F.col("start")).alias("gap"))
+
+
+def median_step(gaps: DataFrame, distinct: int, rows: int) -> float | None:
+    """Median difference of all consecutive values, equal neighbours counting as zero."""
+    from lodeframe.operators.quantiles import order_statistics
+
+    zeros, total = rows - distinct, rows - 1
+    if total < 1:
+        return None
+    ranks = sorted({(total - 1) // 2, total // 2})
+    beyond = {r - zeros: None for r in ranks if r >= zeros}
+    stats = order_statistics(gaps.select("gap"), {"gap": beyond}, {"gap": distinct - 1}) if beyond else {}
+    return sum(stats[("gap", r - zeros)] if r >= zeros else 0.0 for r in ranks) / len(ranks)
