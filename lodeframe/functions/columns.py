@@ -89,5 +89,10 @@ def value_counts(df: DataFrame, cols: list[str], cast: str = "string") -> DataFr
     return long_values(df, cols, cast).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r over the rows that know both; null, not an error, where one of them is constant."""
+    return F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))
+
+
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.functions.columns import clean, facts, is_numeric, numeric_columns, q, rows, scalar_columns
+from lodeframe.functions.columns import clean, correlation, facts, is_numeric, numeric_columns, q, rows, scalar_columns
 from lodeframe.functions.special import correlation_p
 from lodeframe.operators.ordered import value_ranks
 from lodeframe.operators.quantiles import quantiles
@@ -30,7 +30,7 @@ def pearson_pairs(df: DataFrame, columns: dict[str, Column], pairs: list[tuple[s
         part = pairs[start : start + PAIRS_PER_JOB]
         aggregates = {}
         for i, (a, b) in enumerate(part):
-            aggregates[f"r{i}"] = F.corr(columns[a], columns[b])
+            aggregates[f"r{i}"] = correlation(columns[a], columns[b])
             aggregates[f"n{i}"] = F.count(F.when(columns[a].isNotNull() & columns[b].isNotNull(), 1))
         got = facts(df, aggregates)
         found |= {pair: (_real(got[f"r{i}"]), got[f"n{i}"]) for i, pair in enumerate(part)}
@@ -149,7 +149,7 @@ def point_biserial_value(df: DataFrame, number: str, two: str) -> tuple[float |
     ends = facts(known, {"lo": F.min("b"), "hi": F.max("b"), "n": F.count(F.lit(1))})
     if not ends["n"] or ends["lo"] == ends["hi"]:
         return None, 0
-    got = facts(known, {"r": F.corr("x", (F.col("b") == F.lit(ends["hi"])).cast("double"))})
+    got = facts(known, {"r": correlation(F.col("x"), (F.col("b") == F.lit(ends["hi"])).cast("double"))})
     return _real(got["r"]), ends["n"]
 
 
