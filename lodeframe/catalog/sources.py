@@ -105,7 +105,8 @@ def register(c: Catalog) -> None:
     def xml(t):
         path = place(t)
         row = F.concat(F.lit('<part id="'), F.col("p_partkey").cast("string"), F.lit('"><name>'), "p_name", F.lit("</name><size>"), F.col("p_size").cast("string"), F.lit("</size></part>"))
-        t.part.select(row.alias("value")).coalesce(1).write.text(path)
+        line = lambda text: t.spark.createDataFrame([(text,)], "value string").coalesce(1)
+        line("<parts>").union(t.part.select(row.alias("value")).coalesce(1)).union(line("</parts>")).coalesce(1).write.text(path)
         return R.read_xml(t.spark, path)
 
     c.add("s13_xml", xml, "SELECT p_partkey AS \"@id\", p_name AS name, p_size AS size FROM part")

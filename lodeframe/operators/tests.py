@@ -8,6 +8,7 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeframe.functions import special
 from lodeframe.functions.columns import clean, facts, is_string, numeric_columns, q, rows, scalar_columns
@@ -43,7 +44,7 @@ def _ks_p(d: float, n: float) -> float:
     return min(1.0, max(0.0, special.kolmogorov_tail((root + 0.12 + 0.11 / root) * d)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(special.normal_cdf)
 

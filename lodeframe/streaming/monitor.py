@@ -12,6 +12,7 @@ from lodeframe.functions.columns import rows
 from lodeframe.operators.insight import quality_facts
 
 QUALITY_DROP = 10.0
+FILES = "path string, modificationTime timestamp, length long, content binary"
 HISTORY = "batch long, files long, rows long, columns int, quality double, quality_drop double, schema_changed boolean, status string, reason string, checked_at timestamp"
 
 
@@ -41,7 +42,7 @@ def monitor(
     known = baseline_of(baseline)
     open_files = read or (lambda s, paths: s.read.option("mergeSchema", True).parquet(*paths))
     arrivals = (
-        spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).load(folder).select("path")
+        spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).load(folder).select("path")
     )
 
     def check(batch: DataFrame, number: int) -> None:
