@@ -246,9 +246,9 @@ def _aggregates(c: Catalog) -> None:
     from lodeframe.operators.ordered import group_quantiles
     from lodeframe.operators.templates import share_of_total
 
-    c.add("a9_percentile_cont", lambda t: group_quantiles(t.lineitem, ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "p90": 0.9}),
+    c.add("a9_percentile_cont", lambda t: group_quantiles(t.lineitem, ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "p90": 0.9}, small=0),
           "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.1) AS p10, quantile_cont(l_extendedprice, 0.9) AS p90 FROM lineitem GROUP BY 1", {"p10": 4, "p90": 4})
-    add("a10_conditional_count", [{"column": "l_shipmode"} if False else {"column": "l_returnflag"}, {"expression": "SUM(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END)", "alias": "n"}],
+    add("a10_conditional_count", [{"column": "l_returnflag"}, {"expression": "SUM(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END)", "alias": "n"}],
         "SELECT l_returnflag, CAST(SUM(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM lineitem GROUP BY 1", group_by=["l_returnflag"])
     c.add("a11_share_of_total", lambda t: share_of_total(t.orders, ["o_orderpriority", "o_orderstatus"], "n", "pct", 4),
           "SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM orders GROUP BY 1, 2")

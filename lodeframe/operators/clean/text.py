@@ -141,9 +141,10 @@ def tfidf_weights(
     stops = stop_words("en")
     docs = _terms(df, F.coalesce(q(c).cast("string"), F.lit("")), key, ngram_range, stops)
     total = df.count()
-    tf = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
-    seen = docs.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    fitted = tf.join(seen, "term").where((F.col("df") >= min_df) & (F.col("df") <= max_df * total))
+    uses = F.transform("terms", lambda w: F.struct(w.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
+    holders = F.transform(F.array_distinct("terms"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
+    seen = docs.select(F.explode(F.concat(uses, holders)).alias("c")).groupBy("c.term").agg(F.sum("c.tf").alias("tf"), F.sum("c.df").alias("df"))
+    fitted = seen.where((F.col("df") >= min_df) & (F.col("df") <= max_df * total))
     vocabulary = fitted.orderBy(F.col("tf").desc(), "term").limit(max_features).collect()
     weights = {r["term"]: r["df"] for r in vocabulary}
     if not weights:

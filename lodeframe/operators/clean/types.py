@@ -7,16 +7,13 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions import words
 from lodeframe.functions.columns import facts, q
+from lodeframe.functions.dates import parsed_time
 from lodeframe.sources.nested import flatten
 
 
 def parse_dates(df: DataFrame, cols: list[str], formats: tuple[str, ...] = words.DATE_FORMATS) -> DataFrame:
     """The first format that fits each value; none fits: null."""
-    def parsed(c: str) -> Column:
-        text = F.trim(q(c).cast("string"))
-        return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
-
-    return df.withColumns({c: parsed(c) for c in cols})
+    return df.withColumns({c: parsed_time(q(c).cast("string"), formats) for c in cols})
 
 
 def currency_value(c: Column) -> Column:

@@ -19,6 +19,7 @@ from lodeframe.session import cut
 _LAST = 1.7976931348623157e308
 _SUBRANGES = 10_000
 BLOCK = 100_000
+SMALL_GROUP = 1_000_000
 
 
 def range_count(df: DataFrame) -> int:
@@ -154,9 +155,15 @@ def cumulative(counts: DataFrame, order: str, measures: list[str], partition: li
     return joined.drop("_range", "_x", *[f"_skip_{m}" for m in measures])
 
 
-def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolation quantiles per group, one column per name; a huge group is spread over the ranges."""
+def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], small: int = SMALL_GROUP) -> DataFrame:
+    """Exact linear-interpolation quantiles per group, one column per name.
+
+    Where the largest group is small each is one aggregation buffer; else groups are spread over the ranges of the value.
+    """
     numbers = df.select(*[q(k) for k in keys], as_number(df, value).alias("_v")).where(F.col("_v").isNotNull())
+    sizes = numbers.groupBy(*[q(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    if (facts(sizes, {"m": F.max("_n")})["m"] or 0) <= small:
+        return numbers.groupBy(*[q(k) for k in keys]).agg(*[F.percentile("_v", F.lit(float(p))).alias(n) for n, p in probs.items()])
     counts = numbers.groupBy(*[q(k) for k in keys], "_v").agg(F.count(F.lit(1)).alias("_n"))
     ranked = cumulative(counts, "_v", ["_n"], keys).withColumnRenamed("total__n", "_total")
     first, last = F.col("cum__n") - F.col("_n"), F.col("cum__n") - 1

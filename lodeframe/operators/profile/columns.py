@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions import words
 from lodeframe.functions.columns import clean, dtype, facts, is_numeric, is_string, is_time, q, rows, scalar_columns, value_counts
+from lodeframe.functions.dates import parsed_time
 from lodeframe.operators.ordered import median_step, steps
 from lodeframe.workspace import ui_type
 
@@ -198,7 +199,7 @@ MONTH_LIMIT = 21.0
 def as_times(df: DataFrame, c: str) -> Column:
     if is_time(df, c):
         return q(c).cast("timestamp")
-    return F.coalesce(*[F.try_to_timestamp(F.trim(q(c).cast("string")), F.lit(f)) for f in words.DATE_FORMATS])
+    return parsed_time(q(c).cast("string"))
 
 
 def datetime_facts(df: DataFrame, c: str, now: dt.datetime | None = None) -> dict:
@@ -325,12 +326,15 @@ def masked(c: Column) -> Column:
 def pii_scan(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, kind, count, pct, confidence, example): texts with personal data, the example masked."""
     cols = cols or [c for c in scalar_columns(df) if is_string(df, c)]
-    tests = {(c, k): q(c).rlike(p) for c in cols for k, p in words.PERSONAL.items()}
-    aggregates = {f"n{i}": F.count(q(c)) for i, c in enumerate(cols)}
-    for i, ((c, k), test) in enumerate(tests.items()):
-        aggregates[f"c{i}"] = F.count_if(test)
-        aggregates[f"x{i}"] = F.min(F.when(test, F.struct(F.xxhash64(q(c)).alias("h"), masked(q(c)).alias("m"))))
-    got = facts(df, aggregates)
+    tests = [(c, k) for c in cols for k in words.PERSONAL]
+    hits = df.select(
+        *[q(c).isNotNull().alias(f"k{i}") for i, c in enumerate(cols)],
+        *[F.when(q(c).rlike(words.PERSONAL[k]), F.struct(F.xxhash64(q(c)).alias("h"), masked(q(c)).alias("m"))).alias(f"t{i}") for i, (c, k) in enumerate(tests)],
+    )
+    aggregates = {f"n{i}": F.count_if(F.col(f"k{i}")) for i in range(len(cols))}
+    for i in range(len(tests)):
+        aggregates |= {f"c{i}": F.count(f"t{i}"), f"x{i}": F.min(f"t{i}")}
+    got = facts(hits, aggregates)
     found = []
     for i, c in enumerate(cols):
         if c.lower().strip() in words.NAME_COLUMNS or any(w in c.lower() for w in ("name", "person")):

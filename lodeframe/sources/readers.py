@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeframe.functions.columns import facts, is_string, q, rows, scalar_columns
-from lodeframe.functions.words import DATE_FORMATS
+from lodeframe.functions.dates import parsed_time
 from lodeframe.sources.nested import flatten
 
 REPORT_ROWS = 500
@@ -156,7 +156,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     """Text columns turned into numbers, else times, where no filled value fails to convert. One aggregate decides for all."""
     texts = [c for c in scalar_columns(df) if is_string(df, c)]
     filled = {c: F.when(F.trim(q(c)) != "", F.trim(q(c))) for c in texts}
-    moment = {c: F.coalesce(*[F.try_to_timestamp(v, F.lit(f)) for f in DATE_FORMATS]) for c, v in filled.items()}
+    moment = {c: parsed_time(v) for c, v in filled.items()}
     aggregates = {}
     for i, c in enumerate(texts):
         v = filled[c]

@@ -36,9 +36,10 @@ def test_quantiles_of_nothing_and_of_one(spark):
     assert quantiles.quantiles(spark.createDataFrame([(None,), (4.0,), (float("nan"),)], "x double"), ["x"], [0.1, 0.9]) == {"x": [4.0, 4.0]}
 
 
-def test_group_quantiles_with_a_hot_group(frame):
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_group_quantiles_with_a_hot_group(frame, small):
     pdf, df = frame
-    got = {r["g"]: (r["a"], r["b"]) for r in ordered.group_quantiles(df, ["g"], "x", {"a": 0.5, "b": 0.9}).collect()}
+    got = {r["g"]: (r["a"], r["b"]) for r in ordered.group_quantiles(df, ["g"], "x", {"a": 0.5, "b": 0.9}, small).collect()}
     expected = pdf.groupby("g")["x"].quantile([0.5, 0.9]).unstack()
     assert len(got) == len(expected)
     for g, row in expected.iterrows():
