@@ -26,8 +26,14 @@ def _csv(t, df, **options) -> str:
     return path
 
 
-def nations(t):
-    return t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+def _documents(t, record, frame) -> str:
+    """JSON documents, each an array of the records of some neighbouring keys, one document per file."""
+    path = place(t)
+    chunk = F.floor(F.col("p_partkey") / 500)
+    grouped = frame.select("p_partkey", record.alias("j")).groupBy(chunk.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "j"))).alias("l"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["j"]), ",\n"), F.lit("]"))
+    grouped.select("chunk", text.alias("value")).write.partitionBy("chunk").text(path)
+    return path
 
 
 def _lines(t, column) -> str:
@@ -64,19 +70,8 @@ def register(c: Catalog) -> None:
 
     c.add("s6_drop_malformed", cleaned, "SELECT p_partkey + 2 AS row_number, CAST(p_partkey AS VARCHAR) AS key, 'x' AS note FROM part WHERE p_partkey % 50 <> 7")
 
-    def document(t):
-        path = place(t)
-        t.part.select("p_partkey", F.to_json(F.struct("p_partkey", "p_name", "p_size")).alias("j")).agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "j"))), lambda x: x["j"]), ",\n"), F.lit("]")).alias("value")).write.text(path)
-        return path
-
-    c.add("s7_json_array", lambda t: R.read_json(t.spark, document(t)), "SELECT p_partkey, p_name, p_size FROM part")
-
-    def values(t):
-        path = place(t)
-        t.region.agg(F.concat(F.lit("[ "), F.array_join(F.collect_list(F.concat(F.lit('"'), "r_name", F.lit('"'))), ", "), F.lit("]")).alias("value")).write.text(path)
-        return R.read_json(t.spark, path)
-
-    c.add("s7_json_values", values, "SELECT r_name AS value FROM region")
+    c.add("s7_json_array", lambda t: R.read_json(t.spark, _documents(t, F.to_json(F.struct("p_partkey", "p_name", "p_size")), t.part)).drop("chunk"), "SELECT p_partkey, p_name, p_size FROM part")
+    c.add("s7_json_values", lambda t: R.read_json(t.spark, _documents(t, F.concat(F.lit('"'), "p_name", F.lit('"')), t.part)), "SELECT p_name AS value FROM part")
 
     def jsonl(t):
         path = place(t)
@@ -131,39 +126,40 @@ def register(c: Catalog) -> None:
         os.makedirs(folder)
 
         def pack(part):
-            """One archive per region, written where the task runs."""
-            lines = [f"{a},{b}" for a, b in zip(part["n_name"], part["n_regionkey"])]
-            with zipfile.ZipFile(f"{folder}/{part['n_regionkey'].iloc[0]}.zip", "w") as z:
-                z.writestr("nations.csv", "\n".join(["n_name,n_regionkey", *lines]))
+            """One archive per 500 keys, written where the task runs."""
+            lines = [f"{a},{b}" for a, b in zip(part["c_name"], part["c_nationkey"])]
+            with zipfile.ZipFile(f"{folder}/{part['chunk'].iloc[0]}.zip", "w") as z:
+                z.writestr("people.csv", "\n".join(["c_name,c_nationkey", *lines]))
                 z.writestr("notes.jsonl", "\n".join(f'{{"name": "{x.split(",")[0]}"}}' for x in lines))
-            return part[["n_regionkey"]].head(1)
+            return part[["chunk"]].head(1)
 
-        t.nation.groupBy("n_regionkey").applyInPandas(pack, "n_regionkey int").collect()
+        chunked = t.customer.select("c_name", "c_nationkey", F.floor(F.col("c_custkey") / 500).alias("chunk"))
+        chunked.groupBy("chunk").applyInPandas(pack, "chunk long").write.format("noop").mode("overwrite").save()
         return R.read_zip_members(t.spark, folder)
 
-    c.add("s16_zip_csv", lambda t: R.zip_table(zipped(t), "nations.csv"), "SELECT n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
-    c.add("s16_zip_jsonl", lambda t: R.zip_table(zipped(t), "notes.jsonl"), "SELECT n_name AS name FROM nation")
+    c.add("s16_zip_csv", lambda t: R.zip_table(zipped(t), "people.csv"), "SELECT c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM customer")
+    c.add("s16_zip_jsonl", lambda t: R.zip_table(zipped(t), "notes.jsonl"), "SELECT c_name AS name FROM customer")
 
     def mixed(t):
         base = place(t)
-        nations(t).coalesce(1).write.option("header", True).csv(f"{base}/a")
-        nations(t).coalesce(1).write.json(f"{base}/b")
-        nations(t).coalesce(1).write.parquet(f"{base}/c")
-        nations(t).coalesce(1).write.option("compression", "gzip").csv(f"{base}/d")
+        t.customer.coalesce(1).write.option("header", True).csv(f"{base}/a")
+        t.customer.coalesce(1).write.json(f"{base}/b")
+        t.customer.coalesce(1).write.parquet(f"{base}/c")
+        t.customer.coalesce(1).write.option("compression", "gzip").csv(f"{base}/d")
         return file_inventory(t.spark, f"{base}/*/part-*")
 
     c.add("s17_file_inventory", lambda t: mixed(t).groupBy("format").agg(F.count(F.lit(1)).alias("files")),
-          "SELECT * FROM (VALUES ('csv', 1), ('json', 1), ('parquet', 1), ('compressed', 1)) v(format, files) WHERE (SELECT count(*) > 0 FROM nation)")
+          "SELECT * FROM (VALUES ('csv', 1), ('json', 1), ('parquet', 1), ('compressed', 1)) v(format, files) WHERE (SELECT count(*) > 0 FROM customer)")
 
     def encodings(t):
         base = place(t)
-        names = t.nation.agg(F.array_join(F.collect_list("n_name"), " é\n").alias("value"))
+        names = t.customer.select(F.concat("c_name", F.lit(" é")).alias("value"))
         names.coalesce(1).write.text(f"{base}/plain")
         names.coalesce(1).write.option("encoding", "UTF-16").csv(f"{base}/wide")
         names.coalesce(1).write.option("encoding", "ISO-8859-1").csv(f"{base}/latin")
         return file_inventory(t.spark, f"{base}/*/part-*").select(F.regexp_extract("path", r"/(plain|wide|latin)/", 1).alias("kind"), "encoding")
 
-    c.add("s18_encoding", encodings, "SELECT * FROM (VALUES ('plain', 'utf-8'), ('wide', 'utf-16-be'), ('latin', 'unknown')) v(kind, encoding) WHERE (SELECT count(*) > 0 FROM nation)")
+    c.add("s18_encoding", encodings, "SELECT * FROM (VALUES ('plain', 'utf-8'), ('wide', 'utf-16-be'), ('latin', 'unknown')) v(kind, encoding) WHERE (SELECT count(*) > 0 FROM customer)")
     c.add("s19_detect_delimiter", lambda t: R.detect_delimiter(t.spark, _csv(t, t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), sep=";")).where("chosen").select("delimiter"), "SELECT ';' AS delimiter WHERE (SELECT count(*) > 0 FROM orders)")
     c.add("s20_structural_issues", lambda t: R.structural_issues(t.part.select("p_partkey", F.lit("").alias("blank"), F.expr("CASE WHEN p_partkey % 20 = 0 THEN p_size END").alias("few"), F.expr("CASE WHEN p_partkey % 3 = 0 THEN concat(p_name, ' Ã') ELSE p_name END").alias("name"))),
           "SELECT 'blank' AS \"column\", 'empty' AS issue, count(*) AS count FROM part UNION ALL SELECT 'few', 'mostly_null', count(*) FILTER (p_partkey % 20 <> 0) FROM part UNION ALL SELECT 'name', 'encoding Ã', count(*) FILTER (p_partkey % 3 = 0) FROM part")

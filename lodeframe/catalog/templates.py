@@ -53,8 +53,8 @@ def register(c: Catalog) -> None:
     c.add("t12_scorecard", lambda t: T.scorecard(t.customer, "c_mktsegment", "c_acctbal"),
           "SELECT c_mktsegment, count(*) AS count, sum(c_acctbal) AS total, avg(c_acctbal) AS average, min(c_acctbal) AS min_val, max(c_acctbal) AS max_val FROM customer GROUP BY 1", {"total": 2, "average": 5})
     c.add("t13_funnel", lambda t: T.funnel(t.events, "event_type", "user_id"), "SELECT event_type, count(DISTINCT user_id) AS unique_users FROM events GROUP BY 1")
-    c.add("t14_did_not", lambda t: T.did_not(t.events, "event_type", "user_id", "purchase", "signup", None),
-          "SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup')")
+    c.add("t14_did_not", lambda t: T.did_not(t.events.withColumn("user_id", F.expr("user_id * 1000 + event_id div 100")), "event_type", "user_id", "purchase", "signup", None),
+          "WITH e AS (SELECT user_id * 1000 + event_id // 100 AS user_id, event_type FROM events) SELECT DISTINCT user_id FROM e WHERE event_type = 'purchase' AND user_id NOT IN (SELECT user_id FROM e WHERE event_type = 'signup')")
     c.add("t15_cohort_retention", lambda t: T.cohort_retention(t.orders, "o_custkey", "o_orderdate"),
           "WITH co AS (SELECT o_custkey AS u, CAST(date_trunc('month', min(o_orderdate)) AS TIMESTAMP) AS cohort_month FROM orders GROUP BY 1), a AS (SELECT DISTINCT o_custkey AS u, date_trunc('month', o_orderdate) AS m FROM orders) "
           "SELECT cohort_month, date_diff('month', cohort_month, m) AS months_since, count(DISTINCT u) AS active_users FROM co JOIN a USING (u) GROUP BY 1, 2")
@@ -82,6 +82,6 @@ def register(c: Catalog) -> None:
     c.add("t22_column_stats", lambda t: T.column_stats(dirty(t), "l_tax"),
           f"SELECT count(*) AS count, count(l_tax) AS non_null, count(*) - count(l_tax) AS null_count, count(DISTINCT l_tax) AS \"unique\", min(l_tax) AS min, max(l_tax) AS max, avg(l_tax) AS mean, median(l_tax) AS median, stddev(l_tax) AS std FROM {DIRTY_SQL}",
           {"mean": 8, "std": 8, "median": 8})
-    c.add("j14_orphans", lambda t: T.orphans(t.customer, t.orders, "c_custkey", "o_custkey", None), "SELECT * FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-    c.add("j15_natural_join", lambda t: T.natural_join(t.nation.withColumnRenamed("n_regionkey", "regionkey"), t.region.withColumnRenamed("r_regionkey", "regionkey"), None),
-          "SELECT n_nationkey, n_name, n_regionkey AS regionkey, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
+    c.add("j14_orphans", lambda t: T.orphans(t.customer, t.orders.where("o_orderstatus = 'P'"), "c_custkey", "o_custkey", None), "SELECT * FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+    c.add("j15_natural_join", lambda t: T.natural_join(t.customer.select(F.col("c_nationkey").alias("nationkey"), "c_name"), t.nation.select(F.col("n_nationkey").alias("nationkey"), "n_name"), None),
+          "SELECT c_nationkey AS nationkey, c_name, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")

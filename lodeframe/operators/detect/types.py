@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeframe.functions import words
-from lodeframe.functions.columns import clean, dtype, facts, is_string, q, rows, scalar_columns
+from lodeframe.functions.columns import dtype, facts, is_string, q, rows, scalar_columns, value_counts
+from lodeframe.functions.dates import parsed_time
 from lodeframe.operators.clean.types import currency_value
 from lodeframe.operators.detect.findings import DEFINITIVE, JUDGMENT, Finding
-from lodeframe.operators.profile.columns import as_times, lowered
+from lodeframe.operators.profile.columns import lowered
 
 SHAPES = {"url": words.URL, "email": words.EMAIL, "ip_address": words.IP, "uuid": words.UUID}
 SECONDS_SINCE, MILLIS_SINCE = (1e9, 2e10), (1e12, 2e13)
@@ -21,25 +22,33 @@ def _texts(df: DataFrame) -> list[str]:
 
 
 def type_shares(df: DataFrame) -> dict[str, dict]:
-    """Per text column the share of values that read as a date, money, a boolean, JSON, a link and so on."""
-    found = {}
-    for c in _texts(df):
-        t, low = F.trim(q(c)), lowered(q(c))
-        number = t.try_cast("double")
-        epoch = ((number > SECONDS_SINCE[0]) & (number < SECONDS_SINCE[1])) | ((number > MILLIS_SINCE[0]) & (number < MILLIS_SINCE[1]))
-        tests = {
-            "date": as_times(df, c).isNotNull() | F.coalesce(epoch, F.lit(False)),
-            "currency": t.rlike(words.CURRENCY) & currency_value(t).isNotNull(),
-            "boolean": low.isin(*words.TRUE_WORDS, *words.FALSE_WORDS),
-            "json": t.rlike(r"^[\[{]") & F.try_parse_json(t).isNotNull(),
-            "pseudo_null": low.isin(*words.PSEUDO_NULLS),
-            "number": number.isNotNull(),
-            "word": number.isNull() & ~low.isin(*words.PSEUDO_NULLS),
-            **{k: t.rlike(p) for k, p in SHAPES.items()},
-        }
-        got = facts(df, {"n": F.count(t), "u": F.approx_count_distinct(low)} | {k: F.count_if(v) for k, v in tests.items()}).asDict()
-        found[c] = got
-    return found
+    """Per text column how many values read as a date, money, a boolean, JSON, a link and so on.
+
+    Values are counted first, so every test runs once per distinct value, and once for all columns together.
+    """
+    cols = _texts(df)
+    if not cols:
+        return {}
+    t = F.trim("value")
+    low, number = lowered(F.col("value")), t.try_cast("double")
+    epoch = ((number > SECONDS_SINCE[0]) & (number < SECONDS_SINCE[1])) | ((number > MILLIS_SINCE[0]) & (number < MILLIS_SINCE[1]))
+    tests = {
+        "n": F.lit(True),
+        "date": parsed_time(t).isNotNull() | F.coalesce(epoch, F.lit(False)),
+        "currency": F.when(t.rlike(words.CURRENCY), currency_value(t).isNotNull()),
+        "boolean": low.isin(*words.TRUE_WORDS, *words.FALSE_WORDS),
+        "json": F.when(t.rlike(r"^[\[{]"), F.try_parse_json(t).isNotNull()),
+        "pseudo_null": low.isin(*words.PSEUDO_NULLS),
+        "number": number.isNotNull(),
+        "word": number.isNull() & ~low.isin(*words.PSEUDO_NULLS),
+        **{k: t.rlike(p) for k, p in SHAPES.items()},
+    }
+    counts = value_counts(df, cols).where("value is not null")
+    got = counts.groupBy("column").agg(
+        *[F.sum(F.when(test, F.col("n")).otherwise(0)).alias(k) for k, test in tests.items()], F.approx_count_distinct(low).alias("u")
+    )
+    found = {r["column"]: r.asDict() for r in got.collect()}
+    return {c: found.get(c, {"n": 0, "pseudo_null": 0, "number": 0, "word": 0}) for c in cols}
 
 
 def _type_of(f: dict) -> tuple[str, float] | None:

@@ -25,8 +25,9 @@ def points(df: DataFrame, key: str, vector: Column, *carry: Column) -> DataFrame
 
 
 def _pivots(donors: DataFrame, count: int) -> np.ndarray:
-    """Some donors picked by hash; a fixed number whatever the table's size."""
-    picked = donors.select("v").distinct().orderBy(F.xxhash64("v")).limit(count).collect()
+    """One donor per hash bucket of the points, so copies of a point count once; a fixed number whatever the table's size."""
+    bucket = F.pmod(F.xxhash64("v"), F.lit(count))
+    picked = donors.groupBy(bucket.alias("b")).agg(F.min_by("v", F.xxhash64("v", F.lit(1))).alias("v")).orderBy("b").collect()
     return np.array([r["v"] for r in picked], dtype=float)
 
 

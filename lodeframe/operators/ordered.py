@@ -23,7 +23,8 @@ SMALL_GROUP = 1_000_000
 
 
 def range_count(df: DataFrame) -> int:
-    return max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    """Twice the shuffle's partitions, so that ranges sharing one partition even out."""
+    return max(4, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def with_ranges(df: DataFrame, order: str, key: str | None = None, ranges: int | None = None) -> DataFrame:

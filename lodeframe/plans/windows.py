@@ -99,7 +99,8 @@ def add_window(df: DataFrame, window: dict, name: str, group_rows: int = GROUP_R
     """The frame with one more column."""
     function = window.get("func", "ROW_NUMBER").upper()
     keys, orders = window.get("partition_by", []), _orders(window)
-    if function in _TOTALS and not orders and not window.get("frame"):
+    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
+    if function in _TOTALS and (frame_bounds(window["frame"])[1:] == whole if window.get("frame") else not orders):
         return _whole_group(df, window, function, keys, name)
     splittable = len(orders) == 1 and (is_numeric(df, orders[0][0]) or is_time(df, orders[0][0]))
     if splittable and _largest_group(df, keys) > group_rows:
@@ -137,6 +138,10 @@ def _distinct_running(df, window, function, keys, name) -> DataFrame:
     """DISTINCT in a growing frame counts a value where it first appears; a sliding frame looks at its own rows."""
     kind, start, end = frame_bounds(window.get("frame") or "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
     column = q(window["column"])
+    if end == Window.unboundedFollowing and start == Window.currentRow:
+        turned = [{"column": c, "direction": "ASC" if desc else "DESC"} for c, desc in _orders(window)]
+        frame = f"{kind} BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+        return _distinct_running(df, {**window, "order_by": turned, "frame": frame}, function, keys, name)
     if start != Window.unboundedPreceding:
         values = F.collect_set(column).over(_framed(_window_spec(window), window))
         if function == "COUNT":
