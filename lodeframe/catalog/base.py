@@ -51,6 +51,3 @@ class Catalog:
                 sql = f"SELECT * REPLACE ({swaps}) FROM ({sql}) AS rounded"
             self.sql[name] = sql
 
-
-def fold(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in cols])

@@ -123,9 +123,16 @@ def _text(c: Catalog) -> None:
           f"round({feature.format(chr(92) + 'p{Lu}')}, 3) AS text_capitalization_ratio, round({feature.format('[0-9]')}, 3) AS text_digit_ratio, "
           + "round(" + feature.format(r"[.,;:!?\-()\[\]{}\"'']") + ", 3) AS text_punctuation_density, "
           "len(regexp_extract_all(text, '[.!?]+')) AS text_sentence_count FROM benchmark")
-    c.add("c29_remove_stopwords", lambda t: text.remove_stopwords(t.conversations.select("conv_id", "turn", "text"), ["text"], "en"))
+    stops = ["the", "and", "of", "in", "der", "die", "de", "la", "le"]
+    listed = ", ".join(f"'{w}'" for w in stops)
+    c.add("c29_remove_stopwords", lambda t: text.remove_stopwords(t.conversations.select("conv_id", "turn", "text"), ["text"], stops=stops),
+          f"SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nd}}_]+'), lambda w: regexp_full_match(w, '\\p{{L}}+') AND w NOT IN ({listed})), ' ') AS text FROM conversations")
     c.add("c29_stemmed", lambda t: text.remove_stopwords(t.conversations.select("conv_id", "turn", "text"), ["text"], "en", True))
-    c.add("c30_tfidf_weights", lambda t: text.tfidf_weights(t.documents.where("lang = 'en'"), "text", "doc_id"))
+    grams = "list_concat(u, list_transform(range(1, len(u)), lambda i: u[i] || ' ' || u[i + 1]))"
+    c.add("c30_tfidf_weights", lambda t: text.tfidf_weights(t.documents, "text", "doc_id", stops=stops),
+          f"WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]{{2,}}'), lambda x: x NOT IN ({listed})) AS u FROM documents), g AS (SELECT doc_id, unnest({grams}) AS term FROM w), n AS (SELECT doc_id, term, count(*) AS n FROM g GROUP BY 1, 2), "
+          "v AS (SELECT term, sum(n) AS tf, count(*) AS df FROM n GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT count(*) FROM documents) ORDER BY tf DESC, term LIMIT 100), x AS (SELECT doc_id, term, n * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1) AS w FROM n JOIN v USING (term)) "
+          "SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM x", {"weight": 8})
     c.add("c30_tfidf", lambda t: text.tfidf(t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text"), "text", "id", 20))
     c.add("c54_casing", lambda t: text.casing(text.casing(t.part.select("p_partkey", "p_name", "p_brand"), ["p_name"], "upper"), ["p_brand"], "lower"),
           "SELECT p_partkey, upper(p_name) AS p_name, lower(p_brand) AS p_brand FROM part")
@@ -185,7 +192,7 @@ def _times(c: Catalog) -> None:
           "SELECT o_orderkey, o_orderdate, " + ", ".join(f"({e})::INT AS o_orderdate_{f}" for f, e in flags.items()) + " FROM orders")
     for unit, div in (("days", 86400), ("hours", 3600), ("minutes", 60)):
         c.add(f"c41_elapsed_{unit}", lambda t, u=unit: times.elapsed(t.events.select("event_id", "ts"), "ts", u),
-              f"SELECT event_id, ts, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / 1e6 / {div} AS ts_elapsed_{unit} FROM events", {f"ts_elapsed_{unit}": 5})
+              f"SELECT event_id, ts, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / 1e6 / {div} AS ts_elapsed_{unit} FROM events")
     c.add("c42_time_delta", lambda t: times.time_delta(t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderdate", "l_shipdate"), "o_orderdate", "l_shipdate", "hours"),
           "SELECT l_orderkey, l_linenumber, o_orderdate, l_shipdate, date_diff('second', o_orderdate, l_shipdate) / 3600.0 AS l_shipdate_minus_o_orderdate_hours FROM lineitem JOIN orders ON l_orderkey = o_orderkey", {"l_shipdate_minus_o_orderdate_hours": 6})
 

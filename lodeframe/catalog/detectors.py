@@ -53,7 +53,7 @@ def _outliers(c: Catalog) -> None:
           f"{d} SELECT key, value, CASE WHEN value < q1 - 3 * (q3 - q1) OR value > q3 + 3 * (q3 - q1) THEN 'iqr_extreme' ELSE 'iqr_mild' END AS method, abs(value - mid) / (q3 - q1) AS score FROM d, s WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)", {"score": 2})
     c.add("d10_zscore", lambda t: O.outliers(x(t), "x", "zscore", "k"), f"{d} SELECT key, value, 'zscore' AS method, (value - m) / sd AS score FROM d, s WHERE abs((value - m) / sd) > 3", {"score": 2})
     c.add("d11_mad", lambda t: O.outliers(x(t), "x", "mad", "k"), f"{d} SELECT key, value, 'modified_zscore' AS method, 0.6745 * (value - mid) / mad AS score FROM d, s, m WHERE abs(0.6745 * (value - mid) / mad) > 3.5", {"score": 2})
-    c.add("d12_envelope", lambda t: O.outliers(t.events, "value", "envelope", "event_id", "ts").drop("score"),
+    c.add("d12_envelope", lambda t: O.outliers(t.events, "value", "envelope", "event_id", "ts", window=500).drop("score"),
           "WITH w AS (SELECT event_id AS key, value, median(value) OVER r AS mid, stddev_samp(value) OVER r AS sd FROM events WINDOW r AS (ORDER BY ts, event_id ROWS BETWEEN 250 PRECEDING AND 249 FOLLOWING)) SELECT key, value, 'envelope' AS method FROM w WHERE value > mid + 2.5 * sd OR value < mid - 2.5 * sd")
     c.add("d13_business_rule", lambda t: O.outliers(t.customer.select("c_custkey", (F.col("c_acctbal")).alias("amount")), "amount", "business_rule", "c_custkey").drop("score"),
           "SELECT c_custkey AS key, c_acctbal AS value, 'business_rule' AS method FROM customer WHERE c_acctbal < 0")

@@ -40,9 +40,10 @@ def _tests(c: Catalog) -> None:
 def _insights(c: Catalog) -> None:
     c.add("i1_quality_score", lambda t: insight.quality_score(t.customer).select("completeness", "uniqueness", "grade"),
           "SELECT 100.0::DOUBLE AS completeness, round(70 + 30 * (100.0 * count(DISTINCT c_custkey) / count(*)) / 100, 2)::DOUBLE AS uniqueness, 'A' AS grade FROM customer")
-    c.add("i2_anomalies", lambda t: insight.anomalies(dirty(t).drop("l_returnflag")))
+    c.add("i2_anomalies", lambda t: insight.anomalies(t.customer.select("c_mktsegment", F.lit(1).alias("one"), F.expr("CASE WHEN c_custkey % 5 < 2 THEN c_acctbal END").alias("half"), F.expr("CASE WHEN c_custkey % 50 = 0 THEN c_nationkey END").alias("few"), F.expr("CASE WHEN c_custkey % 2 = 0 THEN 'Aa' WHEN c_custkey % 3 = 0 THEN 'aa' ELSE 'b' END").alias("mixed"))).select("severity", "category", "column"),
+          "SELECT * FROM (VALUES ('high', 'missingness', 'few'), ('medium', 'missingness', 'half'), ('medium', 'variance', 'one'), ('low', 'formatting', 'mixed')) v(severity, category, \"column\") WHERE (SELECT count(*) > 0 FROM customer)")
     c.add("i3_rank_features", lambda t: insight.rank_features(t.part.select("p_brand", "p_type", "p_size", "p_retailprice"), "p_retailprice"))
-    c.add("i4_hypotheses", lambda t: insight.hypotheses(t.lineitem.select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")))
+    c.add("i4_hypotheses", lambda t: insight.hypotheses(t.lineitem.select("l_quantity", "l_extendedprice", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"), F.pow("l_quantity", 6).alias("power"), "l_returnflag")))
     c.add("i5_period_compare", lambda t: insight.period_compare(t.orders.withColumn("year", F.year("o_orderdate")), "o_orderpriority", "o_totalprice", "year"),
           "SELECT o_orderpriority AS metric, sum(o_totalprice) FILTER (year(o_orderdate) = y - 1) AS previous, sum(o_totalprice) FILTER (year(o_orderdate) = y) AS latest, round(100.0 * (sum(o_totalprice) FILTER (year(o_orderdate) = y) - sum(o_totalprice) FILTER (year(o_orderdate) = y - 1)) / abs(sum(o_totalprice) FILTER (year(o_orderdate) = y - 1)), 2) AS change_pct FROM orders, (SELECT max(year(o_orderdate)) AS y FROM orders) GROUP BY 1", {"previous": 2, "latest": 2})
     c.add("i6_ml_readiness", lambda t: insight.ml_readiness(t.documents.join(t.labels, "doc_id").select("lang", "source", "n_chars", "toxic", "quality")))
@@ -52,7 +53,7 @@ def _insights(c: Catalog) -> None:
           " UNION ALL ".join(f"SELECT '{x}' AS \"column\", count(*) AS rows, 0 AS null_count, count(DISTINCT {x}) AS \"distinct\" FROM orders" for x in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")))
     c.add("f0_profile_frames", lambda t: whole.profile_frames(t.part)[0]["keys"], "SELECT 'p_partkey' AS columns, 1 AS width, 1.0::DOUBLE AS uniqueness WHERE (SELECT count(*) = count(DISTINCT p_partkey) FROM part)")
     c.add("f29_column_quality", lambda t: whole.column_quality(dirty(t).select("l_quantity", "l_tax", "l_linenumber")).drop("issues"),
-          " UNION ALL ".join(f"SELECT '{x}' AS \"column\", 100.0 - CASE WHEN p > 50 THEN 30 WHEN p > 20 THEN 15 WHEN p > 5 THEN 5 ELSE 0 END AS quality_score FROM (SELECT 100.0 * (count(*) - count({x})) / count(*) AS p FROM {DIRTY_SQL})" for x in ("l_quantity", "l_tax", "l_linenumber")))
+          " UNION ALL ".join(f"SELECT '{x}' AS \"column\", 100.0::DOUBLE - CASE WHEN p > 50 THEN 30 WHEN p > 20 THEN 15 WHEN p > 5 THEN 5 ELSE 0 END AS quality_score FROM (SELECT 100.0 * (count(*) - count({x})) / count(*) AS p FROM {DIRTY_SQL})" for x in ("l_quantity", "l_tax", "l_linenumber")))
     c.add("f30_explain_column", lambda t: whole.explain_column(t.lineitem.select("l_quantity", "l_extendedprice", "l_tax"), "l_extendedprice").where("fact in ('mean', 'median', 'std', 'skewness', 'kurtosis', 'unique')").drop("text"),
           " UNION ALL ".join(f"SELECT '{k}' AS fact, round(CAST({e} AS DOUBLE), 4) AS value FROM lineitem" for k, e in (("mean", "avg(l_extendedprice)"), ("median", "median(l_extendedprice)"), ("std", "stddev_samp(l_extendedprice)"), ("skewness", "skewness(l_extendedprice)"), ("kurtosis", "kurtosis(l_extendedprice)"), ("unique", "count(DISTINCT l_extendedprice)"))), {"value": 3})
 

@@ -61,7 +61,7 @@ def _columns(c: Catalog) -> None:
     c.add("f2_type_consistency", lambda t: C.type_consistency(t.orders.select("o_orderkey", F.expr(mixed.format("cast(o_custkey AS string)")).alias("m"), "o_orderstatus")),
           "SELECT 'o_orderkey' AS \"column\", 'bigint' AS kind, 100.0::DOUBLE AS consistency_pct UNION ALL SELECT 'm', 'integer', 100.0 * count(*) FILTER (o_orderkey % 10 <> 0) / count(*) FROM orders UNION ALL SELECT 'o_orderstatus', 'text', 100.0", {"consistency_pct": 6})
     c.add("f3_semantic_types", lambda t: S.semantic_types(t.orders),
-          "SELECT * FROM (VALUES ('o_orderkey', 'id_key', 0.85), ('o_custkey', 'numeric_discrete', 0.75), ('o_orderstatus', 'categorical_nominal', 0.4), ('o_totalprice', 'numeric_continuous', 0.8), ('o_orderdate', 'datetime', 0.95), ('o_orderpriority', 'categorical_nominal', 0.4)) v(\"column\", semantic_type, confidence)")
+          "SELECT \"column\", semantic_type, confidence::DOUBLE AS confidence FROM (VALUES ('o_orderkey', 'id_key', 0.85), ('o_custkey', 'numeric_discrete', 0.75), ('o_orderstatus', 'categorical_nominal', 0.4), ('o_totalprice', 'numeric_continuous', 0.8), ('o_orderdate', 'datetime', 0.95), ('o_orderpriority', 'categorical_nominal', 0.4)) v(\"column\", semantic_type, confidence)")
     c.add("f3_semantic_types_text", lambda t: S.semantic_types(t.pages.join(t.documents, F.col("page_id") == F.col("doc_id")).select("url", "text", F.concat("lang", F.lit("@x.org")).alias("contact"), F.concat(F.lit("$"), "n_chars").alias("cost"), F.expr("case when doc_id % 2 = 0 then 'Yes' else 'no' end").alias("ok"))))
     cols = ("l_returnflag", "l_linestatus", "l_linenumber")
     part = ("SELECT '{0}' AS \"column\", count(*) - count({0}) AS null_count, count({0}) AS non_null, count(DISTINCT {0}) AS \"distinct\", (SELECT v FROM (SELECT CAST({0} AS VARCHAR) AS v, count(*) AS n FROM lineitem GROUP BY 1) ORDER BY n DESC, v LIMIT 1) AS most_frequent, "
@@ -82,7 +82,7 @@ def _columns(c: Catalog) -> None:
           "UNION ALL SELECT 'o', 3, 'low', 0, 0, 0, 0, 0, ['low', 'medium', 'high']")
     c.add("f12_datetime_profile", lambda t: C.datetime_profile(t.orders, "o_orderdate", NOW),
           "WITH s AS (SELECT o_orderdate AS v FROM orders), g AS (SELECT epoch(v) - epoch(lag(v) OVER (ORDER BY v)) AS gap FROM s), f AS (SELECT count(*) AS n, epoch(min(v)) AS lo, epoch(max(v)) AS hi, count(*) FILTER (v > TIMESTAMP '2000-01-01') AS future FROM s), "
-          "m AS (SELECT count(*) AS k FROM s GROUP BY month(v)) SELECT 'o_orderdate' AS \"column\", n, lo AS earliest, hi AS latest, (hi - lo) / 86400 AS span_days, n / ((hi - lo) / 86400) AS density, (SELECT median(gap) FROM g) AS median_step, 'irregular' AS frequency, "
+          "m AS (SELECT count(*) AS k FROM s GROUP BY month(v)) SELECT 'o_orderdate' AS \"column\", n, lo AS earliest, hi AS latest, (hi - lo) / 86400 AS span_days, n / ((hi - lo) / 86400) AS density, (SELECT median(gap) FROM g) AS median_step, (SELECT CASE WHEN median(gap) < 5400 AND avg((abs(gap - 3600) < 1080)::INT) > 0.2 THEN 'hourly' WHEN median(gap) < 129600 AND avg((abs(gap - 86400) < 25920)::INT) > 0.2 THEN 'daily' WHEN median(gap) < 907200 AND avg((abs(gap - 604800) < 181440)::INT) > 0.2 THEN 'weekly' ELSE 'irregular' END FROM g) AS frequency, "
           "(SELECT count(*) FROM g WHERE gap > 3 * (SELECT median(gap) FROM g)) AS gaps, future, 0 AS implausible, (SELECT sum((k - n / 12) ** 2 / (n / 12)) FROM m) AS month_chi2, (SELECT sum((k - n / 12) ** 2 / (n / 12)) FROM m) > 21 AS seasonal FROM f", {"density": 6, "month_chi2": 6})
     c.add("f12_gaps", lambda t: C.datetime_gaps(t.events, "ts").select(F.col("start").alias("a"), F.col("end").alias("b")),
           "WITH g AS (SELECT epoch_us(lag(ts) OVER (ORDER BY ts)) / 1e6 AS a, epoch_us(ts) / 1e6 AS b FROM events) SELECT a, b FROM g WHERE b - a > 3 * (SELECT median(b - a) FROM g)")
@@ -108,7 +108,7 @@ def _columns(c: Catalog) -> None:
     c.add("f28_bounding_box", lambda t: S.bounding_box(t.customer.select((F.col("c_acctbal") / 120).alias("lat"), (F.col("c_custkey") / 20 - 30).alias("lon"))),
           "SELECT min(c_acctbal / 120) AS min_lat, max(c_acctbal / 120) AS max_lat, min(c_custkey / 20 - 30) AS min_lon, max(c_custkey / 20 - 30) AS max_lon FROM customer", {k: 8 for k in ("min_lat", "max_lat", "min_lon", "max_lon")})
     c.add("f31_column_tags", lambda t: S.column_tags(t.orders),
-          "SELECT * FROM (VALUES ('o_orderkey', 'bigint', 'id', 0.9), ('o_custkey', 'bigint', 'id', 0.9), ('o_orderstatus', 'string', 'categorical', 0.85), ('o_totalprice', 'double', 'feature', 0.8), ('o_orderdate', 'timestamp_ntz', 'datetime', 0.9), ('o_orderpriority', 'string', 'categorical', 0.85)) v(\"column\", dtype, tag, confidence)")
+          "SELECT \"column\", dtype, tag, confidence::DOUBLE AS confidence FROM (VALUES ('o_orderkey', 'bigint', 'id', 0.9), ('o_custkey', 'bigint', 'id', 0.9), ('o_orderstatus', 'string', 'categorical', 0.85), ('o_totalprice', 'double', 'feature', 0.8), ('o_orderdate', 'timestamp_ntz', 'datetime', 0.9), ('o_orderpriority', 'string', 'categorical', 0.85)) v(\"column\", dtype, tag, confidence)")
 
 
 def _relations(c: Catalog) -> None:

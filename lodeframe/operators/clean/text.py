@@ -104,9 +104,9 @@ def stop_words(language: str = "en") -> list[str]:
     return StopWordsRemover.loadDefaultStopWords(LANGUAGES.get(language, "english"))
 
 
-def remove_stopwords(df: DataFrame, cols: list[str], language: str = "en", stemming: bool = False) -> DataFrame:
+def remove_stopwords(df: DataFrame, cols: list[str], language: str = "en", stemming: bool = False, stops: list[str] | None = None) -> DataFrame:
     """Words of letters only, lower-cased, without stop words; optionally reduced to Porter stems."""
-    stops = [w for w in stop_words(language) if w.isalpha()]
+    stops = [w for w in (stop_words(language) if stops is None else stops) if w.isalpha()]
 
     def kept(c: Column) -> Column:
         found = F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{Nd}_]+)"), 1)
@@ -132,13 +132,14 @@ def _terms(df: DataFrame, c: Column, key: str, ngram_range: tuple[int, int], sto
 
 
 def tfidf_weights(
-    df: DataFrame, c: str, key: str, max_features: int = 100, ngram_range: tuple[int, int] = (1, 2), min_df: int = 2, max_df: float = 0.95
+    df: DataFrame, c: str, key: str, max_features: int = 100, ngram_range: tuple[int, int] = (1, 2), min_df: int = 2, max_df: float = 0.95,
+    stops: list[str] | None = None,
 ) -> DataFrame:
     """(key, term, weight): smooth idf, each text's weights scaled to length one.
 
     The vocabulary is fitted from two counts per term; only its terms are then counted per text.
     """
-    stops = stop_words("en")
+    stops = stop_words("en") if stops is None else stops
     docs = _terms(df, F.coalesce(q(c).cast("string"), F.lit("")), key, ngram_range, stops)
     total = df.count()
     uses = F.transform("terms", lambda w: F.struct(w.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
