@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from lodeframe.functions.columns import clean, dtype, facts, is_numeric, is_string, q, rows, scalar_columns
 
 HUGE_PRODUCT = 10_000_000
+# A sketch is off by a twentieth; four times that is left before a column is ruled out.
+SKETCHED = 0.8
 MANY_TO_MANY = "Many-to-many join may multiply rows; remove duplicates first."
 LARGE_PRODUCT = "Large product of distinct keys; the join may be slow."
 
@@ -122,11 +124,11 @@ def primary_keys(df: DataFrame, pairs: bool = True) -> DataFrame:
     first = facts(
         df,
         {"_n": F.count(F.lit(1))}
-        | {f"u{i}": F.approx_count_distinct(q(c), 0.02) for i, c in enumerate(cols)}
+        | {f"u{i}": F.approx_count_distinct(q(c)) for i, c in enumerate(cols)}
         | {f"k{i}": F.count(q(c)) for i, c in enumerate(cols)},
     )
     n = first["_n"]
-    likely = [c for i, c in enumerate(cols) if n and first[f"k{i}"] == n and first[f"u{i}"] >= 0.9 * n]
+    likely = [c for i, c in enumerate(cols) if n and first[f"k{i}"] == n and first[f"u{i}"] >= SKETCHED * n]
     exact = {c: df.select(F.count_distinct(q(c))).first()[0] for c in likely}
     tiny = n < FEW_ROWS
     found = [
@@ -137,12 +139,12 @@ def primary_keys(df: DataFrame, pairs: bool = True) -> DataFrame:
     if pairs and n >= 20 and not found:
         size = {c: first[f"u{i}"] for i, c in enumerate(cols)}
         whole = [c for i, c in enumerate(cols) if first[f"k{i}"] == n and first[f"u{i}"] > 1]
-        candidates = [(a, b) for a, b in combinations(whole, 2) if size[a] * size[b] >= 0.9 * n]
+        candidates = [(a, b) for a, b in combinations(whole, 2) if size[a] * size[b] >= SKETCHED * n]
         sketched = facts(
-            df, {f"p{i}": F.approx_count_distinct(F.struct(q(a), q(b)), 0.02) for i, (a, b) in enumerate(candidates)}
+            df, {f"p{i}": F.approx_count_distinct(F.struct(q(a), q(b))) for i, (a, b) in enumerate(candidates)}
         )
         for i, (a, b) in enumerate(candidates):
-            if sketched[f"p{i}"] >= 0.9 * n and df.select(F.count_distinct(q(a), q(b))).first()[0] == n:
+            if sketched[f"p{i}"] >= SKETCHED * n and df.select(F.count_distinct(q(a), q(b))).first()[0] == n:
                 found.append((f"{a}, {b}", 2, 1.0))
     return rows(df.sparkSession, found, "columns string, width int, uniqueness double")
 
@@ -169,14 +171,14 @@ def id_columns(df: DataFrame) -> DataFrame:
     whole = [c for c in cols if isinstance(dtype(df, c), T.IntegralType)]
     aggregates = {"_n": F.count(F.lit(1))}
     for i, c in enumerate(cols):
-        aggregates[f"u{i}"] = F.approx_count_distinct(q(c), 0.02)
+        aggregates[f"u{i}"] = F.approx_count_distinct(q(c))
         aggregates[f"k{i}"] = F.count(clean(df, c))
     got = facts(df, aggregates)
     n, found = got["_n"], []
     for i, c in enumerate(cols):
         name = c.lower()
         named = name in ID_NAMES or any(p in name for p in ID_PARTS)
-        if not n or not (named or got[f"u{i}"] > 0.85 * n):
+        if not n or not (named or got[f"u{i}"] > SKETCHED * n):
             continue
         distinct = df.select(F.count_distinct(clean(df, c))).first()[0]
         unique = distinct / n > 0.95

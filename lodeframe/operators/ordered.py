@@ -194,10 +194,8 @@ def values_at(df: DataFrame, value: str, ranks: list[int]) -> dict[int, float]:
     splits = [-math.inf, *[float(r) for r in wanted], math.inf]
     for side in ("first", "last"):
         running = Bucketizer(splits=splits, inputCol=side, outputCol=f"{side}_at").transform(running)
-    below, upto = F.col("first_at").cast("int"), F.col("last_at").cast("int")
-    listed = F.array(*[F.lit(r).cast("long") for r in wanted])
-    hits = running.where(upto > below).select("v", F.explode(F.slice(listed, below + 1, upto - below)).alias("rank"))
-    return {r["rank"]: r["v"] for r in hits.collect()}
+    hits = running.where("last_at > first_at").select("v", F.col("first_at").cast("int").alias("a"), F.col("last_at").cast("int").alias("b"))
+    return {rank: r["v"] for r in hits.collect() for rank in wanted[r["a"] : r["b"]]}
 
 
 def many_quantiles(df: DataFrame, value: str, probs: list[float]) -> list[float]:

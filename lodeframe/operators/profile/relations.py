@@ -160,7 +160,7 @@ def point_biserial(df: DataFrame, number: str, two: str) -> DataFrame:
 
 def levels_of(df: DataFrame, cols: list[str], bins: int = MI_BINS) -> DataFrame:
     """Every column as a level: numbers with many values by quantile bins (nulls by the median), others as they are."""
-    distinct = facts(df, {f"u{i}": F.approx_count_distinct(clean(df, c), 0.01) for i, c in enumerate(cols)})
+    distinct = facts(df, {f"u{i}": F.approx_count_distinct(clean(df, c)) for i, c in enumerate(cols)})
     binned = [c for i, c in enumerate(cols) if is_numeric(df, c) and distinct[f"u{i}"] > 2 * bins]
     cuts = quantiles(df, binned, [i / bins for i in range(1, bins)]) if binned else {}
     out = []
@@ -170,7 +170,7 @@ def levels_of(df: DataFrame, cols: list[str], bins: int = MI_BINS) -> DataFrame:
             level = F.lit(0)
             for cut_at in sorted(set(cuts[c])):
                 level = level + (x >= F.lit(cut_at)).cast("int")
-            out.append(level.cast("string").alias(c))
+            out.append(level.alias(c))
         else:
             out.append(F.coalesce(clean(df, c).cast("string"), F.lit("(null)")).alias(c))
     return df.select(*out)
@@ -179,13 +179,15 @@ def levels_of(df: DataFrame, cols: list[str], bins: int = MI_BINS) -> DataFrame:
 def mutual_information_values(df: DataFrame, cols: list[str], bins: int = MI_BINS) -> dict[tuple[str, str], float]:
     """Plug-in estimate in nats for every pair, from the entropies of counted levels in one shuffle."""
     table = levels_of(df, cols, bins)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), q(cols[i]).alias("x"), q(cols[j]).alias("y")) for i, j in pairs])
-    counts = table.select(F.explode(cells).alias("c")).groupBy("c.i", "c.j", "c.x", "c.y").agg(F.count(F.lit(1)).alias("n"))
-    per = counts.groupBy("i", "j").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.ln("n")).alias("s")).collect()
-    entropy = {(r["i"], r["j"]): math.log(r["t"]) - r["s"] / r["t"] for r in per}
+    pairs = list(combinations(range(len(cols)), 2))
+    sets = [[q(cols[i]), q(cols[j])] for i, j in pairs] + [[q(c)] for c in cols]
+    counts = table.groupingSets(sets, *[q(c) for c in cols]).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
+    per = counts.groupBy("g").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.ln("n")).alias("s")).collect()
+    entropy = {r["g"]: math.log(r["t"]) - r["s"] / r["t"] for r in per}
+    everything = (1 << len(cols)) - 1
+    at = lambda *kept: everything - sum(1 << (len(cols) - 1 - i) for i in kept)
     return {
-        (cols[i], cols[j]): max(0.0, entropy[(i, i)] + entropy[(j, j)] - entropy[(i, j)]) for i, j in pairs if i < j and (i, j) in entropy
+        (cols[i], cols[j]): max(0.0, entropy[at(i)] + entropy[at(j)] - entropy[at(i, j)]) for i, j in pairs if at(i, j) in entropy
     }
 
 

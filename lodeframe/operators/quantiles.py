@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,81 +22,120 @@ SMALL = 20_000
 
 @dataclass(frozen=True)
 class _Bracket:
-    """Values strictly between lo and hi (None: open end), `inside` of them."""
+    """Values of column x<i> strictly between lo and hi (None: open end); `below` of all values are smaller."""
 
-    column: str
+    i: int
     lo: float | None
     hi: float | None
+    below: int
     inside: int
 
-    def condition(self) -> Column:
-        c = q(self.column)
-        cond = c.isNotNull()
+    def values(self) -> Column:
+        c = F.col(f"x{self.i}")
+        cond = F.lit(True)
         if self.lo is not None:
             cond = cond & (c > F.lit(self.lo))
         if self.hi is not None:
             cond = cond & (c < F.lit(self.hi))
-        return cond
+        return F.when(cond, c)
+
+    def ends(self) -> tuple[float, float]:
+        """The same values as a half-open interval."""
+        return -math.inf if self.lo is None else math.nextafter(self.lo, math.inf), math.inf if self.hi is None else self.hi
+
+
+def _in_buckets(table: DataFrame, bounds: dict[int, list[float]]) -> DataFrame:
+    """(column, b, v): the bucket of every value among its column's bounds, found by binary search."""
+    for i, inner in bounds.items():
+        if not inner:
+            table = table.withColumn(f"b{i}", F.lit(0))
+            continue
+        bucketizer = Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol=f"x{i}", outputCol=f"b{i}", handleInvalid="keep")
+        table = bucketizer.transform(table)
+    cells = [F.when(F.col(f"x{i}").isNotNull(), F.struct(F.col(f"b{i}").cast("int").alias("b"), F.col(f"x{i}").alias("v"))).alias(f"c{i}") for i in bounds]
+    long = table.select(*cells).unpivot([], [f"c{i}" for i in bounds], "column", "cell").where("cell is not null")
+    return long.select("column", "cell.b", "cell.v")
+
+
+def _edges(values: set[float]) -> list[float]:
+    return sorted(v for v in values if math.isfinite(v))
+
+
+def _from_small(table: DataFrame, small: dict[_Bracket, list[int]]) -> dict[tuple[int, int], float]:
+    """Values at absolute ranks inside brackets of few values: each bracket is one sorted list of bounded length."""
+    bounds = {}
+    for i in {b.i for b in small}:
+        bounds[i] = _edges({e for b in small if b.i == i for e in b.ends()})
+    wanted, order = F.lit(None).cast("array<int>"), {}
+    for b, ranks in small.items():
+        place = bounds[b.i].index(b.ends()[0]) + 1 if b.lo is not None else 0
+        order[(f"c{b.i}", place)] = (b.i, ranks)
+        inner = F.array(*[F.lit(r - b.below) for r in ranks])
+        wanted = F.when((F.col("column") == f"c{b.i}") & (F.col("b") == place), inner).otherwise(wanted)
+    listed = _in_buckets(table, bounds).withColumn("w", wanted).where("w is not null")
+    picked = listed.groupBy("column", "b").agg(F.sort_array(F.collect_list("v")).alias("l"), F.first("w").alias("w"))
+    found = {}
+    for r in picked.select("column", "b", F.transform("w", lambda k: F.get("l", k)).alias("p")).collect():
+        i, ranks = order[(r["column"], r["b"])]
+        found |= {(i, rank): v for rank, v in zip(ranks, r["p"])}
+    return found
 
-    def values(self) -> Column:
-        return F.when(self.condition(), q(self.column))
+
+def _narrow(table: DataFrame, large: dict[_Bracket, list[int]]) -> tuple[dict, dict]:
+    """(found, brackets of the other ranks): pivots from one sketch per bracket, then one count per bucket between them."""
+    aggregates, brackets = {}, list(large)
+    for k, b in enumerate(brackets):
+        shares = {(r - b.below) / (b.inside - 1) for r in large[b]}
+        probs = sorted({max(0.0, p - 2.0 / SKETCH) for p in shares} | {min(1.0, p + 2.0 / SKETCH) for p in shares})
+        aggregates[f"p{k}"] = F.percentile_approx(b.values(), probs, SKETCH)
+    got = facts(table, aggregates)
+    pivots: dict[int, set[float]] = {}
+    for k, b in enumerate(brackets):
+        pivots.setdefault(b.i, set()).update(got[f"p{k}"])
+    bounds = {i: _edges(p | {math.nextafter(v, math.inf) for v in p}) for i, p in pivots.items()}
+    sizes = {(r["column"], r["b"]): r["n"] for r in _in_buckets(table, bounds).groupBy("column", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found, left = {}, {}
+    for i, inner in bounds.items():
+        counts = [sizes.get((f"c{i}", k), 0) for k in range(len(inner) + 1)]
+        before = [sum(counts[: k + 1]) for k in range(len(inner))]
+        marks = [(v, before[inner.index(v)], counts[inner.index(v) + 1]) for v in sorted(pivots[i])]
+        for b in [b for b in brackets if b.i == i]:
+            for rank in large[b]:
+                lo, hi, below, end = b.lo, b.hi, b.below, b.below + b.inside
+                for v, smaller, equal in marks:
+                    if smaller <= rank < smaller + equal:
+                        found[(i, rank)] = v
+                        break
+                    if rank < smaller:
+                        if hi is None or v < hi:
+                            hi, end = v, smaller
+                        break
+                    if lo is None or v > lo:
+                        lo, below = v, smaller + equal
+                if (i, rank) not in found:
+                    left[(i, rank)] = _Bracket(i, lo, hi, below, end - below)
+    return found, left
 
 
 def order_statistics(df: DataFrame, wanted: dict[str, dict[int, None]], counts: dict[str, int]) -> dict:
-    """{(column, zero-based rank): value} for double columns."""
-    found: dict[tuple[str, int], float] = {}
-    open_ranks = {}
-    for c, ranks in wanted.items():
-        for r in ranks:
-            open_ranks[(c, r)] = (_Bracket(c, None, None, counts[c]), r)
+    """{(column, zero-based rank): value} for double columns without NaN."""
+    names = list(wanted)
+    table = df.select(*[q(c).alias(f"x{i}") for i, c in enumerate(names)])
+    open_ranks = {(i, r): _Bracket(i, None, None, 0, counts[c]) for i, c in enumerate(names) for r in wanted[c]}
+    found: dict[tuple[int, int], float] = {}
     while open_ranks:
-        by_bracket: dict[_Bracket, list] = {}
-        for target, (b, inner) in open_ranks.items():
-            by_bracket.setdefault(b, []).append((target, inner))
-        small = {b: t for b, t in by_bracket.items() if b.inside <= SMALL}
-        large = {b: t for b, t in by_bracket.items() if b.inside > SMALL}
-        aggregates, picks = {}, {}
-        for i, (b, targets) in enumerate(small.items()):
-            ordered = F.sort_array(F.collect_list(b.values()))
-            aggregates[f"s{i}"] = F.array(*[F.get(ordered, F.lit(inner)) for _, inner in targets])
-            picks[f"s{i}"] = targets
-        pivots_of = {}
-        for i, (b, targets) in enumerate(large.items()):
-            probs = set()
-            for _, inner in targets:
-                p = inner / (b.inside - 1)
-                probs |= {max(0.0, p - 2.0 / SKETCH), min(1.0, p + 2.0 / SKETCH)}
-            aggregates[f"p{i}"] = F.percentile_approx(b.values(), sorted(probs), SKETCH)
-            pivots_of[f"p{i}"] = (b, targets)
-        got = facts(df, aggregates)
+        by_bracket: dict[_Bracket, list[int]] = {}
+        for (_, r), b in open_ranks.items():
+            by_bracket.setdefault(b, []).append(r)
+        small = {b: r for b, r in by_bracket.items() if b.inside <= SMALL}
+        large = {b: r for b, r in by_bracket.items() if b.inside > SMALL}
+        if small:
+            found |= _from_small(table, small)
         open_ranks = {}
-        for name, targets in picks.items():
-            for (target, _), v in zip(targets, got[name]):
-                found[target] = v
-        if not pivots_of:
-            break
-        counting = {}
-        for name, (b, _) in pivots_of.items():
-            for j, pivot in enumerate(sorted(set(got[name]))):
-                counting[f"{name}_{j}_lt"] = F.count_if(b.condition() & (q(b.column) < F.lit(pivot)))
-                counting[f"{name}_{j}_eq"] = F.count_if(q(b.column) == F.lit(pivot))
-        tally = facts(df, counting)
-        for name, (b, targets) in pivots_of.items():
-            pivots = sorted(set(got[name]))
-            for target, inner in targets:
-                lo, hi, below, inside_end = b.lo, b.hi, 0, b.inside
-                for j, pivot in enumerate(pivots):
-                    lt, eq = tally[f"{name}_{j}_lt"], tally[f"{name}_{j}_eq"]
-                    if lt <= inner < lt + eq:
-                        found[target] = pivot
-                        break
-                    if inner < lt:
-                        hi, inside_end = pivot, lt
-                        break
-                    lo, below = pivot, lt + eq
-                if target not in found:
-                    open_ranks[target] = (_Bracket(b.column, lo, hi, inside_end - below), inner - below)
-    return found
+        if large:
+            exact, open_ranks = _narrow(table, large)
+            found |= exact
+    return {(names[i], r): v for (i, r), v in found.items()}
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
