@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodeframe.llm import suffix_quality
+from lodeframe.llm import gru_toxicity, suffix_quality
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +15,16 @@ def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat")
 
 
+def op10_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = gru_toxicity.fit(docs, labels.where(~held_out))
+    scored = gru_toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_suffix_repetition,)}
+    return {q.__name__: q for q in (op1_suffix_repetition, op10_gru_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
