@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm import bbit_minhash, gru_toxicity, suffix_quality
+from lodeframe.llm import backoff_lm, bbit_minhash, gru_toxicity, suffix_quality
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,12 @@ def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat")
 
 
+def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    scored = backoff_lm.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), ~F.coalesce(held_out, F.lit(False)))
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbit_minhash.groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), threshold=Fraction(85, 100))
 
@@ -29,7 +35,7 @@ def op10_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_suffix_repetition, op5_bbit_minhash, op10_gru_toxicity)}
+    return {q.__name__: q for q in (op1_suffix_repetition, op3_backoff_automaton, op5_bbit_minhash, op10_gru_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
