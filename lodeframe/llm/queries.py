@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm import backoff_lm, bbit_minhash, gru_toxicity, suffix_quality
+from lodeframe.llm import backoff_lm, bbit_minhash, concat_pack, gru_toxicity, suffix_quality, tree_bpe
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +22,28 @@ def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def bpe_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = bpe_file()
+    ids = tree_bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
+    digests = ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    texts = tree_bpe.decode(digests, path, ("doc_id", "n_tokens", "ids_sha256"))
+    return texts.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op5_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbit_minhash.groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), threshold=Fraction(85, 100))
 
 
+def op6_concat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concat_pack.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), bpe_file(), with_ids=False)
+
+
 def op10_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -35,7 +53,7 @@ def op10_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_suffix_repetition, op3_backoff_automaton, op5_bbit_minhash, op10_gru_toxicity)}
+    return {q.__name__: q for q in (op1_suffix_repetition, op3_backoff_automaton, op4_tree_bpe, op5_bbit_minhash, op6_concat_pack, op10_gru_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
