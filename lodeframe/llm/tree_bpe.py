@@ -103,13 +103,16 @@ class Model:
             if part in self.special:
                 yield part, False
                 continue
-            done = 0
+            done = before = 0
             for m in self.pattern.finditer(part):
                 if m.end() - m.start() > leaf // 4 and len(m[0].encode()) > leaf:
-                    if m.start() > done:
-                        yield part[done : m.start()], False
+                    # White space in front of it would join the white space before that, were it the end of a text.
+                    for x in (part[done:before], part[before : m.start()]) if before > done else (part[done : m.start()],):
+                        if x:
+                            yield x, False
                     yield m[0], True
                     done = m.end()
+                before = m.start()
             if done < len(part):
                 yield part[done:], False
 
