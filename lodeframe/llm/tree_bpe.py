@@ -65,6 +65,7 @@ class Model:
         self.places = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(pieces.get(i, b"") for i in range(self.top)), np.uint8)
         self.pattern = regex.compile(PATTERN.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
+        self.white = regex.compile(f"[{WHITE}]+")
         self.cut = regex.compile("|".join(f"({regex.escape(s)})" for s in self.special)) if self.special else None
 
     def plain(self, text: str) -> np.ndarray:
@@ -107,7 +108,7 @@ class Model:
             for m in self.pattern.finditer(part):
                 if m.end() - m.start() > leaf // 4 and len(m[0].encode()) > leaf:
                     # White space in front of it would join the white space before that, were it the end of a text.
-                    for x in (part[done:before], part[before : m.start()]) if before > done else (part[done : m.start()],):
+                    for x in (part[done:before], part[before : m.start()]) if before > done and self.white.fullmatch(part, before, m.start()) else (part[done : m.start()],):
                         if x:
                             yield x, False
                     yield m[0], True
