@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm import backoff_lm, bbit_minhash, concat_pack, gru_toxicity, suffix_quality, tree_bpe
+from lodeframe.llm import backoff_lm, bbit_minhash, concat_pack, gru_toxicity, simhash, suffix_quality, tree_bpe
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,15 @@ def op6_concat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concat_pack.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), bpe_file(), with_ids=False)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides the digests: for each id divisible by 50, how many other documents have a fingerprint within the radius."""
+    found = simhash.with_successors(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    asked = found.where("doc_id % 50 = 0")
+    near = simhash.neighbours(found.select("high", "low"), asked)
+    counted = asked.join(near, ["high", "low"], "left").withColumn("n_near", F.col("n_near") - 1).unionByName(found.where("not coalesce(doc_id % 50 = 0, false)"), allowMissingColumns=True)
+    return counted.select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"), simhash.text_form(F.col("high"), F.col("low")).alias("fingerprint"), simhash.text_form(F.col("edited_high"), F.col("edited_low")).alias("edited_fingerprint"), "near_edited", "near_next", "n_near")
+
+
 def op10_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -53,7 +62,7 @@ def op10_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_suffix_repetition, op3_backoff_automaton, op4_tree_bpe, op5_bbit_minhash, op6_concat_pack, op10_gru_toxicity)}
+    return {q.__name__: q for q in (op1_suffix_repetition, op3_backoff_automaton, op4_tree_bpe, op5_bbit_minhash, op6_concat_pack, op8_simhash, op10_gru_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
