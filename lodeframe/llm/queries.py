@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm import backoff_lm, bbit_minhash, concat_pack, gru_toxicity, simhash, suffix_quality, tree_bpe
+from lodeframe.llm import backoff_lm, bbit_minhash, concat_pack, gru_toxicity, secret_owners, simhash, suffix_quality, tree_bpe
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,15 @@ def op6_concat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concat_pack.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), bpe_file(), with_ids=False)
 
 
+def op7_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source is its owner, its source and language the repository."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = secret_owners.scan(docs, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+    count = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long")
+    loose = F.filter("live", lambda s: s.kind == 3)
+    return found.select("doc_id", *(count(k).alias(f"n_{secret_owners.KINDS[k]}") for k in range(3)), F.sha2(secret_owners.text_of(F.col("base")), 256).alias("base_sha256"), secret_owners.text_of(F.array_sort(F.concat("base", loose))).alias("spans"), F.size("live").cast("long").alias("n_live"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Besides the digests: for each id divisible by 50, how many other documents have a fingerprint within the radius."""
     found = simhash.with_successors(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -62,7 +71,7 @@ def op10_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_suffix_repetition, op3_backoff_automaton, op4_tree_bpe, op5_bbit_minhash, op6_concat_pack, op8_simhash, op10_gru_toxicity)}
+    return {q.__name__: q for q in (op1_suffix_repetition, op3_backoff_automaton, op4_tree_bpe, op5_bbit_minhash, op6_concat_pack, op7_secret_owners, op8_simhash, op10_gru_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
