@@ -2,12 +2,15 @@
 
 1. Every text becomes its set of distinct word shingles. Texts with equal sets are one node (a 128-bit sum over the set), so exact copies
    never meet as pairs.
-2. A node keeps minima over `rows * bands` hash functions: a key for each band of `rows` minima, and the low `BITS` bits of every minimum
-   packed together. The number of bands follows from the threshold, so that a pair at the threshold shares none with a chance of `MISS`.
-3. Nodes that share a band key are candidates. Two rounds test each node against one hub of its buckets; links merge components. Last, all
-   pairs of a bucket that still lie in different components are tested, block against block where a bucket is large.
-4. A pair is dropped early only if its similarity, estimated from the bit counts and corrected for chance collisions, lies `SIGMAS` standard
-   deviations under the threshold. What is left is decided on the full sets: |A and B| >= threshold * |A or B|.
+2. Minima over `rows * bands` hash functions give a key for each band of `rows` minima. The number of bands follows from the threshold, so
+   that a pair at the threshold shares none with a chance of `MISS`. Nodes that share a band key are candidates; they keep their set, and the
+   low `BITS` bits of `MINIMA` minima, packed.
+3. Two rounds measure each candidate against one hub of its buckets, on the full sets; links merge components. Then all pairs of a bucket
+   that still lie in different components are compared, block against block where a bucket is large, each pair in its first common band.
+   Two bounds drop pairs there: the Jaccard distance is a metric, so distances to a common hub that differ by more than 1 - threshold
+   exclude a link; and the similarity estimated from the bit counts, corrected for chance collisions, may not lie `SIGMAS` standard
+   deviations under the threshold.
+4. What is left is decided on the full sets: |A and B| >= threshold * |A or B|.
 5. Components are found by passing on least labels and jumping pointers, all as joins.
 
 Texts without words have empty sets and link with nothing. Rows with a null id take no part: their component is null and they stay. Rows
@@ -30,7 +33,8 @@ from lodeframe.llm.texts import Block, chain, keys_of, mix, per_text
 from lodeframe.session import cut
 
 WORDS, THRESHOLD = 5, Fraction(8, 10)
-ROWS, BITS, MISS, SIGMAS = 4, 4, 1e-6, 5.5
+ROWS, MISS = 4, 1e-6
+BITS, MINIMA, SIGMAS = 4, 256, 5.0
 #: Members of a bucket that are compared with each other in one group; larger buckets are cut into blocks.
 SIDE = 2000
 
@@ -75,59 +79,59 @@ def node_of(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def packed(minima: np.ndarray) -> np.ndarray:
     """The low four bits of each minimum, two to a byte."""
     low = (minima & np.uint64(15)).astype(np.uint8)
-    if low.shape[1] % 2:
-        low = np.concatenate([low, np.zeros((len(low), 1), np.uint8)], axis=1)
     return low[:, ::2] | (low[:, 1::2] << 4)
 
 
-def estimates(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Similarity of signatures of n minima, from the counted unequal ones, corrected for those that agree by chance."""
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity of packed signatures from the counted unequal minima, corrected for those that agree by chance."""
     x = a ^ b
     x |= x >> 1
     x |= x >> 2
-    same = 1 - np.bitwise_count(x & 0x11).sum(axis=-1) / n
+    same = 1 - np.bitwise_count((x & 0x11).view(np.uint64)).sum(axis=-1) / MINIMA
     chance = 0.5**BITS
     return (same - chance) / (1 - chance)
 
 
-def floor_of(threshold: Fraction, n: int) -> float:
+def floor_of(threshold: Fraction) -> float:
     chance = 0.5**BITS
     p = float(threshold) * (1 - chance) + chance
-    return float(threshold) - SIGMAS * math.sqrt(p * (1 - p) / n) / (1 - chance)
+    return float(threshold) - SIGMAS * math.sqrt(p * (1 - p) / MINIMA) / (1 - chance)
 
 
-def signatures(df: DataFrame, text: str, id_col: str, words: int, bands: int, rows: int = ROWS) -> DataFrame:
-    """id, n_shingles, node, node2, bands, sig for each row; the last four are null for texts without words."""
-    rng = np.random.default_rng(20)
-    factors = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    offsets = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
+def minima_of(value: np.ndarray, first: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """n minima of each set; the high bits of a product decide the minimum, and mixing makes the low ones as good."""
+    rng = np.random.default_rng(seed)
+    factors = rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    offsets = rng.integers(0, 2**63, n, dtype=np.uint64)
+    return mix(np.stack([np.minimum.reduceat((value ^ o) * f, first) for f, o in zip(factors, offsets)], axis=1))
+
+
+def band_keys(df: DataFrame, text: str, id_col: str, words: int, bands: int, rows: int = ROWS) -> DataFrame:
+    """id, n_shingles, node, node2, bands for each row; the last three are null for texts without words."""
 
     def compute(block: Block) -> dict:
         owner, value = shingle_sets(block, words)
         size = np.bincount(owner, minlength=len(block))
         some = np.flatnonzero(size)
         first = (np.cumsum(size) - size)[some]
-        nodes, band_lists, sigs = [[None] * len(block) for _ in range(2)], [None] * len(block), [None] * len(block)
+        nodes, lists = [[None] * len(block) for _ in range(2)], [None] * len(block)
         if len(some):
-            minima = np.stack([np.minimum.reduceat((value ^ o) * f, first) for f, o in zip(factors, offsets)], axis=1)
-            # The high bits of a product decide the minimum; mixing makes the low ones as good.
-            minima = mix(minima)
+            minima = minima_of(value, first, bands * rows, 20)
             keys = minima[:, ::rows]
             for r in range(1, rows):
                 keys = chain(keys, minima[:, r::rows])
             keys = mix(keys + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-            low = packed(minima)
             one, two = node_of(value, first)
             for at, i in enumerate(some):
-                nodes[0][i], nodes[1][i], band_lists[i], sigs[i] = one[at], two[at], keys[at], low[at].tobytes()
-        return {"n_shingles": size, "node": pa.array(nodes[0], pa.int64()), "node2": pa.array(nodes[1], pa.int64()), "bands": pa.array(band_lists, pa.list_(pa.int64())), "sig": pa.array(sigs, pa.binary())}
+                nodes[0][i], nodes[1][i], lists[i] = one[at], two[at], keys[at]
+        return {"n_shingles": size, "node": pa.array(nodes[0], pa.int64()), "node2": pa.array(nodes[1], pa.int64()), "bands": pa.array(lists, pa.list_(pa.int64()))}
 
-    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("node2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
+    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("node2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
     return per_text(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), "text", ["id"], fields, compute)
 
 
 def full_sets(df: DataFrame, words: int) -> DataFrame:
-    """node, node2 and the sorted set, eight bytes for each shingle, of the rows (id, text)."""
+    """node, the sorted set, eight bytes for each shingle, and the packed signature of the rows (id, text)."""
 
     def compute(block: Block) -> dict:
         owner, value = shingle_sets(block, words)
@@ -136,34 +140,35 @@ def full_sets(df: DataFrame, words: int) -> DataFrame:
         out = [[None] * len(block) for _ in range(3)]
         some = np.flatnonzero(size)
         if len(some):
-            for at, (i, one, two) in enumerate(zip(some, *node_of(value, first[some]))):
-                out[0][i], out[1][i], out[2][i] = one, two, value[first[i] : first[i] + size[i]].tobytes()
-        return {"node": pa.array(out[0], pa.int64()), "node2": pa.array(out[1], pa.int64()), "members": pa.array(out[2], pa.binary())}
+            low = packed(minima_of(value, first[some], MINIMA, 21))
+            for at, (i, one) in enumerate(zip(some, node_of(value, first[some])[0])):
+                out[0][i], out[1][i], out[2][i] = one, value[first[i] : first[i] + size[i]].tobytes(), low[at].tobytes()
+        return {"node": pa.array(out[0], pa.int64()), "members": pa.array(out[1], pa.binary()), "sig": pa.array(out[2], pa.binary())}
 
-    fields = [T.StructField("node", T.LongType()), T.StructField("node2", T.LongType()), T.StructField("members", T.BinaryType())]
+    fields = [T.StructField("node", T.LongType()), T.StructField("members", T.BinaryType()), T.StructField("sig", T.BinaryType())]
     return per_text(df, "text", ["id"], fields, compute).where("node is not null")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold, decided in whole numbers."""
+def measured(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs (a, b) with their Jaccard distance on the full sets and whether they link, which is decided in whole numbers."""
     up, down = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column(2), batch.column(3)
-            linked = []
+            away, linked = [], []
             for i in range(len(batch)):
                 x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (left, right))
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
-                both = 0
-                if down * len(small) >= up * len(large):
-                    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                linked.append(down * both >= up * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
+                both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+                union = len(x) + len(y) - both
+                away.append(1 - both / union)
+                linked.append(down * both >= up * union)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(away, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "away", "linked"])
 
     there = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("right")), "b")
     there = there.join(sets.select(F.col("node").alias("a"), F.col("members").alias("left")), "a")
-    return there.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return there.select("a", "b", "left", "right").mapInArrow(run, "a long, b long, away double, linked boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -188,58 +193,72 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def hub_pairs(members: DataFrame) -> DataFrame:
-    """For each node the hub (the least node of the least component) that most of its buckets offer, if that is another component's."""
+    """For each node (a) the hub (b), the least node of the least component, that most of its buckets offer, if that is another component's."""
     hubs = members.groupBy("key").agg(F.min(F.struct("comp", "node")).alias("hub"))
     offers = members.join(hubs, "key").where("comp <> hub.comp").groupBy("node", F.col("hub.node").alias("hub")).agg(F.count("*").alias("n"))
     best = offers.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("best"))
-    return best.select(F.least("node", "best.hub").alias("a"), F.greatest("node", "best.hub").alias("b")).distinct()
+    return best.select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
 
 
-def block_pairs(members: DataFrame, threshold: Fraction, minima: int) -> DataFrame:
-    """All pairs of a bucket from different components whose estimate doesn't rule them out."""
-    least = floor_of(threshold, minima)
+def block_pairs(members: DataFrame, threshold: Fraction) -> DataFrame:
+    """All pairs of a bucket from different components that neither bound excludes. `members` has key, node, comp, bands, sig and hubs."""
+    least, furthest = floor_of(threshold), 1 - float(threshold) + 1e-9
     open_keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     cuts = members.join(open_keys.select("key", F.ceil(F.col("n") / SIDE).cast("int").alias("cuts")), "key").withColumn("mine", F.pmod(F.xxhash64("node"), "cuts").cast("int"))
     # A member goes to the group of its own block with each block, as the first or the second side.
-    other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")
-    groups = cuts.select("key", "node", "comp", "sig", "mine", other).select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "comp", "sig")
+    groups = cuts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    groups = groups.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "comp", "bands", "sig", "hub0", "away0", "hub1", "away1")
 
     def compare(group: pa.Table) -> pa.Table:
+        key, x, y = (group.column(c)[0].as_py() for c in ("key", "x", "y"))
         node, comp, mine = (group.column(c).to_numpy() for c in ("node", "comp", "mine"))
-        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        hubs = [(group.column(f"hub{k}").fill_null(0).to_numpy(), group.column(f"away{k}").to_numpy(zero_copy_only=False)) for k in (0, 1)]
         sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
+        bands = np.array(group.column("bands").to_pylist(), np.int64)
+        place = int(np.flatnonzero(bands[0] == key)[0])
         a, b = [], []
         right = np.flatnonzero(mine == y)
         for i in np.flatnonzero(mine == x):
             some = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (x != y))]
-            some = some[estimates(sigs[some], sigs[i], minima) >= least]
-            a.append(np.minimum(node[i], node[some]))
-            b.append(np.maximum(node[i], node[some]))
+            some = some[(bands[some] == bands[i]).argmax(axis=1) == place]
+            for hub, away in hubs:
+                for other, far in hubs:  # through a common hub; one of the two may be the hub
+                    bound = np.where(hub[some] == other[i], np.abs(away[some] - far[i]), 0)
+                    some = some[~(bound > furthest)]
+                some = some[~((node[some] == hub[i]) & (away[i] > furthest)) & ~((hub[some] == node[i]) & (away[some] > furthest))]
+            some = some[estimates(sigs[some], sigs[i]) >= least]
+            a.append(np.full(len(some), node[i]))
+            b.append(node[some])
         none = [np.zeros(0, np.int64)]
         return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
 
-    return groups.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+    return groups.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long")
 
 
 def groups(df: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
     """One row for each row: its id, n_shingles (set size), component_id (least id reachable over links, itself included), kept."""
-    bands = bands_for(threshold)
-    n = bands * ROWS
-    sigs = cut(signatures(df, text, id_col, words, bands))
-    nodes = sigs.where("node is not null and id is not null").groupBy("node", "node2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    rows = nodes.select("node", "rep", "sig", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    sigs = cut(band_keys(df, text, id_col, words, bands_for(threshold)))
+    nodes = sigs.where("node is not null and id is not null").groupBy("node", "node2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    rows = nodes.select("node", "rep", F.explode("bands").alias("key"))
+    shared = rows.select("key").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = cut(rows.join(shared, "key"))
     texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     reps = members.select(F.col("rep").alias("id"), "node").distinct()
-    sets = cut(full_sets(texts.join(reps.select("id").distinct(), "id"), words).join(reps, ["id", "node"], "left_semi").groupBy("node").agg(F.first("members").alias("members")))
-    members = members.select("key", "node", "sig")
+    found = full_sets(texts.join(reps.select("id").distinct(), "id"), words).join(reps, ["id", "node"], "left_semi")
+    sets = cut(found.groupBy("node").agg(F.first("members").alias("members"), F.first("sig").alias("sig")))
 
-    links, labels = None, None
+    plain = members.select("key", "node")
+    links, labels, hubs = None, None, sets.select("node", "sig").join(nodes.select("node", "bands"), "node")
     for turn in range(3):
-        now = _labelled(members, labels)
-        found = confirm(hub_pairs(now) if turn < 2 else block_pairs(now, threshold, n), sets, threshold)
-        links = cut(found if links is None else links.union(found))
+        if turn < 2:
+            pairs = hub_pairs(_labelled(plain, labels))
+        else:
+            pairs = block_pairs(_labelled(plain, labels).join(hubs, "node"), threshold)
+        tested = cut(measured(pairs, sets, threshold))
+        if turn < 2:
+            hubs = hubs.join(tested.select(F.col("a").alias("node"), F.col("b").alias(f"hub{turn}"), F.col("away").alias(f"away{turn}")), "node", "left")
+        new = tested.where("linked").select("a", "b")
+        links = new if links is None else links.union(new)
         labels = components(links)
     classes = sigs.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("rep"))
     merged = classes.join(labels, "node")
