@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm import backoff_lm, bbit_minhash, concat_pack, gru_toxicity, secret_owners, simhash, suffix_quality, tree_bpe
+from lodeframe.llm import backoff_lm, bbit_minhash, concat_pack, gru_toxicity, license_lines, link_trust, secret_owners, simhash, suffix_quality, tree_bpe
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,13 @@ def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat")
 
 
+RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+
+def op2_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
+
+
 def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     scored = backoff_lm.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), ~F.coalesce(held_out, F.lit(False)))
@@ -62,6 +69,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"), simhash.text_form(F.col("high"), F.col("low")).alias("fingerprint"), simhash.text_form(F.col("edited_high"), F.col("edited_low")).alias("edited_fingerprint"), "near_edited", "near_next", "n_near")
 
 
+def op9_license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_lines.find(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("line")
+
+
 def op10_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -71,7 +82,7 @@ def op10_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_suffix_repetition, op3_backoff_automaton, op4_tree_bpe, op5_bbit_minhash, op6_concat_pack, op7_secret_owners, op8_simhash, op10_gru_toxicity)}
+    return {q.__name__: q for q in (op1_suffix_repetition, op2_link_trust, op3_backoff_automaton, op4_tree_bpe, op5_bbit_minhash, op6_concat_pack, op7_secret_owners, op8_simhash, op9_license_lines, op10_gru_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
