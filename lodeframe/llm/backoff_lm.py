@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lodeframe.llm.texts import Block, blocks, chain, keys_of, spread
 
 ORDER, STRENGTH = 2, 4.0
-BLOCK_BYTES, RANGE_BYTES = 16 << 20, 12 << 20
+BLOCK_BYTES, RANGE_BYTES = 10 << 20, 10 << 20
 SEGMENT = 512
 BEGIN, END = (np.uint64(x) for x in (0xB5026F5AA96619E9, 0x5851F42D4C957F2D))
 
@@ -62,7 +62,6 @@ class Grams:
         key = np.empty(len(self.owner), np.uint64)
         key[self.begin], key[self.end] = BEGIN, END
         key[~(self.begin | self.end)] = keys_of(block.data, starts, ends)
-        self.key = key
         self.keys, self.at, self.one = [], [], []
         made = key
         for k in range(order):
@@ -70,11 +69,12 @@ class Grams:
                 made = chain(np.concatenate([made[:1], made[:-1]]), key)
             there = place >= k
             keys, one, number = np.unique(made[there], return_index=True, return_inverse=True)
-            at = np.full(len(key), -1, np.int64)
+            at = np.full(len(key), -1, np.int32)
             at[there] = number
             self.keys.append(keys)
             self.at.append(at)
-            self.one.append(np.flatnonzero(there)[one])
+            self.one.append(np.flatnonzero(there)[one].astype(np.int32))
+            del number, one, there
 
     def count(self, k: int, learn: np.ndarray) -> np.ndarray:
         """Occurrences of each n-gram of order k + 1 in the texts learned from."""
