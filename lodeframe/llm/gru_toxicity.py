@@ -27,7 +27,7 @@ from lodeframe.llm.texts import Block, blocks, keep_rows, keys_of, per_text, spr
 WINDOW, STRIDE = 48, 36
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2000, 3000, 20_000
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION, TRIGRAMS = 8, 6, 8, 8, 8192
-ROUNDS, BATCH, RATE, MIN_TEXTS = 10, 128, 0.01, 3
+ROUNDS, STEPS, BATCH, RATE, MIN_TEXTS = 10, 320, 128, 0.01, 3
 WIDE = 2048
 
 TOKEN = np.zeros(256, bool)
@@ -218,6 +218,8 @@ def train(texts: list[str], toxic: np.ndarray, share: float, rounds: int = ROUND
     gram_at = np.cumsum(t.size) - t.size
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
+    batch = max(16, min(BATCH, len(toxic) // 20))
+    rounds = max(rounds, -(-STEPS * batch // len(toxic)))  # few texts are read more often
     for turn in range(rounds):
         net.logits(t)
         text, start, length, found = net.windows
@@ -225,9 +227,9 @@ def train(texts: list[str], toxic: np.ndarray, share: float, rounds: int = ROUND
         top = by[np.concatenate([text[by][1:] != text[by][:-1], [True]])]
         top = top[~held[text[top]]]
         rng.shuffle(top)
-        rate = RATE * (0.5 ** (turn / 3))
-        for at in range(0, len(top), BATCH):
-            some = top[at : at + BATCH]
+        rate = RATE * 0.5 ** (3.5 * turn / rounds)
+        for at in range(0, len(top), batch):
+            some = top[at : at + batch]
             where, there = net.layout(start[some], length[some])
             words, inverse = np.unique(t.word[where], return_inverse=True)
             inverse = inverse.reshape(where.shape)
