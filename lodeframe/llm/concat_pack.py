@@ -1,9 +1,9 @@
 """Concatenate and cut: token ids of all texts, laid end to end, in sequences of a fixed length.
 
-First pass: every partition numbers its texts' ids from 0 and is written to the shared folder with its total. Prefix sums over the totals,
-one number for each partition, give every partition its place in the whole. Second pass: each text's ids are cut where a window of
-`LENGTH` ids ends; a piece is a record of its text, its place there, its sequence and its place in that. No row moves between tasks, and
-only the last sequence can be short.
+First pass: the ids of every partition's texts are written to the shared folder and counted. Prefix sums over the counts, one number for
+each partition, give every partition its place in the whole. Second pass: a partition goes on from its place, and each text's ids are cut
+where a window of `LENGTH` ids ends; a piece is a record of its text, its place there, its sequence and its place in that. No row moves
+between tasks, and only the last sequence can be short.
 
 Each text ends with the id `END`, so that null and empty texts take one place. Repeated rows are packed as often as they occur. Sequences
 follow the order in which partitions hold the rows.
@@ -22,53 +22,47 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeframe.llm import tree_bpe
+from lodeframe.llm.texts import spread
 from lodeframe.session import cut
 
 LENGTH, END = 2048, 1
 
 
-def numbered(tokens: DataFrame, id_col: str, end: int = END) -> DataFrame:
-    """part, place, id, n, ids: the ids with the end id, two bytes each where all fit, and where they start within their partition."""
-    source = tokens.select(F.col(f"`{id_col}`").alias("id"), "ids")
+def narrow(ids: np.ndarray, counts: np.ndarray, model: tree_bpe.Model) -> dict:
+    """Ids in two bytes each where the vocabulary allows it."""
+    return {"ids": tree_bpe.binary(ids.astype(np.uint16 if model.top <= 1 << 16 else np.uint32), counts), "n": counts.astype(np.int64)}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, done = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            texts = [np.append(np.frombuffer(x or b"", np.uint32), np.uint32(end)) for x in batch.column(1).to_pylist()]
-            n = np.array([len(x) for x in texts], np.int64)
-            narrow = [x.astype(np.uint16).tobytes() if x.max() < 1 << 16 else b"\0" + x.tobytes() for x in texts]
-            place = done + np.cumsum(n) - n
-            done += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part), pa.int64()), pa.array(place, pa.int64()), batch.column(0), pa.array(n, pa.int64()), pa.array(narrow, pa.binary())], names=["part", "place", "id", "n", "ids"])
 
-    kind = source.schema["id"].dataType
-    return source.mapInArrow(run, T.StructType([T.StructField("part", T.LongType()), T.StructField("place", T.LongType()), T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())]))
-
-
-def pieces(written: DataFrame, id_col: str, length: int, with_ids: bool) -> DataFrame:
-    totals = {r.part: r.n for r in written.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a number for each partition
+def pieces(written: DataFrame, id_col: str, length: int, end: int, with_ids: bool) -> DataFrame:
+    """Cuts the rows (id, ids, n), which must come in the same partitions and order each time."""
+    totals = {r.part: r.n for r in written.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.col("n") + 1).alias("n")).collect()}  # a number for each partition
     sizes = np.zeros(max(totals, default=-1) + 1, np.int64)
     sizes[list(totals)] = list(totals.values())
     before = np.cumsum(sizes) - sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = None
         for batch in batches:
-            part, place, n = (batch.column(i).to_numpy() for i in (0, 1, 3))
-            whole = before[part] + place
+            if done is None:
+                done = int(before[TaskContext.get().partitionId()])
+            n = batch.column(2).to_numpy() + 1
+            whole = done + np.cumsum(n) - n
+            done += int(n.sum())
             first, last = whole // length, (whole + n - 1) // length
-            row, k = tree_bpe.spread(last - first + 1)
-            begin = np.maximum(whole[row], (first[row] + k) * length)
-            stop = np.minimum(whole[row] + n[row], (first[row] + k + 1) * length)
+            row, k = spread(last - first + 1)
+            start = np.maximum(whole[row], (first[row] + k) * length) - whole[row]
+            stop = np.minimum(n[row], (first[row] + k + 1) * length - whole[row])
             crc, own = [], []
             ids, held = None, -1
-            for r, a, b in zip(row.tolist(), (begin - whole[row]).tolist(), (stop - whole[row]).tolist()):
+            for r, a, b in zip(row.tolist(), start.tolist(), stop.tolist()):
                 if r != held:
-                    raw, held = batch.column(4)[r].as_py(), r
-                    ids = np.frombuffer(raw, np.uint16).astype(np.uint32) if len(raw) % 2 == 0 else np.frombuffer(raw, np.uint32, offset=1)
+                    raw, held = batch.column(1)[r].as_buffer(), r
+                    ids = np.frombuffer(raw, np.uint16 if raw.size == 2 * (n[r] - 1) else np.uint32).astype(np.uint32)
+                    ids = np.append(ids, np.uint32(end))
                 data = ids[a:b].tobytes()
                 crc.append(zlib.crc32(data))
                 own.append(data if with_ids else None)
-            columns = {"id": batch.column(2).take(pa.array(row)), "start": begin - whole[row], "length": stop - begin, "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": n[row], "sequence_id": first[row] + k, "offset": begin - (first[row] + k) * length}
+            columns = {"id": batch.column(0).take(pa.array(row)), "start": start, "length": stop - start, "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": n[row], "sequence_id": first[row] + k, "offset": whole[row] + start - (first[row] + k) * length}
             yield pa.RecordBatch.from_pydict({c: pa.array(v) if isinstance(v, np.ndarray) else v for c, v in columns.items()} | ({"ids": pa.array(own, pa.binary())} if with_ids else {}))
 
     longs = [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
@@ -78,4 +72,5 @@ def pieces(written: DataFrame, id_col: str, length: int, with_ids: bool) -> Data
 
 def pack(df: DataFrame, path: str, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, end: int = END, with_ids: bool = True) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if wanted, its ids (32 bits each)."""
-    return pieces(cut(numbered(tree_bpe.encode(df, path, text, (id_col,)), id_col, end)), id_col, length, with_ids)
+    tokens = tree_bpe.encode(df, path, text, (id_col,), [*tree_bpe.IDS, T.StructField("n", T.LongType())], narrow)
+    return pieces(cut(tokens.withColumnRenamed(id_col, "id")), id_col, length, end, with_ids)

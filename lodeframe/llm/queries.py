@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from fractions import Fraction
+from hashlib import sha256
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeframe.llm import backoff_lm, bbit_minhash, concat_pack, gru_toxicity, license_lines, link_trust, secret_owners, simhash, suffix_quality, tree_bpe
 
@@ -35,12 +38,16 @@ def bpe_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _round_trip(ids: np.ndarray, counts: np.ndarray, model: tree_bpe.Model) -> dict:
+    """Digests of each text's ids and of the text they decode to."""
+    at = np.concatenate([[0], np.cumsum(counts)])
+    each = [ids[a:b] for a, b in zip(at, at[1:])]
+    return {"n_tokens": counts, "ids_sha256": [sha256(x.astype("<u4").tobytes()).hexdigest() for x in each], "decoded_sha256": [sha256(model.decode(x).encode()).hexdigest() for x in each]}
+
+
 def op4_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = bpe_file()
-    ids = tree_bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    digests = ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    texts = tree_bpe.decode(digests, path, ("doc_id", "n_tokens", "ids_sha256"))
-    return texts.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return tree_bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), bpe_file(), fields=fields, finish=_round_trip)
 
 
 def op5_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

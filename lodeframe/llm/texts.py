@@ -129,7 +129,7 @@ def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, Bloc
         at = to
 
 
-def per_text(df: DataFrame, text: str, keep: list[str], fields: list[T.StructField], compute: Callable[[Block], dict], prepare: Callable | None = None) -> DataFrame:
+def per_text(df: DataFrame, text: str, keep: list[str], fields: list[T.StructField], compute: Callable[..., dict], prepare: Callable | None = None, size: int = BLOCK) -> DataFrame:
     """The columns `keep` and what `compute` finds for each text. `prepare`, if given, runs once in each task and its value is handed on."""
     schema = T.StructType([*(df.schema[c] for c in keep), *fields])
     arrow = _arrow(T.StructType(fields))
@@ -138,7 +138,7 @@ def per_text(df: DataFrame, text: str, keep: list[str], fields: list[T.StructFie
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = [prepare()] if prepare else []
         for batch in batches:
-            for at, to, block in blocks(batch.column(len(keep))):
+            for at, to, block in blocks(batch.column(len(keep)), size):
                 found = compute(block, *more)
                 kept = [batch.column(i).slice(at, to - at) for i in range(len(keep))]
                 made = [x if isinstance(x := found[f.name], pa.Array) else pa.array(x, f.type) for f in arrow]

@@ -16,7 +16,7 @@ The model file is a parameter. Its special tokens are recognised in texts, as th
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -121,6 +121,9 @@ class Model:
         found = [np.array(self.unsplit(x.encode(), leaf), np.uint32) if giant else self.plain(x) for x, giant in self.stretches(text, leaf)]
         return np.concatenate(found) if found else np.zeros(0, np.uint32)
 
+    def decode(self, ids: np.ndarray) -> str:
+        return self.back(ids).decode(errors="replace")
+
     def back(self, ids: np.ndarray) -> bytes:
         owner, place = spread(self.sizes[ids])
         return self.bytes[self.places[ids][owner] + place].tobytes()
@@ -192,31 +195,48 @@ def binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values).tobytes())]).cast(pa.binary())
 
 
-def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), leaf: int = LEAF, spread_from: int = SPREAD) -> DataFrame:
-    """The kept columns with `ids`: the text's token ids, little-endian unsigned 32-bit integers laid end to end."""
+IDS = [T.StructField("ids", T.BinaryType())]
+
+
+def as_ids(ids: np.ndarray, counts: np.ndarray, model: Model) -> dict:
+    return {"ids": binary(ids, counts)}
+
+
+def encode(
+    df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), fields: list[T.StructField] = IDS, finish: Callable[[np.ndarray, np.ndarray, Model], dict] = as_ids, leaf: int = LEAF, spread_from: int = SPREAD
+) -> DataFrame:
+    """The kept columns with `ids`: the text's token ids, little-endian unsigned 32-bit integers laid end to end.
+
+    Other columns can be made where the ids are: `finish` gets the ids of some texts end to end, how many each has, and the model.
+    """
     with open(path, encoding="utf-8") as f:
         content = f.read()
-    fields = [T.StructField("ids", T.BinaryType())]
     # Only a text with a long stretch free of white space is dealt out.
     far = F.coalesce((F.length(F.col(f"`{text}`")) > spread_from) & F.col(f"`{text}`").rlike(rf"[^\x20\x09-\x0D]{{{spread_from},}}+"), F.lit(False))
-    near = per_text(df.where(~far), text, list(keep), fields, lambda block, model: {"ids": binary(*encode_block(block, model, leaf))}, prepare=lambda: model_of(content))
-    rows = df.where(far).select(*keep, F.col(f"`{text}`").alias("t_"), F.sha2(F.col(f"`{text}`"), 256).alias("sha_"))
+    near = per_text(df.where(~far), text, list(keep), fields, lambda block, model: finish(*encode_block(block, model, leaf), model), prepare=lambda: model_of(content), size=2 << 20)
+    keys = [f"k{i}" for i in range(len(keep))]
+    rows = df.where(far).select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, keys)), F.col(f"`{text}`").alias("t"))
+    rows = rows.groupBy(*keys, F.sha2("t", 256).alias("sha")).agg(F.count("*").alias("copies"), F.first("t").alias("t"))
+    key_fields = [T.StructField(k, df.schema[c].dataType) for c, k in zip(keep, keys)] + [T.StructField("sha", T.StringType()), T.StructField("copies", T.LongType())]
+    part_fields = [T.StructField("part", T.LongType()), T.StructField("stretch", T.LongType()), T.StructField("giant", T.BooleanType()), T.StructField("data", T.BinaryType())]
+    n = len(key_fields)
+    names = [f.name for f in (*key_fields, *part_fields)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(content)
         for batch in batches:
-            for sha, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = 0
-                for number, (x, giant) in enumerate(model.stretches(value, leaf)):
+            for i in range(len(batch)):
+                part, head = 0, batch.slice(i, 1).columns[:n]
+                for number, (x, giant) in enumerate(model.stretches(batch.column(n)[i].as_py(), leaf)):
                     for piece in halves(x.encode(), leaf) if giant else [x.encode()]:
-                        yield pa.RecordBatch.from_pydict({"sha": [sha], "part": pa.array([part], pa.int64()), "stretch": pa.array([number], pa.int64()), "giant": [giant], "data": pa.array([piece], pa.binary())})
+                        yield pa.RecordBatch.from_arrays([*head, pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([giant]), pa.array([piece], pa.binary())], names=names)
                         part += 1
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(content)
         for batch in batches:
             found = [np.array(model.piece(x), np.uint32).tobytes() if giant else model.plain(x.decode()).tobytes() for giant, x in zip(batch.column("giant").to_pylist(), batch.column("data").to_pylist())]
-            yield batch.set_column(4, "data", pa.array(found, pa.binary()))
+            yield batch.set_column(n + 3, "data", pa.array(found, pa.binary()))
 
     def meet(group: pa.Table) -> pa.Table:
         model = model_of(content)
@@ -228,12 +248,15 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
             to = int(np.searchsorted(stretch, stretch[at], side="right"))
             out.append(np.array(model.tree([x.tolist() for x in ids[at:to]]), np.uint32) if giant[at] else ids[at])
             at = to
-        return pa.table({"sha": group.column("sha").slice(0, 1), "ids": pa.array([np.concatenate(out).tobytes()], pa.binary())})
+        whole = np.concatenate(out)
+        made = finish(whole, np.array([len(whole)]), model)
+        row = pa.table({k: group.column(k).slice(0, 1) for k in [*keys, "copies"]} | {f.name: made[f.name] for f in fields})
+        return row.take(pa.array([0] * group.column("copies")[0].as_py())).drop_columns(["copies"])
 
-    schema = "sha string, part long, stretch long, giant boolean, data binary"
-    parts = rows.groupBy("sha_").agg(F.first("t_").alias("t_")).mapInArrow(cut, schema)
-    found = parts.repartition("sha", "part").mapInArrow(leaves, schema).groupBy("sha").applyInArrow(meet, "sha string, ids binary")
-    return near.union(rows.join(found, rows.sha_ == found.sha).select(*keep, "ids"))
+    schema = T.StructType([*key_fields, *part_fields])
+    parts = rows.select(*(f.name for f in key_fields), "t").mapInArrow(cut, schema)
+    found = parts.repartition("sha", "part").mapInArrow(leaves, schema).groupBy(*keys, "sha").applyInArrow(meet, T.StructType([*key_fields[:-2], *fields]))
+    return near.union(found)
 
 
 def decode(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -246,11 +269,9 @@ def decode(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> Dat
         model = model_of(content)
         for batch in batches:
             column = pc.fill_null(batch.column(len(keep)), b"").cast(pa.large_binary())
-            for at, to, block in blocks(column.view(pa.large_string()), 4 << 20):
+            for at, to, block in blocks(column.view(pa.large_string())):
                 ids = np.frombuffer(block.data.tobytes(), np.uint32)
-                data = np.frombuffer(model.back(ids), np.uint8)
-                size = np.concatenate([[0], np.cumsum(model.sizes[ids])])[block.offsets // 4]
-                texts = [data[a:b].tobytes().decode(errors="replace") for a, b in zip(size[:-1], size[1:])]
+                texts = [model.decode(ids[a:b]) for a, b in zip(block.offsets[:-1] // 4, block.offsets[1:] // 4)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, to - at) for i in range(len(keep))), pa.array(texts, pa.string())], names=[*keep, "text"])
 
     return source.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), T.StructField("text", T.StringType())]))
