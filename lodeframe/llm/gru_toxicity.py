@@ -18,6 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,7 +61,18 @@ def tokens_of(block: Block) -> Tokens:
     left = np.where(place > 0, block.data[at - 1], 0).astype(np.int64)
     right = np.where(place < size[owner] - 1, block.data[np.minimum(at + 1, max(0, len(block.data) - 1))], 0).astype(np.int64) if len(at) else left
     code = (left << 16) | (block.data[at].astype(np.int64) << 8) | right
-    return Tokens(word, key, ((code * 2654435761) >> 7) % TRIGRAMS, size, counts)
+    return Tokens(word.astype(np.int32), key, (((code * 2654435761) >> 7) % TRIGRAMS).astype(np.int32), size, counts)
+
+
+def merged(parts: list[Tokens]) -> Tokens:
+    """The tokens of several blocks as those of one."""
+    key, first, number = np.unique(np.concatenate([p.key for p in parts]), return_index=True, return_inverse=True)
+    ends = np.cumsum([len(p.key) for p in parts])
+    word = np.concatenate([number[end - len(p.key) : end][p.word] for p, end in zip(parts, ends)])
+    size = np.concatenate([p.size for p in parts])
+    at = (np.cumsum(size) - size)[first]
+    owner, place = spread(size[first])
+    return Tokens(word, key, np.concatenate([p.grams for p in parts])[at[owner] + place], size[first], np.concatenate([p.counts for p in parts]))
 
 
 def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,18 +201,18 @@ class Network:
         return _sigmoid(self.scale * self.logits(tokens_of(block)).astype(np.float64) + self.shift)
 
 
-def train(texts: list[str], toxic: np.ndarray, share: float, rounds: int = ROUNDS, seed: int = 7) -> Network | float:
+def train(texts: list[str] | pa.ChunkedArray, toxic: np.ndarray, share: float, rounds: int = ROUNDS, seed: int = 7) -> Network | float:
     """Learns from whole texts and their labels; `share` is the share of label 1 that the score is calibrated to."""
-    import pyarrow as pa
-
     if not len(toxic) or toxic.min() == toxic.max():
         return share
-    block = next(blocks(pa.array(texts, pa.large_string()), 1 << 40))[2]
-    t = tokens_of(block)
+    texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()).combine_chunks()
+    texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
+    t = merged([tokens_of(block) for _, _, block in blocks(texts, 1 << 19)])
     rng = np.random.default_rng(seed)
     held = rng.permutation(len(toxic)) % 5 == 0
     text_of = np.repeat(np.arange(len(t.counts)), t.counts)
     pair = np.unique(text_of * len(t.key) + t.word)
+    del text_of
     pair_text, pair_word = pair // len(t.key), pair % len(t.key)
     learn = ~held[pair_text]
     in_toxic = np.bincount(pair_word[learn & (toxic[pair_text] == 1)], minlength=len(t.key))
@@ -288,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     ids = F.broadcast(some[0].union(some[1]))  # at most toxic_rows + clean_rows rows
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).where(F.length("t") <= TRAIN_CHARS)
     sample = texts.join(ids, "i").groupBy("i", "y").agg(F.max("t").alias("t")).select("i", "y", "t").toArrow().sort_by("i")
-    return train(sample.column("t").to_pylist(), np.array(sample.column("y").to_pylist(), int), share)
+    return train(sample.column("t"), np.array(sample.column("y").to_pylist(), int), share)
 
 
 def score_of(block: Block, model: Network | float) -> np.ndarray:
