@@ -33,6 +33,13 @@ def _structure(c: Catalog) -> None:
     c.add("d4_near_duplicates", lambda t: S.near_duplicates(t.part.select(F.expr(SLIPS).alias("n")), "n"),
           f"WITH RECURSIVE v AS (SELECT {SLIPS} AS n, count(*) AS k FROM part GROUP BY 1), e AS (SELECT a.n AS a, b.n AS b FROM v a, v b WHERE a.n <> b.n AND jaro_winkler_similarity(a.n, b.n) >= 0.85), "
           "r AS (SELECT a AS root, b AS n FROM e UNION SELECT r.root, e.b FROM r JOIN e ON r.n = e.a) SELECT min(root) AS cluster, r.n AS value, any_value(k) AS rows FROM r JOIN v ON r.n = v.n GROUP BY r.n")
+    # More distinct values than fit a list on the driver.
+    many = "substr(md5(c_name), 1, 10)"
+    pairs = f"WITH v AS (SELECT DISTINCT {many} AS n FROM customer), e AS (SELECT a.n AS a, b.n AS b, jaro_winkler_similarity(a.n, b.n) AS similarity FROM v a, v b WHERE a.n < b.n AND jaro_winkler_similarity(a.n, b.n) >= 0.85)"
+    c.add("d4_near_pairs_many", lambda t: S.near_pairs(t.customer.select(F.expr(many).alias("n")), "n"), f"{pairs} SELECT * FROM e", {"similarity": 9})
+    c.add("d4_near_duplicates_many", lambda t: S.near_duplicates(t.customer.select(F.expr(many).alias("n")), "n"),
+          pairs.replace("WITH v", "WITH RECURSIVE v") + f", u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a AS root, b AS n FROM u UNION SELECT r.root, u.b FROM r JOIN u ON r.n = u.a) "
+          f"SELECT min(root) AS cluster, r.n AS value, any_value(k) AS rows FROM r JOIN (SELECT {many} AS n, count(*) AS k FROM customer GROUP BY 1) USING (n) GROUP BY r.n")
     c.add("d5_missing_plan", lambda t: S.missing_plan(dirty(t).drop("l_shipdate", "l_returnflag")).select("column", "null_count", "null_pct"),
           " UNION ALL ".join(f"SELECT '{x}' AS \"column\", count(*) - count({x}) AS null_count, round(100.0 * (count(*) - count({x})) / count(*), 2) AS null_pct FROM {DIRTY_SQL}" for x in ("l_quantity", "l_tax", "l_discount")))
     c.add("d6_mcar_test", lambda t: S.mcar_test(dirty(t).select("l_extendedprice", "l_tax", "l_linenumber")))
@@ -130,6 +137,9 @@ def _consistency(c: Catalog) -> None:
     place = "CASE c_custkey % 5 WHEN 0 THEN 'USA' WHEN 1 THEN 'u.s.a' WHEN 2 THEN 'UK' WHEN 3 THEN 'United Kingdom' ELSE 'Peru' END"
     c.add("d38_synonyms", lambda t: K.synonyms(t.customer.select(F.expr(place).alias("country")), "country"),
           f"WITH k AS (SELECT {place} AS v, count(*) AS n FROM customer GROUP BY 1), g AS (SELECT *, CASE WHEN v IN ('USA', 'u.s.a') THEN 'a' WHEN v <> 'Peru' THEN 'b' END AS g FROM k) SELECT first_value(v) OVER (PARTITION BY g ORDER BY n DESC, v) AS canonical, v AS variant, n AS rows FROM g WHERE g IS NOT NULL")
+    twice = "CASE WHEN p_partkey % 2 = 0 THEN upper(md5(p_brand || CAST(p_size AS VARCHAR(9)) || p_type)) ELSE md5(p_brand || CAST(p_size AS VARCHAR(9)) || p_type) END"
+    c.add("d38_synonyms_many", lambda t: K.synonyms(t.part.select(F.expr(twice).alias("n")), "n"),
+          f"WITH k AS (SELECT {twice} AS v, count(*) AS n FROM part GROUP BY 1), g AS (SELECT *, count(*) OVER (PARTITION BY lower(v)) AS k FROM k) SELECT first_value(v) OVER (PARTITION BY lower(v) ORDER BY n DESC, v) AS canonical, v AS variant, n AS rows FROM g WHERE k > 1")
     phone = "CASE c_custkey % 3 WHEN 0 THEN '+15551234567' WHEN 1 THEN '(555) 123-4567' ELSE '555-123-4567' END"
     c.add("d39_phone_formats", lambda t: K.format_mix(t.customer.select(F.expr(phone).alias("phone")), "phone"),
           "SELECT CASE c_custkey % 3 WHEN 0 THEN 'e164' WHEN 1 THEN 'us_parens' ELSE 'us_dashed' END AS format, count(*) AS count FROM customer GROUP BY 1")
@@ -146,6 +156,13 @@ def _consistency(c: Catalog) -> None:
     c.add("d45_repair_typos", lambda t: K.repair_typos(t.part.select("p_partkey", F.expr(SLIPS).alias("n")), "n", "p_partkey").drop("confidence"),
           f"WITH v AS (SELECT p_partkey, {SLIPS} AS n FROM part), k AS (SELECT n, count(*) AS c FROM v GROUP BY 1), j AS (SELECT p_partkey, v.n, f.n AS f, levenshtein(lower(v.n), lower(f.n)) AS d, f.c FROM v JOIN k ON v.n = k.n AND k.c = 1, k f WHERE f.c > 1) "
           "SELECT CAST(p_partkey AS VARCHAR) AS key, 'n' AS \"column\", n AS current, f AS suggested, 'typo' AS kind FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d, c DESC, f) AS r FROM j WHERE d <= greatest(2, greatest(length(n), length(f)) * 0.3)) WHERE r = 1 AND d > 0")
+    slips = "CASE WHEN p_partkey % 97 = 5 THEN md5(CAST(p_partkey % 700 AS VARCHAR(9))) || 'x' ELSE md5(CAST(p_partkey % 700 AS VARCHAR(9))) END"
+    c.add("d45_repair_typos_many", lambda t: K.repair_typos(t.part.select("p_partkey", F.expr(slips).alias("n")), "n", "p_partkey").drop("confidence"),
+          f"WITH v AS (SELECT p_partkey, {slips} AS n FROM part), k AS (SELECT n, count(*) AS c FROM v GROUP BY 1), j AS (SELECT p_partkey, v.n, f.n AS f, levenshtein(v.n, f.n) AS d, f.c FROM v JOIN k ON v.n = k.n AND k.c = 1, k f WHERE f.c > 1) "
+          "SELECT CAST(p_partkey AS VARCHAR) AS key, 'n' AS \"column\", n AS current, f AS suggested, 'typo' AS kind FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d, c DESC, f) AS r FROM j WHERE d <= greatest(2, greatest(length(n), length(f)) * 0.3)) WHERE r = 1 AND d > 0")
+    c.add("d48_cell_repairs_all", lambda t: K.cell_repairs(t.part.select("p_partkey", F.expr(slips).alias("n")), "p_partkey", None).select("key", "current", "suggested"),
+          f"WITH v AS (SELECT p_partkey, {slips} AS n FROM part), k AS (SELECT n, count(*) AS c FROM v GROUP BY 1), j AS (SELECT p_partkey, v.n, f.n AS f, levenshtein(v.n, f.n) AS d, f.c FROM v JOIN k ON v.n = k.n AND k.c = 1, k f WHERE f.c > 1) "
+          "SELECT CAST(p_partkey AS VARCHAR) AS key, n AS current, f AS suggested FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d, c DESC, f) AS r FROM j WHERE d <= greatest(2, greatest(length(n), length(f)) * 0.3)) WHERE r = 1 AND d > 0")
     c.add("d46_repair_numeric", lambda t: K.repair_numeric(t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.expr(SPIKES).alias("q")), "q", "k").select("key", F.col("suggested").cast("double").alias("suggested"), "confidence"),
           f"WITH d AS (SELECT l_orderkey * 10 + l_linenumber AS k, {SPIKES} AS q FROM lineitem), s AS (SELECT avg(q) AS m, stddev_samp(q) AS sd FROM d) SELECT CAST(k AS VARCHAR) AS key, coalesce(CASE WHEN abs(q / 10 - m) < 2 * sd THEN round(q / 10, 2) END, CASE WHEN abs(q / 100 - m) < 2 * sd THEN round(q / 100, 2) END, round(m, 2)) AS suggested, round(greatest(0.5, 1 - sd / abs(q - m)), 2) AS confidence FROM d, s WHERE abs(q - m) / sd > 4")
     odd = "CASE WHEN o_orderkey % 20 = 0 THEN date_format(o_orderdate, 'MM/dd/yyyy') ELSE date_format(o_orderdate, 'yyyy-MM-dd') END"

@@ -60,13 +60,25 @@ def register(c: Catalog) -> None:
     c.add("s3_infer_types", lambda t: R.infer_types(R.read_delimited(t.spark, _csv(t, t.orders.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))), ",")).withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")),
           "SELECT * FROM orders")
     c.add("s4_malformed_rows", lambda t: R.malformed_rows(t.spark, _lines(t, _faulty()), ",").select("row_number", "issue", "severity"),
-          "SELECT p_partkey + 2 AS row_number, CASE WHEN p_partkey % 50 = 3 THEN '1 extra' ELSE '3 extra' END AS issue, CASE WHEN p_partkey % 50 = 3 THEN 'warning' ELSE 'error' END AS severity FROM part WHERE p_partkey % 50 IN (3, 7) ORDER BY row_number LIMIT 500")
+          "SELECT p_partkey + 2 AS row_number, CASE WHEN p_partkey % 50 = 3 THEN '1 extra' ELSE '3 extra' END AS issue, CASE WHEN p_partkey % 50 = 3 THEN 'warning' ELSE 'error' END AS severity FROM part WHERE p_partkey % 50 IN (3, 7)")
     c.add("s5_strict", lambda t: R.read_delimited(t.spark, _lines(t, _faulty()), ",", strict=True).select("key", "name"),
           "SELECT CAST(p_partkey AS VARCHAR) AS key, p_name || ', ' AS name FROM part WHERE p_partkey % 50 NOT IN (3, 7)")
 
+    def quoted(t):
+        """All documents with their text as a field: commas, doubled quotes and line breaks inside."""
+        path = place(t)
+        fields = t.documents.select("doc_id", F.concat(F.lit('"a", '), "text", F.lit(',\n""')).alias("text"), "lang")
+        fields.repartition(4).write.options(header=True, quoteAll=True, **W.CSV_TEXT).csv(path)
+        return path
+
+    texts = """SELECT CAST(doc_id AS VARCHAR) AS doc_id, '"a", ' || text || ',' || chr(10) || '""' AS text, lang FROM documents"""
+    c.add("s1_quoted_texts", lambda t: R.read_delimited(t.spark, quoted(t), ",", multiline=True), texts)
+    c.add("s5_strict_quoted", lambda t: R.read_delimited(t.spark, quoted(t), ",", strict=True, multiline=True), texts)
+    c.add("s4_malformed_quoted", lambda t: R.malformed_rows(t.spark, quoted(t), ",", multiline=True).select("issue"), "SELECT '' AS issue FROM documents WHERE FALSE")
+
     def cleaned(t):
         path = _lines(t, _faulty())
-        return R.drop_malformed(R.read_numbered(t.spark, path), R.malformed_rows(t.spark, path, most=1_000_000)).select("row_number", "key", "note")
+        return R.drop_malformed(R.read_numbered(t.spark, path), R.malformed_rows(t.spark, path)).select("row_number", "key", "note")
 
     c.add("s6_drop_malformed", cleaned, "SELECT p_partkey + 2 AS row_number, CAST(p_partkey AS VARCHAR) AS key, 'x' AS note FROM part WHERE p_partkey % 50 <> 7")
 
@@ -81,12 +93,12 @@ def register(c: Catalog) -> None:
     c.add("s8_json_lines", lambda t: jsonl(t)[0], "SELECT p_partkey, p_name FROM part WHERE p_partkey % 9 <> 0")
     c.add("s8_json_lines_bad", lambda t: jsonl(t)[1].groupBy("value").agg(F.count(F.lit(1)).alias("n")), "SELECT '{\"broken' AS value, count(*) AS n FROM part WHERE p_partkey % 9 = 0")
     nested = lambda t: t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey", F.struct("o_custkey", F.struct("o_orderstatus").alias("s")).alias("c")).agg(
-        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("l")).select("o_orderkey", "c", F.slice("l", 1, 2).alias("l"), F.array("o_orderkey").alias("k"))
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("l")).select("o_orderkey", "c", "l", F.array("o_orderkey").alias("k"))
     item = "(SELECT * FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS r FROM lineitem) WHERE r = {0})"
     c.add("s9_flatten", lambda t: flatten(nested(t)).select("o_orderkey", "`c.o_custkey`", "`c.s.o_orderstatus`", "`l[0].l_partkey`", "`l[1].l_partkey`", "k"),
           f"SELECT o_orderkey, o_custkey AS \"c.o_custkey\", o_orderstatus AS \"c.s.o_orderstatus\", a.l_partkey AS \"l[0].l_partkey\", b.l_partkey AS \"l[1].l_partkey\", '[' || o_orderkey || ']' AS k FROM orders JOIN {item.format(1)} a ON a.l_orderkey = o_orderkey LEFT JOIN {item.format(2)} b ON b.l_orderkey = o_orderkey")
     c.add("s10_main_array", lambda t: explode_main_array(nested(t).select("l", F.array(F.struct("o_orderkey")).alias("short"))),
-          f"SELECT l_linenumber, l_partkey, l_quantity FROM {item.format(1)} UNION ALL SELECT l_linenumber, l_partkey, l_quantity FROM {item.format(2)}")
+          "SELECT l_linenumber, l_partkey, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
     c.add("s11_parquet", lambda t: R.read_parquet(t.spark, f"{t.folder}/customer.parquet"), "SELECT * FROM customer")
 
     def feather(t):
@@ -114,6 +126,13 @@ def register(c: Catalog) -> None:
 
     c.add("s14_sql_dump", lambda t: R.read_sql_dump(t.spark, script(t), "people").select(F.col("c_custkey").cast("long").alias("c_custkey"), "name", F.col("c_acctbal").cast("double").alias("c_acctbal")),
           "SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN 'O''' || c_name || ' (x), y' END AS name, c_acctbal FROM customer")
+    def texts_script(t):
+        path = place(t)
+        W.write_sql_inserts(t.documents.select("doc_id", F.concat(F.lit("it's;\n"), "text", F.lit(" (x);\n")).alias("text")), path, "docs")
+        return path
+
+    c.add("s14_sql_dump_texts", lambda t: R.read_sql_dump(t.spark, texts_script(t), "docs").select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
+          "SELECT doc_id, 'it''s;' || chr(10) || text || ' (x);' || chr(10) AS text FROM documents")
     c.add("s24_sql_sink", lambda t: t.spark.read.text(script(t)).where("value like 'INSERT%'").select(F.regexp_extract("value", r"VALUES \((\d+)", 1).cast("long").alias("c_custkey"), F.col("value").contains("NULL").alias("missing")),
           "SELECT c_custkey, c_custkey % 4 = 0 AS missing FROM customer")
     c.add("s15_gzip", lambda t: R.read_delimited(t.spark, _csv(t, some(t), compression="gzip")), plain)

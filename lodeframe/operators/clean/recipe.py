@@ -13,7 +13,6 @@ from lodeframe.operators.clean import rows as basic
 from lodeframe.session import cut
 
 STEPS_PER_CUT = 20
-SAMPLE_ROWS = 10_000
 
 ACTIONS: dict[str, Callable] = {
     "remove_exact_duplicates": lambda d, c, p: basic.flag_duplicates(d) if p.get("keep") == "keep_all" else basic.drop_duplicates(d, p.get("subset"), p.get("order"), "last" if p.get("keep") == "keep_last" else "first"),
@@ -192,15 +191,14 @@ def what_if_step(df: DataFrame, step: dict) -> DataFrame:
     return apply_step(df, {"action": name, "column": column, "params": params})
 
 
-def hash_sample(df: DataFrame, n: int) -> DataFrame:
-    """n rows by the hash of their values: the same rows however the table is partitioned."""
-    return df.orderBy(F.xxhash64(*[q(c) for c in df.columns])).limit(n)
+def hash_sample(df: DataFrame, pct: int) -> DataFrame:
+    """The rows whose hash falls into the first `pct` hundredths: the same rows however the table is partitioned, and without a sort."""
+    return df if pct >= 100 else df.where(F.pmod(F.xxhash64(*[q(c) for c in df.columns]), F.lit(10_000)) < 100 * pct)
 
 
 def simulate(df: DataFrame, steps: list[dict], pct: int = 10) -> DataFrame:
-    """The table's statistics and readiness before and after the steps, on a sample of at most 10 000 rows."""
-    n = df.count()
-    sample = hash_sample(df, min(max(1, n * pct // 100), SAMPLE_ROWS, max(n, 1)))
+    """The table's statistics and readiness before and after the steps, on `pct` per cent of its rows (100: all)."""
+    sample = hash_sample(df, pct)
     after = commit(sample, steps)
     a, b = table_stats(sample), table_stats(after)
     a["readiness"], b["readiness"] = readiness_score(sample, a), readiness_score(after, b)

@@ -12,7 +12,6 @@ from lodeframe.operators.clean.text import unicode_nfc
 from lodeframe.operators.detect.features import peaks
 from lodeframe.operators.detect.findings import DEFINITIVE, JUDGMENT, Finding
 
-MAX_CASING, MAX_SYNONYMS, MAX_TYPO = 500, 200, 500
 REPAIRS = 200
 
 # Short and long forms of one thing.
@@ -29,6 +28,7 @@ UNIT_RATIOS = (
 FORMAT_COLUMNS = {
     "phone": r"(phone|tel|mobile|fax|cell|contact_number)", "email": r"(email|e[-_]?mail|mail_address)", "url": r"(url|link|website|homepage|webpage|uri)",
 }
+# Domains of throw-away addresses.
 DISPOSABLE = ("mailinator.com", "tempmail.com", "guerrillamail.com")
 FULL_WIDTH = r"[\x{FF01}-\x{FF5E}]"
 
@@ -62,7 +62,7 @@ def text_consistency(df: DataFrame) -> DataFrame:
             continue
         cases = {k: got[k] for k in ("upper", "lower", "title", "mixed") if got[k]}
         odd = sum(cases.values()) - max(cases.values(), default=0)
-        if got["u"] <= MAX_CASING and len(cases) > 1 and odd >= 2:
+        if len(cases) > 1 and odd >= 2:
             found.append((c, "casing", odd))
         spaces = got["leading"] + got["trailing"] + got["multiple"]
         if spaces >= 2:
@@ -76,14 +76,10 @@ def text_consistency(df: DataFrame) -> DataFrame:
 
 
 def synonyms(df: DataFrame, c: str) -> DataFrame:
-    """(canonical, variant, rows): values equal but for case and marks, or known short forms, under the most frequent one.
-
-    Only for columns of 3 to 200 distinct values.
-    """
+    """(canonical, variant, rows): values equal but for case and marks, or known short forms, under the most frequent one, in columns of three values or more."""
     counts = df.select(q(c).cast("string").alias("v")).where("v is not null").groupBy("v").agg(F.count("v").alias("n"))
     schema = "canonical string, variant string, rows long"
-    u = counts.limit(MAX_SYNONYMS + 1).count()
-    if not 3 <= u <= MAX_SYNONYMS:
+    if counts.limit(3).count() < 3:
         return rows(df.sparkSession, [], schema)
     low = F.regexp_replace(F.lower("v"), r"^\.+|\.+$", "")
     groups: dict[str, str] = {}
@@ -94,7 +90,7 @@ def synonyms(df: DataFrame, c: str) -> DataFrame:
     known = F.create_map(*[F.lit(x) for pair in groups.items() for x in pair])
     keyed = counts.withColumn("c0", core).withColumn("core", F.coalesce(F.element_at(known, low), F.element_at(known, F.col("c0")), F.col("c0")))
     best = keyed.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("canonical")).where("k > 1")
-    return keyed.join(F.broadcast(best), "core").select("canonical", F.col("v").alias("variant"), F.col("n").alias("rows"))
+    return keyed.join(best, "core").select("canonical", F.col("v").alias("variant"), F.col("n").alias("rows"))
 
 
 def _phone(c: Column) -> Column:
@@ -159,24 +155,22 @@ REPAIR = "key string, column string, current string, suggested string, confidenc
 
 
 def repair_typos(df: DataFrame, c: str, key: str) -> DataFrame:
-    """Values seen once that are a few letters off a frequent one. Only columns of 2 to 500 distinct values are looked at.
+    """Values seen once that are a few letters off a frequent one: two, or three tenths of the longer one's length.
 
-    The frequent values go along as one literal list, so each rare value meets them in its own row.
+    A rare value meets the frequent ones whose length that rule allows; of those it keeps the nearest, then the most frequent.
     """
     counts = df.select(q(c).alias("v")).where("v is not null").groupBy("v").agg(F.count("v").alias("n"))
-    listed = counts.limit(MAX_TYPO + 1).collect()
-    frequent = sorted((r for r in listed if r["n"] > 1), key=lambda r: (-r["n"], r["v"]))
-    if not 2 <= len(listed) <= MAX_TYPO or not frequent or len(frequent) == len(listed):
-        return rows(df.sparkSession, [], REPAIR)
-    table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r["v"]).alias("f")) for i, r in enumerate(frequent)])
-    rare = [r["v"] for r in listed if r["n"] == 1]
-    once = df.where(q(c).isin(rare)).select(q(key).cast("string").alias("key"), q(c).alias("v"))
-    longest = lambda f: F.greatest(F.char_length("v"), F.char_length(f), F.lit(1))
-    scored = F.transform(table, lambda s: F.struct(F.levenshtein(F.lower("v"), F.lower(s["f"])).alias("d"), s["i"].alias("i"), s["f"].alias("f")))
-    near = F.filter(scored, lambda s: s["d"] <= F.greatest(F.lit(2.0), longest(s["f"]) * 0.3))
-    best = once.withColumn("b", F.array_min(near)).where("b is not null and b.d > 0")
-    sure = F.round(F.greatest(F.lit(0.5), 1 - F.col("b.d") / longest(F.col("b.f"))), 2)
-    return best.select("key", F.lit(c).alias("column"), F.col("v").alias("current"), F.col("b.f").alias("suggested"), sure.alias("confidence"), F.lit("typo").alias("kind"))
+    size = F.char_length("v")
+    lengths = F.sequence(F.greatest(F.lit(0), F.least(size - 2, F.ceil(size * 0.7).cast("int"))), F.greatest(size + 2, F.floor((size + 0.001) / 0.7).cast("int")))
+    rare = counts.where("n = 1").select("v", F.explode(lengths).alias("size"))
+    frequent = counts.where("n > 1").select(F.col("v").alias("f"), F.col("n").alias("uses"), size.alias("size"))
+    longest = F.greatest(F.char_length("v"), F.char_length("f"), F.lit(1))
+    off = F.levenshtein(F.lower("v"), F.lower("f"))
+    met = rare.join(frequent, "size").select("v", "f", "uses", off.alias("d")).where(F.col("d") <= F.greatest(F.lit(2.0), longest * 0.3))
+    best = met.groupBy("v").agg(F.min(F.struct("d", (-F.col("uses")).alias("less"), "f")).alias("b")).where("b.d > 0").select("v", "b.d", "b.f")
+    once = df.select(q(key).cast("string").alias("key"), q(c).alias("v")).join(best, "v")
+    sure = F.round(F.greatest(F.lit(0.5), 1 - F.col("d") / longest), 2)
+    return once.select("key", F.lit(c).alias("column"), F.col("v").alias("current"), F.col("f").alias("suggested"), sure.alias("confidence"), F.lit("typo").alias("kind"))
 
 
 def repair_numeric(df: DataFrame, c: str, key: str) -> DataFrame:
@@ -215,8 +209,8 @@ def repair_dates(df: DataFrame, c: str, key: str) -> DataFrame:
     )
 
 
-def cell_repairs(df: DataFrame, key: str, top: int = REPAIRS) -> DataFrame:
-    """All suggestions, the surest first."""
+def cell_repairs(df: DataFrame, key: str, top: int | None = REPAIRS) -> DataFrame:
+    """The `top` suggestions, the surest first; None: all."""
     found = rows(df.sparkSession, [], REPAIR)
     for c in scalar_columns(df):
         if c == key:
@@ -225,7 +219,7 @@ def cell_repairs(df: DataFrame, key: str, top: int = REPAIRS) -> DataFrame:
             found = found.unionByName(repair_typos(df, c, key)).unionByName(repair_dates(df, c, key))
         elif c in numeric_columns(df):
             found = found.unionByName(repair_numeric(df, c, key))
-    return found.orderBy(F.col("confidence").desc(), "column", "key").limit(top)
+    return found if top is None else found.orderBy(F.col("confidence").desc(), "column", "key").limit(top)
 
 
 _FIXES = {"casing": "standardize_casing", "whitespace": "standardize_whitespace", "unicode": "normalize_unicode"}

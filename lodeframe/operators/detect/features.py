@@ -153,6 +153,22 @@ def peaks(df: DataFrame, c: str, points: int) -> list[float]:
     return [curve[i][0] for i in range(1, len(curve) - 1) if curve[i][1] > curve[i - 1][1] and curve[i][1] > curve[i + 1][1]]
 
 
+# Scalings by priority, and the ranges (least, most; open ends None, bounds excluded) that a column's measures must lie in.
+SCALINGS = (
+    ("binarize", {"peaks": (1, None)}), ("minmax_scale", {"below zero": (None, 0.5), "above one": (None, 0.5)}), ("maxabs_scale", {"zeros": (0.3, None)}),
+    ("log1p_transform", {"skew": (2, None), "below zero": (None, 0.5)}), ("boxcox_transform", {"skew": (1, None), "least": (0, None)}), ("yeojohnson_transform", {"skew": (1, None)}),
+    ("robust_scale", {"beyond": (5, None)}), ("robust_scale", {"kurtosis": (10, None)}), ("standard_scale", {}),
+)
+PEAK_ROWS, PEAK_VALUES = 20, 5
+
+
+def _scaling(measures: dict[str, float]) -> str:
+    def inside(ranges: dict) -> bool:
+        return all((low is None or measures[m] > low) and (high is None or measures[m] < high) for m, (low, high) in ranges.items())
+
+    return next(name for name, ranges in SCALINGS if inside(ranges))
+
+
 def scaling_plan(df: DataFrame) -> DataFrame:
     """(column, strategy, skewness, kurtosis, outlier_pct) for every numeric column that varies."""
     cols = numeric_columns(df)
@@ -166,23 +182,11 @@ def scaling_plan(df: DataFrame) -> DataFrame:
             continue
         skew, kurt = adjusted_shape(m["n"], m["skew"], m["kurt"])
         beyond = 100.0 * boxes[c]["outliers"] / m["n"] if boxes[c]["q3"] > boxes[c]["q1"] else 0.0
-        if m["n"] >= 20 and u > 5 and len(peaks(df, c, 100)) >= 2:
-            strategy = "binarize"
-        elif m["min"] >= 0 and m["max"] <= 1:
-            strategy = "minmax_scale"
-        elif m["zero"] > 0.3 * m["n"]:
-            strategy = "maxabs_scale"
-        elif abs(skew) > 2 and m["min"] >= 0:
-            strategy = "log1p_transform"
-        elif abs(skew) > 1 and m["min"] > 0:
-            strategy = "boxcox_transform"
-        elif abs(skew) > 1:
-            strategy = "yeojohnson_transform"
-        elif beyond > 5 or kurt > 10:
-            strategy = "robust_scale"
-        else:
-            strategy = "standard_scale"
-        found.append((c, strategy, skew, kurt, beyond))
+        measures = {
+            "peaks": len(peaks(df, c, 100)) if m["n"] >= PEAK_ROWS and u > PEAK_VALUES else 0, "below zero": float(m["min"] < 0), "above one": float(m["max"] > 1),
+            "zeros": m["zero"] / m["n"], "skew": abs(skew), "least": m["min"], "beyond": beyond, "kurtosis": kurt,
+        }
+        found.append((c, _scaling(measures), skew, kurt, beyond))
     return rows(df.sparkSession, found, "column string, strategy string, skewness double, kurtosis double, outlier_pct double")
 
 

@@ -19,6 +19,8 @@ FUTURE = (
     r"(end[-_]?date|end[-_]?time|expiry|expiration)",
 )
 ID_NAMES = r"^(id|_id|row_?id|index|record_?id|entry_?id|seq|sequence|serial|number)$|([-_]id$|[-_]key$|[-_]num$)"
+# A number is checked like a category if it has few values, or if its values repeat this often on average.
+FEW_VALUES, ROWS_PER_VALUE = 50, 5
 SCHEMA = "column string, kind string, score double"
 
 
@@ -42,7 +44,8 @@ def perfect_predictors(df: DataFrame, target: str) -> DataFrame:
             if r is not None and abs(r) > 0.95:
                 found.append((c, "correlation", round(abs(r), 4)))
                 continue
-        if is_string(df, c) or df.select(F.count_distinct(q(c))).first()[0] <= 50:
+        n = facts(df, {"u": F.count_distinct(q(c)), "k": F.count(q(c))})
+        if is_string(df, c) or n["u"] <= FEW_VALUES or n["k"] >= ROWS_PER_VALUE * n["u"]:
             p = purity(df, c, target)
             if p is not None and p > 0.98:
                 found.append((c, "purity", round(p, 4)))

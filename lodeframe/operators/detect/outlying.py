@@ -121,21 +121,19 @@ def score_outliers(df: DataFrame, c: str, key: str, order: str | None = None, st
     return merged.select("key", "value", "methods", likelihood.alias("likelihood"), (likelihood > 0.6).alias("likely_error"))
 
 
+# Treatments by priority, and the limits that the measures of a column's outliers must exceed for each.
+TREATMENTS = (
+    ("replace_boundary", {"by rule": 0, "errors": 0.8}), ("remove_outlier_rows", {"errors": 0.7, "rare": -0.02}), ("winsorize", {"errors": 0.3}), ("log_transform", {"skew": 2.0, "least": 0}), ("flag_outlier", {}),
+)
+
+
 def treatment(scored: DataFrame, n: int, stats: dict) -> tuple[str, int]:
     """What to do with the outliers of a column, and how many there are."""
     f = facts(scored, {"t": F.count(F.lit(1)), "e": F.count_if("likely_error"), "r": F.count_if(F.array_contains("methods", "business_rule"))})
-    total, ratio = f["t"], f["e"] / f["t"] if f["t"] else 0.0
-    if not total:
+    if not f["t"]:
         return "none", 0
-    if f["r"] and ratio > 0.8:
-        return "replace_boundary", total
-    if ratio > 0.7 and total < 0.02 * n:
-        return "remove_outlier_rows", total
-    if ratio > 0.3:
-        return "winsorize", total
-    if stats["skew"] > 2.0 and stats["min"] > 0:
-        return "log_transform", total
-    return "flag_outlier", total
+    measures = {"by rule": f["r"], "errors": f["e"] / f["t"], "rare": -f["t"] / n, "skew": stats["skew"], "least": stats["min"]}
+    return next(name for name, limits in TREATMENTS if all(measures[m] > least for m, least in limits.items())), f["t"]
 
 
 # rows of many columns

@@ -4,21 +4,20 @@ from __future__ import annotations
 
 from itertools import combinations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.functions.columns import clean, dtype, facts, is_numeric, is_string, is_time, numeric_columns, q, rows, same, scalar_columns
-from lodeframe.functions.strings import clusters_of, jaro_winkler
 from lodeframe.operators.clean.rows import null_share, sparse_limit
 from lodeframe.operators.detect.findings import DEFINITIVE, JUDGMENT, Finding
+from lodeframe.operators.links import components, near_links
 from lodeframe.operators.profile.numeric import adjusted_shape, box_facts, moments, numbers
 from lodeframe.operators.profile.relations import as_numbers, pearson_pairs
 from lodeframe.operators.tests import mann_whitney_values
 
 SAME_SHARE = 0.98
 NEAR = 0.85
-FEW_VALUES, MANY_VALUES = 2, 1000
+FEW_VALUES = 2
 PAIRS_PER_JOB = 150
 MATRIX_ROWS = 200
 
@@ -62,38 +61,28 @@ def derived_columns(df: DataFrame) -> DataFrame:
     return rows(df.sparkSession, found, "col1 string, col2 string, slope double, intercept double, r_squared double")
 
 
-def near_pairs(df: DataFrame, c: str, least: float = NEAR) -> DataFrame:
-    """(a, b, similarity): different values of one column that are nearly the same by Jaro and Winkler.
+def _values(df: DataFrame, c: str) -> DataFrame:
+    return df.select(q(c).cast("string").alias("v")).where("v is not null").groupBy("v").agg(F.count("v").alias("n"))
 
-    Only columns of 3 to 999 distinct values are looked at, so the list every task compares its values with has a fixed
-    bound; values are spread over tasks and only close pairs are written.
-    """
-    counts = df.select(q(c).cast("string").alias("v")).where("v is not null").groupBy("v").agg(F.count("v").alias("n"))
-    listed = [r["v"] for r in counts.select("v").limit(MANY_VALUES).collect()]
-    schema = "a string, b string, similarity double"
-    if not FEW_VALUES < len(listed) < MANY_VALUES:
-        return rows(df.sparkSession, [], schema)
-    known = df.sparkSession.sparkContext.broadcast(sorted(listed))
 
-    @F.pandas_udf("array<struct<b:string,s:double>>")
-    def close(values: pd.Series) -> pd.Series:
-        out = []
-        for v in values:
-            scored = [(w, jaro_winkler(v, w)) for w in known.value if v < w]
-            out.append([{"b": w, "s": s} for w, s in scored if least <= s < 1.0])
-        return pd.Series(out)
+def near_pairs(df: DataFrame, c: str, least: float = NEAR) -> DataFrame:
+    """(a, b, similarity): different values of one column, of three or more, that are nearly the same by Jaro and Winkler.
 
-    hits = counts.select(F.col("v").alias("a"), F.explode(close("v")).alias("h"))
-    return hits.select("a", F.col("h.b").alias("b"), F.col("h.s").alias("similarity"))
+    Blocks of distinct values meet pairwise in tasks; the work grows with the square of the distinct values, its result with the pairs.
+    """
+    values = _values(df, c).select("v")
+    if values.limit(FEW_VALUES + 1).count() <= FEW_VALUES:
+        return rows(df.sparkSession, [], "a string, b string, similarity double")
+    return near_links(values, least)
 
 
 def near_duplicates(df: DataFrame, c: str, least: float = NEAR) -> DataFrame:
     """(cluster, value, rows): values linked through near-equal pairs; the cluster is named by its first value."""
-    edges = [(r["a"], r["b"]) for r in near_pairs(df, c, least).collect()]
-    named = clusters_of(edges)
-    table = rows(df.sparkSession, named.items(), "value string, cluster string")
-    counts = df.select(q(c).cast("string").alias("value")).where("value is not null").groupBy("value").agg(F.count("value").alias("rows"))
-    return counts.join(F.broadcast(table), "value").select("cluster", "value", "rows")
+    counts = _values(df, c)
+    if counts.limit(FEW_VALUES + 1).count() <= FEW_VALUES:
+        return rows(df.sparkSession, [], "cluster string, value string, rows long")
+    named = components(near_links(counts.select("v"), least, spanning=True))
+    return counts.join(named, counts.v == named.node).select(F.col("comp").alias("cluster"), F.col("v").alias("value"), F.col("n").alias("rows"))
 
 
 def null_facts(df: DataFrame) -> tuple[int, dict[str, int]]:
@@ -152,11 +141,11 @@ def mcar_test(df: DataFrame, alpha: float = 0.05) -> DataFrame:
     return rows(df.sparkSession, found, "column string, mean_p double, mcar boolean")
 
 
-def nullity_matrix(df: DataFrame, n: int = MATRIX_ROWS) -> DataFrame:
-    """1 for present and 0 for null, on some rows picked by hash, for the columns that have nulls."""
+def nullity_matrix(df: DataFrame, n: int | None = MATRIX_ROWS) -> DataFrame:
+    """1 for present and 0 for null, on `n` rows picked by hash (None: on all), for the columns that have nulls."""
     _, nulls = null_facts(df)
     cols = [c for c, k in nulls.items() if k]
-    picked = df.orderBy(F.xxhash64(*[q(c) for c in scalar_columns(df)])).limit(n)
+    picked = df if n is None else df.orderBy(F.xxhash64(*[q(c) for c in scalar_columns(df)])).limit(n)
     return picked.select(*[clean(df, c).isNotNull().cast("int").alias(c) for c in cols])
 
 
@@ -224,9 +213,9 @@ def structure_findings(df: DataFrame) -> list[Finding]:
     for r in derived_columns(df).collect():
         found.append(Finding([r["col2"]], "duplicates", "drop_derived_column", JUDGMENT, f"a line of {r['col1']}", 0, {"slope": r["slope"], "intercept": r["intercept"]}))
     for c in [c for c in scalar_columns(df) if is_string(df, c)]:
-        groups = near_duplicates(df, c).groupBy("cluster").agg(F.sum("rows").alias("n")).collect()
-        if groups:
-            found.append(Finding([c], "duplicates", "merge_near_duplicates", JUDGMENT, f"{len(groups)} groups of near-equal values", sum(g["n"] for g in groups)))
+        groups = near_duplicates(df, c).agg(F.count_distinct("cluster").alias("k"), F.sum("rows").alias("n")).first()
+        if groups["k"]:
+            found.append(Finding([c], "duplicates", "merge_near_duplicates", JUDGMENT, f"{groups['k']} groups of near-equal values", groups["n"]))
     for c, k, pct, strategy, pattern in missing_strategies(df):
         found.append(Finding([c], "missing_values", strategy, JUDGMENT, f"{pct} % null", k, {"pattern": pattern}))
     return found + sparse_rows(df)

@@ -1,6 +1,6 @@
 """Work that needs the global order of rows, cut into value ranges so that no task sees more than its share.
 
-The order column is cut at sketched quantiles. A value that fills several ranges by itself (a third of all rows may share
+The order column is cut at sketched quantiles of its value as a double; inside a range the column itself decides. A value that fills several ranges by itself (a third of all rows may share
 one timestamp) is cut again along the key. The range of a row depends on its values alone, so a lost executor recomputes the
 same ranges. Each range is one window partition; what it needs from earlier ranges is a table of one row per range.
 """
@@ -12,8 +12,9 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodeframe.functions.columns import as_number, clean, facts, is_numeric, is_time, q, same
+from lodeframe.functions.columns import as_number, clean, dtype, facts, is_numeric, is_time, q, same
 from lodeframe.session import cut
 
 _LAST = 1.7976931348623157e308
@@ -47,7 +48,8 @@ def with_ranges(df: DataFrame, order: str, key: str | None = None, ranges: int |
     bucketizer = Bucketizer(splits=splits, inputCol="_x", outputCol="_cut", handleInvalid="keep")
     df = bucketizer.transform(df)
     sub = F.lit(0)
-    hot = [c for c in sorted(repeats) if repeats[c] > 1]
+    # Beyond 2^53 several whole numbers share a double; they stay in one range, where they are told apart.
+    hot = [c for c in sorted(repeats) if repeats[c] > 1 and (abs(c) < 2**53 or c == _LAST or not isinstance(dtype(df, order), T.IntegralType))]
     if hot and key is not None and (is_numeric(df, key) or is_time(df, key)):
         key_number = as_number(df, key)
         pieces = max(repeats.values()) + 1
@@ -97,7 +99,7 @@ def with_position(df: DataFrame, order: str, key: str, partition: list[str] | No
     ranged = with_ranges(df, order, key)
     sizes = ranged.groupBy(*[q(c) for c in partition], "_range").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_skip", F.coalesce(F.sum("_n").over(_before(partition)), F.lit(0))).drop("_n")
-    local = F.row_number().over(_inside(partition, F.col("_x"), q(key))).cast("long")
+    local = F.row_number().over(_inside(partition, F.col("_x"), q(order), q(key))).cast("long")
     placed = _join_ranges(ranged.withColumn("_local", local), sizes, partition)
     return placed.withColumn("_pos", F.col("_local") + F.col("_skip") - 1).drop("_local", "_skip", "_range", "_x")
 
@@ -107,14 +109,14 @@ def fill(df, cols: list[str], order: str, key: str, partition: list[str] | None
     partition = partition or []
     names = df.columns
     ranged = with_ranges(df, order, key)
-    at = F.struct(F.col("_x"), q(key))
+    at = F.struct(F.col("_x"), q(order).alias("_o"), q(key).alias("_k"))
     pick = F.max_by if forward else F.min_by
     carried = ranged.groupBy(*[q(c) for c in partition], "_range").agg(
         *[pick(q(c), F.when(q(c).isNotNull(), at)).alias(f"_carry_{i}") for i, c in enumerate(cols)]
     )
     for i in range(len(cols)):
         carried = carried.withColumn(f"_carry_{i}", F.last(f"_carry_{i}", True).over(_before(partition, forward)))
-    sides = (F.col("_x").asc(), q(key).asc()) if forward else (F.col("_x").desc(), q(key).desc())
+    sides = (F.col("_x").asc(), q(order).asc(), q(key).asc()) if forward else (F.col("_x").desc(), q(order).desc(), q(key).desc())
     w = _inside(partition, *sides).rowsBetween(Window.unboundedPreceding, 0)
     ranged = ranged.withColumns({f"_near_{i}": F.last(q(c), True).over(w) for i, c in enumerate(cols)})
     joined = _join_ranges(ranged, carried, partition)
@@ -149,7 +151,7 @@ def cumulative(counts: DataFrame, order: str, measures: list[str], partition: li
     skips = {f"_skip_{m}": F.coalesce(F.sum(f"_s_{m}").over(_before(partition)), F.lit(0)) for m in measures}
     totals = {f"total_{m}": F.sum(f"_s_{m}").over(whole) for m in measures}
     sums = sums.withColumns(skips | totals).drop(*[f"_s_{m}" for m in measures])
-    w = _inside(partition, F.col("_x")).rowsBetween(Window.unboundedPreceding, 0)
+    w = _inside(partition, F.col("_x"), q(order)).rowsBetween(Window.unboundedPreceding, 0)
     ranged = ranged.withColumns({f"cum_{m}": F.sum(q(m)).over(w) for m in measures})
     joined = _join_ranges(ranged, sums, partition)
     joined = joined.withColumns({f"cum_{m}": F.col(f"cum_{m}") + F.col(f"_skip_{m}") for m in measures})

@@ -15,7 +15,6 @@ from lodeframe.operators.ordered import value_ranks
 from lodeframe.operators.quantiles import quantiles
 
 PAIRS_PER_JOB = 100
-MAX_LEVELS = 500
 MI_BINS = 10
 
 
@@ -225,7 +224,7 @@ def vif(df: DataFrame, cols: list[str] | None = None, threshold: float = 5.0) ->
 
 
 def roles(df: DataFrame) -> tuple[list[str], list[str], list[str]]:
-    """Numeric, categorical and two-valued columns for association measures."""
+    """Numeric, categorical and two-valued columns for association measures; a column whose values all differ is a key, not a category."""
     cols = scalar_columns(df)
     got = facts(df, {"_n": F.count(F.lit(1))} | {f"u{i}": F.count_distinct(clean(df, c)) for i, c in enumerate(cols)} | {f"k{i}": F.count(clean(df, c)) for i, c in enumerate(cols)})
     numbers, categories, binaries = [], [], []
@@ -235,7 +234,7 @@ def roles(df: DataFrame) -> tuple[list[str], list[str], list[str]]:
             numbers.append(c)
         elif u == 2:
             binaries.append(c)
-        elif 1 < u <= MAX_LEVELS:
+        elif 1 < u < got[f"k{i}"]:
             categories.append(c)
     return numbers, categories, binaries
 

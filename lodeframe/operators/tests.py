@@ -207,15 +207,16 @@ def suggest_tests(df: DataFrame) -> list[tuple[str, tuple[str, ...]]]:
     return found
 
 
-def discover(df: DataFrame, limit: int = 10) -> DataFrame:
+def discover(df: DataFrame, limit: int | None = 10) -> DataFrame:
     """The most telling pairs of columns: correlations of at least .2, and group tests and tables with p up to .1.
 
-    Significant ones first, then by effect size: r squared, eta squared or Cramér's V.
+    Significant ones first, then by effect size: r squared, eta squared or Cramér's V. Texts of any number of levels take part, unless
+    all values differ. `limit` None: all pairs found.
     """
     numbers = numeric_columns(df)
     texts = [c for c in scalar_columns(df) if is_string(df, c)]
-    levels = facts(df, {f"u{i}": F.count_distinct(q(c)) for i, c in enumerate(texts)}) if texts else {}
-    few = {c: levels[f"u{i}"] for i, c in enumerate(texts)}
+    levels = facts(df, {f"u{i}": F.count_distinct(q(c)) for i, c in enumerate(texts)} | {f"k{i}": F.count(q(c)) for i, c in enumerate(texts)}) if texts else {}
+    texts = [c for i, c in enumerate(texts) if 2 <= levels[f"u{i}"] < levels[f"k{i}"]]
     found = []
     pairs = list(combinations(numbers, 2))
     strong = {p: v for p, v in pearson_pairs(df, {c: clean(df, c).cast("double") for c in numbers}, pairs).items() if v[0] is not None and v[1] >= 10 and abs(v[0]) >= 0.2}
@@ -223,8 +224,6 @@ def discover(df: DataFrame, limit: int = 10) -> DataFrame:
     for (a, b), (r, n) in strong.items():
         found.append(("pearson", a, b, r, special.correlation_p(r, n), r * r, ranks[(a, b)][0]))
     for c in texts:
-        if not 2 <= few[c] <= 20:
-            continue
         for x in numbers:
             groups = group_sums(df, clean(df, x), q(c)).where("n >= 3")
             f = between_within(groups)
@@ -233,7 +232,7 @@ def discover(df: DataFrame, limit: int = 10) -> DataFrame:
             stat, p, _, _ = _anova_values(f)
             if p <= 0.1:
                 found.append(("anova", c, x, stat, p, f["between"] / (f["between"] + f["within"]) if f["between"] + f["within"] else 0.0, None))
-    for a, b in combinations([c for c in texts if 2 <= few[c] <= 30], 2):
+    for a, b in combinations(texts, 2):
         stat, p, _, f = chi_square_values(df, a, b)
         if p <= 0.1:
             found.append(("chi_square", a, b, stat, p, math.sqrt(stat / (f["n"] * (min(f["r"], f["c"]) - 1))), None))

@@ -10,8 +10,9 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodeframe.functions.columns import is_numeric, is_time, q, same
+from lodeframe.functions.columns import as_number, dtype, is_numeric, is_time, q, same
 from lodeframe.operators.ordered import cumulative, in_blocks, with_position
 
 GROUP_ROWS = 5_000_000
@@ -110,6 +111,8 @@ def add_window(df: DataFrame, window: dict, name: str, group_rows: int = GROUP_R
     if window.get("distinct") and function in _TOTALS:
         return _distinct_running(df, window, function, keys, name)
     w = _window_spec(window)
+    if function in ("ROW_NUMBER", "NTILE", "LAG", "LEAD") and orders and not any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in df.schema):
+        w = w.orderBy(*[q(c).desc_nulls_last() if desc else q(c).asc_nulls_last() for c, desc in orders], F.xxhash64(*[q(c) for c in df.columns]))  # ties go as in the split plan
     if function in _RANKING:
         return df.withColumn(name, _call(window).over(w).cast("long"))
     if function in ("LAG", "LEAD"):
@@ -217,8 +220,11 @@ def _split(df, window, function, keys, order, name) -> DataFrame | None:
 
 
 def _rising(df: DataFrame, column: str, descending: bool) -> Column:
-    """The order value as a double that rises in the order asked for; null stays null and so comes last."""
-    from lodeframe.functions.columns import as_number
-
+    """The order value, exact, as a number that rises in the order asked for; null stays null and so comes last."""
+    if isinstance(dtype(df, column), T.IntegralType):
+        return F.bitwise_not(q(column).cast("long")) if descending else q(column).cast("long")
+    if is_time(df, column):
+        moment = F.unix_micros(q(column).cast("timestamp"))
+        return -moment if descending else moment
     number = as_number(df, column)
     return -number if descending else number

@@ -14,13 +14,11 @@ SUFFIXES = {
     "csv": "csv", "tsv": "csv", "txt": "csv", "json": "json", "jsonl": "json", "ndjson": "json", "xml": "xml", "parquet": "parquet", "pq": "parquet",
     "feather": "feather", "arrow": "feather", "sql": "sql", "xlsx": "excel", "xlsm": "excel", "xls": "excel", "zip": "compressed", "gz": "compressed",
 }
-HEAD = 4096
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, format, encoding): by first bytes, else suffix, else content; by byte order mark, else by what decodes."""
     files = spark.read.format("binaryFile").load(path)
-    head = F.substring("content", 1, HEAD)
     start = F.hex(F.substring("content", 1, 8))
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     office = suffix.isin("xlsx", "xlsm")
@@ -29,7 +27,7 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
         found = F.when(office, "excel").otherwise(name) if signature == "504B0304" else F.lit(name)
         by_bytes = F.when(start.startswith(signature), found).otherwise(by_bytes)
     by_suffix = F.element_at(F.create_map(*[F.lit(x) for pair in SUFFIXES.items() for x in pair]), suffix)
-    text = F.trim(F.make_valid_utf8(head.cast("string")))
+    text = F.trim(F.make_valid_utf8(F.col("content").cast("string")))
     upper = F.upper(text)
     by_content = (
         F.when(text == "", "unknown").when(text.rlike(r"^[{\[]"), "json").when(text.startswith("<") & text.rlike("</|/>"), "xml")

@@ -16,7 +16,6 @@ from lodeframe.functions.columns import facts, is_string, q, rows, scalar_column
 from lodeframe.functions.dates import parsed_time
 from lodeframe.sources.nested import flatten
 
-REPORT_ROWS = 500
 DELIMITERS = (",", ";", "\t", "|")
 
 
@@ -33,22 +32,50 @@ def field_count(line: Column, sep: str) -> Column:
     return F.size(F.split(outside_quotes(line), _regex(sep)))
 
 
-def numbered_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """(file, row_number, value), counted from 1 within each file.
+def numbered_lines(spark: SparkSession, path: str, encoding: str = "utf-8", sep: str | None = None) -> DataFrame:
+    """(file, row_number, value), counted from 1 within each file; `sep` ends a line if that isn't the line break.
 
     Every split of a file counts its own lines; only one number per split is needed to place them.
     """
     reader = spark.read if encoding.lower() in ("utf-8", "utf8") else spark.read.option("encoding", encoding)
+    reader = reader.option("lineSep", sep) if sep else reader
     text = reader.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_at")
     )
     sizes = text.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = sizes.select(F.col("file").alias("_f"), F.col("block").alias("_b"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
-    joined = text.join(F.broadcast(placed), (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b")))
+    joined = text.join(placed, (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b")))
     return joined.select("file", (F.col("_at") - F.col("first") + F.col("skip") + 1).alias("row_number"), "value")
 
 
+def joined_lines(lines: DataFrame, marks: Column, glue: str, stretch: int = 100_000) -> DataFrame:
+    """Numbered lines with those joined that a quoted text runs across; a record keeps the number of its first line.
+
+    `marks` counts a line's quotes. A line starts inside a quoted text if an odd number comes before it in its file: stretches of lines
+    add theirs up, one number for each stretch places it, and the lines of a record meet by the record's number.
+    """
+    lines = lines.withColumn("_odd", (marks % 2).cast("long")).withColumn("_stretch", F.floor((F.col("row_number") - 1) / stretch))
+    sums = lines.groupBy("file", "_stretch").agg(F.sum("_odd").alias("_n"))
+    before = Window.partitionBy("file").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("file", "_stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
+    inside = Window.partitionBy("file", "_stretch").orderBy("row_number")
+    open_ = F.coalesce(F.sum("_odd").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_skip")
+    flagged = lines.join(sums, ["file", "_stretch"]).withColumn("_first", (open_ % 2 == 0).cast("long")).drop("_odd", "_skip")
+    firsts = flagged.groupBy("file", "_stretch").agg(F.sum("_first").alias("_n"))
+    firsts = firsts.select("file", "_stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
+    numbered = flagged.join(firsts, ["file", "_stretch"]).withColumn("_record", F.col("_skip") + F.sum("_first").over(inside))
+    parts = F.array_sort(F.collect_list(F.struct("row_number", "value")))
+    records = numbered.groupBy("file", "_record").agg(parts.alias("_p"))
+    return records.select("file", F.get("_p", F.lit(0)).getField("row_number").alias("row_number"), F.array_join(F.transform("_p", lambda x: x["value"]), glue).alias("value"))
+
+
+def numbered_records(spark: SparkSession, path: str, encoding: str = "utf-8", multiline: bool = False) -> DataFrame:
+    """The numbered lines of a delimited file or, with `multiline`, its records, whose quoted fields may hold line breaks."""
+    lines = numbered_lines(spark, path, encoding)
+    return joined_lines(lines, F.char_length(F.regexp_replace("value", '[^"]', "")), "\n") if multiline else lines
+
+
 def detect_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """(delimiter, score) best first: mean number of fields, less where lines disagree; space counts only if nothing else splits."""
     lines = spark.read.option("encoding", encoding).text(path).where(F.trim("value") != "")
@@ -69,48 +96,54 @@ def delimiter_of(spark: SparkSession, path: str, encoding: str = "utf-8") -> str
     return next((r["delimiter"] for r in detect_delimiter(spark, path, encoding).collect() if r["chosen"]), ",")
 
 
+# Quotes inside a quoted field are doubled.
+QUOTING = {"quote": '"', "escape": '"', "emptyValue": "", "maxCharsPerColumn": "-1"}
+
+
 def _header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str]:
-    return spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("enforceSchema", False).csv(path).columns
+    return spark.read.options(header=True, sep=sep, encoding=encoding, enforceSchema=False, **QUOTING).csv(path).columns
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "utf-8", strict: bool = False) -> DataFrame:
-    """Every field as text, empty ones as empty text. `strict` keeps only lines with as many fields as the header.
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "utf-8", strict: bool = False, multiline: bool = False) -> DataFrame:
+    """Every field as text, empty ones as empty text. `strict` keeps only records with as many fields as the header.
 
-    Files are split by Spark, so size makes no difference; a codec is told by the file's suffix.
+    Files are split by Spark, so size makes no difference; a codec is told by the file's suffix. Quoted fields may hold the delimiter and
+    doubled quotes; with `multiline` line breaks too, and then a file is read by one task (with `strict`, by many).
     """
     sep = sep or delimiter_of(spark, path, encoding)
     if strict:
-        return read_numbered(spark, path, sep, encoding, strict=True).drop("file", "row_number")
-    df = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("mode", "PERMISSIVE").option("emptyValue", "").csv(path)
+        return read_numbered(spark, path, sep, encoding, strict=True, multiline=multiline).drop("file", "row_number")
+    df = spark.read.options(header=True, sep=sep, encoding=encoding, mode="PERMISSIVE", multiLine=multiline, **QUOTING).csv(path)
     return df.select(*[F.coalesce(q(c), F.lit("")).alias(c) for c in df.columns])
 
 
-def read_numbered(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8", strict: bool = False) -> DataFrame:
+def read_numbered(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8", strict: bool = False, multiline: bool = False) -> DataFrame:
     """As read_delimited, with file and row_number (the header is line 1), for joins with a report on lines."""
     header = _header(spark, path, sep, encoding)
-    lines = numbered_lines(spark, path, encoding).where("row_number > 1").where(F.trim("value") != "")
+    lines = numbered_records(spark, path, encoding, multiline).where("row_number > 1").where(F.trim("value") != "")
     if strict:
         lines = lines.where(field_count(F.col("value"), sep) == len(header))
     schema = ", ".join(f"`{h}` STRING" for h in header)
-    parsed = lines.withColumn("_row", F.from_csv("value", schema, {"sep": sep, "emptyValue": ""}))
+    parsed = lines.withColumn("_row", F.from_csv("value", schema, {"sep": sep, "multiLine": "true", **QUOTING}))
     return parsed.select("file", "row_number", *[F.coalesce(F.col("_row").getField(h), F.lit("")).alias(h) for h in header])
 
 
-def malformed_rows(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8", most: int = REPORT_ROWS) -> DataFrame:
-    """(file, row_number, raw, issue, severity): lines whose fields do not match the header, and undecodable characters.
+def malformed_rows(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8", most: int | None = None, multiline: bool = False) -> DataFrame:
+    """(file, row_number, raw, issue, severity): records whose fields do not match the header, and undecodable characters.
 
-    Up to two fields off is a warning, more an error. The report holds the first 500 lines.
+    Up to two fields off is a warning, more an error. In the order of the file; `most` cuts it for display.
     """
     expected = len(_header(spark, path, sep, encoding))
-    lines = numbered_lines(spark, path, encoding).where("row_number > 1").withColumn("raw", F.trim("value")).where("raw <> ''")
+    lines = numbered_records(spark, path, encoding, multiline).where("row_number > 1").withColumn("raw", F.trim("value")).where("raw <> ''")
     off = field_count(F.col("raw"), sep) - F.lit(expected)
     count = F.when(off != 0, F.struct(
         F.when(off > 0, F.concat(off.cast("string"), F.lit(" extra"))).otherwise(F.concat((-off).cast("string"), F.lit(" missing"))).alias("issue"),
         F.when(F.abs(off) <= 2, "warning").otherwise("error").alias("severity"),
     ))
-    coded = F.when(F.col("raw").contains("�"), F.struct(F.lit("replacement characters").alias("issue"), F.lit("warning").alias("severity")))
+    coded = F.when(F.col("raw").contains("\ufffd"), F.struct(F.lit("replacement characters").alias("issue"), F.lit("warning").alias("severity")))
     found = lines.withColumn("_i", F.explode(F.filter(F.array(count, coded), lambda x: x.isNotNull())))
-    return found.select("file", "row_number", "raw", "_i.issue", "_i.severity").orderBy("file", "row_number").limit(most)
+    found = found.select("file", "row_number", "raw", "_i.issue", "_i.severity").orderBy("file", "row_number")
+    return found if most is None else found.limit(most)
 
 
 def drop_malformed(numbered: DataFrame, report: DataFrame) -> DataFrame:
@@ -125,8 +158,8 @@ def malformed_comparison(spark: SparkSession, path: str, numbered: DataFrame, en
     return raw.withColumnRenamed("value", "raw").join(numbered, ["file", "row_number"], "left")
 
 
-# Sequences that a wrong encoding leaves behind.
-ARTEFACTS = ("Ã", "Â", "â€", "é", "è", "ü", "�")
+# Sequences that a wrong encoding leaves behind, with what accented letters turn into.
+ARTEFACTS = ("Ã", "Â", "â€", "Ã©", "Ã¨", "Ã¼", "�")
 
 
 def structural_issues(df: DataFrame, empty_share: float = 0.9) -> DataFrame:
@@ -245,9 +278,11 @@ _SQL_TUPLE = r"\(((?:[^()']++|'[^']*+(?:''[^']*+)*+')*+)\)"
 def read_sql_dump(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Rows of one table from its INSERT statements, as text; NULL is null. Names come from CREATE TABLE, else from the INSERT.
 
-    Short rows are filled with null and long ones cut.
+    Short rows are filled with null and long ones cut. A statement ends with a semicolon and a line break outside quoted texts, in which
+    quotes are doubled or escaped.
     """
-    statements = spark.read.option("lineSep", ";\n").text(path).select(F.trim("value").alias("s"))
+    quotes = F.char_length(F.regexp_replace(F.regexp_replace("value", r"(?s)\\.", ""), "[^']", ""))
+    statements = joined_lines(numbered_lines(spark, path, sep=";\n"), quotes, ";\n").select(F.trim("value").alias("s"))
     name = rf'[`"\[]?{table}[`"\]]?'
     made = statements.where(F.col("s").rlike(rf"(?is)create\s+table\s+(if\s+not\s+exists\s+)?{name}\s*\(")).limit(1).collect()
     inserts = statements.where(F.col("s").rlike(rf"(?is)insert\s+into\s+{name}[\s(]"))

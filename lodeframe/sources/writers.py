@@ -16,10 +16,14 @@ from lodeframe.plans.spec import run_spec
 from lodeframe.workspace import run_sql
 
 
+# Quotes inside a field are doubled, and white space at its ends stays.
+CSV_TEXT = {"quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def write(df: DataFrame, path: str, fmt: str, mode: str = "errorifexists") -> None:
     """csv, json, parquet, feather or sql; one file per partition."""
     if fmt == "csv":
-        df.write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
+        df.write.mode(mode).options(header=True, **CSV_TEXT).csv(path)
     elif fmt in ("json", "jsonl"):
         df.write.mode(mode).option("ignoreNullFields", False).json(path)
     elif fmt == "parquet":

@@ -288,3 +288,51 @@ def test_sql_dump_short_and_long_rows(spark, folder):
 def test_writers_refuse_unknown_formats(people, folder):
     with pytest.raises(ValueError):
         writers.write(people, folder, "docx")
+
+
+def test_ranks_of_whole_numbers_beyond_doubles_do_not_depend_on_the_plan(spark):
+    from lodeframe.plans.windows import add_window
+
+    base = 2**53
+    df = spark.createDataFrame([(i, base + i % 40, i % 3) for i in range(200)] + [(200, None, 0)], "k long, v long, g long")
+    for function in ("ROW_NUMBER", "RANK", "DENSE_RANK", "NTILE", "LAG", "LEAD", "SUM", "COUNT"):
+        for direction in ("ASC", "DESC"):
+            for keys in ([], ["g"]):
+                window = {"func": function, "column": "k", "order_by": [{"column": "v", "direction": direction}], "partition_by": keys}
+                whole, split = (sorted(map(tuple, add_window(df, window, "w", n).collect()), key=repr) for n in (10**9, 1))
+                assert whole == split, (function, direction, keys)
+
+
+def test_values_beyond_any_list_still_meet(spark):
+    from lodeframe.operators import links
+    from lodeframe.operators.detect import consistency, structure
+
+    names = [f"{i * 7919 % 10007:05d}-{i * 104729 % 99991:05d}" for i in range(1300)]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)] + [(5000, names[3] + "x"), (5001, names[3].replace("-", "_"))], "k long, n string")
+    near = {(r["a"], r["b"]) for r in structure.near_pairs(df, "n", 0.98).collect()}
+    assert (names[3], names[3] + "x") in near
+    assert links.near_links(df.selectExpr("n as v"), 0.98, spanning=True).count() <= len(near)
+    doubled = df.where("k < 5000").union(df.where("k < 5000")).union(df.where("k = 5000"))
+    assert [(r["current"], r["suggested"]) for r in consistency.repair_typos(doubled, "n", "k").collect()] == [(names[3] + "x", names[3])]
+
+
+def test_quoted_fields_and_statements(spark, folder):
+    from lodeframe.sources import readers as R
+
+    lines = ["a,b", '1,"two', 'lines"', '2,"a ""x, y"" b"', "3,plain", '4,"x",y', "5"]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{folder}/csv")
+    want = {("1", "two\nlines"), ("2", 'a "x, y" b'), ("3", "plain")}
+    assert want <= {tuple(r) for r in R.read_delimited(spark, f"{folder}/csv", ",", multiline=True).collect()}
+    assert {tuple(r) for r in R.read_delimited(spark, f"{folder}/csv", ",", strict=True, multiline=True).collect()} == want
+    report = R.malformed_rows(spark, f"{folder}/csv", multiline=True).collect()
+    assert {(r["row_number"], r["issue"]) for r in report} == {(6, "1 extra"), (7, "1 missing")}
+    script = "CREATE TABLE t (a INT, b TEXT);\nINSERT INTO t VALUES (1,'x;\ny'),(2,'z''s');\nINSERT INTO t VALUES (3,NULL);\n"
+    spark.createDataFrame([(script,)], "value string").coalesce(1).write.text(f"{folder}/sql")
+    assert {tuple(r) for r in R.read_sql_dump(spark, f"{folder}/sql", "t").collect()} == {("1", "x;\ny"), ("2", "z's"), ("3", None)}
+
+
+def test_accents_are_no_traces_of_a_wrong_encoding(spark):
+    from lodeframe.sources.readers import structural_issues
+
+    assert structural_issues(spark.createDataFrame([("café",), ("für",)], "t string")).count() == 0
+    assert structural_issues(spark.createDataFrame([("cafÃ©",)], "t string")).first()["issue"].startswith("encoding")
