@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeframe.llm.texts import Block, chain, keys_of, mix, per_text
+from lodeframe.operators.links import components
 from lodeframe.session import cut
 
 WORDS, THRESHOLD = 5, Fraction(8, 10)
@@ -171,21 +172,6 @@ def measured(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
     return there.select("a", "b", "left", "right").mapInArrow(run, "a long, b long, away double, linked boolean")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and the least node it is connected with, for all ends of the links (a, b)."""
-    edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(edges.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("comp")))
-    while True:
-        near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("comp").alias("near"))
-        lower = labels.join(near, labels.node == near.a, "left").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
-        labels = cut(lower.join(up, "comp", "left").select("node", "old", F.least("comp", "above").alias("comp")))
-        moved = labels.where("old <> comp").limit(1).count()
-        labels = labels.select("node", "comp")
-        if not moved:
-            return labels
-
-
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return members.withColumn("comp", F.col("node"))
