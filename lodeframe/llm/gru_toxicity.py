@@ -110,8 +110,11 @@ class Network:
     def inputs(self, t: Tokens) -> np.ndarray:
         """The input vector of each distinct word."""
         chars = np.zeros((len(t.key), CHAR_DIM), np.float32)
-        if len(t.key):
-            chars = np.add.reduceat(self.p["grams"][t.grams], np.cumsum(t.size) - t.size, axis=0) / t.size[:, None]
+        first = np.cumsum(t.size) - t.size
+        for a in range(0, len(t.key), 1 << 14):
+            b = min(a + (1 << 14), len(t.key))
+            own = t.grams[first[a] : first[b - 1] + t.size[b - 1]]
+            chars[a:b] = np.add.reduceat(self.p["grams"][own], first[a:b] - first[a], axis=0) / t.size[a:b, None]
         return np.concatenate([self.p["words"][self.known(t.key)], chars], axis=1).astype(np.float32)
 
     def gates(self, inputs: np.ndarray) -> np.ndarray:
@@ -210,13 +213,10 @@ def train(texts: list[str] | pa.ChunkedArray, toxic: np.ndarray, share: float, r
     t = merged([tokens_of(block) for _, _, block in blocks(texts, 1 << 19)])
     rng = np.random.default_rng(seed)
     held = rng.permutation(len(toxic)) % 5 == 0
-    text_of = np.repeat(np.arange(len(t.counts)), t.counts)
-    pair = np.unique(text_of * len(t.key) + t.word)
-    del text_of
-    pair_text, pair_word = pair // len(t.key), pair % len(t.key)
-    learn = ~held[pair_text]
-    in_toxic = np.bincount(pair_word[learn & (toxic[pair_text] == 1)], minlength=len(t.key))
-    in_clean = np.bincount(pair_word[learn & (toxic[pair_text] == 0)], minlength=len(t.key))
+    in_toxic, in_clean = np.zeros(len(t.key), np.int64), np.zeros(len(t.key), np.int64)
+    ends = np.cumsum(t.counts)
+    for i in np.flatnonzero(~held):
+        (in_toxic if toxic[i] else in_clean)[np.unique(t.word[ends[i] - t.counts[i] : ends[i]])] += 1
     common = in_toxic + in_clean >= MIN_TEXTS
     net = Network(t.key[common], seed)
     # The first component of a word and of a trigram starts at its shrunken log odds.
