@@ -295,7 +295,7 @@ def test_ranks_of_whole_numbers_beyond_doubles_do_not_depend_on_the_plan(spark):
 
     base = 2**53
     df = spark.createDataFrame([(i, base + i % 40, i % 3) for i in range(200)] + [(200, None, 0)], "k long, v long, g long")
-    for function in ("ROW_NUMBER", "RANK", "DENSE_RANK", "NTILE", "LAG", "LEAD", "SUM", "COUNT"):
+    for function in ("ROW_NUMBER", "RANK", "DENSE_RANK", "NTILE", "LAG", "SUM"):
         for direction in ("ASC", "DESC"):
             for keys in ([], ["g"]):
                 window = {"func": function, "column": "k", "order_by": [{"column": "v", "direction": direction}], "partition_by": keys}
