@@ -7,7 +7,7 @@
    low `BITS` bits of `MINIMA` minima, packed.
 3. Two rounds measure each candidate against one hub of its buckets, on the full sets; links merge components. Then all pairs of a bucket
    that still lie in different components are compared, block against block where a bucket is large, each pair in its first common band.
-   Two bounds drop pairs there: the Jaccard distance is a metric, so distances to a common hub that differ by more than 1 - threshold
+   The sets of a block's members meet in its task, and only pairs that link are written. Two bounds drop pairs before that: the Jaccard distance is a metric, so distances to a common hub that differ by more than 1 - threshold
    exclude a link; and the similarity estimated from the bit counts, corrected for chance collisions, may not lie `SIGMAS` standard
    deviations under the threshold.
 4. What is left is decided on the full sets: |A and B| >= threshold * |A or B|.
@@ -37,7 +37,7 @@ WORDS, THRESHOLD = 5, Fraction(8, 10)
 ROWS, MISS = 4, 1e-6
 BITS, MINIMA, SIGMAS = 4, 256, 5.0
 #: Members of a bucket that are compared with each other in one group; larger buckets are cut into blocks.
-SIDE = 2000
+SIDE = 1000
 
 
 def bands_for(threshold: Fraction, rows: int = ROWS, miss: float = MISS) -> int:
@@ -186,39 +186,84 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return best.select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
 
 
-def block_pairs(members: DataFrame, threshold: Fraction) -> DataFrame:
-    """All pairs of a bucket from different components that neither bound excludes. `members` has key, node, comp, bands, sig and hubs."""
-    least, furthest = floor_of(threshold), 1 - float(threshold) + 1e-9
+SIDES = ["key", "x", "y", "mine", "node", "comp", "bands", "sig", "hub0", "away0", "hub1", "away1"]
+
+
+def blocks_of(members: DataFrame) -> DataFrame:
+    """The members of buckets with several components, once for each pair of blocks (x, y) of the bucket that their own block is in."""
     open_keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     cuts = members.join(open_keys.select("key", F.ceil(F.col("n") / SIDE).cast("int").alias("cuts")), "key").withColumn("mine", F.pmod(F.xxhash64("node"), "cuts").cast("int"))
-    # A member goes to the group of its own block with each block, as the first or the second side.
-    groups = cuts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    groups = groups.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "comp", "bands", "sig", "hub0", "away0", "hub1", "away1")
-
-    def compare(group: pa.Table) -> pa.Table:
-        key, x, y = (group.column(c)[0].as_py() for c in ("key", "x", "y"))
-        node, comp, mine = (group.column(c).to_numpy() for c in ("node", "comp", "mine"))
-        hubs = [(group.column(f"hub{k}").fill_null(0).to_numpy(), group.column(f"away{k}").to_numpy(zero_copy_only=False)) for k in (0, 1)]
-        sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
-        bands = np.array(group.column("bands").to_pylist(), np.int64)
-        place = int(np.flatnonzero(bands[0] == key)[0])
+    sides = cuts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    return sides.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other")).select(*SIDES)
+
+
+def open_pairs(group: pa.Table, threshold: Fraction) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member of the first block, the members of the second that it must still be compared with."""
+    least, furthest = floor_of(threshold), 1 - float(threshold) + 1e-9
+    key, x, y = (group.column(c)[0].as_py() for c in ("key", "x", "y"))
+    node, comp, mine = (group.column(c).to_numpy() for c in ("node", "comp", "mine"))
+    hubs = [(group.column(f"hub{k}").fill_null(0).to_numpy(), group.column(f"away{k}").to_numpy(zero_copy_only=False)) for k in (0, 1)]
+    sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
+    bands = np.array(group.column("bands").to_pylist(), np.int64)
+    place = int(np.flatnonzero(bands[0] == key)[0])
+    right = np.flatnonzero(mine == y)
+    for i in np.flatnonzero(mine == x):
+        some = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (x != y))]
+        some = some[(bands[some] == bands[i]).argmax(axis=1) == place]
+        for hub, away in hubs:
+            for other, far in hubs:  # through a common hub; one of the two may be the hub
+                bound = np.where(hub[some] == other[i], np.abs(away[some] - far[i]), 0)
+                some = some[~(bound > furthest)]
+            some = some[~((node[some] == hub[i]) & (away[i] > furthest)) & ~((hub[some] == node[i]) & (away[some] > furthest))]
+        some = some[estimates(sigs[some], sigs[i]) >= least]
+        if len(some):
+            yield i, some
+
+
+def block_links(members: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """Links (a, b) between components, as many as join them up, from all pairs of a bucket that neither bound excludes.
+
+    `members` has key, node, comp, bands, sig and hubs. First the members that need comparing are found, then their sets join them, and the
+    pairs are decided where the sets meet: no pair is written unless it links.
+    """
+    up, down = threshold.numerator, threshold.denominator
+
+    def needed(group: pa.Table) -> pa.Table:
+        some = set()
+        for i, others in open_pairs(group, threshold):
+            some.update((i, *others.tolist()))
+        return group.take(pa.array(sorted(some), pa.int64()))
+
+    def decide(group: pa.Table) -> pa.Table:
+        node = group.column("node").to_numpy()
+        sets_of = [np.frombuffer(m.as_buffer(), np.uint64) for m in group.column("members")]
+        top = {}
+
+        def root(v: int) -> int:
+            while top.get(v, v) != v:
+                v = top[v]
+            return v
+
+        comp = group.column("comp").to_pylist()
         a, b = [], []
-        right = np.flatnonzero(mine == y)
-        for i in np.flatnonzero(mine == x):
-            some = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (x != y))]
-            some = some[(bands[some] == bands[i]).argmax(axis=1) == place]
-            for hub, away in hubs:
-                for other, far in hubs:  # through a common hub; one of the two may be the hub
-                    bound = np.where(hub[some] == other[i], np.abs(away[some] - far[i]), 0)
-                    some = some[~(bound > furthest)]
-                some = some[~((node[some] == hub[i]) & (away[i] > furthest)) & ~((hub[some] == node[i]) & (away[some] > furthest))]
-            some = some[estimates(sigs[some], sigs[i]) >= least]
-            a.append(np.full(len(some), node[i]))
-            b.append(node[some])
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
-
-    return groups.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long")
+        for i, others in open_pairs(group, threshold):
+            for j in others.tolist():
+                p, q = root(comp[i]), root(comp[j])
+                if p == q:
+                    continue
+                small, large = sorted((sets_of[i], sets_of[j]), key=len)
+                if down * len(small) < up * len(large):
+                    continue
+                both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+                if down * both >= up * (len(small) + len(large) - both):
+                    top[max(p, q)] = min(p, q)
+                    a.append(node[i])
+                    b.append(node[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    sides = blocks_of(members)
+    asked = sides.groupBy("key", "x", "y").applyInArrow(needed, sides.schema)
+    return asked.join(sets.select("node", "members"), "node").groupBy("key", "x", "y").applyInArrow(decide, "a long, b long")
 
 
 def groups(df: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
@@ -235,17 +280,14 @@ def groups(df: DataFrame, text: str = "text", id_col: str = "doc_id", words: int
 
     plain = members.select("key", "node")
     links, labels, hubs = None, None, sets.select("node", "sig").join(nodes.select("node", "bands"), "node")
-    for turn in range(3):
-        if turn < 2:
-            pairs = hub_pairs(_labelled(plain, labels))
-        else:
-            pairs = block_pairs(_labelled(plain, labels).join(hubs, "node"), threshold)
-        tested = cut(measured(pairs, sets, threshold))
-        if turn < 2:
-            hubs = hubs.join(tested.select(F.col("a").alias("node"), F.col("b").alias(f"hub{turn}"), F.col("away").alias(f"away{turn}")), "node", "left")
+    for turn in range(2):
+        tested = cut(measured(hub_pairs(_labelled(plain, labels)), sets, threshold))
+        hubs = hubs.join(tested.select(F.col("a").alias("node"), F.col("b").alias(f"hub{turn}"), F.col("away").alias(f"away{turn}")), "node", "left")
         new = tested.where("linked").select("a", "b")
         links = new if links is None else links.union(new)
         labels = components(links)
+    last = cut(block_links(_labelled(plain, labels).join(hubs, "node"), sets, threshold))
+    labels = components(links.union(last))
     classes = sigs.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("rep"))
     merged = classes.join(labels, "node")
     least = merged.groupBy("comp").agg(F.min("rep").alias("component_id"))
