@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 import unicodedata
 
 import pandas as pd
@@ -135,30 +136,27 @@ def tfidf_weights(
     df: DataFrame, c: str, key: str, max_features: int = 100, ngram_range: tuple[int, int] = (1, 2), min_df: int = 2, max_df: float = 0.95,
     stops: list[str] | None = None,
 ) -> DataFrame:
-    """(key, term, weight): smooth idf, each text's weights scaled to length one.
+    """(key, term, weight) of each text: smooth idf, each text's weights scaled to length one.
 
-    The vocabulary is fitted from two counts per term; only its terms are then counted per text.
+    The vocabulary is fitted from two counts per term, both from one row for each use of a term: a text's terms are sorted, and the first of
+    equal ones counts the text. The vocabulary's terms are then counted, weighed and scaled inside the row of their text.
     """
     stops = stop_words("en") if stops is None else stops
     docs = _terms(df, F.coalesce(q(c).cast("string"), F.lit("")), key, ngram_range, stops)
     total = df.count()
-    uses = F.transform("terms", lambda w: F.struct(w.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
-    holders = F.transform(F.array_distinct("terms"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
-    seen = docs.select(F.explode(F.concat(uses, holders)).alias("c")).groupBy("c.term").agg(F.sum("c.tf").alias("tf"), F.sum("c.df").alias("df"))
+    ordered = docs.select(F.sort_array("terms").alias("s"))
+    uses = F.transform("s", lambda w, i: F.struct(w.alias("term"), F.when((i > 0) & (F.get("s", i - 1) == w), 0).otherwise(1).alias("first")))
+    seen = ordered.select(F.explode(uses).alias("c")).groupBy("c.term").agg(F.count(F.lit(1)).alias("tf"), F.sum("c.first").alias("df"))
     fitted = seen.where((F.col("df") >= min_df) & (F.col("df") <= max_df * total))
     vocabulary = fitted.orderBy(F.col("tf").desc(), "term").limit(max_features).collect()
-    weights = {r["term"]: r["df"] for r in vocabulary}
-    if not weights:
-        return docs.select("key").where(F.lit(False)).select("key", F.lit("").alias("term"), F.lit(0.0).alias("weight"))
-    known = F.filter(F.col("terms"), lambda w: w.isin(*weights))
-    counts = docs.select("key", F.explode(known).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"))
-    table = rows(df.sparkSession, list(weights.items()), "term string, df long")
-    scored = counts.join(F.broadcast(table), "term")
-    scored = scored.withColumn("w", F.col("n") * (F.ln((1.0 + total) / (1.0 + F.col("df"))) + 1.0))
-    per_doc = scored.groupBy("key").agg(F.collect_list(F.struct("term", "w")).alias("ws"))
-    norm = F.sqrt(F.aggregate("ws", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    long = per_doc.select("key", norm.alias("norm"), F.explode("ws").alias("x"))
-    return long.select(F.col("key").alias(key), F.col("x.term").alias("term"), (F.col("x.w") / F.col("norm")).alias("weight"))
+    if not vocabulary:
+        return docs.select(F.col("key").alias(key), F.lit("").alias("term"), F.lit(0.0).alias("weight")).where(F.lit(False))
+    idf = F.create_map(*[F.lit(x) for r in vocabulary for x in (r["term"], math.log((1.0 + total) / (1.0 + r["df"])) + 1.0)])
+    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # a lambda's variable is worked out once
+    known = F.filter("terms", lambda w: w.isin(*[r["term"] for r in vocabulary]))
+    weighed = let(known, lambda k: F.transform(F.array_distinct(k), lambda t: F.struct(t.alias("term"), (F.size(F.filter(k, lambda x: x == t)) * F.element_at(idf, t)).alias("w"))))
+    scaled = let(weighed, lambda ws: let(F.sqrt(F.aggregate(ws, F.lit(0.0), lambda a, x: a + x["w"] * x["w"])), lambda norm: F.transform(ws, lambda x: F.struct(x["term"].alias("term"), (x["w"] / norm).alias("weight")))))
+    return docs.select(F.col("key").alias(key), F.explode(scaled).alias("x")).select(key, "x.term", "x.weight")
 
 
 def tfidf(df: DataFrame, c: str, key: str, max_features: int = 100, ngram_range: tuple[int, int] = (1, 2)) -> DataFrame:

@@ -50,9 +50,12 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> np.ndarray:
     return m
 
 
-def with_rank(df: DataFrame, c: str, name: str) -> DataFrame:
-    """The average rank of a column's value over the whole table; one row per distinct value is joined back."""
-    ranks = value_ranks(df, c).select(F.col("v").alias(f"_v_{name}"), F.col("rank").alias(name))
+def with_rank(df: DataFrame, c: str, name: str, base: DataFrame | None = None) -> DataFrame:
+    """The average rank of a column's value over the whole table; one row per distinct value is joined back.
+
+    `base` is the table before other ranks were joined to it, so that theirs are not worked out again.
+    """
+    ranks = value_ranks(df if base is None else base, c).select(F.col("v").alias(f"_v_{name}"), F.col("rank").alias(name))
     return df.join(ranks, clean(df, c).cast("double") == F.col(f"_v_{name}"), "left").drop(f"_v_{name}")
 
 
@@ -65,13 +68,13 @@ def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[st
     found = {}
     if whole:
         used = sorted({c for p in whole for c in p})
-        ranked = df.select(*[clean(df, c).alias(c) for c in used])
+        base = ranked = df.select(*[clean(df, c).alias(c) for c in used])
         for i, c in enumerate(used):
-            ranked = with_rank(ranked, c, f"_rank_{i}")
+            ranked = with_rank(ranked, c, f"_rank_{i}", base.select(q(c)))
         found |= pearson_pairs(ranked, {c: F.col(f"_rank_{i}") for i, c in enumerate(used)}, whole)
     for a, b in [p for p in pairs if p not in whole]:
         both = df.select(clean(df, a).alias("a"), clean(df, b).alias("b")).where("a is not null and b is not null")
-        ranked = with_rank(with_rank(both, "a", "_ra"), "b", "_rb")
+        ranked = with_rank(with_rank(both, "a", "_ra", both.select("a")), "b", "_rb", both.select("b"))
         found[(a, b)] = pearson_pairs(ranked, {"a": F.col("_ra"), "b": F.col("_rb")}, [("a", "b")])[("a", "b")]
     return found
 
