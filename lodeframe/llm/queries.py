@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeframe.llm import backoff_lm, bbit_minhash, concat_pack, gru_toxicity, license_lines, link_trust, secret_owners, simhash, suffix_quality, tree_bpe
+from lodeframe.llm.oracles import SQL
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def op2_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     scored = backoff_lm.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), ~F.coalesce(held_out, F.lit(False)))
-    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
 def bpe_file() -> str:
@@ -93,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
