@@ -15,6 +15,8 @@ of both classes every text gets the share of label 1 (0 without labels).
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -299,8 +301,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     some = [rows.where(f"y = {y}").orderBy(F.xxhash64("i"), "i").limit(most) for y, most in ((1, toxic_rows), (0, clean_rows))]
     ids = F.broadcast(some[0].union(some[1]))  # at most toxic_rows + clean_rows rows
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).where(F.length("t") <= TRAIN_CHARS)
-    sample = texts.join(ids, "i").groupBy("i", "y").agg(F.max("t").alias("t")).select("i", "y", "t").toArrow().sort_by("i")
-    return train(sample.column("t"), np.array(sample.column("y").to_pylist(), int), share)
+    sample = texts.join(ids, "i").groupBy("i", "y").agg(F.max("t").alias("t")).select("i", "y", "t")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        model = train(rows.column("t"), rows.column("y").to_numpy(), share) if rows is not None and len(rows) else share
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    # The sample has a bound, so one task can learn from it; only the parameters come to the driver.
+    found = sample.repartition(1).sortWithinPartitions("i").mapInArrow(learn, "model binary").first()
+    return pickle.loads(found.model) if found else share
 
 
 def score_of(block: Block, model: Network | float) -> np.ndarray:
