@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm.texts import Block, blocks, chain, keys_of, spread
 
-ORDER, STRENGTH = 2, 4.0
+ORDER, STRENGTH = 3, 4.0
 BLOCK_BYTES, RANGE_BYTES = 10 << 20, 10 << 20
 SEGMENT = 512
 BEGIN, END = (np.uint64(x) for x in (0xB5026F5AA96619E9, 0x5851F42D4C957F2D))

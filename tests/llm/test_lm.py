@@ -69,3 +69,14 @@ def test_probabilities_of_the_next_word_sum_to_one():
 def test_nothing_to_read_or_learn(empty, docs):
     assert lm.score(empty, F.lit(True)).count() == 0
     assert {(r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.score(docs, F.lit(False)).collect()} == {(0, 0, 0.0, 0.0)}
+
+
+def test_the_registered_model_has_order_three(spark, docs, folder):
+    from lodeframe.llm.queries import op3_backoff_automaton
+
+    docs.where("doc_id is not null").dropDuplicates(["doc_id"]).write.parquet(f"{folder}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    want = {x[0]: x[6] for x in brute(rows, held, 3, lm.STRENGTH)}
+    got = {r.doc_id: r.score for r in op3_backoff_automaton(spark, folder).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=2e-6) for i in want)
