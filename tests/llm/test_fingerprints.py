@@ -45,3 +45,24 @@ def test_search_at_other_radii(spark):
     for radius in (0, 3, 6):
         found = {(r.high, r.low): r.n_near for r in simhash.neighbours(data, data, radius).collect()}
         assert found == {h: sum(bin(p ^ q).count("1") <= radius for q in prints) for h, p in zip(halves, prints)}
+
+
+def test_search_at_the_registered_radius(spark):
+    """Fingerprints up to 12 bits apart, the limit of real near copies, are found, and none beyond."""
+    rng = random.Random(4)
+    base = [rng.getrandbits(128) for _ in range(8)]
+    prints = base + [b ^ sum(1 << k for k in rng.sample(range(128), n)) for b in base for n in range(1, 16)]
+    halves = [tuple(int(np.array(x, np.uint64).view(np.int64)) for x in (p >> 64, p & (2**64 - 1))) for p in prints]
+    data = spark.createDataFrame(halves, "high long, low long")
+    found = {(r.high, r.low): r.n_near for r in simhash.neighbours(data, data.limit(8)).collect()}
+    assert found == {h: sum(bin(p ^ q).count("1") <= 12 for q in prints) for h, p in zip(halves[:8], prints[:8])}
+
+
+def test_most_copies_with_one_word_in_a_hundred_changed_are_within_the_radius():
+    from lodeframe.llm.texts import block_of
+
+    rng = random.Random(6)
+    texts = [[f"w{rng.randrange(3000)}" for _ in range(250)] for _ in range(60)]
+    changed = [[f"x{rng.randrange(3000)}" if rng.random() < 0.01 else w for w in t] for t in texts]
+    a, b = (simhash.fingerprints(block_of([" ".join(t) for t in ts])) for ts in (texts, changed))
+    assert (np.bitwise_count(a ^ b).sum(axis=1) <= simhash.RADIUS).mean() > 0.7
