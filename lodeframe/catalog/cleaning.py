@@ -123,6 +123,11 @@ def _text(c: Catalog) -> None:
           f"round({feature.format(chr(92) + 'p{Lu}')}, 3) AS text_capitalization_ratio, round({feature.format('[0-9]')}, 3) AS text_digit_ratio, "
           + "round(" + feature.format(r"[.,;:!?\-()\[\]{}\"'']") + ", 3) AS text_punctuation_density, "
           "len(regexp_extract_all(text, '[.!?]+')) AS text_sentence_count FROM benchmark")
+    c.add("c28_text_features_documents", lambda t: text.text_features(t.documents.select("doc_id", "text"), ["text"]),
+          f"SELECT doc_id, text, len({words}) AS text_token_count, length(text) AS text_char_count, coalesce(round(CAST(length(regexp_replace(text, '\\s+', '', 'g')) AS DOUBLE) / nullif(len({words}), 0), 2), 0) AS text_avg_word_length, "
+          f"round({feature.format(chr(92) + 'p{Lu}')}, 3) AS text_capitalization_ratio, round({feature.format('[0-9]')}, 3) AS text_digit_ratio, "
+          + "round(" + feature.format(r"[.,;:!?\-()\[\]{}\"'']") + ", 3) AS text_punctuation_density, "
+          "len(regexp_extract_all(text, '[.!?]+')) AS text_sentence_count FROM documents")
     stops = ["the", "and", "of", "in", "der", "die", "de", "la", "le"]
     listed = ", ".join(f"'{w}'" for w in stops)
     c.add("c29_remove_stopwords", lambda t: text.remove_stopwords(t.conversations.select("conv_id", "turn", "text"), ["text"], stops=stops),
@@ -231,7 +236,7 @@ def _balance(c: Catalog) -> None:
           "SELECT quality, min(count(*)) OVER () AS n, min(count(*)) OVER () AS members FROM labels GROUP BY 1")
 
     def vectors(t):
-        e = t.embeddings.select("vec_id", (F.col("label") == 0).cast("int").alias("y"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(4)])
+        e = t.embeddings.select("vec_id", (F.col("label") == 0).cast("int").alias("y"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(64)])
         return balance.smote(e, "y", "vec_id")
 
     c.add("c52_smote", lambda t: vectors(t).groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.count_if("_new").alias("made")),

@@ -47,6 +47,7 @@ def _structure(c: Catalog) -> None:
     signals = " UNION ALL ".join(f"SELECT '{a}' AS \"column\", '{b}' AS correlated_with, corr(({a} IS NULL)::INT, coalesce({b}, 0)) AS correlation FROM {DIRTY_SQL}" for a in ("l_quantity", "l_tax", "l_discount") for b in numbers if a != b)
     c.add("d7_mar_signals", lambda t: S.mar_signals(dirty(t), 0.02), f"SELECT * FROM ({signals}) WHERE abs(correlation) > 0.02", {"correlation": 8})
     c.add("d8_nullity_matrix", lambda t: S.nullity_matrix(dirty(t)))
+    c.add("d8_nullity_matrix_all", lambda t: S.nullity_matrix(dirty(t), None))
     c.add("d8_null_overlap", lambda t: S.null_overlap(dirty(t)),
           " UNION ALL ".join(f"SELECT '{a}' AS col1, '{b}' AS col2, count(*) FILTER ({a} IS NULL AND {b} IS NULL) AS both FROM {DIRTY_SQL}" for a, b in (("l_quantity", "l_tax"), ("l_quantity", "l_discount"), ("l_tax", "l_discount"))))
 
@@ -99,7 +100,8 @@ def _types(c: Catalog) -> None:
           "SELECT 'v' AS \"column\", 'pseudo_null' AS detected, round(avg((p_size % 10 = 0)::INT), 3) AS share, count(*) FILTER (p_size % 10 = 0) AS rows_affected FROM part")
     c.add("d23_mixed_types", lambda t: Y.detect_types(t.part.select(F.expr("CASE WHEN p_size % 5 = 0 THEN p_type ELSE cast(p_size AS string) END").alias("v"))).where("detected = 'mixed'"),
           "SELECT 'v' AS \"column\", 'mixed' AS detected, round(avg((p_size % 5 = 0)::INT), 3) AS share, count(*) FILTER (p_size % 5 = 0) AS rows_affected FROM part")
-    c.add("d24_text_columns", lambda t: Y.text_columns(t.benchmark.join(t.pages, F.col("item_id") == F.col("page_id")).select("text", "html")))
+    c.add("d24_text_columns", lambda t: Y.text_columns(t.benchmark.select("text")).unionByName(Y.text_columns(t.pages.select("html"))))
+    c.add("d24_text_columns_documents", lambda t: Y.text_columns(t.documents.select("text")))
 
 
 def _features(c: Catalog) -> None:

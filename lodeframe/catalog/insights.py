@@ -21,6 +21,10 @@ def _tests(c: Catalog) -> None:
           "WITH x AS (SELECT l_returnflag AS g, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS r FROM lineitem WHERE l_returnflag IN ('A', 'N')) SELECT 'mann_whitney' AS test, sum(r) - count(*) * (count(*) + 1) / 2.0 AS statistic FROM x WHERE g = 'A'", {"statistic": 2})
     c.add("h4_t_test", lambda t: pick(tests.t_test(two(t), "l_extendedprice", "l_returnflag"), "df1"),
           "WITH g AS (" + group.format("WHERE l_returnflag IN ('A', 'N')") + "), a AS (SELECT * FROM g WHERE g = 'A'), b AS (SELECT * FROM g WHERE g = 'N') SELECT 't_test' AS test, (a.m - b.m) / sqrt((a.ss + b.ss) / (a.n + b.n - 2) * (1 / a.n + 1 / b.n)) AS statistic, a.n + b.n - 2 AS df1 FROM a, b", {"statistic": 6})
+    c.add("h3_mann_whitney_all", lambda t: pick(tests.mann_whitney(t.lineitem, "l_quantity", "l_linestatus")),
+          "WITH x AS (SELECT l_linestatus AS g, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS r FROM lineitem) SELECT 'mann_whitney' AS test, sum(r) - count(*) * (count(*) + 1) / 2.0 AS statistic FROM x WHERE g = 'F'", {"statistic": 2})
+    c.add("h4_t_test_all", lambda t: pick(tests.t_test(t.lineitem, "l_extendedprice", "l_linestatus"), "df1"),
+          "WITH g AS (SELECT l_linestatus AS g, count(*)::DOUBLE AS n, avg(l_extendedprice) AS m, var_pop(l_extendedprice) * count(*) AS ss FROM lineitem GROUP BY 1), a AS (SELECT * FROM g WHERE g = 'F'), b AS (SELECT * FROM g WHERE g = 'O') SELECT 't_test' AS test, (a.m - b.m) / sqrt((a.ss + b.ss) / (a.n + b.n - 2) * (1 / a.n + 1 / b.n)) AS statistic, a.n + b.n - 2 AS df1 FROM a, b", {"statistic": 6})
     f = "sum(n * (m - (SELECT sum(n * m) / sum(n) FROM g)) ** 2) / (count(*) - 1) / (sum(ss) / (sum(n) - count(*)))"
     c.add("h5_anova", lambda t: pick(tests.anova(t.lineitem, "l_extendedprice", "l_returnflag"), "df1", "df2"),
           f"WITH g AS ({group.format('')}) SELECT 'anova' AS test, {f} AS statistic, (count(*) - 1)::DOUBLE AS df1, sum(n) - count(*) AS df2 FROM g", {"statistic": 6})
@@ -35,6 +39,7 @@ def _tests(c: Catalog) -> None:
           "WITH m AS (SELECT l_returnflag, median(l_extendedprice) AS mid FROM lineitem GROUP BY 1), z AS (SELECT l_returnflag, abs(l_extendedprice - mid) AS z FROM lineitem JOIN m USING (l_returnflag)), g AS (SELECT count(*)::DOUBLE AS n, avg(z) AS m, var_pop(z) * count(*) AS ss FROM z GROUP BY l_returnflag) "
           f"SELECT 'levene' AS test, {f} AS statistic, (count(*) - 1)::DOUBLE AS df1 FROM g", {"statistic": 6})
     c.add("h10_discover", lambda t: tests.discover(t.lineitem.select("l_quantity", "l_extendedprice", (F.col("l_extendedprice") * F.col("l_discount")).alias("cut"), "l_returnflag", "l_linestatus")))
+    c.add("h10_discover_all", lambda t: tests.discover(t.lineitem.select("l_quantity", "l_extendedprice", (F.col("l_extendedprice") * F.col("l_discount")).alias("cut"), "l_returnflag", "l_linestatus"), None))
 
 
 def _insights(c: Catalog) -> None:

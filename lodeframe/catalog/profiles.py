@@ -62,7 +62,7 @@ def _columns(c: Catalog) -> None:
           "SELECT 'o_orderkey' AS \"column\", 'bigint' AS kind, 100.0::DOUBLE AS consistency_pct UNION ALL SELECT 'm', 'integer', 100.0 * count(*) FILTER (o_orderkey % 10 <> 0) / count(*) FROM orders UNION ALL SELECT 'o_orderstatus', 'text', 100.0", {"consistency_pct": 6})
     c.add("f3_semantic_types", lambda t: S.semantic_types(t.orders),
           "SELECT \"column\", semantic_type, confidence::DOUBLE AS confidence FROM (VALUES ('o_orderkey', 'id_key', 0.85), ('o_custkey', 'numeric_discrete', 0.75), ('o_orderstatus', 'categorical_nominal', 0.4), ('o_totalprice', 'numeric_continuous', 0.8), ('o_orderdate', 'datetime', 0.95), ('o_orderpriority', 'categorical_nominal', 0.4)) v(\"column\", semantic_type, confidence)")
-    c.add("f3_semantic_types_text", lambda t: S.semantic_types(t.pages.join(t.documents, F.col("page_id") == F.col("doc_id")).select("url", "text", F.concat("lang", F.lit("@x.org")).alias("contact"), F.concat(F.lit("$"), "n_chars").alias("cost"), F.expr("case when doc_id % 2 = 0 then 'Yes' else 'no' end").alias("ok"))))
+    c.add("f3_semantic_types_text", lambda t: S.semantic_types(t.pages.select("url")).unionByName(S.semantic_types(t.documents.select("text", F.concat("lang", F.lit("@x.org")).alias("contact"), F.concat(F.lit("$"), "n_chars").alias("cost"), F.expr("case when doc_id % 2 = 0 then 'Yes' else 'no' end").alias("ok")))))
     cols = ("l_returnflag", "l_linestatus", "l_linenumber")
     part = ("SELECT '{0}' AS \"column\", count(*) - count({0}) AS null_count, count({0}) AS non_null, count(DISTINCT {0}) AS \"distinct\", (SELECT v FROM (SELECT CAST({0} AS VARCHAR) AS v, count(*) AS n FROM lineitem GROUP BY 1) ORDER BY n DESC, v LIMIT 1) AS most_frequent, "
             "(SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY {0})) AS most_count, (SELECT v FROM (SELECT CAST({0} AS VARCHAR) AS v, count(*) AS n FROM lineitem GROUP BY 1) ORDER BY n, v LIMIT 1) AS least_frequent, (SELECT min(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY {0})) AS least_count, "

@@ -332,6 +332,13 @@ def _sets_and_workspace(c: Catalog) -> None:
     c.add("u1_merge_tables", lambda t: setops.merge_tables(halves(t)), union.format("__source_file__"))
     c.add("u2_merge_sheets", lambda t: setops.merge_tables(halves(t), "__source_sheet__"), union.format("__source_sheet__"))
 
+    def thirds(t):
+        return halves(t) | {"p": t.orders.where("o_orderstatus = 'P'")}
+
+    whole = union + " UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, 'p' FROM orders WHERE o_orderstatus = 'P'"
+    c.add("u1_merge_tables_all", lambda t: setops.merge_tables(thirds(t)), whole.format("__source_file__"))
+    c.add("u2_merge_sheets_all", lambda t: setops.merge_tables(thirds(t), "__source_sheet__"), whole.format("__source_sheet__"))
+
     def views(t, sql):
         for n in ("customer", "supplier", "orders", "lineitem"):
             getattr(t, n).createOrReplaceTempView(n)
