@@ -38,11 +38,22 @@ def test_text_queries_read_each_table_whole(spark, monkeypatch):
     assert seen == [size(t) for t in ("pages", "documents", "benchmark", "pages", "documents")]
 
 
-def test_smote_uses_every_dimension_and_lists_are_whole(spark, monkeypatch):
-    seen = {}
-    for module, name in ((balance, "smote"), (structure, "nullity_matrix"), (T, "discover")):
-        run = getattr(module, name)
-        monkeypatch.setattr(module, name, lambda df, *a, run=run, name=name: (seen.__setitem__(name, (len(df.columns), a)), run(df, *a))[1])
-    for name in ("c52_smote", "d8_nullity_matrix_all", "h10_discover_all"):
-        entry.queries()[name](spark, FOLDER).count()
-    assert seen["smote"][0] == 66 and seen["nullity_matrix"][1] == seen["discover"][1] == (None,)
+def noted(monkeypatch, module, name):
+    """Columns and further arguments of each call."""
+    seen, run = [], getattr(module, name)
+    monkeypatch.setattr(module, name, lambda df, *a: (seen.append((len(df.columns), a)), run(df, *a))[1])
+    return seen
+
+
+def test_lists_are_whole(spark, monkeypatch):
+    seen = noted(monkeypatch, structure, "nullity_matrix"), noted(monkeypatch, T, "discover")
+    n = [entry.queries()[name](spark, FOLDER).count() for name in ("d8_nullity_matrix_all", "h10_discover_all")]
+    assert n[0] > structure.MATRIX_ROWS and n[1] > 0
+    assert [x[0][1] for x in seen] == [(None,), (None,)]
+
+
+def test_smote_uses_every_dimension(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(balance, "smote", lambda df, *a: (seen.append(len(df.columns)), df.withColumn("_new", df.y > 1))[1])
+    entry.queries()["c52_smote"](spark, FOLDER)
+    assert seen == [66]
