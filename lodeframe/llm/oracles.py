@@ -28,19 +28,22 @@ SELECT *, NOT base_failed AND covered_words <= 0.18::DOUBLE * n_words AND longes
 """
 
 OP3 = f"""
-WITH d AS (SELECT doc_id, coalesce({CRC.format("CAST(doc_id AS VARCHAR)")} % 7 = 2, FALSE) AS held_out, list_concat(list_concat(['<s>'], {WORDS.format(LOWER)}), ['</s>']) AS l FROM documents),
-u AS (SELECT doc_id, held_out, unnest(l[2:]) AS x, unnest(l[:-2]) AS h, unnest(range(1, len(l))) AS i FROM d),
-c1 AS (SELECT x, CASE WHEN x = '</s>' THEN -1 ELSE 0 END AS e, count(*) AS c FROM u WHERE NOT held_out GROUP BY 1, 2),
+WITH d AS (SELECT doc_id, coalesce({CRC.format("CAST(doc_id AS VARCHAR)")} % 7 = 2, FALSE) AS held_out, list_concat(list_concat([' begin'], {WORDS.format(LOWER)}), [' end']) AS l FROM documents),
+u AS (SELECT doc_id, held_out, i, l[i] AS x, l[i - 1] AS h, CASE WHEN i > 2 THEN l[i - 2] END AS g FROM (SELECT *, unnest(range(2, len(l) + 1)) AS i FROM d)),
+c1 AS (SELECT x, count(*) AS c FROM u WHERE NOT held_out GROUP BY 1),
 c0 AS (SELECT h, count(*) AS c FROM u WHERE NOT held_out GROUP BY 1),
 c2 AS (SELECT h, x, count(*) AS c FROM u WHERE NOT held_out GROUP BY 1, 2),
+c3 AS (SELECT g, h, x, count(*) AS c FROM u WHERE NOT held_out AND g IS NOT NULL GROUP BY 1, 2, 3),
 t AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c1),
 p AS (
-  SELECT doc_id, held_out, t.n, coalesce(c1.c, 0) AS c, (coalesce(c1.c, 0) + 1) / (t.n + t.v + 1) AS p1, coalesce(c0.c, 0) AS ch, coalesce(c2.c, 0) AS ch_x
-  FROM u LEFT JOIN c1 ON u.x = c1.x LEFT JOIN c0 ON u.h = c0.h LEFT JOIN c2 ON u.h = c2.h AND u.x = c2.x, t
-)
+  SELECT doc_id, held_out, t.n, coalesce(c1.c, 0) AS c, (coalesce(c1.c, 0) + 1) / (t.n + t.v + 1) AS p1, coalesce(c0.c, 0) AS ch, coalesce(c2.c, 0) AS ch_x, coalesce(b.c, 0) AS cgh, coalesce(c3.c, 0) AS cgh_x
+  FROM u LEFT JOIN c1 ON u.x = c1.x LEFT JOIN c0 ON u.h = c0.h LEFT JOIN c2 ON u.h = c2.h AND u.x = c2.x
+    LEFT JOIN c2 b ON u.g = b.h AND u.h = b.x LEFT JOIN c3 ON u.g = c3.g AND u.h = c3.h AND u.x = c3.x, t
+),
+two AS (SELECT *, CASE WHEN ch > 0 THEN (ch_x + 4 * p1) / (ch + 4) ELSE p1 END AS p2 FROM p)
 SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, any_value(n)::BIGINT AS train_tokens, round(sum(log10(p1)), 6) AS base_score,
-  round(sum(log10(CASE WHEN ch > 0 THEN (ch_x + 4 * p1) / (ch + 4) ELSE p1 END)), 6) AS score
-FROM p GROUP BY 1, 2
+  round(sum(log10(CASE WHEN cgh > 0 THEN (cgh_x + 4 * p2) / (cgh + 4) ELSE p2 END)), 6) AS score
+FROM two GROUP BY 1, 2
 """
 
 OP5 = f"""
@@ -82,4 +85,20 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-SQL = {"op1_suffix_repetition": OP1, "op3_backoff_automaton": OP3, "op5_bbit_minhash": OP5, "op7_secret_owners": OP7}
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, unnest({TERMS}) AS t FROM documents),
+s AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS tokens FROM s),
+f AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY 1, 2),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, c GROUP BY t, docs),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({TERMS}) AS t FROM benchmark) GROUP BY 1, 2),
+scored AS (
+  SELECT item_id, doc_id, sum(times * w.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // tokens))))::BIGINT AS score
+  FROM q JOIN f USING (t) JOIN w USING (t) JOIN s USING (doc_id), c GROUP BY 1, 2
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
+SQL = {"op1_suffix_repetition": OP1, "op3_backoff_automaton": OP3, "op5_bbit_minhash": OP5, "op7_secret_owners": OP7, "op13_max_sketch": OP13}
