@@ -85,6 +85,19 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+OP12 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS x FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d)),
+m AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY x) AS c FROM w) WHERE c > 1),
+g AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM m),
+s AS (SELECT r, k, min(i) AS a, max(i) + 200 AS b FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM g) GROUP BY 1, 2),
+edges AS (SELECT r, 0 AS a, 0 AS b FROM d UNION ALL SELECT r, a, b FROM s),
+rest AS (SELECT r, b AS begin, lead(a) OVER (PARTITION BY r ORDER BY b, a) AS until FROM edges),
+kept AS (SELECT r, string_agg(substr(h, 2 * begin + 1, 2 * (coalesce(until, len(h) // 2) - begin)), '' ORDER BY begin) AS k FROM rest JOIN d USING (r) GROUP BY 1),
+n AS (SELECT r, sum(b - a)::BIGINT AS removed, count(*) AS spans FROM s GROUP BY 1)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM d JOIN kept USING (r) LEFT JOIN n USING (r)
+"""
+
 TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 OP13 = f"""
@@ -101,4 +114,4 @@ scored AS (
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
 """
 
-SQL = {"op1_suffix_repetition": OP1, "op3_backoff_automaton": OP3, "op5_bbit_minhash": OP5, "op7_secret_owners": OP7, "op13_max_sketch": OP13}
+SQL = {"op1_suffix_repetition": OP1, "op3_backoff_automaton": OP3, "op5_bbit_minhash": OP5, "op7_secret_owners": OP7, "op12_run_index": OP12, "op13_max_sketch": OP13}
