@@ -335,13 +335,11 @@ def remove(df: DataFrame, finish, fields: list[T.StructField], text: str = "text
     spark, gram = df.sparkSession, gram or max(1, long // 2)
     packs = packed(df, text, id_col, long, gram)
     folder = f"{shared_dir(spark).rstrip('/')}/repeats-{uuid.uuid4().hex}"
-    counted(packs, long, gram).write.parquet(folder)
-    flags = spark.read.schema("block long, entry int, twice boolean, asked boolean, anchor long, kin int").parquet(folder)
-    top = flags.where("asked").agg(F.count("*").alias("n"), F.max("kin").alias("kin")).first()
-    met, ready = contexts(packs, flags, long, gram), None
-    if (top.kin or 0) > most:
-        met, ready = divided(met, most, long, gram)
-    buckets = 1 + top.n * (2 * long - gram) // BUCKET_BYTES
+    counted(packs, long, gram).write.parquet(f"{folder}/flags")
+    flags = spark.read.schema("block long, entry int, twice boolean, asked boolean, anchor long, kin int").parquet(f"{folder}/flags")
+    contexts(packs, flags, long, gram).write.option("compression", "zstd").parquet(f"{folder}/contexts")
+    met, ready = divided(spark.read.schema(CONTEXT).parquet(f"{folder}/contexts"), most, long, gram)
+    buckets = 1 + flags.where("asked").count() * (2 * long - gram) // BUCKET_BYTES
     spans = met.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets))).groupBy("bucket").applyInArrow(lambda rows: _marks(rows, long), "block long, text int, start int, end int")
     if ready is not None:
         spans = spans.union(ready)
