@@ -85,6 +85,46 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+OP11 = f"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS hit FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(0, CASE hit WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM raw WHERE hit <> 0
+),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+    left(role, 1) AS c, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS e FROM damaged
+),
+f AS (SELECT *, e = '' AS blank, e <> '' AND nth > 1 AS again, e <> '' AND nth = 1 AND right(e, 1) NOT IN ('.', '!', '?') AS short, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM o),
+insertions(p, r, price, letters) AS (VALUES (0, 0, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'IJ'), (1, 1, 0, ''), (1, 2, 3, 'I'), (1, 3, 6, 'IJ'), (2, 2, 0, ''), (2, 3, 3, 'J'), (3, 3, 0, ''), (3, 2, 3, 'I')),
+moves(r, q, letter, need) AS (VALUES (0, 0, 'D', ''), (1, 1, 'D', ''), (2, 2, 'D', ''), (3, 3, 'D', ''), (0, 2, 'R', ''), (1, 2, 'R', ''), (3, 2, 'R', ''), (2, 3, 'S', ''), (0, 1, 'K', 's'), (0, 2, 'K', 'u'), (1, 2, 'K', 'u'), (2, 3, 'K', 'a'), (3, 2, 'K', 'u')),
+sizes AS (SELECT conv_id, count(*) AS n FROM f GROUP BY 1),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS state, {{'cost': 0::BIGINT, 'audit': ''}} AS best FROM sizes
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, m.q, min({{'cost': (w.best.cost + x.price + CASE m.letter WHEN 'D' THEN 4 WHEN 'K' THEN 0 ELSE 3 END + CASE WHEN m.letter <> 'D' AND f.short THEN 3 ELSE 0 END)::BIGINT, 'audit': w.best.audit || x.letters || m.letter}})
+  FROM walk w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN insertions x ON x.p = w.state JOIN moves m ON m.r = x.r AND (m.letter = 'D' OR NOT (f.blank OR f.again) AND (m.letter <> 'K' OR m.need = f.c))
+  GROUP BY 1, 2, 3
+),
+ends AS (
+  SELECT w.conv_id, min({{'cost': (w.best.cost + coalesce(x.price, 0))::BIGINT, 'audit': w.best.audit || coalesce(x.letters, '')}}) AS best
+  FROM walk w JOIN sizes z ON z.conv_id IS NOT DISTINCT FROM w.conv_id AND z.n = w.i LEFT JOIN insertions x ON x.p = w.state AND x.r = 3 AND w.state > 0 GROUP BY 1
+),
+letters AS (SELECT conv_id, k, string_split(audit, '')[k] AS letter FROM (SELECT conv_id, best.audit AS audit, unnest(range(1, length(best.audit) + 1)) AS k FROM ends)),
+placed AS (SELECT *, 1 + coalesce(sum((letter NOT IN ('I', 'J'))::INTEGER) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS i FROM letters),
+repaired AS (
+  SELECT l.conv_id, string_agg(CASE l.letter WHEN 'I' THEN 'user:' WHEN 'J' THEN 'assistant:' WHEN 'K' THEN f.role || ':' || f.text WHEN 'R' THEN 'user:' || f.text ELSE 'assistant:' || f.text END, chr(10) ORDER BY l.k) AS lines
+  FROM placed l LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.i WHERE l.letter <> 'D' GROUP BY 1
+),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (short) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1
+)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(ends.best.cost, 0) AS cost, translate(coalesce(ends.best.audit, ''), 'JS', 'IR') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
 OP12 = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS x FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d)),
@@ -114,4 +154,4 @@ scored AS (
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
 """
 
-SQL = {"op1_suffix_repetition": OP1, "op3_backoff_automaton": OP3, "op5_bbit_minhash": OP5, "op7_secret_owners": OP7, "op12_run_index": OP12, "op13_max_sketch": OP13}
+SQL = {"op1_suffix_repetition": OP1, "op3_backoff_automaton": OP3, "op5_bbit_minhash": OP5, "op7_secret_owners": OP7, "op11_cyk_repair": OP11, "op12_run_index": OP12, "op13_max_sketch": OP13}

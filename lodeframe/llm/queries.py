@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeframe.llm import backoff_lm, bbit_minhash, concat_pack, gru_toxicity, license_lines, link_trust, max_sketch, run_index, secret_owners, simhash, suffix_quality, tree_bpe
+from lodeframe.llm import backoff_lm, bbit_minhash, concat_pack, cyk_repair, gru_toxicity, license_lines, link_trust, max_sketch, run_index, secret_owners, simhash, suffix_quality, tree_bpe
 from lodeframe.llm.oracles import SQL
 
 
@@ -89,6 +89,10 @@ def op10_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_cyk_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cyk_repair.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_index.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -98,7 +102,7 @@ def op13_max_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_suffix_repetition, op2_link_trust, op3_backoff_automaton, op4_tree_bpe, op5_bbit_minhash, op6_concat_pack, op7_secret_owners, op8_simhash, op9_license_lines, op10_gru_toxicity, op12_run_index, op13_max_sketch)}
+    return {q.__name__: q for q in (op1_suffix_repetition, op2_link_trust, op3_backoff_automaton, op4_tree_bpe, op5_bbit_minhash, op6_concat_pack, op7_secret_owners, op8_simhash, op9_license_lines, op10_gru_toxicity, op11_cyk_repair, op12_run_index, op13_max_sketch)}
 
 
 def oracle_sql() -> dict[str, str]:
