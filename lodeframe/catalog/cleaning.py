@@ -229,18 +229,25 @@ def _scale(c: Catalog) -> None:
 
 
 def _balance(c: Catalog) -> None:
-    counts = "SELECT quality, {0} AS n, count(*) AS members FROM labels GROUP BY 1"
-    summary = lambda d: d.groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("members"))
-    c.add("c50_oversample", lambda t: summary(balance.oversample(t.labels, "quality", "doc_id")), counts.format("max(count(*)) OVER ()"))
-    c.add("c51_undersample", lambda t: summary(balance.undersample(t.labels, "quality", "doc_id")),
-          "SELECT quality, min(count(*)) OVER () AS n, min(count(*)) OVER () AS members FROM labels GROUP BY 1")
+    hashed = "('0x' || left(md5(concat_ws(':', {}, '{}')), 15))::BIGINT"
+    ranked = f"SELECT *, count(*) OVER (PARTITION BY quality) AS n, row_number() OVER (PARTITION BY quality ORDER BY {hashed.format('doc_id', 42)}, doc_id) - 1 AS p FROM labels"
+    c.add("c50_oversample", lambda t: balance.oversample(t.labels, "quality", "doc_id").groupBy("doc_id", "quality").agg(F.count(F.lit(1)).alias("copies")),
+          f"WITH r AS ({ranked}), m AS (SELECT max(n) AS m FROM r) SELECT doc_id, quality, m // n + (p < m % n)::BIGINT AS copies FROM r, m")
+    c.add("c51_undersample", lambda t: balance.undersample(t.labels, "quality", "doc_id"),
+          f"WITH r AS ({ranked}) SELECT * EXCLUDE (n, p) FROM r WHERE p < (SELECT min(n) FROM r)")
 
     def vectors(t):
-        e = t.embeddings.select("vec_id", (F.col("label") == 0).cast("int").alias("y"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(64)])
-        return balance.smote(e, "y", "vec_id")
+        return t.embeddings.select("vec_id", (F.col("label") == 0).cast("int").alias("y"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(64)])
 
-    c.add("c52_smote", lambda t: vectors(t).groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.count_if("_new").alias("made")),
+    c.add("c52_smote", lambda t: balance.smote(vectors(t), "y", "vec_id").groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.count_if("_new").alias("made")),
           "WITH k AS (SELECT (label = 0)::INT AS y, count(*) AS n FROM embeddings GROUP BY 1) SELECT y, max(n) OVER () AS n, max(n) OVER () - n AS made FROM k")
+    c.add("c52_smote_points", lambda t: balance.smote_points(vectors(t), "y", "vec_id", [f"x{i}" for i in range(64)]).select("class", "id", "i", "neighbour", "u", F.aggregate("point", F.lit(0.0), lambda s, x: s + x).alias("total"), F.col("point")[63].alias("last")),
+          f"WITH e AS (SELECT vec_id AS id, (label = 0)::INT AS y, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT y, count(*) AS n FROM e GROUP BY 1), m AS (SELECT max(n) AS m FROM s), "
+          f"r AS (SELECT e.*, n, m, row_number() OVER (PARTITION BY y ORDER BY {hashed.format('id', 42)}, id) - 1 AS p FROM e JOIN s USING (y), m WHERE n < m), "
+          "near AS (SELECT a.id, b.id AS neighbour, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank FROM r a JOIN r b ON a.y = b.y AND a.id <> b.id), "
+          "d AS (SELECT *, unnest(range(1, (m - n) // n + (p < (m - n) % n)::BIGINT + 1)) AS i FROM r), "
+          f"w AS (SELECT d.*, {hashed.format('d.id, i', 42)} % 5 + 1 AS rank, ({hashed.format('d.id, i', 43)} % (1 << 30)) / (1 << 30)::DOUBLE AS u FROM d) "
+          "SELECT w.y AS class, w.id, w.i, near.neighbour, u, list_sum(w.v) + u * (list_sum(b.v) - list_sum(w.v)) AS total, w.v[64] + u * (b.v[64] - w.v[64]) AS last FROM w JOIN near ON near.id = w.id AND near.rank = w.rank JOIN e b ON b.id = near.neighbour", {"total": 6, "last": 9})
     c.add("c53_class_weights", lambda t: balance.class_weights(t.orders, "o_orderstatus"),
           "SELECT o_orderstatus AS class, round(sum(count(*)) OVER () / (count(*) OVER () * count(*))::DOUBLE, 4) AS weight FROM orders GROUP BY 1")
 

@@ -7,56 +7,96 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.functions.columns import clean, numeric_columns, q
+from lodeframe.functions.columns import clean, facts, numeric_columns, q
 from lodeframe.operators.clean.rows import attach
 from lodeframe.operators.neighbours import nearest, points
 from lodeframe.operators.ordered import with_position
+from lodeframe.session import cut
 
 
-def class_counts(df: DataFrame, target: str) -> dict:
-    rows = df.where(q(target).isNotNull()).groupBy(q(target).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
-    return {r["c"]: r["n"] for r in rows}
+#: Copies of a row are dealt over tasks in runs of this many.
+RUN = 1_024
+
+
+def class_sizes(df: DataFrame, target: str) -> DataFrame:
+    """(class, n): a row for each class that is not null, joined wherever sizes are needed, so that classes may be many."""
+    return df.where(q(target).isNotNull()).groupBy(q(target).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _extremes(sizes: DataFrame) -> tuple[int, int]:
+    found = facts(sizes, {"most": F.max("n"), "least": F.min("n")})
+    return found["most"] or 0, found["least"] or 0
+
+
+def draw(seed: int, *columns: Column) -> Column:
+    """A number below 2^60 from the spelled columns: the first 15 hex digits of their MD5."""
+    spelled = F.concat_ws(":", *[c.cast("string") for c in columns], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(spelled), 1, 15), 16, 10).cast("long")
 
 
 def _drawn(df: DataFrame, target: str, key: str, seed: int) -> DataFrame:
-    """_pos: the row's place in its class by the hash of its key."""
-    hashed = df.withColumn("_h", F.xxhash64(q(key), F.lit(seed)))
+    """_pos: the row's place in its class by the draw of its key."""
+    hashed = df.withColumn("_h", draw(seed, q(key)))
     return with_position(hashed, "_h", key, [target]).drop("_h")
 
 
-def _by_class(target: str, values: dict) -> Column:
-    found = F.lit(0).cast("long")
-    for c, v in values.items():
-        found = F.when(q(target) == F.lit(c), F.lit(v).cast("long")).otherwise(found)
-    return found
+def _with_sizes(df: DataFrame, target: str, sizes: DataFrame) -> DataFrame:
+    """_size: of the row's class, null where the class is."""
+    return df.join(sizes.select(F.col("class").alias("_class"), F.col("n").alias("_size")), q(target) == F.col("_class"), "left").drop("_class")
+
+
+def _repeated(df: DataFrame, copies: Column) -> DataFrame:
+    """Each row as often as `copies` says, with `_i` from 1; long runs of copies of one row are made by many tasks."""
+    counted = df.withColumn("_copies", copies)
+    many = (facts(counted, {"m": F.max("_copies")})["m"] or 0) > RUN
+    runs = counted.where("_copies > 0").withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / RUN))))
+    runs = runs.repartition("_run", "_copies") if many else runs
+    last = F.least(F.col("_copies"), (F.col("_run") + 1) * RUN)
+    return runs.withColumn("_i", F.explode(F.sequence(F.col("_run") * RUN + 1, last))).drop("_run", "_copies")
 
 
 def oversample(df: DataFrame, target: str, key: str, seed: int = 42) -> DataFrame:
     """Every class raised to the size of the largest by repeating rows, all rows of a class equally often give or take one."""
-    counts = class_counts(df, target)
-    most = max(counts.values(), default=0)
-    names = df.columns
-    size = F.greatest(_by_class(target, counts), F.lit(1))
-    copies = F.floor(F.lit(most) / size) + (F.col("_pos") < F.lit(most) % size).cast("int")
-    placed = _drawn(df, target, key, seed).withColumn("_copies", F.when(q(target).isNull(), 1).otherwise(copies).cast("int"))
-    repeated = placed.withColumn("_c", F.explode(F.sequence(F.lit(1), F.greatest("_copies", F.lit(1)))))
-    return repeated.select(*[q(c) for c in names])
+    sizes = class_sizes(df, target)
+    most, _ = _extremes(sizes)
+    placed = _with_sizes(_drawn(df, target, key, seed), target, sizes)
+    copies = F.floor(F.lit(most) / F.col("_size")) + (F.col("_pos") < F.lit(most) % F.col("_size")).cast("long")
+    return _repeated(placed, F.coalesce(copies, F.lit(1).cast("long"))).select(*[q(c) for c in df.columns])
 
 
 def undersample(df: DataFrame, target: str, key: str, seed: int = 42) -> DataFrame:
     """Every class cut to the size of the smallest."""
-    counts = class_counts(df, target)
-    least = min(counts.values(), default=0)
+    _, least = _extremes(class_sizes(df, target))
     placed = _drawn(df.where(q(target).isNotNull()), target, key, seed)
     return placed.where(F.col("_pos") < least).drop("_pos")
 
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
     """n / (classes * n_class), to four places."""
-    counts = class_counts(df, target)
-    total, classes = sum(counts.values()), len(counts)
-    grouped = df.where(q(target).isNotNull()).groupBy(q(target).alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    return grouped.select("class", F.round(F.lit(float(total)) / (F.lit(classes) * F.col("n")), 4).alias("weight"))
+    sizes = class_sizes(df, target)
+    total = facts(sizes, {"n": F.sum("n"), "classes": F.count(F.lit(1))})
+    return sizes.select("class", F.round(F.lit(float(total["n"] or 0)) / (F.lit(total["classes"]) * F.col("n")), 4).alias("weight"))
+
+
+def smote_points(df: DataFrame, target: str, key: str, features: list[str], k: int = 5, seed: int = 42) -> DataFrame:
+    """(class, id, i, neighbour, u, point): the i-th new point of a row, a share u of the way to one of its k nearest of the same class."""
+    sizes = class_sizes(df, target)
+    most, _ = _extremes(sizes)
+    vector = F.array(*[F.coalesce(clean(df, c).cast("double"), F.lit(0.0)) for c in features])
+    small = sizes.where(F.col("n") < most).select(F.col("class").alias("_class"), "n")
+    own = cut(points(df.join(small, q(target) == F.col("_class")), key, vector, q(target).alias("g"), F.col("n")))
+    near = cut(nearest(own.drop("n"), own.drop("n"), k, other=True))
+    placed = with_position(own.withColumn("_h", draw(seed, F.col("id"))), "_h", "id", ["g"]).drop("_h")
+    short = F.lit(most) - F.col("n")
+    draws = _repeated(placed, F.floor(short / F.col("n")) + (F.col("_pos") < short % F.col("n")).cast("long")).drop("_pos", "n")
+    draws = draws.withColumns({
+        "rank": (F.pmod(draw(seed, F.col("id"), F.col("_i")), F.lit(k)) + 1).cast("int"),
+        "u": F.pmod(draw(seed + 1, F.col("id"), F.col("_i")), F.lit(1 << 30)) / F.lit(float(1 << 30)),
+    })
+    chosen = draws.join(near.select("id", "rank", "neighbour"), ["id", "rank"])
+    ends = chosen.join(own.select(F.col("id").alias("neighbour"), F.col("v").alias("w")), "neighbour")
+    between = F.zip_with("v", "w", lambda a, b: a + F.col("u") * (b - a))
+    return ends.select(F.col("g").alias("class"), "id", F.col("_i").alias("i"), "neighbour", "u", between.alias("point"))
 
 
 def smote(df: DataFrame, target: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -64,36 +104,16 @@ def smote(df: DataFrame, target: str, key: str, k: int = 5, seed: int = 42) -> D
 
     New rows have numbers only; their other columns and their key are null.
     """
-    counts = class_counts(df, target)
-    most, least = max(counts.values(), default=0), min(counts.values(), default=0)
+    _, least = _extremes(class_sizes(df, target))
     k = min(k, least - 1)
     features = [c for c in numeric_columns(df) if c not in (target, key)]
     if k < 1 or not features:
         return oversample(df, target, key, seed)
-    vector = F.array(*[F.coalesce(clean(df, c).cast("double"), F.lit(0.0)) for c in features])
-    result = df.withColumn("_new", F.lit(False))
-    for c, n in counts.items():
-        if n == most:
-            continue
-        members = df.where(q(target) == F.lit(c))
-        own = points(members, key, vector)
-        near = nearest(own, own, k, other=True)
-        placed = with_position(own.withColumn("_h", F.xxhash64("id", F.lit(seed))), "_h", "id").drop("_h")
-        copies = F.floor(F.lit(most - n) / F.lit(n)) + (F.col("_pos") < F.lit((most - n) % n)).cast("int")
-        draws = placed.withColumn("_i", F.explode(F.filter(F.sequence(F.lit(1), F.lit((most - n) // n + 1)), lambda i: i <= copies)))
-        draws = draws.withColumns({
-            "_pick": (F.pmod(F.xxhash64("id", "_i", F.lit(seed)), F.lit(k)) + 1).cast("int"),
-            "_u": F.pmod(F.xxhash64("id", "_i", F.lit(seed + 1)), F.lit(1 << 30)) / F.lit(float(1 << 30)),
-        })
-        chosen = draws.join(near.select("id", F.col("rank").alias("_pick"), "neighbour"), ["id", "_pick"])
-        ends = chosen.join(own.select(F.col("id").alias("neighbour"), F.col("v").alias("w")), "neighbour")
-        at = {f: F.col("v")[i] + F.col("_u") * (F.col("w")[i] - F.col("v")[i]) for i, f in enumerate(features)}
-        made = ends.select(*[
-            at[x].alias(x) if x in at else (F.lit(c) if x == target else F.lit(None)).cast(df.schema[x].dataType).alias(x) for x in df.columns
-        ], F.lit(True).alias("_new"))
-        plain = result.withColumns({f: q(f).cast("double") for f in features})
-        result = plain.unionByName(made)
-    return result
+    new = cut(smote_points(df, target, key, features, k, seed).select("class", "point"))
+    at = {f: F.col("point")[i] for i, f in enumerate(features)}
+    made = new.select(*[(at[x] if x in at else F.col("class") if x == target else F.lit(None)).cast("double" if x in at else df.schema[x].dataType).alias(x) for x in df.columns], F.lit(True).alias("_new"))
+    plain = df.select(*[q(x).cast("double").alias(x) if x in at else q(x) for x in df.columns], F.lit(False).alias("_new"))
+    return plain.unionByName(made)
 
 
 def impute_knn(df: DataFrame, cols: list[str], key: str, k: int = 5) -> DataFrame:

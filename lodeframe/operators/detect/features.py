@@ -277,15 +277,16 @@ def imbalance_facts(df: DataFrame, target: str | None = None) -> dict | None:
     target = find_target(df, target)
     if target is None:
         return None
-    counts = {r["c"]: r["n"] for r in df.where(q(target).isNotNull()).groupBy(q(target).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) < 2:
+    sizes = df.where(q(target).isNotNull()).groupBy(q(target)).agg(F.count(F.lit(1)).alias("n"))
+    found = facts(sizes, {"classes": F.count(F.lit(1)), "most": F.max("n"), "least": F.min("n"), "rows": F.sum("n")})
+    if found["classes"] < 2:
         return None
-    ratio = round(max(counts.values()) / min(counts.values()), 2)
+    ratio = round(found["most"] / found["least"], 2)
     severity = next((name for limit, name in SEVERITIES if ratio < limit), "extreme")
     numeric = any(c != target for c in numeric_columns(df))
     texts = any(is_string(df, c) for c in scalar_columns(df) if c != target)
     strategy = {"extreme": "anomaly_framing", "severe": "smoteenn", "moderate": "smote_nc" if numeric and texts else "smote" if numeric else "random_oversample"}.get(severity, "class_weights")
-    return {"target": target, "classes": len(counts), "ratio": ratio, "severity": severity, "strategy": strategy, "rows": sum(counts.values())}
+    return {"target": target, "classes": found["classes"], "ratio": ratio, "severity": severity, "strategy": strategy, "rows": found["rows"]}
 
 
 def imbalance_plan(df: DataFrame, target: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.operators import ordered, quantiles
 from lodeframe.operators.clean import rows as basic
-from lodeframe.operators.neighbours import nearest, points, within
+from lodeframe.operators.neighbours import grow, nearest, points, visits, within
 
 
 def skewed(spark, n=40_000, hot=0.4):
@@ -115,13 +115,14 @@ def brute(v, k):
     return d, order
 
 
-def test_neighbours_are_exact_also_when_a_third_are_copies(spark):
+@pytest.mark.parametrize("leaf", [60, 1000])
+def test_neighbours_are_exact_also_when_a_third_are_copies(spark, leaf):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(600, 3))
     v[::3] = v[0]
     df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "key long, vec array<double>")
     p = points(df, "key", F.col("vec"))
-    got = nearest(p, p, 4, other=True, pivots=9, chunk=50).toPandas()
+    got = nearest(p, p, 4, other=True, leaf=leaf, fan=3, chunk=50).toPandas()
     d, order = brute(v, 4)
     assert len(got) == 600 * 4
     for i, part in got.groupby("id"):
@@ -130,16 +131,43 @@ def test_neighbours_are_exact_also_when_a_third_are_copies(spark):
         assert list(part["neighbour"]) == list(order[i])
 
 
-def test_counts_within_a_radius(spark):
+@pytest.mark.parametrize("leaf", [40])
+def test_counts_within_a_radius(spark, leaf):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(300, 2))
     df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "key long, vec array<double>")
     p = points(df, "key", F.col("vec"))
-    got = within(p, p, 0.5, pivots=7, chunk=40).toPandas().set_index("id")["n"]
+    got = within(p, p, 0.5, leaf=leaf, fan=4, chunk=40).toPandas().set_index("id")["n"]
     d = np.sqrt(((v[:, None, :] - v[None, :, :]) ** 2).sum(axis=2))
     assert list(got.sort_index()) == list((d <= 0.5).sum(axis=1))
 
 
+def test_groups_of_neighbours_stay_apart(spark):
+    rng = np.random.default_rng(5)
+    v, g = rng.normal(size=(300, 2)), rng.integers(0, 3, 300)
+    df = spark.createDataFrame([(i, [float(x) for x in row], str(c)) for i, (row, c) in enumerate(zip(v, g))], "key long, vec array<double>, g string")
+    p = points(df, "key", F.col("vec"), F.col("g"))
+    got = nearest(p, p, 3, other=True, leaf=15, fan=3).toPandas()
+    for i, part in got.groupby("id"):
+        d = np.sqrt(((v - v[i]) ** 2).sum(axis=1))
+        d[(g != g[i]) | (np.arange(300) == i)] = np.inf
+        assert list(part.sort_values("rank")["neighbour"]) == list(np.argsort(d, kind="stable")[:3])
+
+
+def test_visits_per_query_stay_the_same_as_rows_grow(spark):
+    """Four times the rows make four times the leaves, but a query looks into about as many."""
+    rng = np.random.default_rng(6)
+    seen = []
+    for n in (2_000, 8_000):
+        df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(rng.random((n, 2)))], "id long, v array<double>").withColumn("g", F.lit(0))
+        tree = grow(df, 100, 8)
+        bound = 2 / np.sqrt(n)  # about the fourth neighbour's distance
+        found = visits(df.withColumn("bound", F.lit(float(bound))), tree)
+        assert tree.donors.groupBy("node").count().agg(F.max("count")).first()[0] <= 100
+        seen.append(found.count() / n)
+    assert seen[1] < 1.3 * seen[0] and seen[1] < 6
+
+
 def test_neighbours_without_donors(spark):
     empty = spark.createDataFrame([], "id long, v array<double>")
     some = spark.createDataFrame([(1, [0.0])], "id long, v array<double>")
