@@ -25,7 +25,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,7 +108,7 @@ def minima_of(value: np.ndarray, first: np.ndarray, n: int, seed: int) -> np.nda
 
 
 def band_keys(df: DataFrame, text: str, id_col: str, words: int, bands: int, rows: int = ROWS) -> DataFrame:
-    """id, n_shingles, node, node2, bands for each row; the last three are null for texts without words."""
+    """id, digest of the text, n_shingles, node, node2, bands for each row; the last three are null for texts without words."""
 
     def compute(block: Block) -> dict:
         owner, value = shingle_sets(block, words)
@@ -128,7 +128,12 @@ def band_keys(df: DataFrame, text: str, id_col: str, words: int, bands: int, row
         return {"n_shingles": size, "node": pa.array(nodes[0], pa.int64()), "node2": pa.array(nodes[1], pa.int64()), "bands": pa.array(lists, pa.list_(pa.int64()))}
 
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("node2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    return per_text(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), "text", ["id"], fields, compute)
+    return per_text(df.select(F.col(f"`{id_col}`").alias("id"), _digest(text).alias("digest"), F.col(f"`{text}`").alias("text")), "text", ["id", "digest"], fields, compute)
+
+
+def _digest(text: str) -> Column:
+    """Tells apart texts of one id."""
+    return F.xxhash64(F.col(f"`{text}`").cast("string"))
 
 
 def full_sets(df: DataFrame, words: int) -> DataFrame:
@@ -266,8 +271,8 @@ def block_links(members: DataFrame, sets: DataFrame, threshold: Fraction) -> Dat
     return asked.join(sets.select("node", "members"), "node").groupBy("key", "x", "y").applyInArrow(decide, "a long, b long")
 
 
-def groups(df: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """One row for each row: its id, n_shingles (set size), component_id (least id reachable over links, itself included), kept."""
+def _classes(df: DataFrame, text: str, id_col: str, words: int, threshold: Fraction) -> DataFrame:
+    """One row for each row: id, digest, n_shingles, component_id, kept."""
     sigs = cut(band_keys(df, text, id_col, words, bands_for(threshold)))
     nodes = sigs.where("node is not null and id is not null").groupBy("node", "node2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     rows = nodes.select("node", "rep", F.explode("bands").alias("key"))
@@ -292,12 +297,17 @@ def groups(df: DataFrame, text: str = "text", id_col: str = "doc_id", words: int
     merged = classes.join(labels, "node")
     least = merged.groupBy("comp").agg(F.min("rep").alias("component_id"))
     whole = classes.join(merged.select("node", "comp").join(least, "comp"), "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    out = sigs.select("id", "n_shingles", "node").join(whole, "node", "left")
+    out = sigs.select("id", "digest", "n_shingles", "node").join(whole, "node", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select("id", "digest", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def groups(df: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """One row for each row: its id, n_shingles (set size), component_id (least id reachable over links, itself included), kept."""
+    return _classes(df, text, id_col, words, threshold).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
 
 
 def drop_near_copies(df: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """The rows, with all columns, without those whose id goes: of each group the document with the least id stays."""
-    gone = groups(df, text, id_col, words, threshold).where("not kept").select(F.col(id_col).alias("gone_id_")).distinct()
-    return df.join(gone, df[id_col] == gone.gone_id_, "left_anti")
+    """The rows, with all columns, without those that go: of each group the document with the least id stays. An id may have several texts."""
+    gone = _classes(df, text, id_col, words, threshold).where("not kept").select(F.col("id").alias("gone_id_"), F.col("digest").alias("gone_digest_")).distinct()
+    return df.join(gone, (F.col(f"`{id_col}`") == F.col("gone_id_")) & (_digest(text) == F.col("gone_digest_")), "left_anti")

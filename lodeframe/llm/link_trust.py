@@ -13,12 +13,14 @@ allowed. Repeated rows count as pages of their own. Null pages have no links.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.session import cut
 
-DAMPING, THRESHOLD, TOLERANCE, ROUNDS = 0.85, 0.5, 1e-6, 60
+DAMPING, THRESHOLD, TOLERANCE = 0.85, 0.5, 1e-6
 LINK = r"""(?i)\shref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,8 +50,13 @@ def links(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     return found.groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-def spread_trust(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust, distrust from seeds (host, allowed, blocked) and edges (source, target, n); each kind sums to 1 or, unseeded, to 0."""
+def spread_trust(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """host, trust, distrust from seeds (host, allowed, blocked) and edges (source, target, n); each kind sums to 1 or, unseeded, to 0.
+
+    Rounds go on until the ranks of both kinds change by less than the tolerance in all. Round k changes them by 2 (1 - damping) damping^k
+    at most, as no host hands on more than it has, so the number of rounds follows from damping and tolerance; more would be a fault.
+    """
+    rounds = 2 + math.ceil(math.log(tolerance / (2 * (1 - damping))) / math.log(damping))
     out = edges.groupBy("source").agg(F.sum("n").alias("all"))
     into = edges.groupBy("target").agg(F.sum("n").alias("all"))
     along = edges.join(out, "source").select(F.lit("trust").alias("kind"), F.col("source").alias("from"), F.col("target").alias("to"), (F.col("n") / F.col("all")).alias("share"))
@@ -69,6 +76,8 @@ def spread_trust(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, t
         ranks = written.select("kind", "host", "rank")
         if change < tolerance:
             break
+    else:
+        raise RuntimeError(f"ranks still change by {change} after {rounds} rounds")
     sums = {r.kind: r.s for r in ranks.groupBy("kind").agg(F.sum("rank").alias("s")).collect()}
     share = lambda k: F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)) / F.lit(sums.get(k) or 1.0)
     return ranks.groupBy("host").agg(share("trust").alias("trust"), share("distrust").alias("distrust"))

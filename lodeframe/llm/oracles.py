@@ -67,7 +67,7 @@ def _spans(pattern: str, kind: int, group: int = 0) -> str:
     return f"SELECT doc_id, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'a': {begin}::BIGINT, 'k': {kind}, 'b': ({begin} + length(m[i]))::BIGINT, 'v': g[i]}})) AS x FROM ({found})"
 
 
-ALIVE = "regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[A-Za-z]') AND len(list_distinct(string_split(x.v, ''))) >= 10 AND NOT regexp_matches(x.v, '(?i)example|sample|dummy|changeme|placeholder|xxxx|1234567|abcdef0|todo')"
+ALIVE = "regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[A-Za-z]') AND len(list_distinct(string_split(x.v, ''))) >= least(10, ceil(length(x.v) * 0.7)) AND NOT regexp_matches(x.v, '(?i)example|sample|dummy|changeme|placeholder|xxxx|1234567|abcdef0|todo')"
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
 OP7 = f"""

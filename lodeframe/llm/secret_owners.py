@@ -5,13 +5,16 @@ repositories and owners over the whole table. A value that `WIDE` owners or more
 that looks alive (letters and digits mixed, enough distinct characters, no placeholder word) is a credential of its owner. Loose tokens of
 the second sort add spans to the base ones. All positions are code points, ends exclusive.
 
-Positions come from splitting the text at the pattern: what lies between matches and the matches themselves add up. Owners are counted from
+Positions come from splitting the text at the pattern: what lies between matches and the matches themselves add up, in runs, so that a
+text with very many matches does not cost their square. Owners are counted from
 distinct (hash, repository, owner), so a value in a third of all rows is a few rows there. Null and empty texts have no spans. Repeated rows
 have the same spans; a null owner or repository counts as none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,26 +27,43 @@ HEX = r"[0-9a-f]{24,}+"
 #: A loose token of the alphabet of keys, not part of a longer one.
 LOOSE = r"[A-Za-z0-9+/_=-]{20,}+"
 KINDS = ("assign", "access", "hex", "loose")
-VALUE_CHARS, WIDE, DISTINCT = 6, 3, 10
+VALUE_CHARS, WIDE = 6, 3
+#: A live value has so many distinct characters, or seven of ten of its own if it is short.
+DISTINCT, SHARE = 10, 0.7
+#: Matches of a text are added up in runs of so many.
+RUN = 256
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|xxxx|1234567|abcdef0|todo"
 
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def matches(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     """The pattern's leftmost matches that don't overlap, as spans; the value is what `group` holds."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
     steps = F.arrays_zip(F.transform(between, F.length).alias("gap"), F.transform(found, F.length).alias("size"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    total = lambda lengths: F.aggregate(lengths, F.lit(0), lambda n, x: n + x)
+    run = lambda i: F.floor(i / RUN).cast("int")
+
+    def placed(steps: Column, lengths: Column, before: Column) -> Column:
+        def span(x: Column, i: Column) -> Column:
+            begin = F.element_at(before, run(i) + 1) + total(F.slice(lengths, run(i) * RUN + 1, i % RUN)) + x.gap
+            return F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (begin + x.size).alias("end"), x.value.alias("value"))
+
+        return F.transform(steps, span)
 
-    def add(state: Column, x: Column) -> Column:
-        begin = state.at + x.gap
-        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (begin + x.size).alias("end"), x.value.alias("value"))
-        return F.struct((begin + x.size).alias("at"), F.concat(state.spans, F.array(span)).alias("spans"))
+    def runs(lengths: Column) -> Column:
+        """What lies before each run of matches."""
+        return F.transform(F.sequence(F.lit(0), run(F.size(lengths))), lambda r: total(F.slice(lengths, F.lit(1), r * RUN)))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, add, lambda s: s.spans)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    spans = _let(steps, lambda s: _let(F.transform(s, lambda x: x.gap + x.size), lambda n: _let(runs(n), lambda before: placed(s, n, before))))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def base_spans(text: Column) -> Column:
@@ -58,7 +78,7 @@ def loose_spans(text: Column, base: Column) -> Column:
 
 
 def alive(value: Column) -> Column:
-    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= DISTINCT) & ~value.rlike(PLACEHOLDER)
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= F.least(F.lit(DISTINCT), F.ceil(F.length(value) * SHARE))) & ~value.rlike(PLACEHOLDER)
 
 
 def text_of(spans: Column) -> Column:

@@ -74,3 +74,10 @@ def test_dropping_copies_keeps_columns(docs, empty):
     stay = {r.doc_id for r in m.groups(docs).where("kept").collect()}
     assert {r.doc_id for r in kept.collect()} == stay and kept.where("doc_id is null").count() == 2
     assert m.groups(empty).count() == 0 and m.drop_near_copies(empty).count() == 0
+
+
+def test_an_id_with_two_texts_keeps_the_one_that_is_no_copy(spark):
+    rng = random.Random(2)
+    a, b = words(rng, 40), words(rng, 40)
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (None, a)], "`doc.id` long, text string")
+    assert sorted(map(tuple, m.drop_near_copies(df, id_col="doc.id").collect()), key=repr) == sorted([(1, a), (5, b), (None, a)], key=repr)

@@ -53,3 +53,12 @@ def test_redaction_replaces_values_only(spark, docs, empty):
     kept = s.redact(docs, owner=F.col("source"))
     assert kept.columns == docs.columns and kept.count() == docs.count()
     assert s.redact(empty).count() == 0 and s.scan(empty).count() == 0
+
+
+def test_short_values_and_many_matches(spark):
+    """hunter2 has few characters and seven distinct ones; 30 000 matches in one text are placed one by one."""
+    rows = [(1, "password=hunter2", "en", "a", 1, "", ""), (2, "password=aaa1aaa", "en", "a", 1, "", "")]
+    assert {r.doc_id: len(r.live) for r in s.scan(table(spark, rows), owner=F.col("source")).collect()} == {1: 1, 2: 0}
+    many = "".join(f"é{i} token=abcdef " for i in range(30_000))
+    got = spark.createDataFrame([(many,)], "t string").select(s.matches(F.col("t"), s.ASSIGN, "assign", 2).alias("m")).first()["m"]
+    assert [(m.start, m.end) for m in got] == [m.span() for m in ASSIGN.finditer(many)]
