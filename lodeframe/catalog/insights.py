@@ -52,6 +52,11 @@ def _insights(c: Catalog) -> None:
     c.add("i5_period_compare", lambda t: insight.period_compare(t.orders.withColumn("year", F.year("o_orderdate")), "o_orderpriority", "o_totalprice", "year"),
           "SELECT o_orderpriority AS metric, sum(o_totalprice) FILTER (year(o_orderdate) = y - 1) AS previous, sum(o_totalprice) FILTER (year(o_orderdate) = y) AS latest, round(100.0 * (sum(o_totalprice) FILTER (year(o_orderdate) = y) - sum(o_totalprice) FILTER (year(o_orderdate) = y - 1)) / abs(sum(o_totalprice) FILTER (year(o_orderdate) = y - 1)), 2) AS change_pct FROM orders, (SELECT max(year(o_orderdate)) AS y FROM orders) GROUP BY 1", {"previous": 2, "latest": 2})
     c.add("i6_ml_readiness", lambda t: insight.ml_readiness(t.documents.join(t.labels, "doc_id").select("lang", "source", "n_chars", "toxic", "quality")))
+    c.add("i6_readiness_components", lambda t: insight.readiness_components(t.documents.join(t.labels, "doc_id").select("lang", "source", "n_chars", "toxic", "quality")).where("measure <> 'signal'"),
+          "WITH j AS (SELECT lang, source, n_chars, toxic, quality FROM documents JOIN labels USING (doc_id)), n AS (SELECT count(*) AS n, 5 * count(*) - count(lang) - count(source) - count(n_chars) - count(toxic) - count(quality) AS gaps, count(*) - count(quality) AS own FROM j), "
+          "k AS (SELECT max(c)::DOUBLE / min(c) AS r FROM (SELECT count(*) AS c FROM j WHERE quality IS NOT NULL GROUP BY quality)), m AS (SELECT 'missing_pct' AS measure, 100.0::DOUBLE * gaps / (5 * n) AS value FROM n UNION ALL SELECT 'target_missing_pct', 100.0::DOUBLE * own / n FROM n "
+          "UNION ALL SELECT 'imbalance', r FROM k UNION ALL SELECT 'ratio', n / 4.0::DOUBLE FROM n) SELECT measure, value, CASE measure WHEN 'missing_pct' THEN -least(value, 20) WHEN 'target_missing_pct' THEN -least(2 * value, 40) WHEN 'imbalance' THEN -least(greatest(value - 10, 0) * 0.5, 20) "
+          "WHEN 'ratio' THEN CASE WHEN value < 10 THEN -20 WHEN value < 50 THEN -10 ELSE 0 END END::DOUBLE AS points FROM m", {"value": 6, "points": 6})
     c.add("i12_summary_facts", lambda t: insight.summary_facts(dirty(t).select("l_quantity", "l_tax", "l_returnflag")).where("section <> 'correlations'"),
           " UNION ALL ".join(f"SELECT 'nulls' AS section, '{x}' AS \"column\", 'share' AS metric, 1 - count({x}) / count(*) AS value FROM {DIRTY_SQL} UNION ALL SELECT 'numbers', '{x}', 'mean', avg({x}) FROM {DIRTY_SQL} UNION ALL SELECT 'numbers', '{x}', 'sd', stddev_samp({x}) FROM {DIRTY_SQL}" for x in ("l_quantity", "l_tax")), {"value": 5})
     c.add("f0_profile", lambda t: whole.profile(t.orders).select("column", "rows", "null_count", "distinct"),

@@ -37,20 +37,18 @@ TARGET_NAMES = ("target", "label", "class", "y", "outcome", "survived", "churn",
 SEVERITIES = ((1.5, "balanced"), (5, "mild"), (20, "moderate"), (100, "severe"))
 
 
-def _encoding(u: int, cyclic, ordered: bool, target: str | None) -> str:
-    if cyclic:
-        return "cyclical_encode"
-    if u == 2:
-        return "label_encode"
-    if ordered:
-        return "ordinal_encode"
-    if u <= 20:
-        return "one_hot_encode"
-    if u <= 100:
-        return "frequency_encode"
-    if target:
-        return "target_encode"
-    return "binary_encode" if u <= 500 else "hash_encode" if u <= 5000 else "suggest_embedding"
+# Encodings of columns with a mark, the first that holds; of others by the most values that an encoding is good for.
+MARKED_ENCODINGS = {"cyclic": "cyclical_encode", "binary": "label_encode", "ordered": "ordinal_encode"}
+SIZED_ENCODINGS = {20: "one_hot_encode", 100: "frequency_encode", 500: "binary_encode", 5000: "hash_encode"}
+LARGE_ENCODING, LARGE_WITH_TARGET = "suggest_embedding", "target_encode"
+
+
+def _encoding(distinct: int, marks: set[str], target: str | None) -> str:
+    named = [e for mark, e in MARKED_ENCODINGS.items() if mark in marks]
+    fits = sorted(most for most in SIZED_ENCODINGS if most >= distinct)
+    if target and (not fits or fits[0] > 100):
+        named.append(LARGE_WITH_TARGET)
+    return [*named, *(SIZED_ENCODINGS[most] for most in fits), LARGE_ENCODING][0]
 
 
 def encoding_plan(df: DataFrame, target: str | None = None) -> DataFrame:
@@ -72,7 +70,8 @@ def encoding_plan(df: DataFrame, target: str | None = None) -> DataFrame:
         if cycle and not (got[f"lo{i}"] >= 0 and got[f"hi{i}"] <= cycle):
             cycle = None
         ordered = any(re.search(w, c, re.IGNORECASE) for w in ORDERED_NAMES) or got[f"w{i}"] >= 2
-        found.append((c, u, _encoding(u, cycle, ordered, target), cycle))
+        marks = {mark for mark, holds in {"cyclic": cycle, "binary": u == 2, "ordered": ordered}.items() if holds}
+        found.append((c, u, _encoding(u, marks, target), cycle))
     return rows(df.sparkSession, found, "column string, cardinality long, strategy string, period int")
 
 

@@ -121,9 +121,11 @@ def score_outliers(df: DataFrame, c: str, key: str, order: str | None = None, st
     return merged.select("key", "value", "methods", likelihood.alias("likelihood"), (likelihood > 0.6).alias("likely_error"))
 
 
-# Treatments by priority, and the limits that the measures of a column's outliers must exceed for each.
+# Treatments by priority, and between which limits the measures of a column's outliers must lie for each.
+NONE, ANY = float("-inf"), float("inf")
 TREATMENTS = (
-    ("replace_boundary", {"by rule": 0, "errors": 0.8}), ("remove_outlier_rows", {"errors": 0.7, "rare": -0.02}), ("winsorize", {"errors": 0.3}), ("log_transform", {"skew": 2.0, "least": 0}), ("flag_outlier", {}),
+    ("replace_boundary", {"by rule": (0, ANY), "errors": (0.8, ANY)}), ("remove_outlier_rows", {"errors": (0.7, ANY), "share of rows": (NONE, 0.02)}),
+    ("winsorize", {"errors": (0.3, ANY)}), ("log_transform", {"skew": (2.0, ANY), "least": (0, ANY)}), ("flag_outlier", {}),
 )
 
 
@@ -132,8 +134,8 @@ def treatment(scored: DataFrame, n: int, stats: dict) -> tuple[str, int]:
     f = facts(scored, {"t": F.count(F.lit(1)), "e": F.count_if("likely_error"), "r": F.count_if(F.array_contains("methods", "business_rule"))})
     if not f["t"]:
         return "none", 0
-    measures = {"by rule": f["r"], "errors": f["e"] / f["t"], "rare": -f["t"] / n, "skew": stats["skew"], "least": stats["min"]}
-    return next(name for name, limits in TREATMENTS if all(measures[m] > least for m, least in limits.items())), f["t"]
+    measures = {"by rule": f["r"], "errors": f["e"] / f["t"], "share of rows": f["t"] / n, "skew": stats["skew"], "least": stats["min"]}
+    return next(name for name, limits in TREATMENTS if all(low < measures[m] < high for m, (low, high) in limits.items())), f["t"]
 
 
 # rows of many columns

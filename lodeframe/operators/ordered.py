@@ -72,7 +72,7 @@ def with_ranges(df: DataFrame, order: str, key: str | None = None, ranges: int |
     return df.withColumn("_range", (F.col("_cut") * _SUBRANGES + sub).cast("long")).drop("_cut")
 
 
-def _join_ranges(df: DataFrame, per_range: DataFrame, partition: list[str]) -> DataFrame:
+def join_ranges(df: DataFrame, per_range: DataFrame, partition: list[str]) -> DataFrame:
     """Brings the one-row-per-range table back; without partition columns its size is the number of ranges."""
     if not partition:
         return df.join(F.broadcast(per_range), "_range")
@@ -83,6 +83,12 @@ def _join_ranges(df: DataFrame, per_range: DataFrame, partition: list[str]) -> D
     return df.join(right, cond).drop("_r", *[f"_k_{c}" for c in partition])
 
 
+def ranged_rows(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows dealt into ranges of a composite order of any sortable types, written: _row rises in that order, _range is the range's number."""
+    rows = df.repartitionByRange(range_count(df), *order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    return cut(rows).withColumn("_range", F.shiftright("_row", 33))
+
+
 def _before(partition: list[str], forward: bool = True):
     order = F.col("_range").asc() if forward else F.col("_range").desc()
     w = Window.partitionBy(*[q(c) for c in partition]) if partition else Window
@@ -100,7 +106,7 @@ def with_position(df: DataFrame, order: str, key: str, partition: list[str] | No
     sizes = ranged.groupBy(*[q(c) for c in partition], "_range").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_skip", F.coalesce(F.sum("_n").over(_before(partition)), F.lit(0))).drop("_n")
     local = F.row_number().over(_inside(partition, F.col("_x"), q(order), q(key))).cast("long")
-    placed = _join_ranges(ranged.withColumn("_local", local), sizes, partition)
+    placed = join_ranges(ranged.withColumn("_local", local), sizes, partition)
     return placed.withColumn("_pos", F.col("_local") + F.col("_skip") - 1).drop("_local", "_skip", "_range", "_x")
 
 
@@ -119,7 +125,7 @@ def fill(df, cols: list[str], order: str, key: str, partition: list[str] | None
     sides = (F.col("_x").asc(), q(order).asc(), q(key).asc()) if forward else (F.col("_x").desc(), q(order).desc(), q(key).desc())
     w = _inside(partition, *sides).rowsBetween(Window.unboundedPreceding, 0)
     ranged = ranged.withColumns({f"_near_{i}": F.last(q(c), True).over(w) for i, c in enumerate(cols)})
-    joined = _join_ranges(ranged, carried, partition)
+    joined = join_ranges(ranged, carried, partition)
     filled = {c: F.coalesce(F.col(f"_near_{i}"), F.col(f"_carry_{i}")) for i, c in enumerate(cols)}
     return joined.select(*[filled[c].alias(c) if c in filled else q(c) for c in names])
 
@@ -153,7 +159,7 @@ def cumulative(counts: DataFrame, order: str, measures: list[str], partition: li
     sums = sums.withColumns(skips | totals).drop(*[f"_s_{m}" for m in measures])
     w = _inside(partition, F.col("_x"), q(order)).rowsBetween(Window.unboundedPreceding, 0)
     ranged = ranged.withColumns({f"cum_{m}": F.sum(q(m)).over(w) for m in measures})
-    joined = _join_ranges(ranged, sums, partition)
+    joined = join_ranges(ranged, sums, partition)
     joined = joined.withColumns({f"cum_{m}": F.col(f"cum_{m}") + F.col(f"_skip_{m}") for m in measures})
     return joined.drop("_range", "_x", *[f"_skip_{m}" for m in measures])
 
@@ -229,7 +235,7 @@ def positions_of_values(df: DataFrame, c: str) -> DataFrame:
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_skip", F.coalesce(F.sum("_n").over(_before([])), F.lit(0))).drop("_n")
     local = F.row_number().over(Window.partitionBy("_range").orderBy("value")).cast("long")
-    placed = _join_ranges(ranged.withColumn("_local", local), sizes, [])
+    placed = join_ranges(ranged.withColumn("_local", local), sizes, [])
     return placed.select("value", (F.col("_local") + F.col("_skip") - 1).alias("position"))
 
 
