@@ -38,8 +38,8 @@ def _numbers(c: Catalog) -> None:
     box = "q AS (SELECT quantile_cont(x, 0.25) AS q1, median(x) AS m, quantile_cont(x, 0.75) AS q3 FROM d), f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)"
     c.add("f6_box_plot", lambda t: N.box_plot(x(t), ["x"]),
           f"{d}, {box} SELECT 'x' AS \"column\", any_value(q1) AS q1, any_value(m) AS median, any_value(q3) AS q3, min(x) FILTER (x >= lo) AS whisker_low, max(x) FILTER (x <= hi) AS whisker_high, count(*) FILTER (x < lo OR x > hi) AS outliers FROM d, f")
-    c.add("f6_box_outliers", lambda t: N.box_outliers(x(t), "x"),
-          f"{d}, {box}, o AS (SELECT x FROM d, f WHERE x < lo OR x > hi) SELECT x AS value FROM (SELECT x, row_number() OVER (ORDER BY x) AS a, row_number() OVER (ORDER BY x DESC) AS b FROM o) WHERE a <= 50 OR b <= 50")
+    c.add("f6_box_outliers", lambda t: N.box_outliers(x(t), "x", None),
+          f"{d}, {box}, o AS (SELECT x FROM d, f WHERE x < lo OR x > hi) SELECT x AS value FROM o")
     h = "q AS (SELECT count(*) AS n, min(v) AS lo, max(v) AS hi, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM s), k AS (SELECT *, least(200, greatest(1, ceil((hi - lo) / (2 * iqr * n ** (-1.0 / 3)))))::INT AS bins FROM q)"
     c.add("f7_fd_histogram", lambda t: N.fd_histogram(t.orders, "o_totalprice"),
           f"WITH s AS (SELECT o_totalprice AS v FROM orders), {h}, c AS (SELECT least(floor((v - lo) / (hi - lo) * bins), bins - 1)::INT AS bin, count(*) AS n FROM s, k GROUP BY 1) "
@@ -134,7 +134,7 @@ def _relations(c: Catalog) -> None:
     c.add("f23_vif", lambda t: R.vif(t.lineitem.select("l_quantity", "l_extendedprice", (F.col("l_extendedprice") * F.col("l_discount")).alias("cut"))),
           "WITH r AS (SELECT corr(l_quantity, l_extendedprice) AS a, corr(l_quantity, l_extendedprice * l_discount) AS b, corr(l_extendedprice, l_extendedprice * l_discount) AS c FROM lineitem), d AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM r), "
           "v AS (SELECT 'l_quantity' AS \"column\", (1 - c * c) / det AS vif FROM d UNION ALL SELECT 'l_extendedprice', (1 - b * b) / det FROM d UNION ALL SELECT 'cut', (1 - a * a) / det FROM d) SELECT *, vif > 5 AS high FROM v", {"vif": 6})
-    c.add("f24_strongest_pairs", lambda t: R.strongest_pairs(t.part.select("p_size", "p_retailprice", "p_brand", "p_type")))
+    c.add("f24_strongest_pairs", lambda t: R.strongest_pairs(t.part.select("p_size", "p_retailprice", "p_brand", "p_type"), None))
     c.add("f25_detect_target", lambda t: S.detect_target(t.documents.join(t.labels, "doc_id").select("doc_id", "lang", "n_chars", "toxic", "quality")).select("target", "problem", "score"),
           "SELECT 'quality' AS target, 'binary_classification' AS problem, 7.5::DOUBLE AS score")
     c.add("f32_graph", lambda t: R.relationship_graph(t.lineitem.select(*four, (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))),

@@ -303,6 +303,12 @@ def _windows(c: Catalog) -> None:
     c.add("w3_lag_split", split({"func": "LAG", "column": "user_id", "offset": 3, **by_id}, "n"), "SELECT event_id, lag(user_id, 3) OVER (ORDER BY event_id) AS n FROM events")
     c.add("w6_running_sum_split", split({"func": "SUM", "column": "value", "partition_by": ["event_type"], "order_by": ["event_id"]}, "n"), "SELECT event_id, sum(value) OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events", {"n": 4})
     c.add("w7_sliding_split", split({"func": "AVG", "column": "value", "frame": "ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING", **by_id}, "n"), "SELECT event_id, avg(value) OVER (ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS n FROM events", {"n": 5})
+    by_text = {"order_by": [{"column": "event_type", "direction": "DESC"}, "user_id", "event_id"]}
+    over_text = "OVER (ORDER BY event_type DESC, user_id, event_id"
+    for function, call in (("FIRST_VALUE", "first_value(value)"), ("LAST_VALUE", "last_value(value)"), ("NTH_VALUE", "nth_value(value, 5)"), ("MIN", "min(value)"), ("MAX", "max(value)"), ("ROW_NUMBER", "row_number()"), ("RANK", "rank()")):
+        c.add(f"w4_{function.lower()}_split_text", split({"func": function, "column": "value", "n": 5, **by_text}, "n"), f"SELECT event_id, {call} {over_text}) AS n FROM events")
+    c.add("w7_running_rows_split", split({"func": "MAX", "column": "value", "partition_by": ["event_type"], "order_by": ["ts", "event_id"], "frame": "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"}, "n"),
+          "SELECT event_id, max(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM events")
     c.add("w8_qualify", lambda t: run_spec(t.spark, {
         "ctes": [{"name": "ranked", "query": {"from": "events", "columns": [{"column": "event_id"}, {"column": "user_id"}, {"window": {"func": "ROW_NUMBER", **by_user}, "alias": "r"}]}}],
         "from": "ranked", "where": [{"column": "r", "op": "<=", "value": 2}]}, {"events": t.events}),

@@ -180,7 +180,7 @@ def register(c: Catalog) -> None:
 
     c.add("s18_encoding", encodings, "SELECT * FROM (VALUES ('plain', 'utf-8'), ('wide', 'utf-16-be'), ('latin', 'unknown')) v(kind, encoding) WHERE (SELECT count(*) > 0 FROM customer)")
     c.add("s19_detect_delimiter", lambda t: R.detect_delimiter(t.spark, _csv(t, t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), sep=";")).where("chosen").select("delimiter"), "SELECT ';' AS delimiter WHERE (SELECT count(*) > 0 FROM orders)")
-    c.add("s20_structural_issues", lambda t: R.structural_issues(t.part.select("p_partkey", F.lit("").alias("blank"), F.expr("CASE WHEN p_partkey % 20 = 0 THEN p_size END").alias("few"), F.expr("CASE WHEN p_partkey % 3 = 0 THEN concat(p_name, ' Ã') ELSE p_name END").alias("name"))),
+    c.add("s20_structural_issues", lambda t: R.structural_issues(t.part.select("p_partkey", F.lit("").alias("blank"), F.expr("CASE WHEN p_partkey % 20 = 0 THEN p_size END").alias("few"), F.expr("CASE WHEN p_partkey % 3 = 0 THEN concat(p_name, ' Ã©') WHEN p_partkey % 3 = 1 THEN concat(p_name, ' SÃO Â') ELSE p_name END").alias("name"))),
           "SELECT 'blank' AS \"column\", 'empty' AS issue, count(*) AS count FROM part UNION ALL SELECT 'few', 'mostly_null', count(*) FILTER (p_partkey % 20 <> 0) FROM part UNION ALL SELECT 'name', 'encoding Ã', count(*) FILTER (p_partkey % 3 = 0) FROM part")
 
     def beside(t):

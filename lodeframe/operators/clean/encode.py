@@ -15,7 +15,7 @@ MAX_LEVELS = 1000
 
 
 def levels(df: DataFrame, c: str, most: int = MAX_LEVELS) -> list:
-    """The distinct values in order; refused above a fixed number, as each becomes a column."""
+    """The distinct values in order; refused above `most`, as each becomes a column."""
     values = df.select(clean(df, c).alias("v")).where("v is not null").distinct()
     found = [r["v"] for r in values.limit(most + 1).collect()]
     if len(found) > most:
@@ -33,10 +33,10 @@ def label_encode(df: DataFrame, cols: list[str]) -> DataFrame:
     return df
 
 
-def one_hot(df: DataFrame, cols: list[str], drop_first: bool = False) -> DataFrame:
+def one_hot(df: DataFrame, cols: list[str], drop_first: bool = False, most: int = MAX_LEVELS) -> DataFrame:
     """One 0/1 column per level, named <c>_<level>, in place of the column."""
     for c in cols:
-        kept = levels(df, c)[1 if drop_first else 0 :]
+        kept = levels(df, c, most)[1 if drop_first else 0 :]
         flags = [F.coalesce(clean(df, c) == F.lit(v), F.lit(False)).cast("int").alias(f"{c}_{v}") for v in kept]
         df = df.select(*[q(x) for x in df.columns if x != c], *flags)
     return df

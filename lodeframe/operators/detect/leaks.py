@@ -19,18 +19,19 @@ FUTURE = (
     r"(end[-_]?date|end[-_]?time|expiry|expiration)",
 )
 ID_NAMES = r"^(id|_id|row_?id|index|record_?id|entry_?id|seq|sequence|serial|number)$|([-_]id$|[-_]key$|[-_]num$)"
-# A number is checked like a category if it has few values, or if its values repeat this often on average.
-FEW_VALUES, ROWS_PER_VALUE = 50, 5
+# Numbers of more values count by those that repeat, as a value that occurs once has one target anyway; these must hold half of the rows.
+FEW_VALUES = 50
 SCHEMA = "column string, kind string, score double"
 
 
-def purity(df: DataFrame, c: str, target: str) -> float | None:
-    """Mean over the values of a column of the share of their most frequent target."""
+def purity(df: DataFrame, c: str, target: str, least: int = 1) -> float | None:
+    """Mean over the values of a column that occur `least` times or more of the share of their most frequent target, if they hold half of the rows."""
     cells = df.groupBy(q(c).cast("string").alias("v"), q(target).cast("string").alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    per = cells.groupBy("v").agg((F.max("n") / F.sum("n")).alias("p"))
-    got = facts(per, {"p": F.avg("p")})
+    per = cells.groupBy("v").agg((F.max("n") / F.sum("n")).alias("p"), F.sum("n").alias("rows"))
+    enough = F.col("rows") >= least
+    got = facts(per, {"p": F.avg(F.when(enough, F.col("p"))), "rows": F.sum("rows"), "counted": F.sum(F.when(enough, F.col("rows")))})
     targets = cells.select("t").distinct().limit(2).count()
-    return got["p"] if targets > 1 else None
+    return got["p"] if targets > 1 and 2 * (got["counted"] or 0) >= got["rows"] else None
 
 
 def perfect_predictors(df: DataFrame, target: str) -> DataFrame:
@@ -44,11 +45,10 @@ def perfect_predictors(df: DataFrame, target: str) -> DataFrame:
             if r is not None and abs(r) > 0.95:
                 found.append((c, "correlation", round(abs(r), 4)))
                 continue
-        n = facts(df, {"u": F.count_distinct(q(c)), "k": F.count(q(c))})
-        if is_string(df, c) or n["u"] <= FEW_VALUES or n["k"] >= ROWS_PER_VALUE * n["u"]:
-            p = purity(df, c, target)
-            if p is not None and p > 0.98:
-                found.append((c, "purity", round(p, 4)))
+        few = is_string(df, c) or facts(df, {"u": F.count_distinct(q(c))})["u"] <= FEW_VALUES
+        p = purity(df, c, target, 1 if few else 2)
+        if p is not None and p > 0.98:
+            found.append((c, "purity", round(p, 4)))
     return rows(df.sparkSession, found, SCHEMA)
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from lodeframe.functions.columns import clean, dtype, facts, is_numeric, is_string, q, rows, scalar_columns
 
 HUGE_PRODUCT = 10_000_000
-# A sketch is off by a twentieth; four times that is left before a column is ruled out.
-SKETCHED = 0.8
+#: Keys are first looked for duplicates in one of so many parts of the rows.
+PARTS = 64
 MANY_TO_MANY = "Many-to-many join may multiply rows; remove duplicates first."
 LARGE_PRODUCT = "Large product of distinct keys; the join may be slow."
 
@@ -118,34 +118,40 @@ def _named_key(c: str) -> bool:
     return any(p in c.lower() for p in KEY_PARTS)
 
 
+def _with_duplicates(df: DataFrame, sets: list[tuple[str, ...]], parts: int) -> set[int]:
+    """Which sets of columns have a value twice, looked for in one of `parts` classes of the rows by the set's hash; one pass for all.
+
+    A duplicate is proof that a set is no key, whatever the class; with one class, none is proof that it is one. Values are told apart by 128 bits.
+    """
+    entry = lambda i, s: F.struct(F.lit(i).alias("i"), F.xxhash64(*map(q, s)).alias("a"), F.xxhash64(F.lit(1), *map(q, s)).alias("b"))
+    entries = F.array(*[F.when(F.pmod(F.xxhash64(F.lit(2), *map(q, s)), F.lit(parts)) == 0, entry(i, s)) for i, s in enumerate(sets)])
+    seen = df.select(F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
+    return {r["i"] for r in seen.where("n > 1").select("e.i").distinct().collect()}  # a row for each set
+
+
+def unique_sets(df: DataFrame, sets: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
+    """The sets of columns that tell all rows apart: most others fall in a small part of the rows, the rest is decided over all."""
+    for parts in (PARTS, 1):
+        if sets:
+            fallen = _with_duplicates(df, sets, parts)
+            sets = [s for i, s in enumerate(sets) if i not in fallen]
+    return sets
+
+
 def primary_keys(df: DataFrame, pairs: bool = True) -> DataFrame:
-    """Single columns, then pairs, that tell all rows apart. Sketches discard most; the rest is counted exactly."""
+    """Single columns, then pairs, that tell all rows apart; nothing is ruled out without a duplicate."""
     cols = [c for c in scalar_columns(df) if not isinstance(dtype(df, c), (T.DoubleType, T.FloatType))]
-    first = facts(
-        df,
-        {"_n": F.count(F.lit(1))}
-        | {f"u{i}": F.approx_count_distinct(q(c)) for i, c in enumerate(cols)}
-        | {f"k{i}": F.count(q(c)) for i, c in enumerate(cols)},
-    )
-    n = first["_n"]
-    likely = [c for i, c in enumerate(cols) if n and first[f"k{i}"] == n and first[f"u{i}"] >= SKETCHED * n]
-    exact = {c: df.select(F.count_distinct(q(c))).first()[0] for c in likely}
+    known = facts(df, {"_n": F.count(F.lit(1))} | {f"k{i}": F.count(q(c)) for i, c in enumerate(cols)})
+    n = known["_n"]
+    whole = [c for i, c in enumerate(cols) if n and known[f"k{i}"] == n]
     tiny = n < FEW_ROWS
-    found = [
-        (c, 1, 1.0) for c in likely
-        if exact[c] == n and (not tiny or _named_key(c) or isinstance(dtype(df, c), T.IntegralType))
-    ]
+    single = [c for (c,) in unique_sets(df, [(c,) for c in whole])]
+    found = [(c, 1, 1.0) for c in single if not tiny or _named_key(c) or isinstance(dtype(df, c), T.IntegralType)]
     found.sort(key=lambda f: not _named_key(f[0]))
     if pairs and n >= 20 and not found:
-        size = {c: first[f"u{i}"] for i, c in enumerate(cols)}
-        whole = [c for i, c in enumerate(cols) if first[f"k{i}"] == n and first[f"u{i}"] > 1]
-        candidates = [(a, b) for a, b in combinations(whole, 2) if size[a] * size[b] >= SKETCHED * n]
-        sketched = facts(
-            df, {f"p{i}": F.approx_count_distinct(F.struct(q(a), q(b))) for i, (a, b) in enumerate(candidates)}
-        )
-        for i, (a, b) in enumerate(candidates):
-            if sketched[f"p{i}"] >= SKETCHED * n and df.select(F.count_distinct(q(a), q(b))).first()[0] == n:
-                found.append((f"{a}, {b}", 2, 1.0))
+        sizes = facts(df, {f"u{i}": F.count_distinct(q(c)) for i, c in enumerate(whole)})
+        size = {c: sizes[f"u{i}"] for i, c in enumerate(whole) if sizes[f"u{i}"] > 1}
+        found = [(f"{a}, {b}", 2, 1.0) for a, b in unique_sets(df, [(a, b) for a, b in combinations(size, 2) if size[a] * size[b] >= n])]
     return rows(df.sparkSession, found, "columns string, width int, uniqueness double")
 
 
@@ -171,14 +177,13 @@ def id_columns(df: DataFrame) -> DataFrame:
     whole = [c for c in cols if isinstance(dtype(df, c), T.IntegralType)]
     aggregates = {"_n": F.count(F.lit(1))}
     for i, c in enumerate(cols):
-        aggregates[f"u{i}"] = F.approx_count_distinct(q(c))
         aggregates[f"k{i}"] = F.count(clean(df, c))
     got = facts(df, aggregates)
     n, found = got["_n"], []
     for i, c in enumerate(cols):
         name = c.lower()
         named = name in ID_NAMES or any(p in name for p in ID_PARTS)
-        if not n or not (named or got[f"u{i}"] > SKETCHED * n):
+        if not n or not (named or c in whole):  # without a name only whole numbers can count through the rows
             continue
         distinct = df.select(F.count_distinct(clean(df, c))).first()[0]
         unique = distinct / n > 0.95

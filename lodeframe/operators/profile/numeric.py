@@ -180,15 +180,15 @@ def box_plot(df: DataFrame, cols: list[str]) -> DataFrame:
     return rows(df.sparkSession, found, "column string, q1 double, median double, q3 double, whisker_low double, whisker_high double, outliers long")
 
 
-def box_outliers(df: DataFrame, c: str, shown: int = 100) -> DataFrame:
-    """The outlying values to draw: the lowest and highest half of the list when it is long."""
+def box_outliers(df: DataFrame, c: str, shown: int | None = 100) -> DataFrame:
+    """The outlying values to draw: the lowest and highest half of the list when it is long; None: all of them."""
     f = box_facts(df, [c]).get(c)
     x = number(df, c)
     if f is None:
         return df.select(x.alias("value")).where(F.lit(False))
     lo, hi = f["q1"] - 1.5 * (f["q3"] - f["q1"]), f["q3"] + 1.5 * (f["q3"] - f["q1"])
     beyond = df.select(x.alias("value")).where((F.col("value") < lo) | (F.col("value") > hi))
-    if f["outliers"] <= shown:
+    if shown is None or f["outliers"] <= shown:
         return beyond
     low = beyond.orderBy("value").limit(shown // 2)
     return low.unionByName(beyond.orderBy(F.col("value").desc()).limit(shown - shown // 2))

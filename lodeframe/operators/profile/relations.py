@@ -259,8 +259,8 @@ def association_pairs(df: DataFrame) -> list[tuple]:
     return [f for f in found if f[3] is not None]
 
 
-def strongest_pairs(df: DataFrame, top: int = 50) -> DataFrame:
-    """The best measure of every pair, strongest first."""
+def strongest_pairs(df: DataFrame, top: int | None = 50) -> DataFrame:
+    """The best measure of the `top` strongest pairs, strongest first; None: of every pair."""
     best: dict[tuple, tuple] = {}
     for f in association_pairs(df):
         key = tuple(sorted(f[:2]))

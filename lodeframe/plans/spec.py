@@ -68,13 +68,13 @@ def run_spec(
 
 
 def join_tables(
-    left: DataFrame, right: DataFrame, how: str, on: list[tuple[str, str]] | None = None
+    left: DataFrame, right: DataFrame, how: str, on: list[tuple[str, str]] | None = None, max_rows: int | None = None
 ) -> DataFrame:
     """Joins two tables; names found on both sides get _left and _right, a shared key of one name is kept once."""
     kind = _JOIN_TYPES[how.upper()]
     on = on or []
     if kind == "cross":
-        return _guarded_cross(left, right)
+        return _guarded_cross(left, right, max_rows)
     if not on:
         raise SpecError("a join needs at least one pair of columns")
     shared_keys = [a for a, b in on if a == b]
@@ -98,11 +98,11 @@ def join_tables(
     return joined.drop(*[f"_right_{k}" for k in shared_keys])
 
 
-def _guarded_cross(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every pair, refused above a fixed number of result rows; the counts decide before anything is paired."""
-    n, m = left.count(), right.count()
-    if n * m > CROSS_JOIN_ROWS:
-        raise SpecError(f"a cross join of {n} and {m} rows is over {CROSS_JOIN_ROWS} result rows; add conditions")
+def _guarded_cross(left: DataFrame, right: DataFrame, most: int | None = None) -> DataFrame:
+    """Every pair, refused above `most` result rows (`max_rows` of the join); the counts decide before anything is paired."""
+    n, m, most = left.count(), right.count(), most or CROSS_JOIN_ROWS
+    if n * m > most:
+        raise SpecError(f"a cross join of {n} and {m} rows is over {most} result rows; add conditions")
     return left.crossJoin(right)
 
 
@@ -152,7 +152,7 @@ class _Builder:
             right = self._table(join["table"]).alias(join.get("alias") or join["table"])
             pairs = join.get("on", [])
             if kind == "cross" or not pairs:
-                df = _guarded_cross(df, right)
+                df = _guarded_cross(df, right, join.get("max_rows"))
                 continue
             cond = [column_ref(p["left"]) == column_ref(p["right"]) for p in pairs]
             df = df.join(right, reduce(lambda a, b: a & b, cond), kind)

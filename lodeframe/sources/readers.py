@@ -159,7 +159,9 @@ def malformed_comparison(spark: SparkSession, path: str, numbered: DataFrame, en
 
 
 # Sequences that a wrong encoding leaves behind, with what accented letters turn into.
-ARTEFACTS = ("Ã", "Â", "â€", "Ã©", "Ã¨", "Ã¼", "�")
+# An accented capital alone is a letter; what follows it shows that it was the first of two bytes.
+_SECOND = "[\u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
+ARTEFACTS = {"Ã": f"Ã{_SECOND}", "Â": f"Â{_SECOND}", "â€": "â€", "�": "�"}
 
 
 def structural_issues(df: DataFrame, empty_share: float = 0.9) -> DataFrame:
@@ -171,7 +173,7 @@ def structural_issues(df: DataFrame, empty_share: float = 0.9) -> DataFrame:
     blank = lambda c: q(c).isNull() | (F.trim(q(c).cast("string")) == "")
     aggregates = {"n": F.count(F.lit(1))} | {f"b{i}": F.count_if(blank(c)) for i, c in enumerate(cols)} | {f"k{i}": F.count_if(q(c).isNull()) for i, c in enumerate(cols)}
     for i, c in enumerate(texts):
-        aggregates |= {f"a{i}_{j}": F.count_if(q(c).contains(a)) for j, a in enumerate(ARTEFACTS)}
+        aggregates |= {f"a{i}_{j}": F.count_if(q(c).rlike(a)) for j, a in enumerate(ARTEFACTS.values())}
     got = facts(df, aggregates)
     for i, c in enumerate(cols):
         if got["n"] and got[f"b{i}"] == got["n"]:

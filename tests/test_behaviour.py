@@ -336,3 +336,30 @@ def test_accents_are_no_traces_of_a_wrong_encoding(spark):
 
     assert structural_issues(spark.createDataFrame([("café",), ("für",)], "t string")).count() == 0
     assert structural_issues(spark.createDataFrame([("cafÃ©",)], "t string")).first()["issue"].startswith("encoding")
+    assert structural_issues(spark.createDataFrame([("SÃO PAULO Â",)], "t string")).count() == 0
+
+
+def test_a_key_is_found_whatever_a_sketch_says(spark, monkeypatch):
+    """Also where no class of rows shows a duplicate, and where the only duplicate lies outside the first class."""
+    df = spark.range(3000).select("id", (F.col("id") % 2999).alias("nearly"), (F.col("id") % 60).alias("a"), F.floor(F.col("id") / 60).alias("b"))
+    monkeypatch.setattr(F, "approx_count_distinct", lambda c: F.lit(1))
+    assert [r["columns"] for r in keys.primary_keys(df.drop("a", "b")).collect()] == ["id"]
+    assert [r["columns"] for r in keys.primary_keys(df.select("a", "b")).collect()] == ["a, b"]
+    assert keys.unique_sets(df, [("id",), ("nearly",), ("a", "b"), ("a",)]) == [("id",), ("a", "b")]
+
+
+def test_purity_of_numbers_counts_values_that_repeat(spark):
+    from lodeframe.operators.detect import leaks
+
+    df = spark.range(600).select(F.floor(F.col("id") / 3).cast("double").alias("thirds"), F.col("id").cast("double").alias("once"), F.concat(F.lit("t"), F.floor(F.col("id") / 3) % 7).alias("y"))
+    assert [(r["column"], r["kind"]) for r in leaks.perfect_predictors(df, "y").collect()] == [("thirds", "purity")]
+
+
+def test_cross_joins_up_to_a_given_size(spark):
+    from lodeframe.plans.spec import SpecError, run_spec
+
+    tables = {"a": spark.range(40), "b": spark.range(30).withColumnRenamed("id", "k")}
+    spec = lambda most: {"from": "a", "joins": [{"type": "CROSS", "table": "b", "max_rows": most}]}
+    assert run_spec(spark, spec(1200), tables).count() == 1200
+    with pytest.raises(SpecError):
+        run_spec(spark, spec(1199), tables)
