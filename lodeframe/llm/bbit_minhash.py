@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeframe.llm.texts import Block, chain, keys_of, mix, per_text
+from lodeframe.llm.texts import SMALL, Block, chain, keys_of, mix, per_text
 from lodeframe.operators.links import components
 from lodeframe.session import cut
 
@@ -128,7 +128,7 @@ def band_keys(df: DataFrame, text: str, id_col: str, words: int, bands: int, row
         return {"n_shingles": size, "node": pa.array(nodes[0], pa.int64()), "node2": pa.array(nodes[1], pa.int64()), "bands": pa.array(lists, pa.list_(pa.int64()))}
 
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("node2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    return per_text(df.select(F.col(f"`{id_col}`").alias("id"), _digest(text).alias("digest"), F.col(f"`{text}`").alias("text")), "text", ["id", "digest"], fields, compute)
+    return per_text(df.select(F.col(f"`{id_col}`").alias("id"), _digest(text).alias("digest"), F.col(f"`{text}`").alias("text")), "text", ["id", "digest"], fields, compute, size=SMALL)
 
 
 def _digest(text: str) -> Column:
@@ -152,7 +152,7 @@ def full_sets(df: DataFrame, words: int) -> DataFrame:
         return {"node": pa.array(out[0], pa.int64()), "members": pa.array(out[1], pa.binary()), "sig": pa.array(out[2], pa.binary())}
 
     fields = [T.StructField("node", T.LongType()), T.StructField("members", T.BinaryType()), T.StructField("sig", T.BinaryType())]
-    return per_text(df, "text", ["id"], fields, compute).where("node is not null")
+    return per_text(df, "text", ["id"], fields, compute, size=SMALL).where("node is not null")
 
 
 def measured(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:

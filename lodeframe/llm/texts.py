@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = 4 << 20
+#: Bytes of texts worked on at once; the smaller size where a worker goes on to other work and memory counts.
+BLOCK, SMALL = 4 << 20, 1 << 20
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -147,14 +148,14 @@ def per_text(df: DataFrame, text: str, keep: list[str], fields: list[T.StructFie
     return source.mapInArrow(run, schema)
 
 
-def keep_rows(df: DataFrame, text: str, judge: Callable[[Block], np.ndarray], prepare: Callable | None = None) -> DataFrame:
+def keep_rows(df: DataFrame, text: str, judge: Callable[[Block], np.ndarray], prepare: Callable | None = None, size: int = SMALL) -> DataFrame:
     """The rows, with all their columns, whose text `judge` says yes to."""
     at_text = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = [prepare()] if prepare else []
         for batch in batches:
-            for at, to, block in blocks(batch.column(at_text)):
+            for at, to, block in blocks(batch.column(at_text), size):
                 yield batch.slice(at, to - at).filter(pa.array(judge(block, *more), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
