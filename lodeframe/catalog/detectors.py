@@ -63,6 +63,15 @@ def _outliers(c: Catalog) -> None:
     c.add("d11_mad", lambda t: O.outliers(x(t), "x", "mad", "k"), f"{d} SELECT key, value, 'modified_zscore' AS method, 0.6745 * (value - mid) / mad AS score FROM d, s, m WHERE abs(0.6745 * (value - mid) / mad) > 3.5", {"score": 2})
     c.add("d12_envelope", lambda t: O.outliers(t.events, "value", "envelope", "event_id", "ts", window=500).drop("score"),
           "WITH w AS (SELECT event_id AS key, value, median(value) OVER r AS mid, stddev_samp(value) OVER r AS sd FROM events WINDOW r AS (ORDER BY ts, event_id ROWS BETWEEN 250 PRECEDING AND 249 FOLLOWING)) SELECT key, value, 'envelope' AS method FROM w WHERE value > mid + 2.5 * sd OR value < mid - 2.5 * sd")
+    usual = (
+        "WITH n AS (SELECT *, greatest(7, count(*) OVER () // 20) AS n FROM events WHERE value IS NOT NULL), "
+        "w AS (SELECT event_id AS key, value, median(value) OVER r AS mid, stddev_samp(value) OVER r AS sd FROM n "
+        "WINDOW r AS (ORDER BY ts, event_id ROWS BETWEEN n // 2 PRECEDING AND (n - 1) // 2 FOLLOWING)) "
+        "SELECT key, value, 'envelope' AS method FROM w WHERE value > mid + 2.5 * sd OR value < mid - 2.5 * sd"
+    )
+    # The window of a twentieth of the rows, in tasks of the usual size and in cells far smaller than the window.
+    c.add("d12_envelope_default", lambda t: O.envelope(t.events, "value", "event_id", "ts").drop("score"), usual)
+    c.add("d12_envelope_split", lambda t: O.envelope(t.events, "value", "event_id", "ts", rows=50).drop("score"), usual)
     c.add("d13_business_rule", lambda t: O.outliers(t.customer.select("c_custkey", (F.col("c_acctbal")).alias("amount")), "amount", "business_rule", "c_custkey").drop("score"),
           "SELECT c_custkey AS key, c_acctbal AS value, 'business_rule' AS method FROM customer WHERE c_acctbal < 0")
 

@@ -11,6 +11,8 @@ from lodeframe.functions.columns import clean, dtype, facts, is_string, numeric_
 from lodeframe.operators.clean.text import unicode_nfc
 from lodeframe.operators.detect.features import peaks
 from lodeframe.operators.detect.findings import DEFINITIVE, JUDGMENT, Finding
+from lodeframe.operators.edits import near_texts
+from lodeframe.session import cut
 
 REPAIRS = 200
 
@@ -154,20 +156,28 @@ def unit_mix(df: DataFrame, c: str) -> DataFrame:
 REPAIR = "key string, column string, current string, suggested string, confidence double, kind string"
 
 
+def _edits(a: Column, b: Column) -> Column:
+    """The edits allowed between texts of two lengths."""
+    return F.floor(F.greatest(F.lit(2.0), F.greatest(a, b, F.lit(1)) * 0.3))
+
+
 def repair_typos(df: DataFrame, c: str, key: str) -> DataFrame:
     """Values seen once that are a few letters off a frequent one: two, or three tenths of the longer one's length.
 
-    A rare value meets the frequent ones whose length that rule allows; of those it keeps the nearest, then the most frequent.
+    Of the frequent values within reach a rare one keeps the nearest, then the most frequent. Values two edits off are looked for first, as
+    their pieces are long and shared by few; only rare values without any go on to the wider search.
     """
     counts = df.select(q(c).alias("v")).where("v is not null").groupBy("v").agg(F.count("v").alias("n"))
-    size = F.char_length("v")
-    lengths = F.sequence(F.greatest(F.lit(0), F.least(size - 2, F.ceil(size * 0.7).cast("int"))), F.greatest(size + 2, F.floor((size + 0.001) / 0.7).cast("int")))
-    rare = counts.where("n = 1").select("v", F.explode(lengths).alias("size"))
-    frequent = counts.where("n > 1").select(F.col("v").alias("f"), F.col("n").alias("uses"), size.alias("size"))
+    rare, frequent = counts.where("n = 1").select("v"), counts.where("n > 1").select(F.col("v").alias("f"), F.col("n").alias("uses"))
+
+    def nearest_of(found: DataFrame) -> DataFrame:
+        best = found.join(frequent, "f").groupBy("v").agg(F.min(F.struct("d", (-F.col("uses")).alias("less"), "f")).alias("b"))
+        return best.select("v", "b.d", "b.f")
+
+    wide = lambda n: F.sequence(F.greatest(F.lit(0), F.least(n - 2, F.ceil(n * 0.7).cast("int"))), F.greatest(n + 2, F.floor((n + 0.001) / 0.7).cast("int")))
+    close = cut(nearest_of(near_texts(rare, frequent, lambda a, b: F.lit(2), lambda n: F.sequence(F.greatest(F.lit(0), n - 2), n + 2))))
+    best = close.unionByName(nearest_of(near_texts(rare.join(close, "v", "left_anti"), frequent, _edits, wide))).where("d > 0")
     longest = F.greatest(F.char_length("v"), F.char_length("f"), F.lit(1))
-    off = F.levenshtein(F.lower("v"), F.lower("f"))
-    met = rare.join(frequent, "size").select("v", "f", "uses", off.alias("d")).where(F.col("d") <= F.greatest(F.lit(2.0), longest * 0.3))
-    best = met.groupBy("v").agg(F.min(F.struct("d", (-F.col("uses")).alias("less"), "f")).alias("b")).where("b.d > 0").select("v", "b.d", "b.f")
     once = df.select(q(key).cast("string").alias("key"), q(c).alias("v")).join(best, "v")
     sure = F.round(F.greatest(F.lit(0.5), 1 - F.col("d") / longest), 2)
     return once.select("key", F.lit(c).alias("column"), F.col("v").alias("current"), F.col("f").alias("suggested"), sure.alias("confidence"), F.lit("typo").alias("kind"))

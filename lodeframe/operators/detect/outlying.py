@@ -14,7 +14,8 @@ from lodeframe.operators.clean.outliers import business_rule
 from lodeframe.operators.clean.scale import standardised
 from lodeframe.operators.detect.findings import JUDGMENT, Finding
 from lodeframe.operators.neighbours import nearest, within
-from lodeframe.operators.ordered import BLOCK, in_blocks, with_position
+from lodeframe.operators.moving import moving_median
+from lodeframe.operators.ordered import BLOCK, with_position
 from lodeframe.operators.profile.numeric import adjusted_shape, moments, numbers
 from lodeframe.operators.quantiles import medians, quantiles
 
@@ -62,27 +63,16 @@ def outliers(df: DataFrame, c: str, method: str, key: str, order: str | None = N
     raise ValueError(f"unknown method {method}")
 
 
-def envelope(df: DataFrame, c: str, key: str, order: str, window: int | None = None) -> DataFrame:
+def envelope(df: DataFrame, c: str, key: str, order: str, window: int | None = None, rows: int = BLOCK) -> DataFrame:
     """Values beyond 2.5 deviations from the median of the window around them, in the order of a column.
 
-    The window is a twentieth of the rows, at least seven, unless one is given. Rows lie in equal blocks that carry copies
-    of their neighbours' edges; inside a block the medians move along with the window.
+    The window is a twentieth of the rows, at least seven, unless one is given; `rows` are those of a cell that a task works on.
     """
     known = df.select(q(key).alias("key"), clean(df, c).cast("double").alias("value"), q(order).alias("at")).where("value is not null")
     window = window or max(7, known.count() // 20)
-    before, after = window // 2, (window - 1) // 2
-    spread, _ = in_blocks(with_position(known, "at", "key"), before, after, rows=max(BLOCK, window))
-    kind = dtype(df, key).simpleString()
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_pos")
-        rolling = part["value"].rolling(window, center=True, min_periods=3)
-        mid, sd = rolling.median(), rolling.std()
-        beyond = part["_home"] & ((part["value"] > mid + 2.5 * sd) | (part["value"] < mid - 2.5 * sd))
-        return part.loc[beyond, ["key", "value"]]
-
-    found = spread.select("key", "value", "_pos", "_home", "_block").groupBy("_block").applyInPandas(work, f"key {kind}, value double")
-    return found.select("key", "value", F.lit("envelope").alias("method"), F.lit(None).cast("double").alias("score"))
+    found = moving_median(with_position(known, "at", "key"), window // 2, (window - 1) // 2, rows)
+    beyond = (F.col("value") > F.col("median") + 2.5 * F.col("sd")) | (F.col("value") < F.col("median") - 2.5 * F.col("sd"))
+    return found.where((F.col("size") >= 3) & beyond).select("key", "value", F.lit("envelope").alias("method"), F.lit(None).cast("double").alias("score"))
 
 
 def all_outliers(df: DataFrame, c: str, key: str, order: str | None = None, stats: dict | None = None) -> DataFrame:
