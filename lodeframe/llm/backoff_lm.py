@@ -8,6 +8,7 @@ leads to h' with the weight log10(K / (c(h) + K)). A text is read once from left
 The model has the size of the corpus, so no task holds it. Texts are dealt into blocks by a hash. A block sends each n-gram it has, once,
 with its count, to the range of n-gram keys that adds up the counts of all blocks; the sums come back in the same order, and the block
 builds the part of the automaton that its own texts can reach. Frequent words weigh no more than others: one entry for each block.
+Every block hears from every range of words, so that N and V are the sums of what the ranges report. Texts move as compressed pieces.
 Keys have 64 bits; n-grams that share one by chance share their counts.
 
 Null and empty texts are the end token alone. Repeated rows count as often as they occur and score alike. With nothing to learn from,
@@ -16,6 +17,7 @@ N = V = 0 and every word has probability 1.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,19 +31,27 @@ from lodeframe.llm.texts import Block, blocks, chain, keys_of, spread
 ORDER, STRENGTH = 3, 4.0
 BLOCK_BYTES, RANGE_BYTES = 10 << 20, 10 << 20
 SEGMENT = 512
+#: Noisy bytes of a value, number of values, first key.
+HEAD = struct.Struct("<BIQ")
 BEGIN, END = (np.uint64(x) for x in (0xB5026F5AA96619E9, 0x5851F42D4C957F2D))
 
 
 def pack(values: np.ndarray, sort_of: str) -> bytes:
-    """Sorted keys as differences, or counts; equal bytes of all values lie together, which compresses well and fast."""
-    raw = np.diff(values, prepend=values.dtype.type(0)) if sort_of == "keys" else values
-    return zstandard.compress(np.ascontiguousarray(raw.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    """Sorted keys as differences, or counts. Equal bytes of all values lie together: the low ones of differences, which are noise, as they
+    are, the others compressed."""
+    first = int(values[0]) if len(values) and sort_of == "keys" else 0
+    raw = np.diff(values, prepend=values[:1]) if sort_of == "keys" else values
+    noise = int(np.log2(max(1.0, float(raw.mean())))) // 8 if len(values) and sort_of == "keys" else 0
+    planes = np.ascontiguousarray(raw.view(np.uint8).reshape(-1, 8).T)
+    return HEAD.pack(noise, len(values), first) + planes[:noise].tobytes() + zstandard.compress(planes[noise:].tobytes(), 1)
 
 
 def unpack(data: bytes, sort_of: str) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    values = np.ascontiguousarray(raw.T).reshape(-1).view(np.uint64)
-    return np.cumsum(values, dtype=np.uint64) if sort_of == "keys" else values.view(np.int64)
+    noise, n, first = HEAD.unpack_from(data)
+    cut = HEAD.size + noise * n
+    planes = np.frombuffer(data[HEAD.size : cut] + zstandard.decompress(data[cut:]), np.uint8).reshape(8, n)
+    values = np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64)
+    return np.cumsum(values, dtype=np.uint64) + np.uint64(first) if sort_of == "keys" else values.view(np.int64)
 
 
 def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -136,46 +146,52 @@ class Automaton:
         return np.bincount(text, weights=total, minlength=len(n))
 
 
-def _joined(table: pa.Table, name: str) -> Block:
-    column = table.column(name).cast(pa.large_string()).combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    return next(blocks(column, 1 << 50))[2]
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, ids, learn, ends, frame): the texts of a batch that go to one block, compressed together."""
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        by = np.argsort(block, kind="stable")
+        batch = batch.take(pa.array(by))
+        at = np.flatnonzero(np.diff(block[by], prepend=-1))
+        if not len(at):
+            continue
+        _, _, texts = next(blocks(batch.column("t"), 1 << 50))
+        cuts = pa.array([*at, len(block)], pa.int32())
+        lists = lambda values: pa.ListArray.from_arrays(cuts, values)
+        ends = pa.array(texts.offsets[1:] - np.repeat(texts.offsets[at], np.diff([*at, len(block)])), pa.int64())
+        edges = texts.offsets[[*at, len(block)]]
+        frames = [zstandard.compress(texts.data[a:b].tobytes(), 3) for a, b in zip(edges, edges[1:])]
+        yield pa.RecordBatch.from_pydict({
+            "block": pa.array(block[by][at], pa.int64()), "ids": lists(batch.column("id")), "learn": lists(batch.column("learn")),
+            "ends": lists(ends), "frame": pa.array(frames, pa.binary()),
+        })
+
+
+def _joined(group: pa.Table) -> Block:
+    """All texts of a block's pieces."""
+    data, offsets, size = [], [np.zeros(1, np.int64)], 0
+    for frame, ends in zip(group.column("frame"), group.column("ends")):
+        data.append(np.frombuffer(zstandard.decompress(frame.as_py()), np.uint8))
+        offsets.append(ends.values.to_numpy() + size)
+        size += len(data[-1])
+    return Block(np.concatenate(data), np.concatenate(offsets))
+
+
+def _flat(group: pa.Table, name: str) -> pa.Array:
+    return group.column(name).combine_chunks().flatten()
 
 
 def _add_up(group: pa.Table) -> pa.Table:
-    """Adds up the counts of equal n-grams and hands every block the sums for its own, in its order."""
+    """Adds up the counts of equal n-grams and hands every block the sums for its own, in its order, and the range's tokens and kinds."""
     keys = [unpack(x, "keys") for x in group.column("keys").to_pylist()]
     counts = [unpack(x, "counts") for x in group.column("counts").to_pylist()]
     distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.zeros(len(distinct), np.int64)
     np.add.at(total, number, np.concatenate(counts))
     back = np.split(total[number], np.cumsum([len(k) for k in keys])[:-1])
-    return pa.table({"block": group.column("block"), "gram": group.column("gram"), "range": group.column("range"), "sums": [pack(x, "counts") for x in back]})
-
-
-def vocabulary(texts: DataFrame, ranges: int) -> tuple[int, int]:
-    """N and V over the rows (text): all tokens and the distinct ones, ends included."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, block in blocks(batch.column(0), BLOCK_BYTES):
-                low = block.lower()
-                starts, ends = low.words()
-                keys = np.unique(np.concatenate([keys_of(low.data, starts, ends), [END]]))
-                where = range_of(keys, ranges)
-                cut = np.flatnonzero(np.diff(where, prepend=-1))
-                parts = np.split(keys, cut[1:])
-                tokens = np.zeros(len(parts), np.int64)
-                tokens[0] = len(starts) + len(block)
-                yield pa.RecordBatch.from_pydict({"range": pa.array(where[cut], pa.int64()), "keys": pa.array([pack(x, "keys") for x in parts], pa.binary()), "tokens": tokens})
-
-    def distinct(group: pa.Table) -> pa.Table:
-        keys = np.unique(np.concatenate([unpack(x, "keys") for x in group.column("keys").to_pylist()]))
-        return pa.table({"kinds": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(group.column("tokens").to_numpy().sum())], pa.int64())})
-
-    found = texts.mapInArrow(words, "range long, keys binary, tokens long").groupBy("range").applyInArrow(distinct, "kinds long, tokens long")
-    row = found.agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v")).first()
-    return row.n or 0, row.v or 0
+    words = total[distinct != BEGIN]
+    sides = {"tokens": np.full(len(keys), words.sum()), "kinds": np.full(len(keys), np.count_nonzero(words))}
+    return pa.table({"block": group.column("block"), "gram": group.column("gram"), "range": group.column("range"), "sums": [pack(x, "counts") for x in back], **sides})
 
 
 def score(df: DataFrame, learn: Column, text: str = "text", id_col: str = "doc_id", order: int = ORDER, strength: float = STRENGTH) -> DataFrame:
@@ -183,32 +199,35 @@ def score(df: DataFrame, learn: Column, text: str = "text", id_col: str = "doc_i
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"), F.coalesce(learn, F.lit(False)).alias("learn"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n_blocks, ranges = 1 + size // BLOCK_BYTES, 1 + size // RANGE_BYTES
-    tokens, kinds = vocabulary(rows.where("learn").select("t"), ranges)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(n_blocks)))
+    kind = df.schema[id_col].dataType.simpleString()
+    dealt = dealt.mapInArrow(pieces, f"block long, ids array<{kind}>, learn array<boolean>, ends array<long>, frame binary")
 
     def gather(group: pa.Table) -> pa.Table:
-        grams = Grams(_joined(group, "t"), order)
-        learned = group.column("learn").to_numpy()
+        grams = Grams(_joined(group), order)
+        learned = _flat(group, "learn").to_numpy(zero_copy_only=False)
         out: dict = {"block": [], "gram": [], "range": [], "keys": [], "counts": []}
         for k, keys in enumerate(grams.keys):
             count = grams.count(k, learned)
-            where = range_of(keys, ranges)
-            cut = np.flatnonzero(np.diff(where, prepend=-1))
-            if len(cut):
-                out["range"] += where[cut].tolist()
-                out["keys"] += [pack(x, "keys") for x in np.split(keys, cut[1:])]
-                out["counts"] += [pack(x, "counts") for x in np.split(count, cut[1:])]
-                out["gram"] += [k] * len(cut)
+            cut = np.searchsorted(range_of(keys, ranges), np.arange(1, ranges))
+            for r, (x, c) in enumerate(zip(np.split(keys, cut), np.split(count, cut))):
+                # A range of words is asked even where a block has none of its words.
+                if len(x) or not k:
+                    out["range"].append(r)
+                    out["keys"].append(pack(x, "keys"))
+                    out["counts"].append(pack(c, "counts"))
+                    out["gram"].append(k)
         out["block"] = [group.column("block")[0].as_py()] * len(out["gram"])
         return pa.table(out, pa.schema([("block", pa.int64()), ("gram", pa.int64()), ("range", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
     sums = dealt.groupBy("block").applyInArrow(gather, "block long, gram long, range long, keys binary, counts binary")
-    sums = sums.groupBy("gram", "range").applyInArrow(_add_up, "block long, gram long, range long, sums binary")
+    sums = sums.groupBy("gram", "range").applyInArrow(_add_up, "block long, gram long, range long, sums binary, tokens long, kinds long")
 
     def read(group: pa.Table, back: pa.Table) -> pa.Table:
-        grams = Grams(_joined(group, "t"), order)
+        grams = Grams(_joined(group), order)
         back = back.sort_by([("gram", "ascending"), ("range", "ascending")])
         gram, sums = back.column("gram").to_numpy(), back.column("sums").to_pylist()
+        tokens, kinds = (int(back.column(c).to_numpy()[gram == 0].sum()) for c in ("tokens", "kinds"))
         counts = [np.concatenate([unpack(sums[i], "counts") for i in np.flatnonzero(gram == k)] or [np.zeros(0, np.int64)]) for k in range(order)]
         c = counts[0][grams.at[0]]
         own = ~grams.begin
@@ -216,9 +235,7 @@ def score(df: DataFrame, learn: Column, text: str = "text", id_col: str = "doc_i
         base = np.bincount(grams.owner[own], weights=np.log10((c[own] + 1) / (tokens + kinds + 1)), minlength=n)
         known = np.bincount(grams.owner[own & (c > 0)], minlength=n)
         logs = Automaton(grams, counts, tokens, kinds, strength).read()
-        learned = group.column("learn")
-        return pa.table({"id": group.column("id"), "learned": learned, "n_tokens": pa.array(grams.counts - 1, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array(np.full(n, tokens), pa.int64()), "base_score": base, "score": logs})
+        return pa.table({"id": _flat(group, "ids"), "learned": _flat(group, "learn"), "n_tokens": pa.array(grams.counts - 1, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array(np.full(n, tokens), pa.int64()), "base_score": base, "score": logs})
 
-    kind = df.schema[id_col].dataType.simpleString()
     out = dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(read, f"id {kind}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
