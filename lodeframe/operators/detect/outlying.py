@@ -172,14 +172,11 @@ def _mean_depth(n: int) -> float:
 def isolation_scores(points: DataFrame, trees: int = TREES, sample: int = TREE_ROWS, seed: int = 42) -> DataFrame:
     """(id, score): how easily random cuts set a row apart.
 
-    Each tree grows in its own task from at most 256 rows picked by hash; the hundred small trees go to every task that
-    scores rows.
+    Each tree grows in its own task from the 256 rows of least hash; the hundred small trees go to every task that scores rows.
+    A share of the rows that should hold them is drawn, and a larger one should a tree get too few.
     """
     n = points.count()
-    share = min(1.0, 1.5 * sample / max(n, 1))
-    draw = lambda t: F.pmod(F.xxhash64("id", t, F.lit(seed)), F.lit(1 << 30))
-    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < F.lit(int(share * (1 << 30))))
-    drawn = points.withColumn("tree", F.explode(chosen)).withColumn("h", draw(F.col("tree")))
+    draw = lambda t: F.pmod(F.xxhash64("id", t, F.lit(seed)), F.lit(1 << 62))
 
     def grow(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["h", "id"]).head(sample)
@@ -188,7 +185,12 @@ def isolation_scores(points: DataFrame, trees: int = TREES, sample: int = TREE_R
         return pd.DataFrame([{"tree": int(part["tree"].iloc[0]), "rows": len(x), **tree}])
 
     schema = "tree int, rows int, feature array<int>, cut array<double>, left array<int>, right array<int>, depth array<double>"
-    grown = drawn.select("id", "v", "tree", "h").groupBy("tree").applyInPandas(grow, schema).collect()
+    share, grown = 1.5 * sample / max(n, 1), []
+    while n and (len(grown) < trees or min(t["rows"] for t in grown) < min(sample, n)):
+        chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < F.lit(min(1 << 62, int(share * (1 << 62)))))
+        drawn = points.withColumn("tree", F.explode(chosen)).withColumn("h", draw(F.col("tree")))
+        grown = drawn.select("id", "v", "tree", "h").groupBy("tree").applyInPandas(grow, schema).collect()
+        share *= 4
     forest = [{k: np.array(t[k]) for k in ("feature", "cut", "left", "right", "depth")} for t in grown]
     usual = _mean_depth(max((t["rows"] for t in grown), default=2))
     shared = points.sparkSession.sparkContext.broadcast(forest)

@@ -17,6 +17,8 @@ from lodeframe.functions.dates import parsed_time
 from lodeframe.sources.nested import flatten
 
 DELIMITERS = (",", ";", "\t", "|")
+#: Lines that a quoted field may run across before its quote counts as a stray one.
+LONGEST = 10_000
 
 
 def _regex(sep: str) -> str:
@@ -49,31 +51,71 @@ def numbered_lines(spark: SparkSession, path: str, encoding: str = "utf-8", sep:
     return joined.select("file", (F.col("_at") - F.col("first") + F.col("skip") + 1).alias("row_number"), "value")
 
 
-def joined_lines(lines: DataFrame, marks: Column, glue: str, stretch: int = 100_000) -> DataFrame:
+def joined_lines(lines: DataFrame, opens: Column, stays: Column, glue: str, longest: int | None = None, stretch: int = 100_000) -> DataFrame:
     """Numbered lines with those joined that a quoted text runs across; a record keeps the number of its first line.
 
-    `marks` counts a line's quotes. A line starts inside a quoted text if an odd number comes before it in its file: stretches of lines
-    add theirs up, one number for each stretch places it, and the lines of a record meet by the record's number.
+    Every line is read under both states: does a quoted text go on after it if the line begins outside of one (`opens`), or inside of one
+    (`stays`)? Some lines settle the state, the others keep or swap it. Stretches of a file's lines sum that up in one row each; a pass
+    over those rows tells the state at each stretch's start, and so each line's. With `longest`, the lines of a record that never ends, or
+    not within so many lines, stand for themselves, and `unclosed` marks those of them that open a text: a stray quote gathers nothing.
     """
-    lines = lines.withColumn("_odd", (marks % 2).cast("long")).withColumn("_stretch", F.floor((F.col("row_number") - 1) / stretch))
-    sums = lines.groupBy("file", "_stretch").agg(F.sum("_odd").alias("_n"))
-    before = Window.partitionBy("file").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("file", "_stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
-    inside = Window.partitionBy("file", "_stretch").orderBy("row_number")
-    open_ = F.coalesce(F.sum("_odd").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_skip")
-    flagged = lines.join(sums, ["file", "_stretch"]).withColumn("_first", (open_ % 2 == 0).cast("long")).drop("_odd", "_skip")
-    firsts = flagged.groupBy("file", "_stretch").agg(F.sum("_first").alias("_n"))
-    firsts = firsts.select("file", "_stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
-    numbered = flagged.join(firsts, ["file", "_stretch"]).withColumn("_record", F.col("_skip") + F.sum("_first").over(inside))
+    file = Window.partitionBy("file").orderBy("_stretch")
+    part = Window.partitionBy("file", "_stretch").orderBy("row_number")
+    before_stretch, before, so_far = file.rowsBetween(Window.unboundedPreceding, -1), part.rowsBetween(Window.unboundedPreceding, -1), part.rowsBetween(Window.unboundedPreceding, 0)
+    opens, stays = opens.cast("int"), stays.cast("int")
+    lines = lines.withColumns({"_stretch": F.floor((F.col("row_number") - 1) / stretch), "_open": opens, "_stay": stays})
+    lines = lines.withColumn("_swap", ((F.col("_open") == 1) & (F.col("_stay") == 0)).cast("int"))
+    settles = F.when(F.col("_open") == F.col("_stay"), F.col("_open"))
+
+    def state(settled: Column, swaps: Column, start: Column) -> Column:
+        return F.coalesce((settled["s"] + swaps - settled["n"]) % 2, (start + swaps) % 2)
+
+    counted = lines.withColumn("_n", F.sum("_swap").over(so_far))
+    counted = counted.withColumn("_set", F.when(settles.isNotNull(), F.struct(settles.alias("s"), F.col("_n").alias("n"))))
+    sums = counted.groupBy("file", "_stretch").agg(F.sum("_swap").alias("_n"), F.max_by("_set", F.when(F.col("_set").isNotNull(), F.col("row_number"))).alias("_set"))
+    sums = sums.withColumn("_total", F.sum("_n").over(file.rowsBetween(Window.unboundedPreceding, 0)))
+    reached = F.when(F.col("_set").isNotNull(), F.struct(F.col("_set.s").alias("s"), (F.col("_total") - F.col("_n") + F.col("_set.n")).alias("n")))
+    start = state(F.last(reached, True).over(before_stretch), F.coalesce(F.sum("_n").over(before_stretch), F.lit(0)), F.lit(0))
+    placed = counted.join(sums.select("file", "_stretch", start.alias("_start")), ["file", "_stretch"])
+    placed = placed.withColumn("_after", state(F.last("_set", True).over(so_far), F.col("_n"), F.col("_start")))
+    placed = placed.withColumn("_first", F.when(F.coalesce(F.lag("_after").over(part), F.col("_start")) == 0, F.col("row_number")))
+    firsts = placed.groupBy("file", "_stretch").agg(F.max("_first").alias("_f"))
+    carried = firsts.select("file", "_stretch", F.max("_f").over(before_stretch).alias("_carry"))
+    numbered = placed.join(carried, ["file", "_stretch"]).withColumn("_record", F.coalesce(F.last("_first", True).over(so_far), F.col("_carry")))
+    numbered = numbered.select("file", "_record", "row_number", "value", "_after", "_open")
+    broken = F.max_by("_after", "row_number") == 1
+    if longest is not None:
+        broken |= F.count(F.lit(1)) > longest
+        ends = numbered.groupBy("file", "_record").agg(broken.alias("_broken")).where("_broken")
+        numbered = numbered.join(ends, ["file", "_record"], "left").withColumn("unclosed", F.col("_broken").isNotNull() & (F.col("_open") == 1))
+        numbered = numbered.withColumn("_record", F.when(F.col("_broken").isNotNull(), F.col("row_number")).otherwise(F.col("_record")))
+    else:
+        numbered = numbered.withColumn("unclosed", F.lit(False))
     parts = F.array_sort(F.collect_list(F.struct("row_number", "value")))
-    records = numbered.groupBy("file", "_record").agg(parts.alias("_p"))
-    return records.select("file", F.get("_p", F.lit(0)).getField("row_number").alias("row_number"), F.array_join(F.transform("_p", lambda x: x["value"]), glue).alias("value"))
+    records = numbered.groupBy("file", F.col("_record").alias("row_number")).agg(parts.alias("_p"), F.max("unclosed").alias("unclosed"))
+    return records.select("file", "row_number", F.array_join(F.transform("_p", lambda x: x["value"]), glue).alias("value"), "unclosed")
+
+
+def _quoting_states(line: Column, sep: str) -> tuple[Column, Column]:
+    """Whether a quoted field goes on after a line that begins outside of one, and after one that begins inside.
+
+    Quotes open a field at its start only, and end it before a delimiter or the end of the line; doubled ones are letters.
+    """
+    begin, end = rf"(^|{_regex(sep)})[ \t]*", rf"[ \t]*({_regex(sep)}|$)"
+    single = F.replace(line, F.lit('""'), F.lit(""))
+
+    def opens(text: Column) -> Column:
+        return F.regexp_replace(text, rf'{begin}"[^"]*"', "$1x").rlike(rf'{begin}"')
 
+    closed = single.rlike(f'"{end}')
+    return opens(single), F.when(closed, opens(F.regexp_replace(single, rf'^.*?"(?={end})', "x"))).otherwise(F.lit(True))
 
-def numbered_records(spark: SparkSession, path: str, encoding: str = "utf-8", multiline: bool = False) -> DataFrame:
-    """The numbered lines of a delimited file or, with `multiline`, its records, whose quoted fields may hold line breaks."""
+
+def numbered_records(spark: SparkSession, path: str, encoding: str = "utf-8", multiline: bool = False, sep: str = ",", longest: int = LONGEST) -> DataFrame:
+    """The numbered lines of a delimited file or, with `multiline`, its records, whose quoted fields may hold line breaks; `unclosed` marks
+    lines with a quoted field that does not end."""
     lines = numbered_lines(spark, path, encoding)
-    return joined_lines(lines, F.char_length(F.regexp_replace("value", '[^"]', "")), "\n") if multiline else lines
+    return joined_lines(lines, *_quoting_states(F.col("value"), sep), "\n", longest) if multiline else lines.withColumn("unclosed", F.lit(False))
 
 
 def detect_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
@@ -108,40 +150,41 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
     """Every field as text, empty ones as empty text. `strict` keeps only records with as many fields as the header.
 
     Files are split by Spark, so size makes no difference; a codec is told by the file's suffix. Quoted fields may hold the delimiter and
-    doubled quotes; with `multiline` line breaks too, and then a file is read by one task (with `strict`, by many).
+    doubled quotes; with `multiline` line breaks too, wherever the file is split.
     """
     sep = sep or delimiter_of(spark, path, encoding)
-    if strict:
-        return read_numbered(spark, path, sep, encoding, strict=True, multiline=multiline).drop("file", "row_number")
-    df = spark.read.options(header=True, sep=sep, encoding=encoding, mode="PERMISSIVE", multiLine=multiline, **QUOTING).csv(path)
+    if strict or multiline:
+        return read_numbered(spark, path, sep, encoding, strict, multiline).drop("file", "row_number")
+    df = spark.read.options(header=True, sep=sep, encoding=encoding, mode="PERMISSIVE", **QUOTING).csv(path)
     return df.select(*[F.coalesce(q(c), F.lit("")).alias(c) for c in df.columns])
 
 
 def read_numbered(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8", strict: bool = False, multiline: bool = False) -> DataFrame:
     """As read_delimited, with file and row_number (the header is line 1), for joins with a report on lines."""
     header = _header(spark, path, sep, encoding)
-    lines = numbered_records(spark, path, encoding, multiline).where("row_number > 1").where(F.trim("value") != "")
+    lines = numbered_records(spark, path, encoding, multiline, sep).where("row_number > 1").where(F.trim("value") != "")
     if strict:
-        lines = lines.where(field_count(F.col("value"), sep) == len(header))
+        lines = lines.where((field_count(F.col("value"), sep) == len(header)) & ~F.col("unclosed"))
     schema = ", ".join(f"`{h}` STRING" for h in header)
     parsed = lines.withColumn("_row", F.from_csv("value", schema, {"sep": sep, "multiLine": "true", **QUOTING}))
     return parsed.select("file", "row_number", *[F.coalesce(F.col("_row").getField(h), F.lit("")).alias(h) for h in header])
 
 
 def malformed_rows(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8", most: int | None = None, multiline: bool = False) -> DataFrame:
-    """(file, row_number, raw, issue, severity): records whose fields do not match the header, and undecodable characters.
+    """(file, row_number, raw, issue, severity): records whose fields do not match the header, quotes without an end, undecodable characters.
 
     Up to two fields off is a warning, more an error. In the order of the file; `most` cuts it for display.
     """
     expected = len(_header(spark, path, sep, encoding))
-    lines = numbered_records(spark, path, encoding, multiline).where("row_number > 1").withColumn("raw", F.trim("value")).where("raw <> ''")
+    lines = numbered_records(spark, path, encoding, multiline, sep).where("row_number > 1").withColumn("raw", F.trim("value")).where("raw <> ''")
     off = field_count(F.col("raw"), sep) - F.lit(expected)
     count = F.when(off != 0, F.struct(
         F.when(off > 0, F.concat(off.cast("string"), F.lit(" extra"))).otherwise(F.concat((-off).cast("string"), F.lit(" missing"))).alias("issue"),
         F.when(F.abs(off) <= 2, "warning").otherwise("error").alias("severity"),
     ))
     coded = F.when(F.col("raw").contains("\ufffd"), F.struct(F.lit("replacement characters").alias("issue"), F.lit("warning").alias("severity")))
-    found = lines.withColumn("_i", F.explode(F.filter(F.array(count, coded), lambda x: x.isNotNull())))
+    stray = F.when(F.col("unclosed"), F.struct(F.lit("unclosed quote").alias("issue"), F.lit("error").alias("severity")))
+    found = lines.withColumn("_i", F.explode(F.filter(F.array(F.when(~F.col("unclosed"), count), stray, coded), lambda x: x.isNotNull())))
     found = found.select("file", "row_number", "raw", "_i.issue", "_i.severity").orderBy("file", "row_number")
     return found if most is None else found.limit(most)
 
@@ -284,7 +327,7 @@ def read_sql_dump(spark: SparkSession, path: str, table: str) -> DataFrame:
     quotes are doubled or escaped.
     """
     quotes = F.char_length(F.regexp_replace(F.regexp_replace("value", r"(?s)\\.", ""), "[^']", ""))
-    statements = joined_lines(numbered_lines(spark, path, sep=";\n"), quotes, ";\n").select(F.trim("value").alias("s"))
+    statements = joined_lines(numbered_lines(spark, path, sep=";\n"), quotes % 2 == 1, quotes % 2 == 0, ";\n").select(F.trim("value").alias("s"))
     name = rf'[`"\[]?{table}[`"\]]?'
     made = statements.where(F.col("s").rlike(rf"(?is)create\s+table\s+(if\s+not\s+exists\s+)?{name}\s*\(")).limit(1).collect()
     inserts = statements.where(F.col("s").rlike(rf"(?is)insert\s+into\s+{name}[\s(]"))

@@ -86,3 +86,77 @@ def test_pieces_are_spread_over_keys(spark):
     keys = texts.select("f", F.explode(F.transform(edits._pieces(size, most), lambda p: F.struct(p["i"].alias("i"), F.substring("f", p["at"] + 1, p["size"]).alias("piece")))).alias("p"))
     counts = [r["n"] for r in keys.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(counts) == 7000 and max(n * n for n in counts) < 0.01 * sum(n * n for n in counts)
+
+
+def test_density_with_far_values_equals_the_sum(spark):
+    from lodeframe.operators.profile.numeric import kde_points
+
+    rng = np.random.default_rng(2)
+    for values in (rng.normal(0, 1, 3000), np.concatenate([rng.normal(0, 1, 3000), [1e6]]), np.concatenate([rng.normal(0, 1, 2000), rng.normal(400, 1, 30)])):
+        df = spark.createDataFrame([(float(v),) for v in values], "v double")
+        h = values.std(ddof=1) * len(values) ** -0.2
+        got = kde_points(df, "v")
+        want = [np.exp(-0.5 * ((x - values) / h) ** 2).sum() / (len(values) * h * np.sqrt(2 * np.pi)) for x, _ in got]
+        assert [y for _, y in got] == pytest.approx(want, rel=1e-6, abs=1e-9 * max(want))
+
+
+@pytest.mark.parametrize("rows", [100, 2000])
+def test_every_tree_gets_its_rows(spark, rows, monkeypatch):
+    from lodeframe.operators.detect import outlying
+
+    seen = []
+    monkeypatch.setattr(outlying, "_mean_depth", lambda n: seen.append(n) or 1.0)
+    points = spark.range(rows).select("id", F.array(F.col("id").cast("double")).alias("v"))
+    assert outlying.isolation_scores(points, trees=5, sample=64).count() == rows
+    assert set(seen) == {64}
+
+
+def _states(text, sep):
+    """Plain reading of a line from both states by the rules of quoting."""
+    text = text.replace('""', "")
+
+    def outside(t):
+        at = 0
+        while at <= len(t):
+            if t[at:].lstrip(" \t").startswith('"'):
+                end = t.find('"', t.index('"', at) + 1)
+                if end < 0:
+                    return True
+                at = end + 1
+            nxt = t.find(sep, at)
+            if nxt < 0:
+                return False
+            at = nxt + 1
+        return False
+
+    for i, x in enumerate(text):
+        rest = text[i + 1 :].lstrip(" \t")
+        if x == '"' and (not rest or rest[0] == sep):
+            return outside(text), outside("x" + text[i + 1 :])
+    return outside(text), True
+
+
+@pytest.mark.parametrize("sep", [",", "|"])
+def test_lines_are_read_from_both_states(spark, sep):
+    from lodeframe.sources.readers import _quoting_states
+
+    rng = random.Random(3)
+    lines = sorted({"".join(rng.choice(['"', '"', sep, "a", " "]) for _ in range(rng.randint(0, 9))) for _ in range(1500)})
+    frame = spark.createDataFrame([(x,) for x in lines], "value string")
+    got = {r[0]: (r[1], r[2]) for r in frame.select("value", *_quoting_states(F.col("value"), sep)).collect()}
+    assert {x: got[x] for x in lines} == {x: _states(x, sep) for x in lines}
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 100_000])
+def test_stray_quotes_gather_nothing(spark, folder, stretch, monkeypatch):
+    from lodeframe.sources import readers as R
+
+    joined = R.joined_lines
+    monkeypatch.setattr(R, "joined_lines", lambda *a, **k: joined(*a, **k, stretch=stretch))
+    lines = ["a,b", '1,"two', 'lines"', '2,"stray', *(f"{i},plain" for i in range(3, 30)), '30,"four', "", 'quoted ""lines""', 'end"', '31,"x,y"', '32,"never closed', "33,last"]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{folder}/csv")
+    records = {r["row_number"]: (r["value"], r["unclosed"]) for r in R.numbered_records(spark, f"{folder}/csv", multiline=True, longest=4).collect()}
+    assert records[2] == ('1,"two\nlines"', False) and records[4] == ('2,"stray', True) and records[5] == ("3,plain", False)
+    assert records[31] == (lines[30], False) and records[36] == (lines[35], False) and records[37] == (lines[36], True)
+    assert max(records) == len(lines) and {n for n, (_, stray) in records.items() if stray} == {4, 32, 37}
+    assert {(r["row_number"], r["issue"]) for r in R.malformed_rows(spark, f"{folder}/csv", multiline=True).collect() if r["issue"] == "unclosed quote"} == {(37, "unclosed quote")}
