@@ -92,6 +92,15 @@ def register(c: Catalog) -> None:
     c.add("s7_json_array", lambda t: R.read_json(t.spark, _documents(t, F.to_json(F.struct("p_partkey", "p_name", "p_size")), t.part)).drop("chunk"), "SELECT p_partkey, p_name, p_size FROM part")
     c.add("s7_json_values", lambda t: R.read_json(t.spark, _documents(t, F.concat(F.lit('"'), "p_name", F.lit('"')), t.part)), "SELECT p_name AS value FROM part")
 
+    def one_document(t):
+        path = place(t)
+        line = lambda text: t.spark.createDataFrame([(text,)], "value string").coalesce(1)
+        texts = t.documents.select(F.concat(F.lit(","), F.to_json(F.struct("doc_id", "text"))).alias("value")).coalesce(1)
+        line('[{"doc_id":-1}').union(texts).union(line("]")).coalesce(1).write.text(path)
+        return R.read_json(t.spark, path).where("doc_id >= 0")
+
+    c.add("s7_json_one_document", one_document, "SELECT doc_id, text FROM documents")
+
     def jsonl(t):
         path = place(t)
         t.part.select(F.when(F.col("p_partkey") % 9 == 0, F.lit('{"broken')).otherwise(F.to_json(F.struct("p_partkey", "p_name"))).alias("value")).write.text(path)
