@@ -149,6 +149,14 @@ def register(c: Catalog) -> None:
 
     c.add("s14_sql_dump_texts", lambda t: R.read_sql_dump(t.spark, texts_script(t), "docs").select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
           "SELECT doc_id, 'it''s;' || chr(10) || text || ' (x);' || chr(10) AS text FROM documents")
+    def one_insert(t):
+        path = place(t)
+        line = lambda text: t.spark.createDataFrame([(text,)], "value string").coalesce(1)
+        texts = t.documents.select(F.concat(F.lit(",("), F.col("doc_id").cast("string"), F.lit(", "), F.coalesce(F.concat(F.lit("'"), F.replace("text", F.lit("'"), F.lit("''")), F.lit("'")), F.lit("NULL")), F.lit(")")).alias("value"))
+        line("INSERT INTO docs (doc_id, text) VALUES (-1, 'x')").union(texts.coalesce(1)).union(line(";")).coalesce(1).write.text(path)
+        return R.read_sql_dump(t.spark, path, "docs").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id >= 0")
+
+    c.add("s14_sql_dump_one_insert", one_insert, "SELECT doc_id, text FROM documents")
     c.add("s24_sql_sink", lambda t: t.spark.read.text(script(t)).where("value like 'INSERT%'").select(F.regexp_extract("value", r"VALUES \((\d+)", 1).cast("long").alias("c_custkey"), F.col("value").contains("NULL").alias("missing")),
           "SELECT c_custkey, c_custkey % 4 = 0 AS missing FROM customer")
     c.add("s15_gzip", lambda t: R.read_delimited(t.spark, _csv(t, some(t), compression="gzip")), plain)

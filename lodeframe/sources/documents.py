@@ -1,9 +1,9 @@
-"""JSON documents of any length, cut into records by many tasks.
+"""Long JSON documents and SQL scripts, cut into records by many tasks.
 
-A file is split at closing braces (arrays of values: at commas) instead of line breaks. Pieces that a text in quotes runs across are joined,
-then every piece tells how far its brackets go up and down. Sums of that over stretches of a file's pieces, one row each, give the depth
-at each stretch's start, and so after each piece. A record ends where the depth is back at that of the records: one inside an array's
-bracket, else none. Only a record is ever one string.
+A file is split at closing brackets (arrays of values: at commas) instead of line breaks. Pieces that a text in quotes runs across are
+joined, then every piece tells how far its brackets go up and down. Sums of that over stretches of a file's pieces, one row each, give the
+depth at each stretch's start, and so after each piece. A record ends where the depth is back at that of the records: one inside a JSON
+array's bracket, else none. Only a record is ever one string.
 """
 
 from __future__ import annotations
@@ -17,58 +17,70 @@ from lodeframe.functions.columns import facts
 from lodeframe.session import shared_dir
 from lodeframe.sources.lines import joined_lines, numbered_lines
 
-#: Pieces of a file that are summed up in one row.
+#: Pieces or records of a file that are summed up in one row.
 STRETCH = 100_000
 _OBJECTS, _VALUES = "}", ","
 
 
-def _outside(text: Column) -> Column:
-    """A text without what stands in quotes; it begins and ends outside of them."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), '"[^"]*"', "")
-
-
 def _letters(text: Column, kinds: str) -> Column:
     return F.char_length(F.regexp_replace(text, rf"[^{kinds}]", ""))
 
 
-def _cut_at_depth(pieces: DataFrame, sep: str, stretch: int) -> DataFrame:
-    """Pieces with _record, the number of records of the file that end before, _whole where one ends, and _array, the file's kind."""
+def _unescaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?s)\\.", "")
+
+
+def _cut_at_depth(pieces: DataFrame, step: Column, begins: Column, stretch: int) -> DataFrame:
+    """Pieces with _record, the number of records of the file that end before, _whole where one ends, and _base, the depth of its records.
+
+    `step` is how much deeper a piece ends than it begins, `begins` the depth of the records as the file's first piece tells it.
+    """
     file = Window.partitionBy("file").orderBy("_stretch")
     part = Window.partitionBy("file", "_stretch").orderBy("row_number")
     before_stretch, before, so_far = file.rowsBetween(Window.unboundedPreceding, -1), part.rowsBetween(Window.unboundedPreceding, -1), part.rowsBetween(Window.unboundedPreceding, 0)
-    bare = _outside(F.col("value"))
-    step = _letters(bare, r"\[{") - _letters(bare, r"\]}") - F.lit(1 if sep == _OBJECTS else 0)
-    begins = F.when(F.col("row_number") == 1, F.col("value").rlike(r"^[\ufeff\s]*\[").cast("int"))
-    pieces = pieces.withColumns({"_stretch": F.floor((F.col("row_number") - 1) / stretch), "_step": step, "_begins": begins})
-    sums = pieces.groupBy("file", "_stretch").agg(F.sum("_step").alias("_sum"), F.max("_begins").alias("_begins"))
+    first = F.when(F.col("row_number") == 1, begins)
+    pieces = pieces.withColumns({"_stretch": F.floor((F.col("row_number") - 1) / stretch), "_step": step, "_first": first})
+    sums = pieces.groupBy("file", "_stretch").agg(F.sum("_step").alias("_sum"), F.max("_first").alias("_first"))
     starts = sums.select(
-        "file", "_stretch", F.coalesce(F.sum("_sum").over(before_stretch), F.lit(0)).alias("_start"), F.max("_begins").over(Window.partitionBy("file")).alias("_array")
+        "file", "_stretch", F.coalesce(F.sum("_sum").over(before_stretch), F.lit(0)).alias("_start"), F.max("_first").over(Window.partitionBy("file")).alias("_base")
     )
-    deep = pieces.drop("_begins").join(starts, ["file", "_stretch"]).withColumn("_whole", (F.col("_start") + F.sum("_step").over(so_far) == F.col("_array")).cast("int"))
+    deep = pieces.drop("_first").join(starts, ["file", "_stretch"]).withColumn("_whole", (F.col("_start") + F.sum("_step").over(so_far) == F.col("_base")).cast("int"))
     deep = deep.withColumn("_n", F.coalesce(F.sum("_whole").over(before), F.lit(0)))
     ends = deep.groupBy("file", "_stretch").agg(F.sum("_whole").alias("_ends"))
     carried = ends.select("file", "_stretch", F.coalesce(F.sum("_ends").over(before_stretch), F.lit(0)).alias("_carry"))
     return deep.join(carried, ["file", "_stretch"]).withColumn("_record", F.col("_carry") + F.col("_n"))
 
 
-def json_records(spark: SparkSession, path: str, sep: str = _OBJECTS, stretch: int = STRETCH) -> DataFrame:
-    """(file, record, array, value): the text of each record, counted from 0 within its file; `array` tells that the document is an array.
+def bracketed(spark: SparkSession, path: str, sep: str, quote: str, up: str, down: str, begins: Column, stretch: int = STRETCH) -> DataFrame:
+    """(file, record, value, whole, base): a file's text cut where the depth of brackets is back at that of its records.
 
-    What is left at a file's end is a record too, broken or not, if it isn't blank. A quote that never closes joins the rest of its file.
+    `sep` ends a piece; a closing bracket as `sep` counts as one. `up` and `down` are the insides of character classes. The last record of a
+    file is what is left and not `whole`. A quote that never closes joins the rest of its file.
     """
-    lines = numbered_lines(spark, path, sep=sep)
-    odd = _letters(F.regexp_replace("value", r"(?s)\\.", ""), '"') % 2 == 1
-    pieces = joined_lines(lines, odd, ~odd, sep, stretch=stretch).select("file", "row_number", "value")
+    odd = _letters(_unescaped(F.col("value")), quote) % 2 == 1
+    pieces = joined_lines(numbered_lines(spark, path, sep=sep), odd, ~odd, sep, stretch=stretch).select("file", "row_number", "value")
+    bare = F.regexp_replace(_unescaped(F.col("value")), f"{quote}[^{quote}]*{quote}", "")
+    step = _letters(bare, up) - _letters(bare, down) - F.lit(0 if sep == _VALUES else 1)
     parts = F.array_sort(F.collect_list(F.struct("row_number", "value")))
-    placed = _cut_at_depth(pieces, sep, stretch).groupBy("file", F.col("_record").alias("record"))
-    grouped = placed.agg(parts.alias("p"), F.max("_whole").alias("whole"), F.max("_array").alias("array"))
-    whole, array, first = F.col("whole") == 1, F.col("array") == 1, F.col("record") == 0
+    placed = _cut_at_depth(pieces, step, begins, stretch).groupBy("file", F.col("_record").alias("record"))
+    grouped = placed.agg(parts.alias("p"), (F.max("_whole") == 1).alias("whole"), F.max("_base").alias("base"))
     text = F.array_join(F.transform("p", lambda x: x["value"]), sep)
-    text = F.when(first, F.regexp_replace(text, "^\ufeff", "")).otherwise(text)
-    text = F.concat(text, F.when(whole & F.lit(sep == _OBJECTS), F.lit(sep)).otherwise(F.lit("")))
-    text = F.when(array & first, F.regexp_replace(text, r"^\s*\[", "")).when(array & F.lit(sep == _OBJECTS), F.regexp_replace(text, r"^\s*,", "")).otherwise(text)
-    text = F.when(array & ~whole, F.regexp_replace(text, r"\]\s*$", "")).otherwise(text)
-    return grouped.select("file", "record", array.alias("array"), F.regexp_replace(text, r"^\s+|\s+$", "").alias("value")).where("value <> ''")
+    text = F.when(F.col("record") == 0, F.regexp_replace(text, "^\ufeff", "")).otherwise(text)
+    closed = text if sep == _VALUES else F.when(F.col("whole"), F.concat(text, F.lit(sep))).otherwise(text)
+    return grouped.select("file", "record", closed.alias("value"), "whole", "base")
+
+
+def json_records(spark: SparkSession, path: str, sep: str = _OBJECTS, stretch: int = STRETCH) -> DataFrame:
+    """(file, record, array, value): the text of each record, counted from 0 within its file; `array` tells that the document is an array.
+
+    What is left at a file's end is a record too, broken or not, if it isn't blank.
+    """
+    in_array = F.col("value").rlike(r"^[\ufeff\s]*\[").cast("int")
+    records = bracketed(spark, path, sep, '"', r"\[{", r"\]}", in_array, stretch)
+    array, text = F.col("base") == 1, F.col("value")
+    text = F.when(array & (F.col("record") == 0), F.regexp_replace(text, r"^\s*\[", "")).when(array & F.lit(sep == _OBJECTS), F.regexp_replace(text, r"^\s*,", "")).otherwise(text)
+    text = F.when(array & ~F.col("whole"), F.regexp_replace(text, r"\]\s*$", "")).otherwise(text)
+    return records.select("file", "record", array.alias("array"), F.regexp_replace(text, r"^\s+|\s+$", "").alias("value")).where("value <> ''")
 
 
 def json_values(spark: SparkSession, path: str) -> DataFrame | None:
@@ -95,3 +107,23 @@ def json_lines(spark: SparkSession, path: str) -> str:
     lines = records.select(*kept, F.when(F.col("array"), F.concat(F.lit("["), line, F.lit("]"))).otherwise(line).alias("value"))
     (lines.write.partitionBy(*kept) if kept else lines.write).text(folder)
     return folder
+
+
+def script_records(spark: SparkSession, path: str, statements: dict[str, str], stretch: int = STRETCH) -> DataFrame:
+    """(file, record, kind, value): the parts of SQL statements that end with a bracket at depth none, as the columns or one row of an INSERT.
+
+    A part's kind is the first of `statements` (kind: pattern) that the beginning of its own statement, up to the first bracket, fits; null
+    for others. The beginning is left in the statement's first part only, and what stands before its semicolon is not.
+    """
+    records = bracketed(spark, path, ")", "'", "(", ")", F.lit(0), stretch)
+    text = F.regexp_replace("value", r"(?s)^(?:(?:[^'(;]++|'[^']*+')*+;)+", "")
+    opens = (F.col("record") == 0) | (F.char_length(text) < F.char_length("value"))
+    begin = F.regexp_extract(text, r"(?s)^[^(]*\(?", 0)
+    kind = F.coalesce(*[F.when(begin.rlike(p), F.lit(k)) for k, p in statements.items()], F.lit(""))
+    records = records.select("file", "record", "whole", text.alias("value"), F.when(opens, kind).alias("_kind"), F.floor(F.col("record") / stretch).alias("_stretch"))
+    last = records.groupBy("file", "_stretch").agg(F.max_by("_kind", F.when(F.col("_kind").isNotNull(), F.col("record"))).alias("_last"))
+    earlier = Window.partitionBy("file").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("file", "_stretch", F.last("_last", True).over(earlier).alias("_carry"))
+    so_far = Window.partitionBy("file", "_stretch").orderBy("record").rowsBetween(Window.unboundedPreceding, 0)
+    known = records.join(carried, ["file", "_stretch"]).withColumn("kind", F.nullif(F.coalesce(F.last("_kind", True).over(so_far), F.col("_carry")), F.lit("")))
+    return known.where("whole").select("file", "record", "kind", "value")

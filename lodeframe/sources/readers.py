@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from lodeframe.functions.columns import facts, is_string, q, rows, scalar_columns
 from lodeframe.functions.dates import parsed_time
-from lodeframe.sources.documents import json_lines, json_values
+from lodeframe.sources.documents import json_lines, json_values, script_records
 from lodeframe.sources.lines import joined_lines, numbered_lines
 from lodeframe.sources.nested import flatten
 
@@ -256,20 +256,19 @@ def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> Data
 
 # One value of an INSERT: a quoted text with doubled quotes, or anything up to the comma.
 _SQL_VALUE = r"\s*('[^']*+(?:''[^']*+)*+'|[^,']+)\s*(?:,|$)"
-_SQL_TUPLE = r"\(((?:[^()']++|'[^']*+(?:''[^']*+)*+')*+)\)"
 
 
 def read_sql_dump(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Rows of one table from its INSERT statements, as text; NULL is null. Names come from CREATE TABLE, else from the INSERT.
 
-    Short rows are filled with null and long ones cut. A statement ends with a semicolon and a line break outside quoted texts, in which
-    quotes are doubled or escaped.
+    Short rows are filled with null and long ones cut. Statements end with a semicolon outside quoted texts, in which quotes are doubled or
+    escaped; one with many rows is read by many tasks.
     """
-    quotes = F.char_length(F.regexp_replace(F.regexp_replace("value", r"(?s)\\.", ""), "[^']", ""))
-    statements = joined_lines(numbered_lines(spark, path, sep=";\n"), quotes % 2 == 1, quotes % 2 == 0, ";\n").select(F.trim("value").alias("s"))
     name = rf'[`"\[]?{table}[`"\]]?'
-    made = statements.where(F.col("s").rlike(rf"(?is)create\s+table\s+(if\s+not\s+exists\s+)?{name}\s*\(")).limit(1).collect()
-    inserts = statements.where(F.col("s").rlike(rf"(?is)insert\s+into\s+{name}[\s(]"))
+    insert = rf"(?is)\binsert\s+into\s+{name}[\s(]"
+    parts = script_records(spark, path, {"insert": insert, "create": rf"(?is)\bcreate\s+table\s+(if\s+not\s+exists\s+)?{name}\s*\("})
+    made = parts.where("kind = 'create'").limit(1).select(F.col("value").alias("s")).collect()
+    inserts = parts.where("kind = 'insert'")
     if made:
         body = made[0]["s"].split("(", 1)[1].rsplit(")", 1)[0]
         parts, depth, part = [], 0, ""
@@ -283,11 +282,11 @@ def read_sql_dump(spark: SparkSession, path: str, table: str) -> DataFrame:
         words = [p.strip().split(None, 1)[0] for p in [*parts, part] if p.strip()]
         columns = [w.strip('`"[]') for w in words if w.upper() not in ("PRIMARY", "FOREIGN", "UNIQUE", "KEY", "CONSTRAINT", "CHECK", "INDEX")]
     else:
-        first = inserts.select(F.regexp_extract("s", rf"(?is)insert\s+into\s+{name}\s*\(([^)]*)\)", 1).alias("c")).first()
+        heads = inserts.select(F.regexp_extract("value", rf"(?is)^[^(]*\binsert\s+into\s+{name}\s*\(([^)]*)\)", 1).alias("c")).where("c <> ''")
+        first = heads.first()
         columns = [c.strip().strip('`"[]') for c in (first["c"] if first else "").split(",") if c.strip()]
-    values = F.regexp_replace("s", r"(?is)^.*?\bvalues\b", "")
-    tuples = inserts.select(F.explode(F.regexp_extract_all(values, F.lit(_SQL_TUPLE), 1)).alias("t"))
-    fields = tuples.select(F.regexp_extract_all("t", F.lit(_SQL_VALUE), 1).alias("f"))
+    row = rf"(?is)^(?:[^(]*\binsert\s+into\s+{name}\s+values|\s*values|\s*,)\s*\((.*)\)$"
+    fields = inserts.where(F.col("value").rlike(row)).select(F.regexp_extract_all(F.regexp_extract("value", row, 1), F.lit(_SQL_VALUE), 1).alias("f"))
 
     def value(i: int) -> Column:
         raw = F.trim(F.get("f", F.lit(i)))

@@ -32,8 +32,7 @@ def small_splits(spark):
         spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("stretch", [7, 100_000])
-@pytest.mark.parametrize("indent", [None, 1])
+@pytest.mark.parametrize("stretch, indent", [(7, None), (100_000, 1)])
 def test_arrays_of_objects_are_cut_by_many_tasks(spark, folder, small_splits, stretch, indent):
     objects = _objects(60)
     path = _put(spark, folder, json.dumps(objects, indent=indent, ensure_ascii=False))
@@ -43,7 +42,7 @@ def test_arrays_of_objects_are_cut_by_many_tasks(spark, folder, small_splits, st
     assert [json.loads(r["value"]) for r in got] == objects
 
 
-@pytest.mark.parametrize("stretch", [2, 100_000])
+@pytest.mark.parametrize("stretch", [2])
 def test_arrays_of_values_and_single_objects(spark, folder, small_splits, stretch):
     values = ["a,b", "]", '"', "[", "plain", ""] * 15 + [1, None, [1, [2, "x,"]], True]
     path = _put(spark, f"{folder}/v", json.dumps(values))
@@ -78,3 +77,28 @@ def test_partition_folders_and_empty_documents(spark, folder):
     assert sorted((r["chunk"], r["id"]) for r in R.read_json(spark, f"{folder}/p").collect()) == [(1, 1), (1, 2), (2, 3)]
     path = _put(spark, f"{folder}/e", "", "[]")
     assert R.read_json(spark, path).collect() == []
+
+
+@pytest.mark.parametrize("stretch", [3])
+def test_one_insert_with_many_rows_is_read_by_many_tasks(spark, folder, small_splits, stretch, monkeypatch):
+    records = D.script_records
+    monkeypatch.setattr(R, "script_records", lambda *a, **k: records(*a, **k, stretch=stretch))
+    odd = ["it's", ");", "(", "a;\nb", "x, y", "insert into other (", ""]
+    rows = [(str(i), None if i % 5 == 0 else odd[i % 7] + "/" + odd[i % 3], str(i / 4)) for i in range(50)]
+    text = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    tuples = lambda some: ",\n".join(f"({i}, {text(t)}, {x})" for i, t, x in some)
+    script = (
+        "-- a dump\nSET NAMES utf8;\nCREATE TABLE other (id INT);INSERT INTO other (id) VALUES (900),(901);\n"
+        "CREATE TABLE IF NOT EXISTS `mine` (\n id INT, name VARCHAR(20), share DECIMAL(9, 2),\n PRIMARY KEY (id)\n) ENGINE=x;\n"
+        f"INSERT INTO `mine` (id, name, share) VALUES {tuples(rows[:30])};INSERT INTO other VALUES (902); INSERT INTO mine VALUES {tuples(rows[30:])};\nINSERT INTO other VALUES (903);\n"
+    )
+    path = _put(spark, folder, script)
+    got = R.read_sql_dump(spark, path, "mine")
+    assert got.columns == ["id", "name", "share"]
+    assert sorted(map(tuple, got.collect()), key=lambda r: int(r[0])) == rows
+    assert sorted(r["id"] for r in R.read_sql_dump(spark, path, "other").collect()) == ["900", "901", "902", "903"]
+
+
+def test_names_come_from_the_insert_without_a_create(spark, folder):
+    path = _put(spark, folder, "INSERT INTO t (a, b) VALUES (1, 'x'), (2, NULL);\nINSERT INTO t (a, b) VALUES (3, 'f(1)');")
+    assert sorted(map(tuple, R.read_sql_dump(spark, path, "t").collect())) == [("1", "x"), ("2", None), ("3", "f(1)")]
