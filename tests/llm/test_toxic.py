@@ -1,10 +1,12 @@
+import math
 import random
+import re
 
 import numpy as np
 from conftest import words
 
 from lodeframe.llm import gru_toxicity as g
-from lodeframe.llm.texts import block_of
+from lodeframe.llm.texts import block_of, keys_of
 
 BAD = ["snarg", "Blick", "vorpel"]
 
@@ -57,6 +59,58 @@ def test_gradients_match_differences():
             assert abs((up - down) / 2e-3 - grad[at]) < 2e-3 * max(1, abs(grad[at]))
 
 
+def _key(word):
+    return keys_of(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0]
+
+
+def _plain_logit(net, tokens):
+    """One window, a token and a unit at a time."""
+    p, n, units = {k: v.astype(float).tolist() for k, v in net.p.items()}, len(tokens), range(g.HIDDEN)
+    known = {int(k): i for i, k in enumerate(net.keys)}
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def gates(token):
+        padded = b"\0" + token + b"\0"
+        grams = [p["grams"][(((padded[i] << 16 | padded[i + 1] << 8 | padded[i + 2]) * 2654435761) >> 7) % g.TRIGRAMS] for i in range(len(token))]
+        x = p["words"][known.get(int(_key(token)), len(known))] + [sum(c) / len(grams) for c in zip(*grams)]
+        return [sum(v * row[j] for v, row in zip(x, p["into"])) + p["bias"][j] for j in range(6 * g.HIDDEN)]
+
+    def read(order, u, at):
+        states, h = {}, [0.0] * g.HIDDEN
+        for t in order:
+            own = gates(tokens[t])[at : at + 3 * g.HIDDEN]
+            side = [sum(v * row[j] for v, row in zip(h, u)) for j in range(3 * g.HIDDEN)]
+            z, r = ([sigmoid(own[k + j] + side[k + j]) for j in units] for k in (0, g.HIDDEN))
+            new = [math.tanh(own[2 * g.HIDDEN + j] + r[j] * side[2 * g.HIDDEN + j]) for j in units]
+            h = states[t] = [z[j] * h[j] + (1 - z[j]) * new[j] for j in units]
+        return states
+
+    ahead, back = read(range(n), p["ahead"], 0), read(range(n - 1, -1, -1), p["back"], 3 * g.HIDDEN)
+    states = [ahead[t] + back[t] for t in range(n)]
+    look = [sum(math.tanh(sum(v * row[a] for v, row in zip(s, p["look"])) + p["look_bias"][a]) * p["look_out"][a] for a in range(g.ATTENTION)) for s in states]
+    total = sum(map(math.exp, look))
+    return sum(math.exp(e) / total * v * o for e, s in zip(look, states) for v, o in zip(s, p["out"])) + p["out_bias"][0]
+
+
+def test_scores_agree_with_a_loop_over_tokens():
+    rng, draw = random.Random(4), np.random.default_rng(4)
+    vocabulary = [w.encode() for w in {"snarg", *words(rng, 40).split(" ")}]
+    net = g.Network(np.sort(np.array([_key(w) for w in vocabulary], np.uint64)))
+    for k, v in net.p.items():
+        net.p[k] = (v + 0.4 * draw.standard_normal(v.shape)).astype(np.float32)
+    net.scale, net.shift = 1.3, -0.2
+    word = lambda: rng.choice([w.decode() for w in vocabulary] + ["Snarg", "été", "x", "7up", "新しい"])
+    texts = [rng.choice([" ", ", "]).join(word() for _ in range(n)) for n in (1, 2, g.WINDOW, g.WINDOW + 1, 130, 5)] + ["", None, " .,!", "été", "été"]
+    want = []
+    for text in texts:
+        tokens, logits = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode().lower()), []
+        for start in range(0, max(1, len(tokens)), g.STRIDE):
+            if start == 0 or start + g.WINDOW - g.STRIDE < len(tokens):
+                logits.append(_plain_logit(net, tokens[start : start + g.WINDOW]))
+        want.append(1 / (1 + math.exp(-(net.scale * max(logits) + net.shift))))
+    assert np.abs(net.score(block_of(texts)) - want).max() < 1e-4 and np.ptp(want) > 0.1
+
+
 def test_windows_overlap_and_reach_the_end():
     counts = np.array([0, 1, g.WINDOW, g.WINDOW + 1, 1000])
     text, start, length = g.windows_of(counts)
