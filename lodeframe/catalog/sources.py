@@ -77,10 +77,12 @@ def register(c: Catalog) -> None:
     c.add("s4_malformed_quoted", lambda t: R.malformed_rows(t.spark, quoted(t), ",", multiline=True).select("issue"), "SELECT '' AS issue FROM documents WHERE FALSE")
 
     # Quotes that never end: each is reported where it stands, and the lines after it are read as they are.
-    stray = F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name", F.col("p_retailprice").cast("string"), F.expr("CASE WHEN p_partkey % 50 = 3 THEN '\"x' ELSE 'x' END"))
-    c.add("s4_unclosed_quotes", lambda t: R.malformed_rows(t.spark, _lines(t, stray), ",", multiline=True).select("row_number", "issue", "severity"),
+    def stray():
+        return F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name", F.col("p_retailprice").cast("string"), F.expr("CASE WHEN p_partkey % 50 = 3 THEN '\"x' ELSE 'x' END"))
+
+    c.add("s4_unclosed_quotes", lambda t: R.malformed_rows(t.spark, _lines(t, stray()), ",", multiline=True).select("row_number", "issue", "severity"),
           "SELECT p_partkey + 2 AS row_number, 'unclosed quote' AS issue, 'error' AS severity FROM part WHERE p_partkey % 50 = 3")
-    c.add("s5_strict_unclosed", lambda t: R.read_delimited(t.spark, _lines(t, stray), ",", strict=True, multiline=True).select("key", "name"),
+    c.add("s5_strict_unclosed", lambda t: R.read_delimited(t.spark, _lines(t, stray()), ",", strict=True, multiline=True).select("key", "name"),
           "SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS name FROM part WHERE p_partkey % 50 <> 3")
 
     def cleaned(t):

@@ -1,5 +1,9 @@
 """The registry, and a few of its queries beside DuckDB on the smallest tables."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -16,6 +20,12 @@ def test_every_query_with_sql_is_registered():
     assert len(entry.queries()) > 350
 
 
+def test_queries_are_listed_without_a_session():
+    listing = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    got = subprocess.run([sys.executable, "-c", listing], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True, check=True)
+    assert got.stdout.split() == [str(len(entry.queries())), str(len(entry.oracle_sql()))]
+
+
 def test_the_flagship_runs(spark):
     assert entry.entry(spark).columns == ["c_mktsegment", "revenue", "average", "orders"]
 
