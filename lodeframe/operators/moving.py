@@ -106,11 +106,21 @@ def _cores(placed: DataFrame, rows_in: int, before: int, after: int, rows: int,
     return heads.unionByName(values, allowMissingColumns=True).select("_block", "value", "w", "known", "total", "squares")
 
 
+def cell_rows(before: int, after: int, rows: int) -> int:
+    """Rows of a cell: those asked for, but enough that there are fewer counts by cell and bucket than a quarter of the table's rows.
+
+    A table of n rows has n / rows cells and a window of w rows about 2 * w / rows buckets, so cells of a fixed size would make their
+    product grow with the square of the table where the window is a share of it. The floor grows with the window's square root only.
+    """
+    return max(rows, math.isqrt(8 * (before + after)))
+
+
 def moving_median(placed: DataFrame, before: int, after: int, rows: int = BLOCK) -> DataFrame:
     """(key, value, median, sd, size) of the window from `before` rows before to `after` rows after each row of (key, value, _pos).
 
-    Positions count from 0 without gaps, values are numbers and not null; windows end with the table. `rows` is the size of a cell.
+    Positions count from 0 without gaps, values are numbers and not null; windows end with the table. `rows` is the least size of a cell.
     """
+    rows = cell_rows(before, after, rows)
     # Cells, counted from a row's own, that every window around the cell holds entirely, and the others that some of them touch.
     whole_before, whole_after = (before + 1) // rows - 1, (after + 1) // rows - 1
     inner = range(-whole_before, whole_after + 1) if whole_before + whole_after >= 0 else range(0)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeframe.operators import edits
-from lodeframe.operators.moving import moving_median, select
+from lodeframe.operators.moving import cell_rows, moving_median, select
 
 
 def test_select_finds_the_kth_of_a_range_and_a_bag():
@@ -160,3 +160,18 @@ def test_stray_quotes_gather_nothing(spark, folder, stretch, monkeypatch):
     assert records[31] == (lines[30], False) and records[36] == (lines[35], False) and records[37] == (lines[36], True)
     assert max(records) == len(lines) and {n for n, (_, stray) in records.items() if stray} == {4, 32, 37}
     assert {(r["row_number"], r["issue"]) for r in R.malformed_rows(spark, f"{folder}/csv", multiline=True).collect() if r["issue"] == "unclosed quote"} == {(37, "unclosed quote")}
+
+
+def test_counts_by_cell_and_bucket_stay_fewer_than_the_rows():
+    for n in (10_000, 3_000_000, 18_000_000):
+        rows = cell_rows(n // 40, n // 40, 50)
+        assert -(-n // rows) * (2 + 2 * (n // 20) // rows) <= n / 2  # cells of 50 rows: 0.1 n at first, 38 n and 230 n after
+
+
+def test_small_cells_in_a_wide_window(spark):
+    n = 4000
+    value = [float(i * 7919 % 997) for i in range(n)]
+    got = {r["key"]: r for r in moving_median(spark.createDataFrame([(i, value[i], i) for i in range(n)], "key int, value double, _pos long"), 1000, 999, 2).collect()}
+    for i in range(0, n, 97):
+        w = value[max(0, i - 1000) : i + 1000]
+        assert got[i]["median"] == float(np.median(w)) and got[i]["size"] == len(w)
