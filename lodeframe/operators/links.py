@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from lodeframe.functions.strings import jaro_winkler
 from lodeframe.session import cut
 
-#: Values of a block; two blocks meet in one task.
-SIDE = 1000
+#: Values of a block; two blocks meet in one task. Blocks grow with the values up to `LARGEST` of them.
+SIDE, BLOCKS, LARGEST = 1000, 64, 16_384
+#: Code points of values that are measured many at once, pairs measured together, and occurrences of a letter that have a bit.
+SHORT, TOGETHER, HELD = 64, 1 << 15, 4
+_SLACK = 1e-9
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,68 +32,191 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def block_pairs(values: DataFrame, side: int = SIDE) -> DataFrame:
+def side_of(n: int) -> int:
+    """Values of a block: at most some `BLOCKS` blocks while they can grow, so that values are not written more often the more there are."""
+    return min(LARGEST, max(SIDE, -(-n // BLOCKS)))
+
+
+def block_pairs(values: DataFrame, side: int | None = None) -> DataFrame:
     """(x, y, mine, v): every value once for each pair of blocks that its own block is in; blocks follow from the value's hash."""
-    cuts = max(1, -(-values.count() // side))
+    n = values.count()
+    cuts = max(1, -(-n // (side or side_of(n))))
     mine = F.pmod(F.xxhash64("v"), F.lit(cuts)).cast("int")
     wide = values.select("v", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))).alias("other"))
     return wide.select(F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "v")
 
 
-def _bags(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """How often each value has each letter, and its length."""
-    letters = {c: i for i, c in enumerate(sorted(set("".join(values))))}
-    bags = np.zeros((len(values), max(1, len(letters))), np.int16)
-    for i, v in enumerate(values):
-        for c in v:
-            bags[i, letters[c]] += 1
-    return bags, np.array([len(v) for v in values])
+class _Letters:
+    """Values as arrays: lengths, order, code points of the short ones, and bits that bound from above how many letters two have in common.
 
+    A letter's first `HELD` occurrences are bits of its own (of few letters) or of a group of letters; the others are counted in `over`.
+    """
 
-def near_in_block(x: int, y: int, mine: list[int], values: list[str], least: float):
+    def __init__(self, values: list[str]):
+        self.values = values
+        self.size = np.array([len(v) for v in values], np.int64)
+        self.rank = np.empty(len(values), np.int64)
+        self.rank[sorted(range(len(values)), key=values.__getitem__)] = np.arange(len(values))
+        self.codes = np.full((min(SHORT, int(self.size.max(initial=0))), len(values)), -1, np.int32)
+        letters = {c: i for i, c in enumerate(sorted(set().union(*values)))}
+        self.words = 1 if len(letters) <= 64 // HELD else 2
+        groups = self.words * 64 // HELD
+        held = np.zeros((len(values), groups), np.int64)
+        for k, v in enumerate(values):
+            if len(v) <= SHORT:
+                self.codes[: len(v), k] = np.fromiter(map(ord, v), np.int32, len(v))
+            held[k] = np.bincount(np.fromiter((letters[c] % groups for c in v), np.int64, len(v)), minlength=groups)
+        self.over = np.maximum(0, held - HELD).sum(axis=1)
+        bits = (np.uint64(1) << np.minimum(held, HELD).astype(np.uint64)) - np.uint64(1)
+        shifts = np.arange(64 // HELD, dtype=np.uint64) * np.uint64(HELD)
+        self.bits = [np.bitwise_or.reduce(bits[:, w * len(shifts) : (w + 1) * len(shifts)] << shifts, axis=1) for w in range(self.words)]
+
+    def common(self, i, j) -> np.ndarray:
+        """At least the number of letters in common."""
+        found = np.bitwise_count(self.bits[0][i] & self.bits[0][j]).astype(np.int64)
+        if self.words > 1:
+            found += np.bitwise_count(self.bits[1][i] & self.bits[1][j])
+        return found + np.minimum(self.over[i], self.over[j])
+
+    def same_start(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Letters of the common start, up to four, of short values."""
+        found, going = np.zeros(len(i), np.int64), np.ones(len(i), bool)
+        for row in self.codes[:4]:
+            going &= (row[i] == row[j]) & (row[i] >= 0)
+            found += going
+        return found
+
+    def similar(self, i: np.ndarray, j: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, similarity) of those pairs of short values, i before j, that reach `least`; the same numbers as `jaro_winkler`'s."""
+        start, la, lb = self.same_start(i, j), self.size[i], self.size[j]
+        reaches = lambda most: most + 0.1 * start * (1 - most) >= least - _SLACK
+        keep = reaches((self.common(i, j) * (1 / la + 1 / lb) + 1) / 3)
+        i, j, start, la, lb = i[keep], j[keep], start[keep], la[keep], lb[keep]
+        if not len(i):
+            return i, j, np.zeros(0)
+        a, b = self.codes[: la.max(), i], self.codes[: lb.max(), j]
+        reach = np.maximum(0, np.maximum(la, lb) // 2 - 1)
+        free, picked, far = b >= 0, np.zeros(a.shape, bool), int(reach.max())
+        for x in range(len(a)):
+            waits = a[x] >= 0
+            for y in range(max(0, x - far), min(len(b), x + far + 1)):
+                met = waits & free[y] & (a[x] == b[y]) & (abs(x - y) <= reach)
+                free[y] ^= met
+                waits ^= met
+                picked[x] |= met
+        m = picked.sum(axis=0)
+        keep = (m > 0) & reaches((m / la + m / lb + 1) / 3)
+        i, j, start, la, lb, m = i[keep], j[keep], start[keep], la[keep], lb[keep], m[keep]
+        a, b, picked, taken = a[:, keep], b[:, keep], picked[:, keep], ((b >= 0) & ~free)[:, keep]
+        swaps = (_in_order(a, picked) != _in_order(b, taken)).sum(axis=0) // 2
+        score = (m / la + m / lb + (m - swaps) / m) / 3
+        score = np.where(score <= 0.7, score, score + 0.1 * start * (1 - score))
+        keep = (score >= least) & (score < 1.0)
+        return i[keep], j[keep], score[keep]
+
+
+def _in_order(codes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The chosen code points of each column moved to its front, -1 after them."""
+    found = np.full((max(1, int(chosen.sum(axis=0).max(initial=0))), codes.shape[1]), -1, np.int32)
+    at = np.cumsum(chosen, axis=0) - 1
+    x, y = np.nonzero(chosen)
+    found[at[x, y], y] = codes[x, y]
+    return found
+
+
+def near_in_block(x: int, y: int, mine: list[int], values: list[str], least: float, spanning: bool = False):
     """Pairs of values of the two blocks whose Jaro-Winkler similarity is at least `least` and under 1.
 
-    Letters in common bound the similarity from above, so that only promising pairs are measured.
+    Letters in common bound the similarity from above, so that only promising pairs are measured, many at once. `spanning` leaves out
+    pairs that are linked through others already.
     """
-    bags, size = _bags(values)
+    of = _Letters(values)
     side = np.array(mine)
-    right = np.flatnonzero(side == y)
-    for i in np.flatnonzero(side == x):
-        some = right[size[right] > 0] if x != y else right[(right > i) & (size[right] > 0)]
-        if not len(some) or not size[i]:
-            continue
-        common = np.minimum(bags[some], bags[i]).sum(axis=1)
-        most = (common / size[some] + common / size[i] + 1) / 3
-        for j in some[(most + 0.4 * (1 - most) >= least) & (common > 0)]:
-            s = jaro_winkler(*sorted((values[i], values[j])))
-            if least <= s < 1.0:
-                yield (*sorted((values[i], values[j])), s)
-
-
-def near_links(values: DataFrame, least: float, spanning: bool = False) -> DataFrame:
-    """(a, b, similarity) of near-equal values; `spanning` keeps of each two blocks only the links that a forest needs."""
-
-    def compare(group: pa.Table) -> pa.Table:
-        found = list(near_in_block(group.column("x")[0].as_py(), group.column("y")[0].as_py(), group.column("mine").to_pylist(), group.column("v").to_pylist(), least))
+    right = np.flatnonzero((side == y) & (of.size > 0))
+    right = right[np.argsort(of.rank[right])]
+    bits, over, size = [w[right] for w in of.bits], of.over[right], of.size[right]
+    more = bool(over.any())
+    needs: dict = {}
+    group = np.arange(len(values))
+    waiting: list[tuple[int, np.ndarray]] = []
+    held = 0
+
+    def measured():
+        i, j = np.repeat([p[0] for p in waiting], [len(p[1]) for p in waiting]), np.concatenate([p[1] for p in waiting])
+        waiting.clear()
+        i, j = np.where(of.rank[i] < of.rank[j], i, j), np.where(of.rank[i] < of.rank[j], j, i)
+        short = (of.size[i] <= SHORT) & (of.size[j] <= SHORT)
+        got = [of.similar(i[short], j[short], least)]
+        slow = [(p, r, jaro_winkler(values[p], values[r])) for p, r in zip(i[~short].tolist(), j[~short].tolist())]
+        slow = [f for f in slow if least <= f[2] < 1.0]
+        got.append(tuple(np.array([f[c] for f in slow], t) for c, t in enumerate((np.int64, np.int64, float))))
+        links = zip(*(np.concatenate([g[c] for g in got]).tolist() for c in range(3)))
+        return _joining(links, group) if spanning else links
+
+    # Values with the same two first letters are neighbours in order. Only they can have a start of more than one letter in common.
+    two = np.array([(ord(values[i][0]) << 32) + (ord(values[i][1]) if len(values[i]) > 1 else 0) for i in right.tolist()], np.int64)
+
+    def needed(own: int, start: int) -> np.ndarray:
+        """Letters in common without which a value of that length does not reach `least`, whatever the start up to that length."""
+        most = (least - 0.1 * start) / (1 - 0.1 * start)
+        need = np.clip(np.ceil((3 * most - 1) * own * size / (own + size) - _SLACK), 1, None).astype(np.int32)
+        return need if more else np.minimum(need, 255).astype(np.uint8)  # of 128 bits at most
+
+    for i in np.flatnonzero((side == x) & (of.size > 0)):
+        own = int(of.size[i])
+        if own not in needs:
+            needs[own] = needed(own, 1), needed(own, 4)
+        v = values[i]
+        key = (ord(v[0]) << 32) + (ord(v[1]) if own > 1 else 0)
+        low, high = np.searchsorted(two, key, "left"), np.searchsorted(two, key, "right")
+        common = np.bitwise_count(bits[0] & of.bits[0][i])
+        if of.words > 1:
+            common = common + np.bitwise_count(bits[1] & of.bits[1][i])
+        common = common + np.minimum(over, of.over[i]) if more else common
+        promising = common >= needs[own][0]
+        promising[low:high] = common[low:high] >= needs[own][1][low:high]
+        found = right[np.flatnonzero(promising)]
+        if x == y:
+            found = found[found > i]
         if spanning:
-            found = _forest(found)
-        return pa.table({"a": pa.array([f[0] for f in found], pa.string()), "b": pa.array([f[1] for f in found], pa.string()), "similarity": pa.array([f[2] for f in found], pa.float64())})
-
-    return block_pairs(values).groupBy("x", "y").applyInArrow(compare, "a string, b string, similarity double")
-
-
-def _forest(links: list[tuple]) -> list[tuple]:
-    up: dict = {}
-
-    def root(v):
-        while up.get(v, v) != v:
-            v = up[v]
+            found = found[group[found] != group[i]]
+        if len(found):
+            waiting.append((int(i), found))
+            held += len(found)
+            if held >= (TOGETHER // 8 if spanning else TOGETHER):
+                held = 0
+                for p, r, s in measured():
+                    yield values[p], values[r], s
+    if waiting:
+        for p, r, s in measured():
+            yield values[p], values[r], s
+
+
+def _joining(links, group: np.ndarray) -> list[tuple]:
+    """The links that join two groups; `group`, the least member of each value's, is brought up to date."""
+
+    def root(v: int) -> int:
+        while group[v] != v:
+            group[v] = group[group[v]]
+            v = int(group[v])
         return v
 
     kept = []
     for a, b, s in links:
         x, y = root(a), root(b)
         if x != y:
-            up[max(x, y)] = min(x, y)
+            group[max(x, y)] = min(x, y)
             kept.append((a, b, s))
+    while (group[group] != group).any():
+        group[:] = group[group]
     return kept
+
+
+def near_links(values: DataFrame, least: float, spanning: bool = False) -> DataFrame:
+    """(a, b, similarity) of near-equal values; `spanning` keeps of each two blocks only the links that a forest needs."""
+
+    def compare(part: pa.Table) -> pa.Table:
+        found = list(near_in_block(part.column("x")[0].as_py(), part.column("y")[0].as_py(), part.column("mine").to_pylist(), part.column("v").to_pylist(), least, spanning))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.string()), "b": pa.array([f[1] for f in found], pa.string()), "similarity": pa.array([f[2] for f in found], pa.float64())})
+
+    return block_pairs(values).groupBy("x", "y").applyInArrow(compare, "a string, b string, similarity double")

@@ -5,7 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from lodeframe.operators import keys, setops, templates
+from lodeframe.functions.strings import clusters_of, jaro_winkler
+from lodeframe.operators import keys, links, setops, templates
 from lodeframe.operators.clean import balance, encode, recipe, text, types
 from lodeframe.operators.clean import rows as basic
 from lodeframe.operators.detect import features, structure
@@ -312,7 +313,6 @@ def test_ranks_of_whole_numbers_beyond_doubles_do_not_depend_on_the_plan(spark):
 
 
 def test_values_beyond_any_list_still_meet(spark):
-    from lodeframe.operators import links
     from lodeframe.operators.detect import consistency, structure
 
     names = [f"{i * 7919 % 10007:05d}-{i * 104729 % 99991:05d}" for i in range(1300)]
@@ -371,3 +371,33 @@ def test_cross_joins_up_to_a_given_size(spark):
     assert run_spec(spark, spec(1200), tables).count() == 1200
     with pytest.raises(SpecError):
         run_spec(spark, spec(1199), tables)
+
+
+@pytest.mark.parametrize("least", [0.5, 0.85])
+def test_near_in_block_equals_loop(least):
+    import random
+
+    rng = random.Random(5)
+    values = {"".join(rng.choice(alphabet) for _ in range(rng.randint(0, most))) for alphabet, most in (("0123456789abcdef", 10), ("ab", 7), ("abcdefghijklmnopqrstuvwxyz\u00e9 \U0001f600", 30), ("ab", 80)) for _ in range(40)}
+    values = sorted(values, key=lambda v: rng.random())
+    for x, y in ((0, 0), (0, 1)):
+        mine = [rng.randint(x, y) for _ in values]
+        want = {}
+        for i, a in enumerate(values):
+            for j, b in enumerate(values):
+                if (mine[i], mine[j]) == (x, y) and (x != y or i < j):
+                    low, high = sorted((a, b))
+                    s = jaro_winkler(low, high)
+                    if 0 < s < 1 and s >= least:
+                        want[low, high] = s
+        got = {(a, b): s for a, b, s in links.near_in_block(x, y, mine, values, least)}
+        assert got == want
+        some = [(a, b) for a, b, _ in links.near_in_block(x, y, mine, values, least, spanning=True)]
+        assert set(some) <= set(want) and clusters_of(some) == clusters_of(list(want))
+        assert len(some) == len(clusters_of(some)) - len(set(clusters_of(some).values()))  # a forest
+
+
+def test_blocks_grow_with_the_values():
+    for n in (0, 1, 999, 15_000, 900_000):
+        assert -(-n // links.side_of(n)) <= 65  # blocks of 1000: 900 of 900 000 values
+    assert links.side_of(10**9) == links.LARGEST
