@@ -173,3 +173,12 @@ def test_neighbours_without_donors(spark):
     some = spark.createDataFrame([(1, [0.0])], "id long, v array<double>")
     assert nearest(some, empty, 2).count() == 0
     assert [r["n"] for r in within(some, empty, 1.0).collect()] == [0]
+
+
+def test_within_stops_where_there_are_enough_and_is_exact_below(spark):
+    rng = np.random.default_rng(8)
+    v = [[round(float(x), 2) for x in rng.normal(0, 1, 2)] for _ in range(400)] + [[0.5, 0.5]] * 60
+    p = spark.createDataFrame([(i % 450, x) for i, x in enumerate(v)], "id int, v array<double>")
+    full = {(r["id"], r["n"]) for r in within(p, p, 0.3, leaf=30, fan=4, chunk=40).collect()}
+    some = dict(tuple(r) for r in within(p, p, 0.3, leaf=30, fan=4, chunk=40, enough=6).collect())
+    assert all(some[i] == n if n < 6 else 6 <= some[i] <= n for i, n in full) and sum(some.values()) < sum(n for _, n in full)
