@@ -96,9 +96,8 @@ def register(c: Catalog) -> None:
 
     def one_document(t):
         path = place(t)
-        line = lambda text: t.spark.createDataFrame([(text,)], "value string").coalesce(1)
-        texts = t.documents.select(F.concat(F.lit(","), F.to_json(F.struct("doc_id", "text"))).alias("value")).coalesce(1)
-        line('[{"doc_id":-1}').union(texts).union(line("]")).coalesce(1).write.text(path)
+        texts = t.documents.select(F.concat(F.lit(","), F.to_json(F.struct("doc_id", "text"))).alias("value"))
+        W.write_one_text(texts, path, '[{"doc_id":-1}', "]")
         return R.read_json(t.spark, path).where("doc_id >= 0")
 
     c.add("s7_json_one_document", one_document, "SELECT doc_id, text FROM documents")
@@ -153,9 +152,8 @@ def register(c: Catalog) -> None:
           "SELECT doc_id, 'it''s;' || chr(10) || text || ' (x);' || chr(10) AS text FROM documents")
     def one_insert(t):
         path = place(t)
-        line = lambda text: t.spark.createDataFrame([(text,)], "value string").coalesce(1)
         texts = t.documents.select(F.concat(F.lit(",("), F.col("doc_id").cast("string"), F.lit(", "), F.coalesce(F.concat(F.lit("'"), F.replace("text", F.lit("'"), F.lit("''")), F.lit("'")), F.lit("NULL")), F.lit(")")).alias("value"))
-        line("INSERT INTO docs (doc_id, text) VALUES (-1, 'x')").union(texts.coalesce(1)).union(line(";")).coalesce(1).write.text(path)
+        W.write_one_text(texts, path, "INSERT INTO docs (doc_id, text) VALUES (-1, 'x')", ";")
         return R.read_sql_dump(t.spark, path, "docs").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id >= 0")
 
     c.add("s14_sql_dump_one_insert", one_insert, "SELECT doc_id, text FROM documents")

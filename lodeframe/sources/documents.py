@@ -3,18 +3,17 @@
 A file is split at closing brackets (arrays of values: at commas) instead of line breaks. Pieces that a text in quotes runs across are
 joined, then every piece tells how far its brackets go up and down. Sums of that over stretches of a file's pieces, one row each, give the
 depth at each stretch's start, and so after each piece. A record ends where the depth is back at that of the records: one inside a JSON
-array's bracket, else none. Only a record is ever one string.
+array's bracket, else none. Pieces and records are kept once in the shared folder, so that this is worked out on a few numbers of each.
+Only a record is ever one string.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeframe.functions.columns import facts
-from lodeframe.session import shared_dir
+from lodeframe.session import new_folder, stored
 from lodeframe.sources.lines import joined_lines, numbered_lines
 
 #: Pieces or records of a file that are summed up in one row.
@@ -23,23 +22,23 @@ _OBJECTS, _VALUES = "}", ","
 
 
 def _letters(text: Column, kinds: str) -> Column:
-    return F.char_length(F.regexp_replace(text, rf"[^{kinds}]", ""))
+    return F.char_length(F.regexp_replace(text, rf"[^{kinds}]+", ""))
 
 
 def _unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\.", "")
 
 
-def _cut_at_depth(pieces: DataFrame, step: Column, begins: Column, stretch: int) -> DataFrame:
-    """Pieces with _record, the number of records of the file that end before, _whole where one ends, and _base, the depth of its records.
+def _cut_at_depth(pieces: DataFrame, stretch: int) -> DataFrame:
+    """Pieces (file, row_number, _step, _begins) with _record, the number of records of the file that end before, _whole where one ends, and _base, the depth of its records.
 
-    `step` is how much deeper a piece ends than it begins, `begins` the depth of the records as the file's first piece tells it.
+    `_step` is how much deeper a piece ends than it begins, `_begins` the depth of the records as the file's first piece tells it.
     """
     file = Window.partitionBy("file").orderBy("_stretch")
     part = Window.partitionBy("file", "_stretch").orderBy("row_number")
     before_stretch, before, so_far = file.rowsBetween(Window.unboundedPreceding, -1), part.rowsBetween(Window.unboundedPreceding, -1), part.rowsBetween(Window.unboundedPreceding, 0)
-    first = F.when(F.col("row_number") == 1, begins)
-    pieces = pieces.withColumns({"_stretch": F.floor((F.col("row_number") - 1) / stretch), "_step": step, "_first": first})
+    first = F.when(F.col("row_number") == 1, F.col("_begins"))
+    pieces = pieces.withColumns({"_stretch": F.floor((F.col("row_number") - 1) / stretch), "_first": first})
     sums = pieces.groupBy("file", "_stretch").agg(F.sum("_step").alias("_sum"), F.max("_first").alias("_first"))
     starts = sums.select(
         "file", "_stretch", F.coalesce(F.sum("_sum").over(before_stretch), F.lit(0)).alias("_start"), F.max("_first").over(Window.partitionBy("file")).alias("_base")
@@ -58,11 +57,13 @@ def bracketed(spark: SparkSession, path: str, sep: str, quote: str, up: str, dow
     file is what is left and not `whole`. A quote that never closes joins the rest of its file.
     """
     odd = _letters(_unescaped(F.col("value")), quote) % 2 == 1
-    pieces = joined_lines(numbered_lines(spark, path, sep=sep), odd, ~odd, sep, stretch=stretch).select("file", "row_number", "value")
+    pieces = joined_lines(numbered_lines(spark, path, sep=sep), odd, ~odd, sep, stretch=stretch)
     bare = F.regexp_replace(_unescaped(F.col("value")), f"{quote}[^{quote}]*{quote}", "")
     step = _letters(bare, up) - _letters(bare, down) - F.lit(0 if sep == _VALUES else 1)
+    pieces = stored(pieces.select("file", "row_number", "value", step.alias("_step"), begins.alias("_begins")))
     parts = F.array_sort(F.collect_list(F.struct("row_number", "value")))
-    placed = _cut_at_depth(pieces, step, begins, stretch).groupBy("file", F.col("_record").alias("record"))
+    placed = _cut_at_depth(pieces.drop("value"), stretch).select("file", "row_number", "_record", "_whole", "_base")
+    placed = pieces.select("file", "row_number", "value").join(placed, ["file", "row_number"]).groupBy("file", F.col("_record").alias("record"))
     grouped = placed.agg(parts.alias("p"), (F.max("_whole") == 1).alias("whole"), F.max("_base").alias("base"))
     text = F.array_join(F.transform("p", lambda x: x["value"]), sep)
     text = F.when(F.col("record") == 0, F.regexp_replace(text, "^\ufeff", "")).otherwise(text)
@@ -103,9 +104,10 @@ def json_lines(spark: SparkSession, path: str) -> str:
         files = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), *kept).distinct()
         records = records.join(files, "file")
     line = F.regexp_replace("value", r"[\r\n]+", " ")
-    folder = f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+    folder = new_folder(spark)
     lines = records.select(*kept, F.when(F.col("array"), F.concat(F.lit("["), line, F.lit("]"))).otherwise(line).alias("value"))
-    (lines.write.partitionBy(*kept) if kept else lines.write).text(folder)
+    # Else every task would write a file into every partition folder.
+    (lines.hint("rebalance", *kept).write.partitionBy(*kept) if kept else lines.write).text(folder)
     return folder
 
 
@@ -120,10 +122,11 @@ def script_records(spark: SparkSession, path: str, statements: dict[str, str], s
     opens = (F.col("record") == 0) | (F.char_length(text) < F.char_length("value"))
     begin = F.regexp_extract(text, r"(?s)^[^(]*\(?", 0)
     kind = F.coalesce(*[F.when(begin.rlike(p), F.lit(k)) for k, p in statements.items()], F.lit(""))
-    records = records.select("file", "record", "whole", text.alias("value"), F.when(opens, kind).alias("_kind"), F.floor(F.col("record") / stretch).alias("_stretch"))
-    last = records.groupBy("file", "_stretch").agg(F.max_by("_kind", F.when(F.col("_kind").isNotNull(), F.col("record"))).alias("_last"))
+    records = stored(records.select("file", "record", "whole", text.alias("value"), F.when(opens, kind).alias("_kind")))
+    kinds = records.drop("value").withColumn("_stretch", F.floor(F.col("record") / stretch))
+    last = kinds.groupBy("file", "_stretch").agg(F.max_by("_kind", F.when(F.col("_kind").isNotNull(), F.col("record"))).alias("_last"))
     earlier = Window.partitionBy("file").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select("file", "_stretch", F.last("_last", True).over(earlier).alias("_carry"))
     so_far = Window.partitionBy("file", "_stretch").orderBy("record").rowsBetween(Window.unboundedPreceding, 0)
-    known = records.join(carried, ["file", "_stretch"]).withColumn("kind", F.nullif(F.coalesce(F.last("_kind", True).over(so_far), F.col("_carry")), F.lit("")))
-    return known.where("whole").select("file", "record", "kind", "value")
+    known = kinds.join(carried, ["file", "_stretch"]).withColumn("kind", F.nullif(F.coalesce(F.last("_kind", True).over(so_far), F.col("_carry")), F.lit("")))
+    return known.where("whole").select("file", "record", "kind").join(records.select("file", "record", "value"), ["file", "record"])

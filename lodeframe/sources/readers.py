@@ -286,7 +286,8 @@ def read_sql_dump(spark: SparkSession, path: str, table: str) -> DataFrame:
         first = heads.first()
         columns = [c.strip().strip('`"[]') for c in (first["c"] if first else "").split(",") if c.strip()]
     row = rf"(?is)^(?:[^(]*\binsert\s+into\s+{name}\s+values|\s*values|\s*,)\s*\((.*)\)$"
-    fields = inserts.where(F.col("value").rlike(row)).select(F.regexp_extract_all(F.regexp_extract("value", row, 1), F.lit(_SQL_VALUE), 1).alias("f"))
+    # Exploding a list of one keeps the values from being matched again for each column.
+    fields = inserts.where(F.col("value").rlike(row)).select(F.explode(F.array(F.regexp_extract_all(F.regexp_extract("value", row, 1), F.lit(_SQL_VALUE), 1))).alias("f"))
 
     def value(i: int) -> Column:
         raw = F.trim(F.get("f", F.lit(i)))

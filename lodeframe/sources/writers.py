@@ -36,6 +36,50 @@ def write(df: DataFrame, path: str, fmt: str, mode: str = "errorifexists") -> No
         raise ValueError(f"unknown format {fmt}")
 
 
+def write_one_text(lines: DataFrame, path: str, before: str, after: str) -> None:
+    """One text file of `before`, the lines (value) and `after`, written by many tasks at their own places.
+
+    Each partition's bytes, one row on the driver, tell where it begins; a task that runs again writes the same bytes to the same place, and
+    one with other lines than were counted fails. Needs a folder that all executors share as files; elsewhere one task writes.
+    """
+    spark = lines.sparkSession
+    lines = lines.select(F.coalesce(F.encode("value", "UTF-8"), F.lit(b"")).alias("value"))
+    folder = path.removeprefix("file:")
+    if "://" in folder:
+        line = lambda text: spark.createDataFrame([(text,)], "value string").coalesce(1)
+        line(before).union(lines.select(F.col("value").cast("string")).coalesce(1)).union(line(after)).coalesce(1).write.text(path)
+        return
+    sizes = lines.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.octet_length("value") + 1).alias("n")).collect()
+    at, begins = len(f"{before}\n".encode()), {}
+    for r in sorted(sizes, key=lambda r: r["part"]):
+        begins[r["part"]] = (at, at + r["n"])
+        at += r["n"]
+    name = os.path.join(folder, "part-00000.txt")
+    os.makedirs(folder)
+    with open(name, "wb") as f:
+        f.write(f"{before}\n".encode())
+        f.seek(at)
+        f.write(f"{after}\n".encode())
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, end = begins.get(TaskContext.get().partitionId(), (0, 0))
+        place = start
+        with open(name, "r+b") as f:
+            f.seek(start)
+            for batch in batches:
+                for value in batch.column("value"):
+                    text = value.as_py() + b"\n"
+                    place += len(text)
+                    if place > end:
+                        raise ValueError("the lines differ from those counted before")
+                    f.write(text)
+        if place != end:
+            raise ValueError("the lines differ from those counted before")
+        yield pa.RecordBatch.from_pydict({"bytes": [place - start]})
+
+    lines.mapInArrow(save, "bytes long").write.format("noop").mode("overwrite").save()
+
+
 def write_feather(df: DataFrame, path: str) -> DataFrame:
     """One Arrow file per partition in a folder all executors share; returns (file, rows).
 

@@ -1,12 +1,15 @@
 """Long documents cut into records, against the standard parser, with pieces, stretches and file splits of any size."""
 
 import json
+import os
 import random
 
 import pytest
 
+from lodeframe.catalog import catalog
 from lodeframe.sources import documents as D
 from lodeframe.sources import readers as R
+from lodeframe.sources import writers as W
 
 
 def _put(spark, folder, *texts):
@@ -102,3 +105,31 @@ def test_one_insert_with_many_rows_is_read_by_many_tasks(spark, folder, small_sp
 def test_names_come_from_the_insert_without_a_create(spark, folder):
     path = _put(spark, folder, "INSERT INTO t (a, b) VALUES (1, 'x'), (2, NULL);\nINSERT INTO t (a, b) VALUES (3, 'f(1)');")
     assert sorted(map(tuple, R.read_sql_dump(spark, path, "t").collect())) == [("1", "x"), ("2", None), ("3", "f(1)")]
+
+
+def test_one_file_is_written_by_many_tasks(spark, folder):
+    texts = [f"{i} é" if i % 7 else None for i in range(200)]
+    lines = spark.createDataFrame([(t,) for t in texts], "value string").repartition(5)
+    want = ["" if r["value"] is None else r["value"] for r in lines.collect()]
+    W.write_one_text(lines, f"{folder}/one", "[", "]")
+    names = os.listdir(f"{folder}/one".removeprefix("file:"))
+    with open(os.path.join(f"{folder}/one".removeprefix("file:"), *names), encoding="utf-8") as f:
+        assert f.read().split("\n") == ["[", *want, "]", ""]
+    W.write_one_text(lines.where("false"), f"{folder}/none", "[", "]")
+    assert [r["value"] for r in spark.read.text(f"{folder}/none").collect()] == ["[", "]"]
+
+
+def test_texts_are_not_cut_again_for_each_step(spark, folder):
+    path = _put(spark, folder, "INSERT INTO t (a, b) VALUES (1, 'x'), (2, NULL);")
+    plan = R.read_sql_dump(spark, path, "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert " text" not in plan and "Relation" in plan
+
+
+def test_records_of_a_partition_folder_are_written_together(spark, folder):
+    spark.createDataFrame([(i % 3, f'[{{"id": {i}}}, {{"id": {i + 50}}}]') for i in range(40)], "chunk int, value string").repartition(6).write.partitionBy("chunk").text(f"{folder}/p")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        read = spark.read.text(D.json_lines(spark, f"{folder}/p"))
+        assert len(read.inputFiles()) == 3 and read.count() == 80
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
