@@ -68,7 +68,7 @@ def register(c: Catalog) -> None:
         """All documents with their text as a field: commas, doubled quotes and line breaks inside."""
         path = place(t)
         fields = t.documents.select("doc_id", F.concat(F.lit('"a", '), "text", F.lit(',\n""')).alias("text"), "lang")
-        fields.repartition(4).write.options(header=True, quoteAll=True, **W.CSV_TEXT).csv(path)
+        fields.hint("rebalance").write.options(header=True, quoteAll=True, **W.CSV_TEXT).csv(path)
         return path
 
     texts = """SELECT CAST(doc_id AS VARCHAR) AS doc_id, '"a", ' || text || ',' || chr(10) || '""' AS text, lang FROM documents"""

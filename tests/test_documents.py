@@ -133,3 +133,18 @@ def test_records_of_a_partition_folder_are_written_together(spark, folder):
         assert len(read.inputFiles()) == 3 and read.count() == 80
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_quoted_texts_are_written_by_as_many_tasks_as_they_need(spark, folder, monkeypatch):
+    spark.range(3000).selectExpr("id AS doc_id", "repeat(sha2(cast(id AS string), 256), 9) AS text", "'en' AS lang").repartition(6).write.parquet(f"{folder}/documents.parquet")
+    paths, read = [], R.read_delimited
+    monkeypatch.setattr(R, "read_delimited", lambda s, path, *a, **k: paths.append(path) or read(s, path, *a, **k))
+    small = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    for name in small:
+        spark.conf.set(name, "16k")
+    try:
+        assert catalog().queries["s1_quoted_texts"](spark, folder).count() == 3000
+    finally:
+        for name in small:
+            spark.conf.unset(name)
+    assert len(spark.read.text(paths[0]).inputFiles()) > 4
