@@ -89,6 +89,22 @@ def test_full_join_keeps_one_key(spark):
     assert got == [(1, "x", ""), (2, "y", "z"), (3, "", "w")]
 
 
+def test_join_of_few_keys_is_dealt_by_its_result(spark, monkeypatch):
+    """Two keys with many pairs: the same pairs as any join, in more tasks than there are keys; nulls join nothing."""
+    from lodeframe.plans import spec
+
+    monkeypatch.setattr(spec, "JOINED_ROWS", 2000, raising=False)
+    a = spark.createDataFrame([(i % 2 if i % 9 else None, i // 2, "same") for i in range(300)], "k int, v int, w string")
+    b = spark.createDataFrame([(i % 2, i) for i in range(200)], "k int, v int")
+    for left, right in ((a, b), (b, a)):
+        got = join_tables(left, right, "INNER", [("k", "k")])
+        plain = left.alias("x").join(right.alias("y"), F.col("x.k") == F.col("y.k")).select("x.k", F.col("x.v").alias("v_left"), F.col("y.v").alias("v_right"))
+        assert sorted(got.select("k", "v_left", "v_right").collect()) == sorted(plain.collect())
+        assert got.columns == ["k"] + [{"v": f"v_{side}"}.get(c, c) for side, df in (("left", left), ("right", right)) for c in df.columns if c != "k"]
+        parts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(parts) > 4 and max(parts) < sum(parts) / 3
+
+
 @pytest.mark.parametrize("function", ["RANK", "DENSE_RANK", "SUM", "COUNT", "AVG", "NTILE", "LEAD"])
 def test_split_windows_equal_plain_ones(spark, function):
     df = spark.createDataFrame([(i, i % 3, None if i % 7 == 0 else float(i // 4), float(i)) for i in range(120)], "id int, g int, o double, v double")
