@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeframe.functions import words
 from lodeframe.functions.columns import clean, dtype, facts, is_numeric, is_string, is_time, q, rows, scalar_columns, value_counts
@@ -280,20 +283,48 @@ def boolean_profile(df: DataFrame, c: str) -> DataFrame:
     return rows(df.sparkSession, [(c, a, b, na, nb, round(na / n, 4), round(nb / n, 4), kind != "boolean")], schema)
 
 
+def _holds(t: Column, needed: str) -> Column:
+    """Whether a text holds a single character, which is told from its bytes, or a pattern."""
+    return t.contains(needed) if len(needed) == 1 else t.rlike(needed)
+
+
+#: Bytes that are no letter of the first script.
+_NO_LETTER = bytes(b for b in range(256) if b > 127 or not re.match(words.SCRIPTS["English"], chr(b)))
+
+
+@F.pandas_udf(T.StructType([T.StructField("letters", T.LongType()), T.StructField("tokens", T.LongType())]))
+def _letters_and_tokens(texts: pd.Series) -> pd.DataFrame:
+    """Letters of the first script and words between ASCII white space; null for null."""
+    raw = texts.map(str.encode, na_action="ignore")
+    return pd.DataFrame({
+        "letters": raw.map(lambda b: len(b.translate(None, _NO_LETTER)), na_action="ignore").astype("Int64"),
+        "tokens": raw.map(lambda b: len(b.split()), na_action="ignore").astype("Int64"),
+    })
+
+
 def text_facts(df: DataFrame, cols: list[str]) -> dict[str, dict]:
-    """Lengths, words, scripts, mentions, markup and personal data over every text."""
+    """Lengths, words, scripts, mentions, markup and personal data over every text.
+
+    A long pattern is looked for only in texts that hold what it needs. All scripts but the first are looked for beyond ASCII, which is
+    taken once out of the texts that have other characters; a script's characters are what is left without the others.
+    """
     found = {}
     for c in cols:
         t = q(c).cast("string")
+        beyond = F.when(F.octet_length(t) > F.char_length(t), F.regexp_replace(t, r"[\x00-\x7F]+", ""))
+        texts = df.select(t.alias("t"), beyond.alias("beyond"), _letters_and_tokens(t).alias("counts"))
+        t = F.col("t")
+        able = lambda kind: F.when(_holds(t, words.NEEDED[kind]), t) if kind in words.NEEDED else t
+        of_script = lambda k, p: F.col("counts.letters") if k == "English" else F.char_length(F.regexp_replace("beyond", f"[^{p[1:-1]}]+", ""))
         aggregates = {
             "n": F.count(t), "avg_length": F.avg(F.char_length(t)), "min_length": F.min(F.char_length(t)), "max_length": F.max(F.char_length(t)),
-            "chars": F.sum(F.char_length(t)), "avg_tokens": F.avg(F.regexp_count(t, F.lit(r"\S+"))),
-            **{f"s_{k}": F.sum(F.regexp_count(t, F.lit(p))) for k, p in words.SCRIPTS.items()},
-            **{f"e_{k}": F.sum(F.regexp_count(t, F.lit(p))) for k, (p, _) in words.ENTITIES.items()},
-            **{f"m_{k}": F.count_if(t.rlike(p)) for k, p in words.MARKUP.items()},
-            **{f"p_{k}": F.count_if(t.rlike(p)) for k, p in words.PERSONAL.items()},
+            "chars": F.sum(F.char_length(t)), "avg_tokens": F.avg("counts.tokens"),
+            **{f"s_{k}": F.sum(of_script(k, p)) for k, p in words.SCRIPTS.items()},
+            **{f"e_{k}": F.sum(F.regexp_count(able(k), F.lit(p))) for k, (p, _) in words.ENTITIES.items()},
+            **{f"m_{k}": F.count_if(able(k).rlike(p)) for k, p in words.MARKUP.items()},
+            **{f"p_{k}": F.count_if(able(k).rlike(p)) for k, p in words.PERSONAL.items()},
         }
-        got = facts(df, aggregates).asDict()
+        got = facts(texts, aggregates).asDict()
         n = got["n"]
         scripts = {k: got[f"s_{k}"] or 0 for k in words.SCRIPTS}
         best = max(scripts, key=lambda k: scripts[k]) if any(scripts.values()) else "unknown"

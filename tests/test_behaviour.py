@@ -105,6 +105,23 @@ def test_join_of_few_keys_is_dealt_by_its_result(spark, monkeypatch):
         assert len(parts) > 4 and max(parts) < sum(parts) / 3
 
 
+def test_text_facts_equal_plain_patterns(spark):
+    """Counts that pass texts by, or are made outside the patterns, are those of the patterns; nulls count nothing."""
+    from lodeframe.functions import words
+
+    texts = ["a b\x0bc d é ü 中文 かな 한국 привет", None, "", "   ", "call 555-123-4567 or (555) 123 4567", "a@b.com.x@y.org me@x.de", "<b>x</b> [l](u)", "# h\n## k", "Jan 5, 2020 1/2/2020", "$ 5 €7,000 £3.5 ₹1", "123-45-6789 1234 5678-9012 3456 10.0.0.1 12345-6789", "John Smith 𝒳 ſ ÀÿĀɏ"] * 3
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    counts = columns._letters_and_tokens("t")
+    assert df.where(~F.coalesce((counts["letters"] == F.regexp_count("t", F.lit("[a-zA-Z]"))) & (counts["tokens"] == F.regexp_count("t", F.lit(r"\S+"))), F.col("t").isNull())).count() == 0
+    f = columns.text_facts(df, ["t"])["t"]
+    plain = lambda p: df.where(F.col("t").rlike(p)).count()
+    assert f["personal"] == {k: plain(p) for k, p in words.PERSONAL.items()} and all(f["personal"].values())
+    for kind, p in {**words.PERSONAL, **words.MARKUP, **{k: p for k, (p, _) in words.ENTITIES.items()}}.items():
+        needed = words.NEEDED.get(kind, p)
+        assert plain(p) and df.where(F.col("t").rlike(p) & ~F.col("t").rlike(needed)).count() == 0
+    assert f["entities"] == [k for k, (p, least) in words.ENTITIES.items() if df.agg(F.sum(F.regexp_count("t", F.lit(p)))).first()[0] > least]
+
+
 @pytest.mark.parametrize("function", ["RANK", "DENSE_RANK", "SUM", "COUNT", "AVG", "NTILE", "LEAD"])
 def test_split_windows_equal_plain_ones(spark, function):
     df = spark.createDataFrame([(i, i % 3, None if i % 7 == 0 else float(i // 4), float(i)) for i in range(120)], "id int, g int, o double, v double")
@@ -212,6 +229,25 @@ def test_tfidf_by_hand(spark):
     assert got[(1, "red")] == pytest.approx(1.0) and got[(2, "red")] == pytest.approx(1 / math.sqrt(2))
 
 
+@pytest.mark.parametrize("listed", [1000, 12])
+def test_tfidf_of_word_pairs_needs_few_pairs(spark, monkeypatch, listed):
+    """The vocabulary is that of counting every word and pair, also where more words tie than a condition lists."""
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(text, "LISTED", listed, raising=False)
+    rng = random.Random(3)
+    texts = [[f"w{min(rng.randint(0, 60), rng.randint(0, 60))}" for _ in range(rng.randint(0, 25))] for _ in range(60)]
+    grams = [ws + [" ".join(p) for p in zip(ws, ws[1:])] for ws in texts]
+    tf, df = Counter(g for gs in grams for g in gs), Counter(g for gs in grams for g in set(gs))
+    want = sorted((t for t in tf if 2 <= df[t] <= 0.4 * len(texts)), key=lambda t: (-tf[t], t))[:10]
+    table = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(texts)], "id int, t string")
+    words = text._words(table, F.col("t"), "id", [])
+    fits = lambda n: (n >= 2) & (n <= 0.4 * len(texts))
+    assert [(r["term"], r["tf"], r["df"]) for r in text._vocabulary(words, (1, 2), 10, fits)] == [(t, tf[t], df[t]) for t in want]
+    assert {r["term"] for r in text.tfidf_weights(table, "t", "id", 10, max_df=0.4, stops=[]).collect()} == set(want)
+
+
 def test_balance_is_stable_and_whole(spark):
     df = spark.range(100).select("id", (F.col("id") < 83).cast("int").alias("y"), F.rand(1).alias("x"))
     over = balance.oversample(df, "y", "id").groupBy("y").agg(F.count("*").alias("n"), F.count_distinct("id").alias("u")).collect()
