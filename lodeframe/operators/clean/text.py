@@ -22,6 +22,9 @@ LANGUAGES = {
     "sv": "swedish", "no": "norwegian", "da": "danish", "fi": "finnish", "ru": "russian",
 }
 
+#: Most words that are listed in a condition.
+LISTED = 1000
+
 
 @F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
@@ -117,19 +120,50 @@ def remove_stopwords(df: DataFrame, cols: list[str], language: str = "en", stemm
     return df.withColumns({c: kept(q(c).cast("string")) for c in cols})
 
 
-def _terms(df: DataFrame, c: Column, key: str, ngram_range: tuple[int, int], stops: list[str]) -> DataFrame:
-    """(key, terms): words of two or more characters without stop words, and their n-grams."""
-    found = F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\b\w\w+\b)"), 1), lambda w: ~w.isin(*stops))
-    docs = df.select(q(key).alias("key"), found.alias("words")).withColumn("grams", F.col("words"))
-    for n in range(1, ngram_range[1] + 1):
-        if n > 1:
-            following = F.slice("words", F.lit(n), F.greatest(F.size("words"), F.lit(1)))
-            longer = F.zip_with("grams", following, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.concat_ws(" ", a, b)))
-            docs = docs.withColumn("grams", F.filter(longer, lambda g: g.isNotNull()))
-        if n >= ngram_range[0]:
-            docs = docs.withColumn(f"n{n}", F.col("grams"))
-    wanted = [F.col(f"n{n}") for n in range(ngram_range[0], ngram_range[1] + 1)]
-    return docs.select("key", F.concat(*wanted).alias("terms"))
+def _words(df: DataFrame, c: Column, key: str, stops: list[str]) -> DataFrame:
+    """(key, words): words of two or more characters without stop words, in the order of the text."""
+    found = F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w\w+"), F.lit(0))
+    return df.select(q(key).alias("key"), F.filter(found, lambda w: ~w.isin(*stops)).alias("words") if stops else found.alias("words"))
+
+
+def _grams(n: int) -> Column:
+    """The n-grams of `words`; none holds a null."""
+    grams = F.col("words")
+    for k in range(2, n + 1):
+        following = F.slice("words", F.lit(k), F.greatest(F.size("words"), F.lit(1)))
+        grams = F.zip_with(grams, following, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.concat_ws(" ", a, b)))
+    return F.filter(grams, lambda g: g.isNotNull())
+
+
+def _only(docs: DataFrame, listed: list[str]) -> DataFrame:
+    """The other words become null, so the rest keep their places."""
+    return docs.withColumn("words", F.transform("words", lambda w: F.when(w.isin(*listed), w)))
+
+
+def _vocabulary(docs: DataFrame, ngram_range: tuple[int, int], max_features: int, fits) -> list:
+    """The `max_features` most used of the terms that fit: (term, tf, df), both counted from one row for each use of a term.
+
+    A text's terms are sorted, and the first of equal ones counts the text. An n-gram is used no more often than any of its words, so it
+    can be among the first only if its words are used as often as the last of those found so far: longer ones are counted of such words.
+    """
+    best, least, uses_of, known_to = [], 0, {}, 0
+    for n in range(ngram_range[0], ngram_range[1] + 1):
+        often = [w for w, tf in uses_of.items() if tf >= least]
+        counted = _only(docs, often) if n > 1 and known_to <= least and 0 < least and often else docs
+        uses = F.transform("s", lambda w, i: F.struct(w.alias("term"), F.when((i > 0) & (F.get("s", i - 1) == w), 0).otherwise(1).alias("first")))
+        rows_ = counted.select(F.sort_array(_grams(n)).alias("s")).select(F.explode(uses).alias("c"))
+        counts = rows_.groupBy("c.term").agg(F.count(F.lit(1)).alias("tf"), F.sum("c.first").alias("df")).where(F.col("tf") >= least)
+        order = (F.col("tf").desc(), "term")
+        top = counts.orderBy(*order).limit(max(LISTED, max_features)).collect()
+        fitting = [r for r in top if fits(r["df"])]
+        if len(fitting) < max_features and len(top) >= max(LISTED, max_features):
+            fitting = counts.where(fits(F.col("df"))).orderBy(*order).limit(max_features).collect()
+        best = sorted(best + fitting[:max_features], key=lambda r: (-r["tf"], r["term"]))[:max_features]
+        least = best[-1]["tf"] if len(best) == max_features else 0
+        if n == 1:  # words used `known_to` times or more are all among these
+            uses_of = {r["term"]: r["tf"] for r in top}
+            known_to = top[-1]["tf"] + 1 if len(top) >= max(LISTED, max_features) else 0
+    return best
 
 
 def tfidf_weights(
@@ -138,21 +172,18 @@ def tfidf_weights(
 ) -> DataFrame:
     """(key, term, weight) of each text: smooth idf, each text's weights scaled to length one.
 
-    The vocabulary is fitted from two counts per term, both from one row for each use of a term: a text's terms are sorted, and the first of
-    equal ones counts the text. The vocabulary's terms are then counted, weighed and scaled inside the row of their text.
+    The vocabulary is fitted first; its terms are then counted, weighed and scaled inside the row of their text.
     """
     stops = stop_words("en") if stops is None else stops
-    docs = _terms(df, F.coalesce(q(c).cast("string"), F.lit("")), key, ngram_range, stops)
+    docs = _words(df, F.coalesce(q(c).cast("string"), F.lit("")), key, stops)
     total = df.count()
-    ordered = docs.select(F.sort_array("terms").alias("s"))
-    uses = F.transform("s", lambda w, i: F.struct(w.alias("term"), F.when((i > 0) & (F.get("s", i - 1) == w), 0).otherwise(1).alias("first")))
-    seen = ordered.select(F.explode(uses).alias("c")).groupBy("c.term").agg(F.count(F.lit(1)).alias("tf"), F.sum("c.first").alias("df"))
-    fitted = seen.where((F.col("df") >= min_df) & (F.col("df") <= max_df * total))
-    vocabulary = fitted.orderBy(F.col("tf").desc(), "term").limit(max_features).collect()
+    vocabulary = _vocabulary(docs, ngram_range, max_features, lambda n: (n >= min_df) & (n <= max_df * total))
     if not vocabulary:
         return docs.select(F.col("key").alias(key), F.lit("").alias("term"), F.lit(0.0).alias("weight")).where(F.lit(False))
     idf = F.create_map(*[F.lit(x) for r in vocabulary for x in (r["term"], math.log((1.0 + total) / (1.0 + r["df"])) + 1.0)])
     let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # a lambda's variable is worked out once
+    docs = _only(docs, sorted({w for r in vocabulary for w in r["term"].split(" ")}))
+    docs = docs.select("key", F.concat(*[_grams(n) for n in range(ngram_range[0], ngram_range[1] + 1)]).alias("terms"))
     known = F.filter("terms", lambda w: w.isin(*[r["term"] for r in vocabulary]))
     weighed = let(known, lambda k: F.transform(F.array_distinct(k), lambda t: F.struct(t.alias("term"), (F.size(F.filter(k, lambda x: x == t)) * F.element_at(idf, t)).alias("w"))))
     scaled = let(weighed, lambda ws: let(F.sqrt(F.aggregate(ws, F.lit(0.0), lambda a, x: a + x["w"] * x["w"])), lambda norm: F.transform(ws, lambda x: F.struct(x["term"].alias("term"), (x["w"] / norm).alias("weight")))))
