@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.functions.columns import clean, facts, is_numeric, no_nan, q, same
-from lodeframe.operators.ordered import fill, with_position
+from lodeframe.operators.ordered import bounded_groups, fill, with_position
 from lodeframe.operators.quantiles import medians
 
 
@@ -113,12 +113,13 @@ def bfill(df: DataFrame, cols: list[str], order: str, key: str, partition: list[
 def interpolate(df: DataFrame, cols: list[str], order: str, key: str, partition: list[str] | None = None) -> DataFrame:
     """Straight lines between known values by row position; leading nulls stay, trailing ones take the last value."""
     names = df.columns
-    placed = with_position(no_nan(df), order, key, partition)
+    bounded = bounded_groups(df, partition)
+    placed = with_position(no_nan(df), order, key, partition, bounded)
     points = {f"_{side}_{i}": F.when(q(c).isNotNull(), F.struct(F.col("_pos").alias("p"), q(c).cast("double").alias("v")))
               for side in ("a", "b") for i, c in enumerate(cols)}
     placed = placed.withColumns(points)
-    placed = fill(placed, [f"_a_{i}" for i in range(len(cols))], "_pos", "_pos", partition, forward=True)
-    placed = fill(placed, [f"_b_{i}" for i in range(len(cols))], "_pos", "_pos", partition, forward=False)
+    placed = fill(placed, [f"_a_{i}" for i in range(len(cols))], "_pos", "_pos", partition, True, bounded)
+    placed = fill(placed, [f"_b_{i}" for i in range(len(cols))], "_pos", "_pos", partition, False, bounded)
     out = {}
     for i, c in enumerate(cols):
         a, b, at = F.col(f"_a_{i}"), F.col(f"_b_{i}"), F.col("_pos")

@@ -99,9 +99,27 @@ def _inside(partition: list[str], *order: Column):
     return Window.partitionBy(*[q(c) for c in partition], "_range").orderBy(*order)
 
 
-def with_position(df: DataFrame, order: str, key: str, partition: list[str] | None = None) -> DataFrame:
-    """Adds _pos, the zero-based position by (order, key), within the partition columns if any are given."""
+def bounded_groups(df: DataFrame, partition: list[str] | None, limit: int = BLOCK) -> bool:
+    """Whether the rows of each group fit a window of one task, so that the groups need not be cut into ranges."""
+    if not partition:
+        return False
+    sizes = df.groupBy(*[q(c) for c in partition]).agg(F.count(F.lit(1)).alias("_n"))
+    return (facts(sizes, {"m": F.max("_n")})["m"] or 0) <= limit
+
+
+def _in_group(df: DataFrame, order: str, key: str, partition: list[str], forward: bool = True):
+    """The window over a whole group in the order that ranges and rows inside a range have together."""
+    sides = (F.coalesce(as_number(df, order), F.lit(_LAST)), q(order), q(key))
+    return Window.partitionBy(*[q(c) for c in partition]).orderBy(*[x.asc() if forward else x.desc() for x in sides])
+
+
+def with_position(df: DataFrame, order: str, key: str, partition: list[str] | None = None, bounded: bool | None = None) -> DataFrame:
+    """Adds _pos, the zero-based position by (order, key), within the partition columns if any are given.
+
+    Small groups are windows of their own; `bounded` says so where the caller knows."""
     partition = partition or []
+    if bounded_groups(df, partition) if bounded is None else bounded:
+        return df.withColumn("_pos", F.row_number().over(_in_group(df, order, key, partition)).cast("long") - 1)
     ranged = with_ranges(df, order, key)
     sizes = ranged.groupBy(*[q(c) for c in partition], "_range").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_skip", F.coalesce(F.sum("_n").over(_before(partition)), F.lit(0))).drop("_n")
@@ -110,10 +128,13 @@ def with_position(df: DataFrame, order: str, key: str, partition: list[str] | No
     return placed.withColumn("_pos", F.col("_local") + F.col("_skip") - 1).drop("_local", "_skip", "_range", "_x")
 
 
-def fill(df, cols: list[str], order: str, key: str, partition: list[str] | None = None, forward: bool = True) -> DataFrame:
-    """Last known value (forward) or next known value (backward) for each null."""
+def fill(df, cols: list[str], order: str, key: str, partition: list[str] | None = None, forward: bool = True, bounded: bool | None = None) -> DataFrame:
+    """Last known value (forward) or next known value (backward) for each null. Small groups as in `with_position`."""
     partition = partition or []
     names = df.columns
+    if bounded_groups(df, partition) if bounded is None else bounded:
+        w = _in_group(df, order, key, partition, forward).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(*[F.coalesce(q(c), F.last(q(c), True).over(w)).alias(c) if c in cols else q(c) for c in names])
     ranged = with_ranges(df, order, key)
     at = F.struct(F.col("_x"), q(order).alias("_o"), q(key).alias("_k"))
     pick = F.max_by if forward else F.min_by

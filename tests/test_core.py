@@ -1,5 +1,8 @@
 """Quantiles, ranges, blocks and neighbours against brute force, on skewed and empty inputs."""
 
+import random
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -182,3 +185,21 @@ def test_within_stops_where_there_are_enough_and_is_exact_below(spark):
     full = {(r["id"], r["n"]) for r in within(p, p, 0.3, leaf=30, fan=4, chunk=40).collect()}
     some = dict(tuple(r) for r in within(p, p, 0.3, leaf=30, fan=4, chunk=40, enough=6).collect())
     assert all(some[i] == n if n < 6 else 6 <= some[i] <= n for i, n in full) and sum(some.values()) < sum(n for _, n in full)
+
+
+def test_small_groups_are_filled_without_ranges(spark):
+    """Positions, fills and lines of whole groups are those of groups cut into ranges, with null groups and null times; no join is planned."""
+    rng = random.Random(6)
+    rows = [(k, rng.choice(["a", "b", "c", None]), rng.choice([None, *range(20)]), rng.choice([None, None, float(k % 13)])) for k in range(600)]
+    table = spark.createDataFrame(rows, "id long, g string, t long, v double").repartition(5)
+    for make in (
+        lambda bounded: ordered.with_position(table, "t", "id", ["g"], bounded),
+        lambda bounded: ordered.fill(table, ["v"], "t", "id", ["g"], True, bounded),
+        lambda bounded: ordered.fill(table, ["v"], "t", "id", ["g"], False, bounded),
+    ):
+        whole, ranged = make(None), make(False)
+        assert whole.columns == ranged.columns
+        assert Counter(map(tuple, whole.collect())) == Counter(map(tuple, ranged.collect()))
+    assert not ordered.bounded_groups(table, ["g"], 100) and not ordered.bounded_groups(table, None)
+    plan = basic.interpolate(table, ["v"], "t", "id", ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
