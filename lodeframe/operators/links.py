@@ -14,18 +14,25 @@ from lodeframe.session import cut
 SIDE, BLOCKS, LARGEST = 1000, 64, 16_384
 #: Code points of values that are measured many at once, pairs measured together, and occurrences of a letter that have a bit.
 SHORT, TOGETHER, HELD = 64, 1 << 15, 4
+#: Links, both ways, that one partition holds while components are found.
+PART = 100_000
 _SLACK = 1e-9
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp): the least node that each end of the links (a, b) is connected with. Least labels are passed on and pointers jump."""
+    """(node, comp): the least node that each end of the links (a, b) is connected with. Least labels are passed on and pointers jump.
+
+    Each round keeps as many partitions as the links need: a few rows dealt over hundreds would cost a file for each pair of tasks, and
+    rows of one partition need no shuffle at all."""
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(edges.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("comp")))
+    parts = max(1, -(-edges.count() // PART))
+    edges = cut(edges.coalesce(parts)).coalesce(parts)
+    labels = cut(edges.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("comp")).coalesce(parts)).coalesce(parts)
     while True:
         near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("comp").alias("near"))
         lower = labels.join(near, labels.node == near.a, "left").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
-        labels = cut(lower.join(up, "comp", "left").select("node", "old", F.least("comp", "above").alias("comp")))
+        labels = cut(lower.join(up, "comp", "left").select("node", "old", F.least("comp", "above").alias("comp")).coalesce(parts)).coalesce(parts)
         moved = labels.where("old <> comp").limit(1).count()
         labels = labels.select("node", "comp")
         if not moved:

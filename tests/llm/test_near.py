@@ -81,3 +81,31 @@ def test_an_id_with_two_texts_keeps_the_one_that_is_no_copy(spark):
     a, b = words(rng, 40), words(rng, 40)
     df = spark.createDataFrame([(1, a), (5, a), (5, b), (None, a)], "`doc.id` long, text string")
     assert sorted(map(tuple, m.drop_near_copies(df, id_col="doc.id").collect()), key=repr) == sorted([(1, a), (5, b), (None, a)], key=repr)
+
+
+def test_components_of_few_links_need_one_partition(spark, monkeypatch):
+    """Hundreds of shuffle partitions for a few links would write a file for each pair of tasks; the labels are those of a plain search."""
+    rng = random.Random(8)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1012)] + [(5, 5), (None, 7)]
+    top = {}
+
+    def root(v):
+        while top.get(v, v) != v:
+            v = top[v]
+        return v
+
+    for a, b in pairs:
+        if a is not None:
+            p, q = sorted((root(a), root(b)))
+            top[q] = p
+    table = spark.createDataFrame(pairs, "a long, b long").repartition(16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for part, most in ((links.PART, 1), (50, 8)):
+            monkeypatch.setattr(links, "PART", part)
+            found = links.components(table.where("a is not null"))
+            assert found.rdd.getNumPartitions() <= most
+            assert {r.node: r.comp for r in found.collect()} == {v: root(v) for p in pairs if p[0] is not None for v in p}
+        assert links.components(table.where("a < 0")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
