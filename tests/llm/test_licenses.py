@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from conftest import words
@@ -67,3 +68,36 @@ def test_a_frequent_line_is_drawn_once(spark):
     table = spark.createDataFrame([(t,) for t in lines], "line string")
     drawn = [tuple(r.words) for r in l.drawn(table, l.pairs_by_family(l.templates_of(spark)), 50).collect()]
     assert len(drawn) == len(set(drawn)) == 50
+
+
+def test_the_unknown_class_is_learned_from_all_distinct_paragraphs(spark):
+    """More distinct paragraphs than the former sample of 4000; some use grams of templates, rarely or often, and many rows repeat."""
+    rng = random.Random(9)
+    lines = []
+    for i in range(9000):
+        said = [words(rng, 6)]
+        said += ["sell copies"] * (i == 17) + ["redistribute it"] * (i % 400 == 3) + ["common development"] * (i % 7 == 0) + ["software foundation"] * (i % 5 == 0)
+        lines.append(" ".join([*said, f"n{i}"]))
+    table = spark.createDataFrame([(t,) for t in lines + lines[:3000]], "line string").repartition(4)
+    model = l.Classifier(table)
+    assert model.n_learned + model.n_kept_back == 9000
+
+    vocabulary = {g for t in l.templates_of(spark).select(l.grams_of(l.F.col("words")).alias("g")).collect() for g in t.g}
+    split = table.distinct().withColumn("words", l.words_of(l.F.col("line"))).select("words", l.F.pmod(l.F.xxhash64(l.F.array_join("words", " "), l.F.lit(1)), l.F.lit(2)).alias("half"))
+    own = [r.words for r in split.where("half = 0").collect()]
+    often = Counter(g for w in own for g in {*w, *map(" ".join, zip(w, w[1:]))} & vocabulary)
+    assert model.n_learned == len(own)
+    assert model.known == sorted(g for g in vocabulary if often[g] * 2000 < len(own))
+    assert not {"redistribute", "redistribute it", "software foundation"} & set(model.known)
+
+
+def test_the_limit_follows_from_all_paragraphs_kept_back(spark):
+    """Its value is the one that a sort of all probabilities gives."""
+    rng = random.Random(4)
+    parts = ["free of charge to any person", "granted to any person", "warranty of merchantability", "permitted provided that", "source and binary forms", "waived all copyright"]
+    table = spark.createDataFrame([(f"{words(rng, 5)} {rng.choice(parts) if rng.random() < 0.004 else ''} n{i}",) for i in range(6000)], "line string")
+    model = l.Classifier(table)
+    rows = spark.createDataFrame([(["hereby", "granted"], 3), (["hereby granted"], 2), (["encumbered", "unencumbered software"], 4), (["binary forms"], 1)], "grams array<string>, n long")
+    reached = sorted((r.probability for r in model._scored(rows).where("family <> 'unknown'").collect() for _ in range(r.n)), reverse=True)
+    for allowed in range(len(reached) + 2):
+        assert model._reached(rows, allowed) == (reached[allowed] if allowed < len(reached) else 0.0)
