@@ -102,9 +102,9 @@ def neighbours(data: DataFrame, queries: DataFrame, radius: int = RADIUS) -> Dat
     within = {i: r for i, r in enumerate(shares(radius)) if r >= 0}
 
     def table(df: DataFrame, name: str, keys_of_block) -> DataFrame:
-        entry = lambda i: lambda k: F.struct(F.lit(i).alias("table"), k.alias("key"))
+        entry = lambda i: lambda k: F.shiftleft(k, 8) + F.lit(i)
         entries = F.concat(*(F.transform(keys_of_block(i), entry(i)) for i in within))
-        return df.select("*", F.explode(entries).alias("e")).select(*(F.col(c).alias(f"{name}_{c}") for c in df.columns), F.col("e.table").alias(f"{name}_table"), F.col("e.key").alias(f"{name}_key"))
+        return df.select(*(F.col(c).alias(f"{name}_{c}") for c in df.columns), F.explode(entries).alias(f"{name}_at"))
 
     def own(i: int) -> Column:
         return F.array(_bits(F.col("high"), F.col("low"), i))
@@ -118,8 +118,9 @@ def neighbours(data: DataFrame, queries: DataFrame, radius: int = RADIUS) -> Dat
     high, low = F.col("q_high").bitwiseXOR(F.col("d_high")), F.col("q_low").bitwiseXOR(F.col("d_low"))
     earlier = F.lit(False)
     for i, r in within.items():
-        earlier = earlier | ((F.col("q_table") > i) & (F.bit_count(_bits(high, low, i)) <= r))
-    found = q.join(d, (F.col("q_table") == F.col("d_table")) & (F.col("q_key") == F.col("d_key")) & (F.bit_count(high) + F.bit_count(low) <= radius) & ~earlier)
+        earlier = earlier | ((F.col("q_at").bitwiseAND(255) > i) & (F.bit_count(_bits(high, low, i)) <= r))
+    # Spark takes the exploded rows for as few as there were before, so without the hint it sends them whole to the driver and every task.
+    found = q.hint("merge").join(d, (F.col("q_at") == F.col("d_at")) & (F.bit_count(high) + F.bit_count(low) <= radius) & ~earlier)
     return found.groupBy(F.col("q_high").alias("high"), F.col("q_low").alias("low")).agg(F.sum("d_n").alias("n_near"))
 
 

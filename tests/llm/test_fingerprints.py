@@ -58,6 +58,16 @@ def test_search_at_the_registered_radius(spark):
     assert found == {h: sum(bin(p ^ q).count("1") <= 12 for q in prints) for h, p in zip(halves[:8], prints[:8])}
 
 
+def test_search_sends_no_table_of_keys_to_the_driver(spark, folder):
+    """Each query stands for some 350 keys, which the size before that does not tell."""
+    spark.range(200).selectExpr("xxhash64(id) AS high", "xxhash64(id, 1) AS low").write.parquet(f"{folder}/prints")
+    data = spark.read.parquet(f"{folder}/prints")
+    found = simhash.neighbours(data, data.limit(20))
+    assert [r.n_near for r in found.collect()] == [1] * 20
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_most_copies_with_one_word_in_a_hundred_changed_are_within_the_radius():
     from lodeframe.llm.texts import block_of
 
