@@ -453,3 +453,31 @@ def test_blocks_grow_with_the_values():
     for n in (0, 1, 999, 15_000, 900_000):
         assert -(-n // links.side_of(n)) <= 65  # blocks of 1000: 900 of 900 000 values
     assert links.side_of(10**9) == links.LARGEST
+
+
+@pytest.mark.parametrize("least", [0.75, 0.85, 0.95])
+def test_values_that_meet_by_choices_of_letters_are_all_near_ones(least, monkeypatch):
+    import random
+
+    monkeypatch.setattr(links, "WORTH", 0)
+    rng = random.Random(int(least * 100))
+    values = sorted({"".join(rng.choice(alphabet) for _ in range(rng.randint(0, most))) for alphabet, most in (("0123456789abcdef", 9), ("abc", 6), ("abcdefghé\U0001f600", 12)) for _ in range(90)} | {str(n) for n in range(0, 9000, 83)})
+    rng.shuffle(values)
+    values += ["".join(rng.sample(v, len(v))) for v in values[:60]]
+    values = sorted(set(values), key=lambda v: rng.random())
+    for x, y in ((0, 0), (0, 1)):
+        mine = [rng.randint(x, y) for _ in values]
+        want = {}
+        for i, a in enumerate(values):
+            for j, b in enumerate(values):
+                if (mine[i], mine[j]) == (x, y) and (x != y or i < j):
+                    low, high = sorted((a, b))
+                    s = jaro_winkler(low, high)
+                    if 0 < s < 1 and s >= least:
+                        want[low, high] = s
+        found = list(links.near_in_block(x, y, mine, values, least))
+        assert len(found) == len(want) and {(a, b): s for a, b, s in found} == want
+        some = [(a, b) for a, b, _ in links.near_in_block(x, y, mine, values, least, spanning=True)]
+        assert set(some) <= set(want) and clusters_of(some) == clusters_of(list(want))
+        known, rest = some[::2], [(a, b) for a, b, _ in links.near_in_block(x, y, mine, values, least, spanning=True, linked=some[::2])]
+        assert clusters_of(known + rest) == clusters_of(list(want)) and len(known) + len(rest) == len(some)
