@@ -481,3 +481,13 @@ def test_values_that_meet_by_choices_of_letters_are_all_near_ones(least, monkeyp
         assert set(some) <= set(want) and clusters_of(some) == clusters_of(list(want))
         known, rest = some[::2], [(a, b) for a, b, _ in links.near_in_block(x, y, mine, values, least, spanning=True, linked=some[::2])]
         assert clusters_of(known + rest) == clusters_of(list(want)) and len(known) + len(rest) == len(some)
+
+
+def test_links_between_blocks_leave_out_what_is_linked_inside(spark, monkeypatch):
+    """Numbers are near-equal to most others; each two blocks used to have a forest of their own."""
+    monkeypatch.setattr(links, "SIDE", 60)
+    values = [str(n) for n in range(1000, 1600)]
+    found = links.near_links(spark.createDataFrame([(v,) for v in values], "v string"), 0.85, spanning=True).collect()
+    want = {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if jaro_winkler(a, b) >= 0.85}
+    assert {(r.a, r.b) for r in found} <= want and clusters_of([(r.a, r.b) for r in found]) == clusters_of(list(want))
+    assert len(found) < 2 * len(values)
