@@ -31,6 +31,7 @@ _SLACK = 1e-9
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the least node that each end of the links (a, b) is connected with. Least labels are passed on and pointers jump.
 
+    All that have one label go on to the least that any of them met, so that rounds grow with the logarithm of the longest way, not with it.
     Each round keeps as many partitions as the links need: a few rows dealt over hundreds would cost a file for each pair of tasks, and
     rows of one partition need no shuffle at all."""
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
@@ -40,7 +41,8 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("comp").alias("near"))
         lower = labels.join(near, labels.node == near.a, "left").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
+        met = lower.select(F.explode(F.array("old", "node")).alias("from"), F.col("comp").alias("above"))
+        up = met.groupBy(F.col("from").alias("comp")).agg(F.min("above").alias("above")).where("above < comp")
         labels = cut(lower.join(up, "comp", "left").select("node", "old", F.least("comp", "above").alias("comp")).coalesce(parts)).coalesce(parts)
         moved = labels.where("old <> comp").limit(1).count()
         labels = labels.select("node", "comp")

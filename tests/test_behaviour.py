@@ -491,3 +491,14 @@ def test_links_between_blocks_leave_out_what_is_linked_inside(spark, monkeypatch
     want = {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if jaro_winkler(a, b) >= 0.85}
     assert {(r.a, r.b) for r in found} <= want and clusters_of([(r.a, r.b) for r in found]) == clusters_of(list(want))
     assert len(found) < 2 * len(values)
+
+
+def test_components_of_a_long_way_take_few_rounds(spark, monkeypatch):
+    import random
+
+    rounds, cut = [], links.cut
+    monkeypatch.setattr(links, "cut", lambda df: rounds.append(1) or cut(df))
+    ids = random.Random(3).sample(range(200), 200)
+    found = links.components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")).collect()
+    assert sorted(r.node for r in found) == list(range(200)) and {r.comp for r in found} == {0}
+    assert len(rounds) < 16
